@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: Words in a shingle, and the similarity from which two texts are near duplicates.
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
+#: Rows up to which a narrow table (about 100 bytes a row) is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +33,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a narrow written table if it has at most so many rows; otherwise it is joined by a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns, cast to the given types; any other column of ``df`` is left out, so names can't clash."""
     return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in columns.items()])
@@ -45,9 +52,10 @@ def native_shingles(words: Column, k: int = SHINGLE_WORDS) -> Column:
     """64-bit hashes of every ``k`` consecutive words; a shorter text has one shingle of all its words, an empty one none."""
 
     def hashes(w: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)]))
-        short = F.when(F.size(w) > 0, F.array(F.xxhash64(F.concat_ws(" ", w)))).otherwise(F.array().cast("array<bigint>"))
-        return F.when(F.size(w) >= k, runs).otherwise(short)
+        out = F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)])))
+        for n in range(1, k):
+            out = out.when(F.size(w) == n, F.array(F.xxhash64(*[F.get(w, F.lit(j)) for j in range(n)])))
+        return out.otherwise(F.array().cast("array<bigint>"))
 
     # the one-element array binds the words once; named plainly they would be split anew for each position
     return F.transform(F.array(words), hashes)[0]
