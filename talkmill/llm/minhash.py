@@ -6,8 +6,8 @@ earliest one. An element stops as soon as its next arrival comes later than the
 about ``m ln m`` arrivals for any length of text. Two registers agree with the probability Jaccard of the texts.
 
 Exact copies are one node from the start. In each bucket of a band, every member is compared with the bucket's
-pivot, never with all others. What that may leave open - members of one bucket in different components - is settled
-by an exact prefix-filter join over those texts. Links need a Jaccard of distinct shingles of at least 0.8.
+pivot, never with all others. Members of one bucket that this leaves in different components meet again in finer
+buckets, with pivots of their own. No bucket, however large, is capped or dropped. Links need a Jaccard of distinct shingles of at least 0.8.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from talkmill.llm.common import SHINGLE_WORDS, SIMILARITY, WordHashes, cut, mix,
 
 #: Bands and registers in a band: a pair at similarity 0.8 is missed with probability (1 - 0.8**6)**26 < 0.0004.
 BANDS, ROWS = 26, 6
+#: Finer buckets of each text for each band, and how often pivots are drawn for them.
+FINER, ROUNDS = 3, 2
 #: Shingles sketched together.
 CHUNK = 500_000
 #: Partners of a pivot for each copy of its shingles.
@@ -148,28 +150,21 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
             return labels
 
 
-def rest(buckets: DataFrame, labels: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+def rest(buckets: DataFrame, labels: DataFrame, sketches: DataFrame, bands: int, seed: int) -> DataFrame:
     """Pairs that the pivots left open: texts that met in a bucket and are in different components so far.
 
-    An exact prefix filter finds them: of two sets with a Jaccard of at least ``t``, each has a common element among its
-    ``n - ceil(t n) + 1`` rarest ones. Pairs inside one component are never made.
+    They meet again in finer buckets, of two bands each, and every one is compared with the finer bucket's pivot if
+    that is in another component. So a pair within a crowd of less similar texts has a bucket nearly to itself.
     """
     placed = buckets.join(labels, "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label"))
     mixed = placed.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("bucket")
-    open_keys = cut(placed.join(mixed, "bucket").select("key", "label").distinct(), "open")
-    terms = sets.join(open_keys, "key").select("key", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("term"))
-    often = terms.groupBy("term").agg(F.count("*").alias("often")).filter("often > 1")
-    # terms of one text can't meet another; they take the rarest places of the prefix, so their number is enough
-    shared = terms.join(often, "term")
-    kept = shared.groupBy("key", "label", "n").agg(F.array_sort(F.collect_list(F.struct("often", "term"))).alias("ranked"))
-    length = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("ranked"))
-    prefix = kept.filter(length > 0).select("key", "label", "n", F.explode(F.slice("ranked", F.lit(1), length.cast("int"))).alias("t")).select("key", "label", "n", F.col("t.term").alias("term"))
-    spans = prefix.groupBy("term").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("term")
-    prefix = prefix.join(spans, "term")
-    x = prefix.select("term", F.col("key").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
-    y = prefix.select("term", F.col("key").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
-    near = (F.col("la") < F.col("lb")) & (F.col("na") >= least * F.col("nb") - 1e-9) & (F.col("nb") >= least * F.col("na") - 1e-9)
-    return x.join(y, "term").filter(near).select("a", "b").distinct()
+    opened = cut(placed.join(mixed, "bucket").select("key", "label").distinct(), "open")
+    told = sketches.join(sized(opened), "key").groupBy("key", "label").agg(F.first("bands").alias("bands"))
+    two = F.transform(F.sequence(F.lit(0), F.lit(bands * FINER - 1)), lambda i: F.xxhash64(F.get("bands", i % bands), F.get("bands", (i + 1 + F.floor(i / bands).cast("int")) % bands), i))
+    finer = told.select("key", "label", F.explode(two).alias("bucket"))
+    pivots = finer.groupBy("bucket").agg(F.min_by(F.struct("key", "label"), F.xxhash64("bucket", "key", F.lit(seed))).alias("pivot"), (F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("bucket", "pivot")
+    met = finer.join(pivots, "bucket").filter("label != pivot.label").select(F.col("pivot.key").alias("a"), F.col("key").alias("b"))
+    return met.distinct()
 
 
 def labelled(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -192,8 +187,10 @@ def labelled(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS
     sets = cut(shingle_sets(told).dropDuplicates(["key"]), "sets")
     links = cut(verified(pairs, sets, similarity), "links")
     labels = components(links)
-    more = cut(verified(rest(buckets, labels, sets, similarity), sets, similarity), "links")
-    if more.limit(1).count():
+    for seed in range(ROUNDS):
+        more = cut(verified(cut(rest(buckets, labels, sketches, bands, seed), "pairs"), sets, similarity), "links")
+        if not more.limit(1).count():
+            break
         links = links.union(more)
         labels = components(links)
     return sketches.select("doc_id", "key").join(labels, "key", "left").select("doc_id", "key", F.coalesce("label", "key").alias("label"))
