@@ -95,12 +95,13 @@ def examples(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def machine(x: np.ndarray, sign: np.ndarray) -> np.ndarray:
     """Weights (the last one is the bias) of a linear machine with squared hinge loss, classes weighing alike."""
+    sign = sign.astype(np.float32)  # one wider operand would widen the whole matrix in each step
     share = np.where(sign > 0, 0.5 / max(1, (sign > 0).sum()), 0.5 / max(1, (sign < 0).sum())).astype(np.float32)
     w, at = np.zeros(x.shape[1] + 1, np.float32), np.zeros(x.shape[1] + 1, np.float32)
     for t in range(STEPS):
         short = np.maximum(0, 1 - sign * (x @ at[:-1] + at[-1])) * share * sign
         grad = np.append(-2 * (x.T @ short) + PENALTY * at[:-1], -2 * short.sum())
-        new = at - 0.25 * grad.astype(np.float32) * np.float32(1.0)
+        new = at - np.float32(0.25) * grad.astype(np.float32)
         at = new + np.float32(t / (t + 3)) * (new - w)
         w = new
     return w
