@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkmill.llm import bpe, decontaminate, langid, minhash, secrets, toxicity
+from talkmill.llm import bpe, decontaminate, langid, minhash, pii, secrets, toxicity
 
 #: The vocabulary file that the contracts name.
 TOKENIZER = "byte_bpe_50k.json"
@@ -42,6 +42,12 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.digest(F.col("base")), 256).alias("base_sha256"), secrets.digest(F.col("spans")).alias("spans"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", partial(of_kind, k))).cast("bigint").alias(f"n_{name}") for k, name in enumerate(pii.KINDS[:4])]
+    return found.select("doc_id", *counts, F.sha2(pii.digest(F.col("base")), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(table(spark, sf_dir, "documents"))
 
@@ -55,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op5_minhash": op5_minhash,
     "op6_secrets": op6_secrets,
+    "op7_pii": op7_pii,
     "op9_langid": op9_langid,
     "op10_toxicity": op10_toxicity,
 }
