@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkmill.llm import bpe, decontaminate, langid, minhash, pii, secrets, toxicity
+from talkmill.llm import bpe, decontaminate, langid, minhash, pii, secrets, substrings, toxicity
 
 #: The vocabulary file that the contracts name.
 TOKENIZER = "byte_bpe_50k.json"
@@ -28,6 +28,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op3_bpe": op3_bpe,
+    "op4_substrings": op4_substrings,
     "op5_minhash": op5_minhash,
     "op6_secrets": op6_secrets,
     "op7_pii": op7_pii,
