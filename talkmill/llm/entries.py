@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkmill.llm import bpe, decontaminate, langid, minhash, pii, secrets, substrings, toxicity
+from talkmill.llm import bpe, decontaminate, langid, minhash, neighbours, pii, secrets, substrings, toxicity
 
 #: The vocabulary file that the contracts name.
 TOKENIZER = "byte_bpe_50k.json"
@@ -24,6 +24,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "similarity", "start_word", "n_words")
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -62,6 +66,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_neighbours": op2_neighbours,
     "op3_bpe": op3_bpe,
     "op4_substrings": op4_substrings,
     "op5_minhash": op5_minhash,
