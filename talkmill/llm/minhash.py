@@ -24,8 +24,8 @@ from talkmill.llm.common import SHINGLE_WORDS, SIMILARITY, WordHashes, cut, mix,
 
 #: Bands and registers in a band: a pair at similarity 0.8 is missed with probability (1 - 0.8**6)**26 < 0.0004.
 BANDS, ROWS = 26, 6
-#: Finer buckets of each text for each band, and how often pivots are drawn for them.
-FINER, ROUNDS = 3, 2
+#: Finer buckets of each text for each band, and the pivots drawn for them.
+FINER, PIVOTS = 3, 2
 #: Shingles sketched together.
 CHUNK = 500_000
 #: Partners of a pivot for each copy of its shingles.
@@ -135,26 +135,38 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     """(key, label): each key of the links (a, b) and the smallest key of its component.
 
     Each round every key takes the smallest label among itself and its neighbours, then its label's label; rounds
-    are written tables and end when no label changes.
+    are written tables and end when no label changes. Labels are broadcast while they are few; the smallest label of
+    a key with many neighbours is found on the map side first.
     """
-    ends = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-ends")
+    ends = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), f"{name}-ends")
     labels = cut(ends.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("key"), F.least("a", "b").alias("label")), f"{name}-labels")
     while True:
-        near = ends.join(labels, ends.b == labels.key).groupBy("a").agg(F.min("label").alias("seen"))
-        step = labels.join(near, labels.key == near.a).select("key", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
-        jump = labels.select(F.col("key").alias("at"), F.col("label").alias("beyond"))
-        moved = step.join(jump, step.label == jump["at"], "left").select("key", "old", F.least("label", "beyond").alias("label"))
-        moved = cut(moved, f"{name}-labels")
+        told = sized(labels).withColumnsRenamed({"key": "near", "label": "seen"})
+        near = ends.join(told, ends.b == told.near).select(F.col("a").alias("key"), F.col("seen").alias("label"), F.lit(None).cast(labels.schema["label"].dataType).alias("old"))
+        step = near.union(labels.select("key", "label", F.col("label").alias("old"))).groupBy("key").agg(F.min("label").alias("label"), F.max("old").alias("old"))
+        jump = sized(labels).withColumnsRenamed({"key": "at", "label": "beyond"})
+        moved = cut(step.join(jump, step.label == jump["at"], "left").select("key", "old", F.least("label", "beyond").alias("label")), f"{name}-labels")
         labels = moved.select("key", "label")
         if not moved.filter("label != old").limit(1).count():
             return labels
 
 
-def rest(buckets: DataFrame, labels: DataFrame, sketches: DataFrame, bands: int, seed: int) -> DataFrame:
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after further links, whose components are found among the labels alone."""
+    for end in ("a", "b"):
+        own = sized(labels).withColumnsRenamed({"key": "own", "label": "own_label"})
+        links = links.join(own, links[end] == own["own"], "left").withColumn(end, F.coalesce("own_label", end)).select("a", "b")
+    over = components(links.filter("a != b").distinct(), "merged").withColumnsRenamed({"key": "at", "label": "beyond"})
+    new = over.join(sized(labels), over["at"] == labels["key"], "left_anti").select(F.col("at").alias("key"), F.col("beyond").alias("label"))
+    old = labels.join(sized(over), labels["label"] == over["at"], "left").select("key", F.coalesce("beyond", "label").alias("label"))
+    return cut(old.union(new), "labels")
+
+
+def rest(buckets: DataFrame, labels: DataFrame, sketches: DataFrame, bands: int) -> DataFrame:
     """Pairs that the pivots left open: texts that met in a bucket and are in different components so far.
 
-    They meet again in finer buckets, of two bands each, and every one is compared with the finer bucket's pivot if
-    that is in another component. So a pair within a crowd of less similar texts has a bucket nearly to itself.
+    They meet again in finer buckets, of two bands each, and every one is compared with the finer bucket's pivots if
+    they are in another component. So a pair within a crowd of less similar texts has a bucket nearly to itself.
     """
     placed = buckets.join(labels, "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label"))
     mixed = placed.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("bucket")
@@ -162,7 +174,8 @@ def rest(buckets: DataFrame, labels: DataFrame, sketches: DataFrame, bands: int,
     told = sketches.join(sized(opened), "key").groupBy("key", "label").agg(F.first("bands").alias("bands"))
     two = F.transform(F.sequence(F.lit(0), F.lit(bands * FINER - 1)), lambda i: F.xxhash64(F.get("bands", i % bands), F.get("bands", (i + 1 + F.floor(i / bands).cast("int")) % bands), i))
     finer = told.select("key", "label", F.explode(two).alias("bucket"))
-    pivots = finer.groupBy("bucket").agg(F.min_by(F.struct("key", "label"), F.xxhash64("bucket", "key", F.lit(seed))).alias("pivot"), (F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("bucket", "pivot")
+    drawn = [F.min_by(F.struct("key", "label"), F.xxhash64("bucket", "key", F.lit(i))) for i in range(PIVOTS)]
+    pivots = finer.groupBy("bucket").agg(F.array_distinct(F.array(*drawn)).alias("pivots"), (F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("bucket", F.explode("pivots").alias("pivot"))
     met = finer.join(pivots, "bucket").filter("label != pivot.label").select(F.col("pivot.key").alias("a"), F.col("key").alias("b"))
     return met.distinct()
 
@@ -187,12 +200,9 @@ def labelled(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS
     sets = cut(shingle_sets(told).dropDuplicates(["key"]), "sets")
     links = cut(verified(pairs, sets, similarity), "links")
     labels = components(links)
-    for seed in range(ROUNDS):
-        more = cut(verified(cut(rest(buckets, labels, sketches, bands, seed), "pairs"), sets, similarity), "links")
-        if not more.limit(1).count():
-            break
-        links = links.union(more)
-        labels = components(links)
+    more = cut(verified(cut(rest(buckets, labels, sketches, bands), "pairs"), sets, similarity), "links")
+    if more.limit(1).count():
+        labels = joined(labels, more)
     return sketches.select("doc_id", "key").join(labels, "key", "left").select("doc_id", "key", F.coalesce("label", "key").alias("label"))
 
 
