@@ -188,10 +188,10 @@ def labelled(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS
     # the rows of a text come together by key, with its bands once: many exact copies are few rows after the map side
     texts = sketches.groupBy("key").agg(F.first("bands", ignorenulls=True).alias("bands"))
     buckets = texts.select("key", F.explode("bands").alias("bucket"))
-    pivots = buckets.groupBy("bucket").agg(F.min_by("key", F.xxhash64("bucket", "key")).alias("pivot"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    buckets = cut(buckets.join(pivots, "bucket").select("bucket", "key", "pivot"), "buckets")
-    met = buckets.filter("key != pivot").groupBy(F.least("pivot", "key").alias("x"), F.greatest("pivot", "key").alias("y")).agg(F.min("pivot").alias("a"))
-    pairs = cut(met.select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b")), "pairs")
+    # keys are hashes, so the smallest one is a random member, and buckets with many members in common share it
+    pivots = cut(buckets.groupBy("bucket").agg(F.min("key").alias("pivot"), F.count("*").alias("n")).filter("n > 1").drop("n"), "pivots")
+    buckets = cut(buckets.join(sized(pivots), "bucket").select("bucket", "key", "pivot"), "buckets")
+    pairs = cut(buckets.filter("key != pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
     wanted = cut(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct(), "wanted")
     # one row stands for each wanted text: that of its smallest doc_id
     chosen = sketches.join(sized(wanted), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("of"))
