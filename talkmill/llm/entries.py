@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkmill.llm import bpe, decontaminate, langid, minhash, neighbours, pii, secrets, substrings, toxicity
+from talkmill.llm import bpe, decontaminate, langid, minhash, neighbours, pii, secrets, substrings, tokenfile, toxicity
 
 #: The vocabulary file that the contracts name.
 TOKENIZER = "byte_bpe_50k.json"
@@ -56,6 +56,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.digest(F.col("base")), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
 
 
+def op8_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minhash": op5_minhash,
     "op6_secrets": op6_secrets,
     "op7_pii": op7_pii,
+    "op8_tokenfile": op8_tokenfile,
     "op9_langid": op9_langid,
     "op10_toxicity": op10_toxicity,
 }
