@@ -86,7 +86,7 @@ convs as (
   from messages group by conv_uuid),
 chunks as (select uuid as msg_uuid, conv_uuid, seq as turn, sender, created_at, text, sha256(text) as text_sha256 from messages where length(trim(text)) >= 12),
 vectors as (
-  select k.text_sha256, list_transform(e.embedding, x -> cast(x as double)) as embedding, e.label
+  select k.text_sha256, list_transform(e.embedding, lambda x: cast(x as double)) as embedding, e.label
   from (select text_sha256, min((cast(conv_uuid as int) * 31 + turn) % 500) as vec_id from chunks group by text_sha256) k join embeddings e using (vec_id)),
 tags as (
   select conv_uuid, 'cat-' || label as slug, [0.9, 0.78, 1.0, 0.7][cast(conv_uuid as int) % 5 + 1]::double as confidence,

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from talkmill.functions.text import cosine, tokens, trigrams
 from talkmill.operators.browse import HIT_SORTS, date_window, sender_scope, sorted_page
@@ -77,6 +76,10 @@ def places(words: Column, term: str) -> Column:
     return F.filter(F.transform(words, lambda w, i: F.when(w == term, i + 1)), lambda i: i.isNotNull())
 
 
+def distances(others: Column, own: Column) -> Column:
+    return F.transform(others, lambda other: F.abs(own - other))
+
+
 def rank(words: Column, query: Query) -> Column:
     """Our fixed form of the relevance score: alternatives add up by how often they stand, terms that all must hold
     combine over the distances of their occurrences."""
@@ -89,7 +92,7 @@ def rank(words: Column, query: Query) -> Column:
     miss = F.lit(1.0)
     for i, s in enumerate(terms):
         for t in terms[i + 1 :]:
-            gaps = F.flatten(F.transform(places(words, s), lambda a, t=t: F.transform(places(words, t), lambda b: F.abs(a - b))))
+            gaps = F.flatten(F.transform(places(words, s), partial(distances, places(words, t))))
             near = lambda d: F.when(d > 100, F.lit(1e-30)).otherwise(1.0 / (1.005 + 0.05 * F.exp(d / 1.5 - 2)))
             miss = miss * F.aggregate(gaps, F.lit(1.0), lambda a, d: a * (1 - WEIGHT * F.sqrt(near(d))))
     return 1 - miss
@@ -218,12 +221,11 @@ def word_similarity(query: str, text: str, strict: bool) -> float:
 def similarity(query: str, strict: bool):
     """``word_similarity`` of a column of texts, as a pandas UDF."""
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([word_similarity(query, t or "", strict) for t in texts], dtype="float64")
+    @F.pandas_udf("double")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([word_similarity(query, t or "", strict) for t in texts], dtype="float64")
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, DoubleType())
+    return run
 
 
 def fuzzy_hits(source: DataFrame, query: str) -> DataFrame:
