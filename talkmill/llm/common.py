@@ -61,6 +61,13 @@ def native_shingles(words: Column, k: int = SHINGLE_WORDS) -> Column:
     return F.transform(F.array(words), hashes)[0]
 
 
+def sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
+    """The ``rows`` rows whose key hashes lowest (equal hashes all come). Only hashes are sorted, never the rows."""
+    hashed = df.withColumn("sample_hash", F.xxhash64(key))
+    last = hashed.select("sample_hash").orderBy("sample_hash").limit(rows).agg(F.max("sample_hash").alias("h")).collect()[0].h
+    return (hashed.filter(F.col("sample_hash") <= F.lit(last)) if last is not None else hashed.limit(0)).drop("sample_hash")
+
+
 class WordHashes(dict):
     """64-bit hash of a word; emptied when it holds a million words, so that memory stays bounded."""
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkmill.llm.common import cut, only, sized
+from talkmill.llm.common import cut, only, sample, sized
 
 # The patterns of the base kinds, in the order of their kinds.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -98,8 +98,9 @@ def found_secrets(docs: DataFrame) -> DataFrame:
     """
     scan = cut(scanned(docs), "secrets")
     secrets = scan.select(F.explode("base").alias("s")).select("s.value")
-    sample = only(docs, text="string").dropna().select(F.xxhash64("text").alias("h"), "text").orderBy("h").limit(TRAIN_DOCS)
-    words = sample.select(F.explode(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0))).alias("value")).filter(~F.col("value").rlike(r"[0-9a-f]{16}"))
+    few = sample(only(docs, text="string").dropna().filter("text != ''"), F.col("text"), TRAIN_DOCS)
+    # copies hash alike: they count once
+    words = few.dropDuplicates(["text"]).select(F.explode(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0))).alias("value")).filter(~F.col("value").rlike(r"[0-9a-f]{16}"))
     tokens = scan.filter(F.size("other") > 0).select("doc_id", "text_hash", F.explode("other").alias("o")).select("doc_id", "text_hash", "o", F.col("o.value").alias("value"))
     random = cut(likely(tokens, cut(trained(secrets, words), "markov")), "random")
     more = tokens.distinct().join(sized(random), "value").groupBy("doc_id", "text_hash").agg(F.collect_list("o").alias("more"))
