@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkmill.functions.text import content_sha256, preview, tokens, trigrams
+from talkmill.functions.text import ROOT, content_sha256, preview, tokens, trigrams
+from talkmill.jobs import index
 from talkmill.jobs.lift import LIFT_SQL, Archive, lift
-from talkmill.operators import browse, classify, curation, merge, search, semantic, tree
+from talkmill.operators import browse, classify, curation, merge, normalize, search, semantic, transcript, tree
 
 Query = Callable[[Archive], DataFrame]
 FOUND: dict[str, Query] = {}
@@ -577,6 +578,64 @@ def import_set_diff(a: Archive) -> DataFrame:
     return merge.set_difference(status, indexed)
 
 
+# -- normalising -------------------------------------------------------------------------------------------------------
+# The archive as raw export JSON, and back again through the normaliser.
+
+
+def raw_export(a: Archive) -> DataFrame:
+    content = F.array(F.to_json(F.struct(F.lit("text").alias("type"), F.col("text"))))
+    tool = F.when(F.col("tool_text").isNotNull(), F.array(F.to_json(F.struct(F.lit("tool_result").alias("type"), F.lit("t").alias("tool_use_id"), F.col("tool_text").alias("content"))))).otherwise(F.array().cast("array<string>"))
+    blocks = F.concat(F.lit("["), F.array_join(F.concat(content, tool), ","), F.lit("]"))
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    head = F.to_json(F.struct(F.when(F.col("seq") % 5 != 4, F.col("uuid")).alias("uuid"), "sender", stamp("created_at").alias("created_at"), F.coalesce("parent_uuid", F.when(F.col("seq") % 2 == 0, ROOT).otherwise("")).alias("parent_message_uuid")))
+    message = F.concat(F.expr("left(h, length(h) - 1)"), F.lit(',"content":'), F.col("blocks"), F.lit("}"))
+    each = a.messages.select("conv_uuid", "seq", head.alias("h"), blocks.alias("blocks")).select("conv_uuid", "seq", message.alias("m"))
+    own = each.groupBy(F.col("conv_uuid").alias("uuid")).agg(F.array_sort(F.collect_list(F.struct("seq", "m"))).alias("ms"))
+    meta = a.conversations.join(own, "uuid")
+    top = F.to_json(F.struct("uuid", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("summary", F.lit("")).alias("summary"), stamp("created_at").alias("created_at"), stamp("updated_at").alias("updated_at")))
+    return meta.select(top.alias("h"), F.array_join("ms.m", ",").alias("ms")).select(F.concat(F.expr("left(h, length(h) - 1)"), F.lit(',"chat_messages":['), F.col("ms"), F.lit("]}")).alias("raw"))
+
+
+@query(f"select uuid, name, summary, strftime(created_at, '{DAY}') as created_at, strftime(updated_at, '{DAY}') as updated_at, n_messages from convs")
+def conv_meta(a: Archive) -> DataFrame:
+    return normalize.conversations(raw_export(a)).select("uuid", "name", "summary", day("created_at").alias("created_at"), day("updated_at").alias("updated_at"), "n_messages")
+
+
+@query(f"select conv_uuid, seq, uuid, parent_uuid, sender, strftime(created_at, '{DAY}') as created_at from messages")
+def explode_messages(a: Archive) -> DataFrame:
+    return normalize.explode_messages(raw_export(a)).select("conv_uuid", "seq", "uuid", "parent_uuid", "sender", day("created_at").alias("created_at"))
+
+
+@query("select uuid, trim(text) as text, nullif(trim(coalesce(tool_text, '')), '') as tool_text from messages")
+def message_texts(a: Archive) -> DataFrame:
+    return normalize.message_texts(normalize.explode_messages(raw_export(a))).select("uuid", "text", "tool_text")
+
+
+@query("select uuid as msg_uuid, 0 as seq, sha256(trim(text)) as text_sha256 from messages where length(trim(text)) >= 12")
+def derive_chunks(a: Archive) -> DataFrame:
+    found = normalize.derive_chunks(normalize.message_texts(normalize.explode_messages(raw_export(a))))
+    return found.select("msg_uuid", "seq", "text_sha256")
+
+
+@query("""select c.conv_uuid, count(*) as n, count(distinct text_sha256) as texts from chunks c group by c.conv_uuid""")
+def chunk_counts(a: Archive) -> DataFrame:
+    return a.chunks.groupBy("conv_uuid").agg(F.count("*").alias("n"), F.count_distinct("text_sha256").alias("texts"))
+
+
+@query("""select conv_uuid, uuid, case when sender = 'human' then 'text' else 'text' end as kind, trim(text) as body from messages""")
+def transcript_blocks(a: Archive) -> DataFrame:
+    shown = transcript.blocks(normalize.explode_messages(raw_export(a))).filter("kind = 'text'")
+    return shown.select("conv_uuid", "uuid", "kind", F.trim("body").alias("body"))
+
+
+@query("select lower(status) as what, count(*) as n from (select 'new' as status from convs) group by status")
+def import_export(a: Archive) -> DataFrame:
+    raw = raw_export(a)
+    meta = normalize.conversations(raw).limit(0)
+    messages = normalize.message_texts(normalize.explode_messages(raw)).limit(0)
+    return index.import_export(raw, meta, messages, normalize.derive_chunks(messages))["report"]
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bound(f: Query) -> Callable[[SparkSession, str], DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
