@@ -52,7 +52,8 @@ def newest_leaf_of(frame: pd.DataFrame) -> pd.DataFrame:
             found[at] = leaf
             at = parent[at]
     rows = [(u, found[u]) for u in key if u in found]
-    return pd.DataFrame({"conv_uuid": frame["conv_uuid"].iloc[0], "uuid": [a for a, _ in rows], "leaf": [b for _, b in rows]})
+    conv = frame["conv_uuid"].iloc[0]
+    return pd.DataFrame([(conv, *row) for row in rows], columns=["conv_uuid", "uuid", "leaf"])
 
 
 def path_of(frame: pd.DataFrame) -> pd.DataFrame:
@@ -67,7 +68,8 @@ def path_of(frame: pd.DataFrame) -> pd.DataFrame:
             at = parent[at]
         if at is None:
             out += [(leaf, depth, u) for depth, u in enumerate(reversed(path))]
-    return pd.DataFrame({"conv_uuid": frame["conv_uuid"].iloc[0], "leaf": [x[0] for x in out], "depth": [x[1] for x in out], "uuid": [x[2] for x in out]})
+    conv = frame["conv_uuid"].iloc[0]
+    return pd.DataFrame([(conv, *row) for row in out], columns=["conv_uuid", "leaf", "depth", "uuid"])
 
 
 def slim(messages: DataFrame) -> DataFrame:
