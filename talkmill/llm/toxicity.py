@@ -82,7 +82,7 @@ def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def flat(counts: dict[int, Counter[str]]) -> pd.DataFrame:
     names = list(counts[0].keys() | counts[1].keys())
-    return pd.DataFrame({"feature": names, "bad": [counts[1][f] for f in names], "good": [counts[0][f] for f in names]})
+    return pd.DataFrame([(f, counts[1][f], counts[0][f]) for f in names], columns=["feature", "bad", "good"])
 
 
 def bags(vocabulary: dict[str, int], frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
