@@ -80,4 +80,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_langid": op9_langid,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: Every window of every document that shares a shingle with an item, compared with it exactly.
+LEAKS_SQL = r"""
+with items as (select item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from benchmark where item_id is not null and text is not null),
+sized as (select item_id, w, len(w) as l, least(len(w), 5) as k from items where len(w) > 0),
+parts as (select item_id, l, k, unnest(list_transform(range(1, l - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) as sh from sized),
+counted as (select item_id, l, k, sh, count(*) as c from parts group by all),
+docs as (select distinct doc_id, text as t, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from documents where text is not null),
+places as (select doc_id, t, len(w) as n, k, unnest(range(0, len(w) - k + 1)) as pos, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) as sh
+  from docs, (select distinct k from sized) where len(w) >= k),
+hits as (select doc_id, t, n, pos, p.sh, item_id, l, p.k, c from places p join counted c on c.k = p.k and c.sh = p.sh),
+starts as (select distinct doc_id, t, n, item_id, l, k, unnest(range(greatest(pos - (l - k), 0), least(pos, greatest(n - l, 0)) + 1)) as s from hits),
+low as (select x.doc_id, x.t, x.n, x.item_id, x.l, x.k, s, sh, least(count(*), any_value(c)) as m from starts x join hits h on x.doc_id is not distinct from h.doc_id and x.t = h.t and x.item_id = h.item_id and pos between s and s + x.l - x.k group by x.doc_id, x.t, x.n, x.item_id, x.l, x.k, s, sh),
+scored as (select doc_id, t, item_id, s, l, cast(sum(m) as double) / (least(n, l) - k + 1 + l - k + 1 - sum(m)) as similarity from low group by doc_id, t, n, item_id, l, k, s)
+select doc_id, item_id, similarity, cast(s as int) as start_word, cast(l as int) as n_words
+from (select *, row_number() over (partition by doc_id, t, item_id order by similarity desc, s) as r from scored where similarity >= 0.8 - 1e-9) where r = 1
+"""
+
+#: The Jaccard of all texts that share a shingle, and the components of those at 0.8 or more.
+CLASSES_SQL = r"""
+with recursive texts as (select t, row_number() over (order by t) as id from (select distinct coalesce(text, '') as t from documents)),
+words as (select id, regexp_extract_all(lower(t), '[\p{L}\p{N}]+') as w from texts),
+parts as (select distinct id, unnest(list_transform(range(1, len(w) - least(len(w), 5) + 2), lambda i: array_to_string(w[i : i + least(len(w), 5) - 1], ' '))) as sh from words where len(w) > 0),
+sizes as (select id, count(*) as n from parts group by id),
+pairs as (select x.id as a, y.id as b, count(*) as c from parts x join parts y on x.sh = y.sh and x.id < y.id group by all),
+links as (select a, b from pairs join sizes x on x.id = a join sizes y on y.id = b where c >= 0.8 * (x.n + y.n - c) - 1e-9),
+ends as (select a, b from links union all select b, a from links),
+reached as (select id as a, id as b from texts union select r.a, e.b from reached r join ends e on e.a = r.b),
+labels as (select a as id, min(b) as label from reached group by a),
+members as (select doc_id, label from documents join texts on t = coalesce(text, '') join labels using (id)),
+classes as (select label, min(doc_id) as class_id, count(*) as class_size from members group by label)
+select doc_id, class_id, class_size from members join classes using (label)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": LEAKS_SQL, "op5_minhash": CLASSES_SQL}

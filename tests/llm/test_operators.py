@@ -263,3 +263,11 @@ def test_pipeline_keeps_clean_documents(spark):
         kept.append(docs.count())
     assert kept == sorted(kept, reverse=True) and kept[-1] > 100
     assert corpus_pipeline.run(spark, SF).count() == kept[-1]
+
+
+@pytest.mark.parametrize("name", ["op1_decontaminate", "op5_minhash"])
+def test_same_rows_as_sql(spark, name):
+    from talkmill.llm import entries
+    from tests.oracle import differences
+
+    assert differences(spark, SF, entries.QUERIES[name], entries.ORACLE_SQL[name]) is None
