@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talkmill.functions import text
 from talkmill.functions.text import ROOT, content_sha256, preview, tokens, trigrams
 from talkmill.jobs import index
 from talkmill.jobs.lift import LIFT_SQL, Archive, lift
 from talkmill.operators import browse, classify, curation, merge, normalize, search, semantic, transcript, tree
+from talkmill.sources import exports as exports_source
 
 Query = Callable[[Archive], DataFrame]
 FOUND: dict[str, Query] = {}
@@ -636,6 +639,59 @@ def import_export(a: Archive) -> DataFrame:
     return index.import_export(raw, meta, messages, normalize.derive_chunks(messages))["report"]
 
 
+@query(f"select uuid, len({TOKENS_SQL}) as n, sha256(array_to_string({TOKENS_SQL}, ' ')) as words from messages")
+def tokenize(a: Archive) -> DataFrame:
+    return a.messages.select("uuid", F.size(tokens(F.col("text"))).cast("bigint").alias("n"), F.sha2(F.array_join(tokens(F.col("text")), " "), 256).alias("words"))
+
+
+@query("""
+, stored as (select sender as kind, conv_uuid as uuid, max(text) as raw from messages group by all),
+loaded as (select sender as kind, conv_uuid as uuid, min(text) as raw from messages where seq % 2 = 1 group by all)
+select kind, uuid, coalesce(l.raw, s.raw) as raw from stored s left join loaded l using (kind, uuid)""")
+def upsert_artifacts(a: Archive) -> DataFrame:
+    key = [F.col("sender").alias("kind"), F.col("conv_uuid").alias("uuid")]
+    stored = a.messages.groupBy(*key).agg(F.max("text").alias("raw"))
+    return merge.upsert_artifacts(stored, a.messages.filter("seq % 2 = 1").groupBy(*key).agg(F.min("text").alias("raw")))
+
+
+@query("select * from tags")
+def curation_store(a: Archive) -> DataFrame:
+    """Written as JSON and read back."""
+    return exports_source.read_curation(exports_source.curation_records(a.tags, a.curation).select("value"))[0]
+
+
+@query("select text_sha256, round(embedding[1] / sqrt(list_sum(list_transform(embedding, lambda x: x * x))), 4) as first from vectors")
+def l2_normalize(a: Archive) -> DataFrame:
+    return a.vectors.select("text_sha256", F.round(F.get(text.l2_normalize(F.col("embedding")), F.lit(0)), 4).alias("first"))
+
+
+def letters(texts: list[str]) -> np.ndarray:
+    """A stand-in for a model: counts of letters."""
+    return np.array([[t.lower().count(c) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts], np.float64)
+
+
+@query("select text_sha256, text_sha256 in (select text_sha256 from vectors where text_sha256 < '8') as cached from (select distinct text_sha256 from chunks)")
+def embed_backfill(a: Archive) -> DataFrame:
+    known = a.vectors.filter("text_sha256 < '8'")
+    filled = semantic.backfill(a.chunks, known, letters)
+    return filled.select("text_sha256", (F.size("embedding") == 64).alias("cached"))
+
+
+@query("select 'unchanged' as what, count(*) as n from convs")
+def import_again(a: Archive) -> DataFrame:
+    """A second import of the same export leaves every conversation as it is."""
+    raw = raw_export(a)
+    meta = normalize.conversations(raw)
+    messages = normalize.message_texts(normalize.explode_messages(raw))
+    return index.import_export(raw, meta, messages, normalize.derive_chunks(messages))["report"]
+
+
+@query("select uuid, date_diff('day', date '2024-01-01', cast(created_at as date)) as days, strftime(cast(created_at as date) + interval 1 day, '%Y-%m-%d') as next_day from convs")
+def date_functions(a: Archive) -> DataFrame:
+    created = F.to_date("created_at")
+    return a.conversations.select("uuid", F.date_diff(created, F.lit("2024-01-01").cast("date")).cast("bigint").alias("days"), F.date_format(F.date_add(created, 1), "yyyy-MM-dd").alias("next_day"))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bound(f: Query) -> Callable[[SparkSession, str], DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -200,3 +200,14 @@ def test_zip_that_is_no_list_raises(spark, tmp_path):
     (tmp_path / "a.zip").write_bytes(buffer.getvalue())
     with pytest.raises(Exception, match="not a list"):
         exports.read_export(spark, str(tmp_path / "a.zip")).collect()
+
+
+def test_exports_that_arrive_in_a_folder(spark, tmp_path):
+    from talkmill.streaming.watch import watch
+
+    drop, index, state = tmp_path / "drop", str(tmp_path / "index"), str(tmp_path / "state")
+    drop.mkdir()
+    for n, text in enumerate(("hello there, you", "hello there, you all")):
+        (drop / f"{n}.jsonl").write_text(raw("c1", [{"uuid": "m1", "text": text}], updated_at=f"2024-01-0{n + 2}T00:00:00Z")[0] + "\n")
+        watch(spark, str(drop), index, state).awaitTermination()
+        assert [r.text for r in spark.read.parquet(f"{index}/{n}/chunks").collect()] == [text]
