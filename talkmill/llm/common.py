@@ -69,10 +69,10 @@ def sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
 
 
 class WordHashes(dict):
-    """64-bit hash of a word; emptied when it holds a million words, so that memory stays bounded."""
+    """64-bit hash of a word; emptied at 200,000 words, so that memory stays bounded."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h

@@ -27,7 +27,7 @@ BANDS, ROWS = 26, 6
 #: Finer buckets of each text for each band, and the pivots drawn for them.
 FINER, PIVOTS = 3, 2
 #: Shingles sketched together.
-CHUNK = 500_000
+CHUNK = 200_000
 #: Partners of a pivot for each copy of its shingles.
 PARTNERS = 512
 WORD = re.compile(r"[^\W_]+")
