@@ -7,7 +7,9 @@ about ``m ln m`` arrivals for any length of text. Two registers agree with the p
 
 Exact copies are one node from the start. In each bucket of a band, every member is compared with the bucket's
 pivot, never with all others. Members of one bucket that this leaves in different components meet again in finer
-buckets, with pivots of their own. No bucket, however large, is capped or dropped. Links need a Jaccard of distinct shingles of at least 0.8.
+buckets, with pivots of their own. Whoever is in different components still is settled by an exact join: every pair
+of these texts at 0.8 or more shares one of its rarest shingles. No bucket, however large, is capped or dropped.
+Links need a Jaccard of distinct shingles of at least 0.8.
 """
 
 from __future__ import annotations
@@ -20,12 +22,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkmill.llm.common import SHINGLE_WORDS, SIMILARITY, WordHashes, cut, mix, only, shingle_hashes, sized
+from talkmill.llm.common import SIMILARITY, WordHashes, cut, mix, only, sample, shingle_hashes, sized
 
 #: Bands and registers in a band: a pair at similarity 0.8 is missed with probability (1 - 0.8**6)**26 < 0.0004.
 BANDS, ROWS = 26, 6
 #: Finer buckets of each text for each band, and the pivots drawn for them.
 FINER, PIVOTS = 3, 2
+#: Texts and slots that the order of shingles by frequency is counted on; any order gives the same pairs.
+ORDERED, SLOTS = 5_000, 2**20
+#: Texts with one shingle in a block; a shingle with more is the work of several tasks.
+GROUP = 256
 #: Shingles sketched together.
 CHUNK = 200_000
 #: Partners of a pivot for each copy of its shingles.
@@ -162,16 +168,19 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return cut(old.union(new), "labels")
 
 
-def rest(buckets: DataFrame, labels: DataFrame, sketches: DataFrame, bands: int) -> DataFrame:
-    """Pairs that the pivots left open: texts that met in a bucket and are in different components so far.
-
-    They meet again in finer buckets, of two bands each, and every one is compared with the finer bucket's pivots if
-    they are in another component. So a pair within a crowd of less similar texts has a bucket nearly to itself.
-    """
+def opened(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, label) of the texts that met another one in a bucket and are in a different component so far."""
     placed = buckets.join(labels, "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label"))
     mixed = placed.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("bucket")
-    opened = cut(placed.join(mixed, "bucket").select("key", "label").distinct(), "open")
-    told = sketches.join(sized(opened), "key").groupBy("key", "label").agg(F.first("bands").alias("bands"))
+    return cut(placed.join(mixed, "bucket").select("key", "label").distinct(), "open")
+
+
+def finer_pairs(open_texts: DataFrame, sketches: DataFrame, bands: int) -> DataFrame:
+    """Pairs of the open texts that meet in finer buckets, of two bands each: every one and the finer bucket's pivots.
+
+    So a pair within a crowd of less similar texts has a bucket nearly to itself.
+    """
+    told = sketches.join(sized(open_texts), "key").groupBy("key", "label").agg(F.first("bands").alias("bands"))
     two = F.transform(F.sequence(F.lit(0), F.lit(bands * FINER - 1)), lambda i: F.xxhash64(F.get("bands", i % bands), F.get("bands", (i + 1 + F.floor(i / bands).cast("int")) % bands), i))
     finer = told.select("key", "label", F.explode(two).alias("bucket"))
     drawn = [F.min_by(F.struct("key", "label"), F.xxhash64("bucket", "key", F.lit(i))) for i in range(PIVOTS)]
@@ -180,6 +189,79 @@ def rest(buckets: DataFrame, labels: DataFrame, sketches: DataFrame, bands: int)
     return met.distinct()
 
 
+def rarest(shingles: np.ndarray, often: np.ndarray, least: float) -> np.ndarray:
+    """Those of the rarest shingles of which a text at ``least`` or more to this one, and not smaller, shares one."""
+    ordered = shingles[np.lexsort((shingles, often[shingles & (SLOTS - 1)]))]
+    return ordered[: len(ordered) - int(np.ceil(least * len(ordered) - 1e-9)) + 1]
+
+
+def meetings(group: np.ndarray, ids: np.ndarray, sides: np.ndarray, at: np.ndarray, n: np.ndarray, block: np.ndarray, least: float) -> np.ndarray:
+    """Pairs of ids (rows of two) within a group, sorted by it, that may reach ``least`` if this is the first shingle
+    they share: of different sides, alike in size, with enough shingles left, and in blocks that meet here."""
+    found = []
+    near = least / (1 + least)
+    inner = at <= n - np.ceil(2 * near * n - 1e-9)
+    left, d = np.arange(len(group) - 1), 1
+    while len(left):
+        left = left[left + d < len(group)]
+        left = left[group[left] == group[left + d]]
+        i, j = left, left + d
+        swap = (n[i] > n[j]) | ((n[i] == n[j]) & (ids[i] > ids[j]))
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        good = inner[i] & (sides[i] != sides[j]) & (n[i] >= least * n[j] - 1e-9) & ((block[i] < 0) | (block[i] != block[j]))
+        i, j = i[good], j[good]
+        good = np.minimum(n[i] - at[i], n[j] - at[j]) >= np.ceil(near * (n[i] + n[j]) - 1e-9)
+        found.append(np.stack([ids[i[good]], ids[j[good]]], axis=1))
+        d += 1
+    return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+
+
+def exact_pairs(open_texts: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of the open texts, of different labels, among which all at ``least`` or more are.
+
+    With shingles in one order, rarest first, the first that such a pair shares stands among the first 1 - ``least`` of
+    the larger text, and nearer the front of the smaller one. Pairs are made from there only, where sizes and places allow.
+    """
+    texts = cut(open_texts.withColumn("id", F.monotonically_increasing_id()), "numbered")
+    told = cut(sets.join(sized(texts), "key").select("id", F.xxhash64("label").alias("side"), "shingles"), "open-sets")
+    some = sample(told, F.col("id"), ORDERED).select(F.explode("shingles").alias("s")).groupBy(F.col("s").bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")).agg(F.count("*").cast("int").alias("n")).filter("n > 1").toPandas()
+    often = np.zeros(SLOTS, np.int32)
+    often[some["slot"].to_numpy(np.int64)] = some["n"].to_numpy(np.int32)
+
+    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            held, size = [], 0
+            for k, s in enumerate(frame["shingles"]):
+                held.append(rarest(np.asarray(s), often, least))
+                size += len(held[-1])
+                if size > CHUNK or k + 1 == len(frame):
+                    own = frame.iloc[k + 1 - len(held) : k + 1]
+                    times = [len(h) for h in held]
+                    yield pd.DataFrame({"term": np.concatenate(held), "id": np.repeat(own["id"].to_numpy(), times), "side": np.repeat(own["side"].to_numpy(), times), "at": np.concatenate([np.arange(t, dtype=np.int32) for t in times]), "n": np.repeat(own["shingles"].map(len).to_numpy(np.int32), times)})
+                    held, size = [], 0
+
+    rows = cut(told.mapInPandas(spread, "term long, id long, side long, at int, n int"), "terms")
+    shared = rows.groupBy("term").agg(F.count("*").alias("times"), (F.min("side") != F.max("side")).alias("mixed")).filter("mixed")
+    shared = cut(shared.select("term", F.ceil(F.col("times") / GROUP).cast("int").alias("blocks")), "shared-terms")
+    # each block of a term meets each other one, and itself, in a group of its own
+    dealt = rows.join(sized(shared), "term").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    groups = dealt.groupBy("term", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y")).agg(F.collect_list(F.struct("id", "side", "at", "n", F.when(F.col("block") == F.col("with"), -1).otherwise(F.col("block")).alias("block"))).alias("r"))
+    groups = groups.filter(F.size("r") > 1).select(*[F.col(f"r.{c}").alias(c) for c in ("id", "side", "at", "n", "block")])
+
+    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                group = np.repeat(np.arange(len(frame)), frame["id"].map(len))
+                found = meetings(group, *[np.concatenate(frame[c].to_numpy()) for c in ("id", "side", "at", "n", "block")], least)
+                yield pd.DataFrame({"i": found[:, 0], "j": found[:, 1]})
+
+    pairs = cut(groups.mapInPandas(meet, "i long, j long").distinct(), "met")
+    names = texts.select("id", "key")
+    for end, name in (("i", "a"), ("j", "b")):
+        pairs = pairs.join(sized(names).withColumnsRenamed({"id": end, "key": name}), end)
+    return pairs.select("a", "b")
+
+
 def labelled(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, key, label) of each row: key is the MD5 of its text, label the smallest key of its class."""
     rows_in = only(docs, doc_id="long", text="string").withColumn("text", F.coalesce("text", F.lit("")))
@@ -200,9 +282,11 @@ def labelled(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS
     sets = cut(shingle_sets(told).dropDuplicates(["key"]), "sets")
     links = cut(verified(pairs, sets, similarity), "links")
     labels = components(links)
-    more = cut(verified(cut(rest(buckets, labels, sketches, bands), "pairs"), sets, similarity), "links")
-    if more.limit(1).count():
-        labels = joined(labels, more)
+    for pairs_of in (lambda left: finer_pairs(left, sketches, bands), lambda left: exact_pairs(left, sets, similarity)):
+        left = opened(buckets, labels)
+        more = cut(verified(cut(pairs_of(left), "pairs"), sets, similarity), "links")
+        if more.limit(1).count():
+            labels = joined(labels, more)
     return sketches.select("doc_id", "key").join(labels, "key", "left").select("doc_id", "key", F.coalesce("label", "key").alias("label"))
 
 

@@ -75,6 +75,81 @@ def test_near_duplicates_equal_brute_force(spark, docs, texts):
     assert kept == sorted(set(want.values()))
 
 
+def crowd(seed, forms, pairs, words, edits, more):
+    """Forms of one text with their own edits, and for the first few a copy with some more edits."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(9000)}" for _ in range(words)]
+
+    def edited(text, n):
+        text = list(text)
+        for at in rng.sample(range(len(text)), n):
+            text[at] = f"x{rng.randrange(10**9)}"
+        return text
+
+    made = [edited(base, edits) for _ in range(forms)]
+    made += [edited(made[i], more) for i in range(pairs)]
+    return {i: " ".join(t) for i, t in enumerate(made)}
+
+
+def links_at(texts, least=0.8):
+    """All pairs at a Jaccard of ``least`` or more, by counting."""
+    known = common.WordHashes()
+    sets = [np.unique(common.shingle_hashes(minhash.word_hashes(texts[i], known))) for i in sorted(texts)]
+    terms, at = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    hit = np.zeros((len(sets), len(terms)), np.float32)
+    hit[owner, at] = 1
+    hit = hit[:, hit.sum(0) > 1]
+    n, both = np.array([len(x) for x in sets]), hit @ hit.T
+    i, j = np.nonzero(both >= least * (n[:, None] + n[None] - both) - 1e-9)
+    return [(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if a < b]
+
+
+def classes_of(n, links):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in range(n)}
+
+
+def test_near_duplicates_in_a_crowd_of_less_similar_texts(spark):
+    texts = crowd(8, 1100, 60, 200, 4, 4)
+    links = links_at(texts)
+    assert len(links) >= 60
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()}
+    assert got == classes_of(len(texts), links)
+
+
+def test_exact_pairs_over_many_blocks():
+    rng = np.random.default_rng(2)
+    n = 600
+    ids, sides = np.arange(n), rng.integers(0, 300, n)
+    at, sizes = rng.integers(0, 12, n), rng.integers(50, 70, n)
+    want = set()
+    for a in range(n):
+        for b in range(n):
+            x, y = (sizes[a], ids[a]), (sizes[b], ids[b])
+            o = int(np.ceil(0.8 / 1.8 * (sizes[a] + sizes[b]) - 1e-9))
+            if x < y and sides[a] != sides[b] and sizes[a] >= 0.8 * sizes[b] and min(sizes[a] - at[a], sizes[b] - at[b]) >= o:
+                want.add((a, b))
+    whole = minhash.meetings(np.zeros(n, int), ids, sides, at, sizes, np.full(n, -1), 0.8)
+    assert set(map(tuple, whole.tolist())) == want
+    dealt, found = ids % 3, set()
+    for x in range(3):
+        for y in range(x, 3):
+            own = np.flatnonzero((dealt == x) | (dealt == y))
+            block = dealt[own] if x != y else np.full(len(own), -1)
+            found |= set(map(tuple, minhash.meetings(np.zeros(len(own), int), ids[own], sides[own], at[own], sizes[own], block, 0.8).tolist()))
+    assert found == want
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = odd_docs(spark, ODD)
     assert minhash.near_duplicates(rows).count() == rows.count()
