@@ -1,9 +1,10 @@
 """Operator 5: near duplicates by ProbMinHash sketches, banding, exact verification and connected components.
 
-Texts are bags of five-word shingles; a shingle that stands ``t`` times weighs ``1 + ln t``. Each shingle of a text
-sends a Poisson process of arrivals, at a rate equal to its weight, to random registers; a register keeps the
-earliest one. An element stops as soon as its next arrival comes later than the latest register, so a sketch costs
-about ``m ln m`` arrivals for any length of text. Two registers agree with the probability Jaccard of the texts.
+Texts are sets of five-word shingles, in the candidates as in the links: a shingle weighs 1 however often it stands.
+Each shingle of a text sends a Poisson process of arrivals, at a rate equal to its weight, to random registers; a
+register keeps the earliest one. An element stops as soon as its next arrival comes later than the latest register, so
+a sketch costs about ``m ln m`` arrivals for any length of text. Two registers agree with the probability Jaccard of
+the sets, which is at least their Jaccard.
 
 Exact copies are one node from the start. In each bucket of a band, every member is compared with the bucket's
 pivot, never with all others. Members of one bucket that this leaves in different components meet again in finer
@@ -84,25 +85,23 @@ def sketched(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
         known = WordHashes()
         for frame in frames:
             made: list[np.ndarray | None] = []
-            sets: list[tuple[np.ndarray, np.ndarray]] = []
+            sets: list[np.ndarray] = []
 
             def flush() -> None:
-                full = [s for s in sets if len(s[0])]
+                full = [s for s in sets if len(s)]
                 if full:
-                    doc = np.repeat(np.arange(len(full)), [len(s[0]) for s in full])
-                    element = np.concatenate([s[0] for s in full])
-                    weight = 1 + np.log(np.concatenate([s[1] for s in full]))
-                    found = iter(band_hashes(probminhash(doc, element, weight, len(full), bands * rows), bands, rows))
-                    made.extend(next(found) if len(s[0]) else None for s in sets)
+                    doc = np.repeat(np.arange(len(full)), [len(s) for s in full])
+                    element = np.concatenate(full)
+                    found = iter(band_hashes(probminhash(doc, element, np.ones(len(element)), len(full), bands * rows), bands, rows))
+                    made.extend(next(found) if len(s) else None for s in sets)
                 else:
                     made.extend(None for _ in sets)
                 sets.clear()
 
             size = 0
             for text in frame["text"]:
-                shingles, counts = np.unique(shingle_hashes(word_hashes(text, known)), return_counts=True)
-                sets.append((shingles, counts))
-                size += len(shingles)
+                sets.append(np.unique(shingle_hashes(word_hashes(text, known))))
+                size += len(sets[-1])
                 if size > CHUNK:
                     flush()
                     size = 0

@@ -150,6 +150,22 @@ def test_exact_pairs_over_many_blocks():
     assert found == want
 
 
+def test_near_duplicates_with_lines_repeated_unequally(spark):
+    rng = random.Random(12)
+    texts = {}
+    for i in range(0, 80, 2):
+        lines = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(12)) for _ in range(10)]
+        # the same distinct shingles but for those over a repeated line's end, with half of the lines standing 300 times
+        texts[i], texts[i + 1] = "\n".join(x for x in lines for _ in range(2)), "\n".join(x for k, x in enumerate(lines) for _ in range(300 if k < 5 else 2))
+    known = common.WordHashes()
+    for i in range(0, 80, 2):
+        a, b = (np.unique(common.shingle_hashes(minhash.word_hashes(texts[k], known))) for k in (i, i + 1))
+        assert np.array_equal(a, b)
+    rows = minhash.sketched(spark.createDataFrame([*texts.items()], "doc_id long, text string").withColumn("key", F.unhex(F.md5("text")))).collect()
+    bands = {r.doc_id: r.bands for r in rows}
+    assert all(bands[i] == bands[i + 1] for i in range(0, 80, 2))
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = odd_docs(spark, ODD)
     assert minhash.near_duplicates(rows).count() == rows.count()
