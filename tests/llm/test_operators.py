@@ -279,6 +279,34 @@ def test_neighbours_recall_and_ties(spark):
     assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+@pytest.mark.parametrize("sigma", [0.5, 1.0])
+def test_neighbours_of_unequal_lengths(spark, sigma):
+    rng = np.random.default_rng(9)
+    n = 8000
+    x = rng.normal(size=(n, 64)) * rng.lognormal(0, sigma, size=(n, 1))
+    x[200:260] = x[200]  # copies
+    got = neighbours.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    by = defaultdict(dict)
+    for r in got:
+        by[r.query_id][r.vec_id] = r.score
+    assert set(by) == set(range(0, n, 20)) and all(len(v) == 20 for v in by.values())
+    hit = 0
+    for q, found in by.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += sum(v >= np.sort(s)[-20] - 1e-9 for v in found.values())
+    assert hit >= 0.94 * 20 * len(by)
+
+
+def test_ratio_with_many_lists():
+    rng = np.random.default_rng(4)
+    few = rng.normal(size=(3000, 16))
+    few /= np.sqrt((few * few).sum(1))[:, None]
+    radius = float(np.sqrt((few * few).sum(1).max()))
+    graph = neighbours.Graph(neighbours.fit(neighbours.longer(few, radius), 1000))
+    assert np.max(neighbours.measured(graph, few, radius, 20)) < 100
+
+
 def test_graph_search_finds_near_centroids():
     rng = np.random.default_rng(1)
     graph = neighbours.Graph(rng.normal(size=(600, 8)))
