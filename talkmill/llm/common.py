@@ -9,21 +9,34 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 #: Words in a shingle, and the similarity from which two texts are near duplicates.
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-#: Rows up to which a narrow table (about 100 bytes a row) is broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Rows, and bytes by their values, up to which a table is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; only where that is unset, a new local one (tests)."""
+    """This application's folder in the one named in ``spark.checkpoint.dir``.
+
+    Where that is unset, a new local folder serves in local mode; on a cluster it is an error, since executors don't
+    share local folders.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="talkmill-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return f"{found.rstrip('/')}/talkmill-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the tables that ``cut`` wrote in this application; results not yet written can't be read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -33,9 +46,26 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a narrow written table if it has at most so many rows; otherwise it is joined by a shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def value_bytes(value: Column, kind: DataType) -> Column:
+    """About the bytes that a value takes in memory; nested ones count by their parts."""
+    if isinstance(kind, (StringType, BinaryType)):
+        own = F.octet_length(value) + 16
+    elif isinstance(kind, ArrayType) and isinstance(kind.elementType, (StringType, BinaryType, ArrayType, StructType)):
+        own = F.aggregate(value, F.lit(24).cast("long"), lambda a, x: a + F.coalesce(value_bytes(x, kind.elementType).cast("long"), F.lit(8).cast("long")))
+    elif isinstance(kind, ArrayType):
+        own = F.size(value) * 8 + 24
+    elif isinstance(kind, StructType):
+        own = sum((F.coalesce(value_bytes(value[f.name], f.dataType).cast("long"), F.lit(8).cast("long")) for f in kind), F.lit(16).cast("long"))
+    else:
+        own = F.lit(8)
+    return own
+
+
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast a written table if it has at most so many rows and bytes; otherwise it is joined by a shuffle."""
+    each = sum((F.coalesce(value_bytes(F.col(f"`{f.name}`"), f.dataType).cast("long"), F.lit(8).cast("long")) for f in df.schema), F.lit(16).cast("long"))
+    n, total = df.select(each.alias("b")).limit(rows + 1).agg(F.count("*"), F.sum("b")).first()
+    return F.broadcast(df) if n <= rows and (total or 0) <= size else df
 
 
 def only(df: DataFrame, **columns: str) -> DataFrame:
@@ -62,10 +92,15 @@ def native_shingles(words: Column, k: int = SHINGLE_WORDS) -> Column:
 
 
 def sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
-    """The ``rows`` rows whose key hashes lowest (equal hashes all come). Only hashes are sorted, never the rows."""
+    """About ``rows`` rows: those whose key hashes below a share of all hashes. Of rows with one key any one counts.
+
+    The share follows from the number of different keys; nothing is sorted, and no task holds more for a larger input.
+    """
     hashed = df.withColumn("sample_hash", F.xxhash64(key))
-    last = hashed.select("sample_hash").orderBy("sample_hash").limit(rows).agg(F.max("sample_hash").alias("h")).collect()[0].h
-    return (hashed.filter(F.col("sample_hash") <= F.lit(last)) if last is not None else hashed.limit(0)).drop("sample_hash")
+    keys = hashed.agg(F.approx_count_distinct("sample_hash", 0.02)).first()[0]
+    if keys > rows:
+        hashed = hashed.filter(F.col("sample_hash") < F.lit(-(2**63) + int(rows / keys * 2**64)))
+    return hashed.dropDuplicates(["sample_hash"]).drop("sample_hash")
 
 
 class WordHashes(dict):

@@ -7,35 +7,48 @@ as often as they stand there; the similarity of two weighted sets is the sum of
 1. Positions of a document whose shingle stands in some benchmark item are kept (a join with the items' shingles).
 2. A window can reach the similarity only if that share of the item's shingles is kept in it; such windows are
    listed, for every length of an item, and get a 64-bit SimHash of their kept shingles.
-3. Fingerprints fall into 8 blocks of 8 bits. If two differ in at most 15 bits, some block differs in at most one;
-   items are indexed under each block value and its 8 neighbours, so no fingerprint within the radius is missed.
+3. Fingerprints fall into 8 blocks of 8 bits. If two differ in at most 23 bits, some block differs in at most two;
+   items are indexed under each block value and those up to two bits away, so no fingerprint within the radius is missed.
 4. Candidates within the radius are verified exactly.
+
+At a similarity of 0.8 a bit differs with a probability of 0.19 at most, so a window lies within the radius but for a
+few cases in ten thousand where items have five shingles, and a few in a million where they have more. Items of fewer
+than ``FEW`` shingles are indexed without each one of their shingles, too: these are all the sets that a window at 0.8
+can keep of them, at distance 0.
 """
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkmill.llm.common import SHINGLE_WORDS, SIMILARITY, cut, native_shingles, native_words, only, sized
 
-BLOCKS, BLOCK_BITS = 8, 8
-RADIUS = 2 * BLOCKS - 1
+BLOCKS, BLOCK_BITS, FLIPS = 8, 8, 2
+RADIUS = BLOCKS * (FLIPS + 1) - 1
+FEW = 10
 
 
 def simhash(shingles: Column) -> Column:
     """64-bit SimHash of an array of 64-bit hashes, each weighing as often as it stands there."""
-    every16 = F.lit(0x0001000100010001)
-    n = F.size(shingles)
-    # sixteen sums of four 16-bit counters each hold the counts of all 64 bits; windows are far shorter than 65536
-    sums = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda j: F.aggregate(shingles, F.lit(0).cast("bigint"), lambda a, x: a + F.call_function("shiftrightunsigned", x, j).bitwiseAND(every16)))
-    return F.transform(F.array(sums), lambda s: F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(F.when(F.call_function("shiftrightunsigned", F.get(s, b % 16), (F.floor(b / 16) * 16).cast("int")).bitwiseAND(F.lit(0xFFFF)) * 2 > n, F.call_function("shiftleft", F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint")))))[0]
+    shift = lambda x, n: F.call_function("shiftrightunsigned", x, n)
+    none, one, n = F.lit(0).cast("bigint"), F.lit(1).cast("bigint"), F.size(shingles)
+
+    def told(width: int) -> Column:
+        # ``width`` sums, each of them counters of so many bits, hold the counts of all 64 bits
+        ones = F.lit(sum(1 << at for at in range(0, 64, width)))
+        sums = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.aggregate(shingles, none, lambda a, x: a + shift(x, j).bitwiseAND(ones)))
+        most = lambda s, b: shift(F.get(s, b % width), (F.floor(b / width) * width).cast("int")).bitwiseAND(F.lit((1 << width) - 1)) * 2 > n
+        return F.transform(F.array(sums), lambda s: F.aggregate(F.sequence(F.lit(0), F.lit(63)), none, lambda a, b: a.bitwiseOR(F.when(most(s, b), F.call_function("shiftleft", one, b)).otherwise(none))))[0]
+
+    return F.when(n < 2**16, told(16)).otherwise(told(32))
 
 
-def block(fingerprint: Column, number: int) -> Column:
-    return F.shiftrightunsigned(fingerprint, BLOCK_BITS * number).bitwiseAND(F.lit(2**BLOCK_BITS - 1)).cast("int")
+def blocks(fingerprint: Column, changes: list[int]) -> Column:
+    """(block, value) of every block, with each of the changes."""
+    value = lambda b: F.call_function("shiftrightunsigned", fingerprint, b * BLOCK_BITS).bitwiseAND(F.lit(2**BLOCK_BITS - 1)).cast("int")
+    each = lambda b: F.transform(F.lit(changes), lambda x: F.struct(b.alias("block"), value(b).bitwiseXOR(x).alias("value")))
+    return F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), each)))
 
 
 def numbered(shingles: Column) -> Column:
@@ -56,21 +69,18 @@ def benchmark_items(bench: DataFrame) -> DataFrame:
     return items.select("*", simhash(F.col("shingles")).alias("fingerprint"), numbered(F.col("shingles")).alias("members"))
 
 
-def counted(k: int, words: Column) -> Column:
-    return F.struct(F.size(words).alias("n"), native_shingles(words, k).alias("h"))
-
-
 def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, text_hash, n, words, k, pos, h): where a shingle of an item of so many words stands in a document of n words."""
     wanted = cut(items.select(F.explode("shingles").alias("h"), "words", "k").distinct().groupBy("h").agg(F.collect_set(F.struct("words", "k")).alias("lengths")), "item-shingles")
-    sizes = [r.k for r in items.select("k").distinct().collect()]  # at most five numbers
-    found = None
-    base = only(docs, doc_id="long", text="string").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), native_words(F.col("text")).alias("w"))
-    for k in sizes or [SHINGLE_WORDS]:
-        runs = base.select("doc_id", "text_hash", F.transform(F.array("w"), partial(counted, k))[0].alias("r"))
-        at = runs.select("doc_id", "text_hash", "r.n", F.posexplode("r.h").alias("pos", "h"))
-        found = at if found is None else found.unionByName(at)
-    return found.join(sized(wanted), "h").select("doc_id", "text_hash", "n", "pos", "h", F.explode("lengths").alias("l")).select("doc_id", "text_hash", "n", "l.words", "l.k", "pos", "h")
+    sizes = [r.k for r in items.select("k").distinct().collect()] or [SHINGLE_WORDS]  # at most five numbers
+
+    def counted(words: Column) -> Column:
+        at = [F.transform(native_shingles(words, k), lambda h, i: F.struct(i.alias("pos"), h.alias("h"))) for k in sizes]
+        return F.struct(F.size(words).alias("n"), F.concat(*at).alias("at"))
+
+    base = only(docs, doc_id="long", text="string").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.transform(F.array(native_words(F.col("text"))), counted)[0].alias("r"))
+    at = base.select("doc_id", "text_hash", "r.n", F.explode("r.at").alias("x")).select("doc_id", "text_hash", "n", "x.pos", "x.h")
+    return at.join(sized(wanted), "h").select("doc_id", "text_hash", "n", "pos", "h", F.explode("lengths").alias("l")).select("doc_id", "text_hash", "n", "l.words", "l.k", "pos", "h")
 
 
 def windows(found: DataFrame, similarity: float) -> DataFrame:
@@ -94,34 +104,43 @@ def windows(found: DataFrame, similarity: float) -> DataFrame:
     return each.select("doc_id", "text_hash", "words", F.col("x.start").alias("start"), (F.least("n", "words") - F.col("k") + 1).alias("total"), F.col("x.w.h").alias("kept"))
 
 
+def candidates(seen: DataFrame, items: DataFrame) -> DataFrame:
+    """(window, item_id) of windows (window, words, print) and items of their length whose fingerprints are near."""
+    changes = [0, *[1 << i for i in range(BLOCK_BITS)], *[1 << i | 1 << j for i in range(BLOCK_BITS) for j in range(i)]]
+    without = lambda i: F.concat(F.slice("shingles", F.lit(1), i), F.slice("shingles", i + 2, F.size("shingles")))
+    parts = F.when((F.size("shingles") > 1) & (F.size("shingles") < FEW), F.transform(F.sequence(F.lit(0), F.size("shingles") - 1), lambda i: simhash(without(i)))).otherwise(F.array().cast("array<bigint>"))
+    prints = items.select("item_id", "words", F.explode(F.array_distinct(F.concat(F.array("fingerprint"), parts))).alias("fingerprint"))
+    index = cut(prints.select("item_id", F.col("words").alias("item_words"), "fingerprint", blocks(F.col("fingerprint"), changes).alias("p")).select("item_id", "item_words", "fingerprint", "p.*"), "item-index")
+    probes = seen.select("window", "words", "print", blocks(F.col("print"), [0]).alias("p")).select("window", "words", "print", F.col("p.block").alias("at"), F.col("p.value").alias("v"))
+    same = (F.col("words") == F.col("item_words")) & (F.col("at") == F.col("block")) & (F.col("v") == F.col("value"))
+    close = F.bit_count(F.col("print").bitwiseXOR(F.col("fingerprint"))) <= RADIUS
+    return probes.join(sized(index), same & close).select("window", "item_id").distinct()
+
+
 def leaks(docs: DataFrame, bench: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, text_hash, item_id, similarity, start_word, n_words): the best window of each leaked item in a text.
 
     Of equal windows the first counts. Null and empty texts and items leak nothing; so do items without an item_id.
-    Rows with a null doc_id are found under null; repeated rows give one row. Other columns are left out.
+    Rows with a null doc_id are found under null; repeated rows give one row. Other columns are left out. Without
+    documents or items there are no rows.
     """
     items = cut(benchmark_items(bench), "items")
     seen = windows(hits(docs, items), similarity)
-    seen = seen.select("*", simhash(F.col("kept")).alias("print"))
-    probes = seen.select("*", F.explode(F.array(*[F.struct(F.lit(b).alias("block"), block(F.col("print"), b).alias("value")) for b in range(BLOCKS)])).alias("p"))
-    near = [F.lit(0), *[F.lit(1 << i) for i in range(BLOCK_BITS)]]
-    index = items.select("item_id", F.col("words"), F.col("fingerprint"), "members", F.explode(F.array(*[F.struct(F.lit(b).alias("block"), block(F.col("fingerprint"), b).bitwiseXOR(x).alias("value")) for b in range(BLOCKS) for x in near])).alias("p"))
-    index = cut(index.select("item_id", F.col("words").alias("item_words"), "fingerprint", "members", "p.block", "p.value"), "item-index")
-    probes = probes.select("doc_id", "text_hash", "words", "start", "total", "kept", "print", F.col("p.block").alias("at"), F.col("p.value").alias("v"))
-    same = (F.col("words") == F.col("item_words")) & (F.col("at") == F.col("block")) & (F.col("v") == F.col("value"))
-    close = F.bit_count(F.col("print").bitwiseXOR(F.col("fingerprint"))) <= RADIUS
-    # a pair may meet in several blocks: only the first block in which it can meet counts
-    agree = [F.bit_count(block(F.col("print"), b).bitwiseXOR(block(F.col("fingerprint"), b))) <= 1 for b in range(BLOCKS)]
-    first = F.coalesce(*[F.when(a, F.lit(b)) for b, a in enumerate(agree)]) == F.col("at")
-    met = probes.join(sized(index, 200_000), same & close & first)
+    seen = cut(seen.select("*", simhash(F.col("kept")).alias("print"), F.monotonically_increasing_id().alias("window")), "windows")
+    # only ids and fingerprints meet in the index; the shingles are fetched for what lies within the radius
+    met = cut(candidates(seen, items), "candidates")
+    told = met.join(sized(items.select("item_id", "members")), "item_id").join(seen.select("window", "doc_id", "text_hash", "start", "words", "total", "kept"), "window")
     common = F.size(F.array_intersect(numbered(F.col("kept")), F.col("members"))).cast("double")
-    scored = met.select("doc_id", "text_hash", "item_id", "start", "words", (common / (F.col("total") + F.size("members") - common)).alias("similarity")).filter(F.col("similarity") >= similarity - 1e-9)
+    scored = told.select("doc_id", "text_hash", "item_id", "start", "words", (common / (F.col("total") + F.size("members") - common)).alias("similarity")).filter(F.col("similarity") >= similarity - 1e-9)
     best = scored.groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct("similarity", -F.col("start"), "words")).alias("b"))
     return best.select("doc_id", "text_hash", "item_id", F.col("b.similarity").alias("similarity"), (-F.col("b.col2")).alias("start_word"), F.col("b.words").alias("n_words"))
 
 
 def clean(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text holds a benchmark item."""
+    """``docs`` without the rows whose text holds a benchmark item.
+
+    Rows with null or empty texts stay, as do all rows where there are no items; repeated rows stay or go together.
+    """
     bad = cut(leaks(docs, bench).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct(), "leaks")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("own_hash"))
     return whole.join(sized(bad), F.col("own_id").eqNullSafe(F.col("bad_id")) & (F.col("own_hash") == F.col("bad_hash")), "left_anti").select("row.*")

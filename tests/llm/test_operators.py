@@ -334,12 +334,17 @@ def test_repeated_passages(spark):
 
 def test_token_blocks_round_trip(spark, texts):
     rng = np.random.default_rng(1)
-    made = [(rng.integers(0, 50257, n) if n % 2 else np.minimum(rng.geometric(0.01, n), 50000), 7, [(1, 0, n, None), (2, 1, 0, -5)]) for n in (1, 2, 4096, 4095, 300)]
-    files = tokenfile.packed(made)
-    for (a, b, c), (x, y, z) in zip(made, tokenfile.unpacked(files), strict=True):
-        assert (a == x).all() and (b, c) == (y, z)
-    with pytest.raises(ValueError, match="damaged"):
-        list(tokenfile.unpacked([files[0][:-1] + bytes([files[0][-1] ^ 1])]))
+    made = [rng.integers(0, 50257, n) if n % 2 else np.minimum(rng.geometric(0.01, n), 50000) for n in (1, 2, 3, 513, 4096, 4095, 70001)]
+    made += [np.zeros(5000, np.int64), np.full(1025, 2**20 - 1), rng.integers(0, 2**20, 3000)]
+    for ids in made:
+        entries = [(1, 0, len(ids), None), (2, 1, 0, -5)]
+        block = tokenfile.packed(ids, 7, entries)
+        back, before, told = tokenfile.unpacked(block)
+        assert (back == ids).all() and (before, told) == (7, entries)
+        with pytest.raises(ValueError, match="damaged"):
+            tokenfile.unpacked(block[:-1] + bytes([block[-1] ^ 1]))
+    with pytest.raises(ValueError, match="below"):
+        tokenfile.coded(np.array([2**20]), 2**20 + 1)
     own = ODD + ["long text, " * 6000]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(own)], "doc_id long, text string").repartition(3)
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in tokenfile.token_files(rows, PATH).collect()}
@@ -351,6 +356,31 @@ def test_token_blocks_round_trip(spark, texts):
     assert tokenfile.token_files(rows.limit(0), PATH).count() == 0
 
 
+def test_token_files_of_odd_rows_and_pieces(spark, texts, monkeypatch):
+    t = Tokenizer.from_file(PATH)
+    own = [*ODD, None, *ODD[3:5]]
+    rows = spark.createDataFrame([(None if i % 2 else i // 4, x, "p", 1) for i, x in enumerate(own)], "doc_id long, text string, part string, n int")
+    got = sorted((r.start, r.n_tokens, r.ids_crc32, r.doc_id) for r in tokenfile.token_files(rows, PATH).collect())
+    want = sorted((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for ids in ([*t.encode(x or "", add_special_tokens=False).ids, 0] for x in own))
+    assert sorted(g[1:3] for g in got) == want
+    assert [g[0] for g in got] == [sum(g[1] for g in got[:i]) for i in range(len(got))]
+    ids = [g[3] for g in got]
+    assert ids == sorted(ids, key=lambda x: (x is not None, x))
+    # a text over the length of a block is told in pieces, whose sums are combined
+    long = "some words of a very long text, number 7. " * 250_000
+    ids = np.array([*t.encode(long, add_special_tokens=False).ids, 0], "<u4")
+    assert len(ids) > tokenfile.BLOCK
+    r = tokenfile.token_files(spark.createDataFrame([(1, long)], "doc_id long, text string"), PATH).collect()
+    assert [(x.start, x.n_tokens, x.ids_crc32) for x in r] == [(0, len(ids), zlib.crc32(ids.tobytes()))]
+
+
+def test_coded_ids_are_smaller_than_by_zlib(texts):
+    t = Tokenizer.from_file(PATH)
+    ids = np.concatenate([[*t.encode(x, add_special_tokens=False).ids, 0] for x in texts.values()])
+    raw = ids.astype("<u4").tobytes()
+    assert len(tokenfile.packed(ids, 0, [])) < 0.9 * len(zlib.compress(raw, 6)) < len(raw)
+
+
 def test_languages_of_held_out_rows(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.languages(rows).join(rows.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
@@ -390,3 +420,76 @@ def test_same_rows_as_sql(spark, name):
     from tests.oracle import differences
 
     assert differences(spark, SF, entries.QUERIES[name], entries.ORACLE_SQL[name]) is None
+
+
+def test_leaks_of_truncated_and_odd_items(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5))
+    items = [[word() for _ in range(9)] for _ in range(300)] + [[word() for _ in range(22)] for _ in range(200)]
+    bench = spark.createDataFrame([(i, " ".join(w), "x", 1) for i, w in enumerate(items)], "item_id long, text string, window string, block int")
+    kept = lambda w: w[: 4 + -(-(len(w) - 4) * 4 // 5)]  # noqa: E731  four fifths of the shingles
+    rows = [(i, " ".join(kept(w)), 1, "y") for i, w in enumerate(items)] + [(None, None, 1, "y"), (1000, "", 1, "y"), (0, " ".join(kept(items[0])), 1, "y"), (None, " ".join(items[7]), 1, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, words int, item_id string")
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.item_id) for r in decontaminate.leaks(docs, bench).collect())
+    assert got == [(False, i, i) for i in range(500)] + [(True, 0, 7)]
+    assert decontaminate.clean(docs, bench).count() == 2
+    assert decontaminate.leaks(docs, bench.limit(0)).count() == 0 and decontaminate.leaks(docs.limit(0), bench).count() == 0
+    assert decontaminate.clean(docs, bench.limit(0)).count() == len(rows)
+
+
+def test_lists_are_balanced_and_searched_in_the_graph():
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(60, 16))
+    x = np.concatenate([c + 0.1 * rng.normal(size=(200, 16)) for c in centres])
+    graph = neighbours.Graph(neighbours.fit(x, 600))
+    assert len(graph.c) == 600
+    n = np.bincount(neighbours.distances(x, graph.c).argmin(1), minlength=600)
+    assert n.max() <= 6 * len(x) / 600
+    asked = []
+    search = graph.search
+    graph.search = lambda x, most: asked.append(most) or search(x, most)
+    q = x[::40] + 0.01 * rng.normal(size=(300, 16))
+    got = dict(graph.lists(q, 2.0))
+    assert max(asked) < 600 and len(got) == len(q)
+    d = neighbours.distances(q, graph.c)
+    want = [np.flatnonzero(r <= 2.0 * r.min()) for r in d]
+    assert np.mean([len(set(got[i]) & set(w)) / len(w) for i, w in enumerate(want)]) > 0.97
+
+
+def test_neighbours_of_odd_rows(spark):
+    rows = [(0, [1.0, 0.0], 1), (0, [1.0, 0.0], 2), (1, [0.5, 0.5], 1), (2, [0.5, 0.5], 1), (20, [3.0], 1), (21, [2.0], 1), (40, [0.0], 1), (60, None, 1), (None, [1.0, 1.0], 1), (3, [float("nan"), 1.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, list int")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in neighbours.nearest(df).collect())
+    assert got == [(0, 1, 1, 0.5), (0, 2, 2, 0.5), (20, 1, 21, 6.0)]
+    assert neighbours.nearest(df.limit(0)).count() == 0
+
+
+def test_reliabilities_and_classifier_of_planted_votes(spark):
+    rng = np.random.default_rng(5)
+    truth = rng.random(4000) < 0.3
+    vote = lambda right: np.where(rng.random(4000) < right, np.where(truth, 2, 1), np.where(truth, 1, 2))
+    code = ((vote(0.95) * 3 + vote(0.8)) * 3 + vote(0.6)) * 48 + np.where(truth, 3, 0) * 3
+    codes, counts = np.unique(code, return_counts=True)
+    sure = pii.reliabilities(codes, counts.astype(float))
+    assert ((dict(zip(codes, sure)).__getitem__ is not None) and np.mean([(dict(zip(codes, sure))[c] > 0.5) == t for c, t in zip(code, truth)]) > 0.93)
+    kinds = np.full(len(codes), 7)
+    w = pii.classifier(kinds, codes, counts.astype(float))
+    p = dict(zip(codes, 1 / (1 + np.exp(-pii.features(kinds, codes) @ w))))
+    assert np.mean([(p[c] > 0.5) == t for c, t in zip(code, truth)]) > 0.93  # the span's length helps
+
+
+def test_training_rows_are_bounded_for_hot_ids(spark, monkeypatch):
+    rows = [(7, f"text number {i} of one id", "en", 1) for i in range(3000)] + [(i, f"der text {i}", "de", 0) for i in range(8, 60)] + [(None, "x", "en", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, share int")
+    got = langid.training_rows(df).collect()
+    assert len(got) == len({r.doc_id for r in got}) <= 53
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60) for _ in range(3)], "doc_id long, toxic int")
+    assert toxicity.training_rows(df, labels).count() <= 53
+    assert common.sample(df, F.col("doc_id"), 10).count() < 40
+
+
+def test_sized_counts_bytes(spark):
+    small = spark.createDataFrame([(1, "a", [1, 2])], "a long, b string, c array<int>")
+    plan = lambda df: df._jdf.queryExecution().logical().toString()
+    assert "broadcast" in plan(common.sized(small)).lower()
+    assert "broadcast" not in plan(common.sized(small, size=10)).lower() and "broadcast" not in plan(common.sized(small.union(small), rows=1)).lower()
