@@ -160,8 +160,8 @@ class Places(dict):
 class Encoder:
     """Encodes batches of texts; remembers the ids of the pre-tokens it has met, up to a bound."""
 
-    def __init__(self, path: str):
-        self.vocab = vocabulary(path)
+    def __init__(self, path: str, memo: int = MEMO_WORDS):
+        self.vocab, self.memo = vocabulary(path), memo
         self.forget()
 
     def forget(self) -> None:
@@ -198,7 +198,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self.places) > MEMO_WORDS:
+        if len(self.places) > self.memo:
             self.forget()
         number = self.places.__getitem__
         numbered = []

@@ -1,24 +1,27 @@
 """Operator 8: token ids in binary blocks, by an adaptive context-mixing range coder.
 
-A block holds up to ``BLOCK`` ids, is coded from a fresh state and checked by a CRC. Of each id the coder first tells
-whether it is the one that followed the last two ids before (order 2), or else the last id (order 1); the two
-predictions' confidences are mixed in the logistic domain with weights that learn. An id that neither foretold
-is told by its high byte, with the frequencies in the block so far (order 0), and its low byte.
-
-All blocks of a batch are coded side by side, one id of each at a time. Everything is integer arithmetic, so a block
-is decoded to the same ids in any company.
-
-File format, little-endian: ``TMK1``, ids (u32), documents (u32), bytes of code (u32), ids of the part before the
-block (u64), CRC-32 of what follows; for each document its number in the part (u64), piece (u32), ids (u32) and
-doc_id (i64, with a u8 that is 0 for null); the code. Blocks are the rows of a Parquet table, so any executor can
-write and read them in any store.
+A block holds up to ``BLOCK`` ids, is coded from a fresh state and checked by a CRC. Three predictions of the next id are
+mixed into one distribution: order 2 names the id that followed the last two ids before, order 1 the two that followed
+the last id, and order 0 gives every id its frequency in the block so far. How much each prediction weighs is learned
+for each state of their confidences. One step of a 64-bit range coder then tells the id.
+
+The ids of a block are dealt to lanes, stretches that are coded side by side, one id of each at a time, by one model
+that all lanes teach. Everything is integer arithmetic and of fixed order, so any machine decodes the same ids.
+
+File format, little-endian: ``TMK2``, ids (u32), bound of the ids (u32), documents (u32), bytes of code (u32), ids of the
+part before the block (u64), CRC-32 of what follows; for each document its number in the part (u64), piece (u32), ids
+(u32) and doc_id (i64, with a u8 that is 0 for null); the code: the words of each lane (u32 each), then the words (u32).
+Blocks are the rows of a Parquet table, so any executor can write and read them in any store.
 """
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,250 +32,271 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 from tokenizers import Tokenizer
 
-from talkmill.llm.bpe import BATCH_CHARS, Encoder, batches
-from talkmill.llm.common import cut, only
+from talkmill.llm.bpe import Encoder, batches
+from talkmill.llm.common import cut, only, sized
 
-BLOCK, SLOTS, RENEW = 4096, 2048, 64
-#: Ids coded side by side in a task before they are written.
-HELD = 6_000_000
+#: Ids of a block, most lanes, and ids of a lane where there are enough.
+BLOCK, LANES, STEPS = 2**21, 4096, 512
+#: Characters encoded at once, and distinct pre-tokens that a worker remembers.
+BATCH_CHARS, MEMO_WORDS = 1_000_000, 700_000
 END = 0
-HEAD, ENTRY = struct.Struct("<4sIIIQI"), struct.Struct("<QIIqB")
-MASK = np.uint64(2**56 - 1)
-TOP, BOTTOM = np.uint64(2**48), np.uint64(2**40)
-U8, U16, U48 = np.uint64(8), np.uint64(16), np.uint64(48)
-#: Logistic tables in fixed point: probabilities of 12 bits, stretched to -2047..2047.
-SQUASH = np.clip(np.rint(4096 / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 1, 4095).astype(np.int64)
-STRETCH = np.searchsorted(SQUASH, np.arange(4096)).clip(0, 4094) - 2047
-STRETCH = STRETCH.astype(np.int64)
-
-
-class Interval:
-    """Range coders side by side: ``low`` and ``width`` of each, and the bytes so far."""
-
-    def __init__(self, n: int, data: list[bytes] | None = None):
-        self.low, self.width = np.zeros(n, np.uint64), np.full(n, 2**56 - 1, np.uint64)
-        self.at = np.zeros(n, np.int64)
-        if data is None:
-            self.out = np.zeros((n, 4 * BLOCK + 64), np.uint8)
-        else:
-            longest = max(map(len, data)) + 16
-            self.out = np.zeros((n, longest), np.uint8)
-            for i, b in enumerate(data):
-                self.out[i, : len(b)] = np.frombuffer(b, np.uint8)
-            self.code = np.zeros(n, np.uint64)
-            for _ in range(7):
-                self.code = self.code << U8 | self.out[np.arange(n), self.at]
-                self.at += 1
-
-    def shift(self, who: np.ndarray, reading: bool) -> None:
-        """Move out the bytes that are settled; a narrow interval over a border is cut at the border."""
-        while len(who):
-            low, width = self.low[who], self.width[who]
-            same = (low ^ (low + width)) < TOP
-            narrow = ~same & (width < BOTTOM)
-            go = same | narrow
-            if not go.any():
-                return
-            if narrow.any():
-                width = np.where(narrow, (~low + np.uint64(1)) & (BOTTOM - np.uint64(1)), width)
-            who, low, width = who[go], low[go], width[go]
-            if reading:
-                self.code[who] = (self.code[who] << U8 | self.out[who, np.minimum(self.at[who], self.out.shape[1] - 1)]) & MASK
-            else:
-                self.out[who, self.at[who]] = (low >> U48).astype(np.uint8)
-            self.at[who] += 1
-            self.low[who], self.width[who] = (low << U8) & MASK, width << U8
-
-    def narrow(self, who: np.ndarray, start: np.ndarray, size: np.ndarray, reading: bool) -> None:
-        """Take the part of each interval from ``start``, ``size`` wide, of 65536."""
-        part = self.width[who] >> U16
-        self.low[who] += part * start.astype(np.uint64)
-        self.width[who] = part * size.astype(np.uint64)
-        self.shift(who, reading)
-
-    def target(self, who: np.ndarray) -> np.ndarray:
-        return np.minimum((self.code[who] - self.low[who]) // (self.width[who] >> U16), np.uint64(65535)).astype(np.int64)
-
-    def close(self) -> list[bytes]:
-        for _ in range(7):
-            self.out[np.arange(len(self.low)), self.at] = (self.low >> U48).astype(np.uint8)
-            self.low = (self.low << U8) & MASK
-            self.at += 1
-        return [self.out[i, :n].tobytes() for i, n in enumerate(self.at.tolist())]
-
-
-def code(lengths: np.ndarray, ids: np.ndarray | None = None, data: list[bytes] | None = None) -> list[bytes] | np.ndarray:
-    """Code the rows of ``ids`` (padded; longest first), or decode ``data`` into such rows."""
-    n, longest, reading = len(lengths), int(lengths.max()), ids is None
-    coder = Interval(n, data)
-    if reading:
-        ids = np.zeros((n, longest), np.int64)
-    after = np.full((2, n, SLOTS), -1, np.int32)  # the id that followed, by order and hashed context
-    sure = np.zeros((2, n, SLOTS), np.uint8)
-    chance = np.tile(np.minimum(1000 + 300 * np.arange(8), 3600), (2, n, 1)).astype(np.int64)
-    weight = np.full((2, n), 30000, np.int64)
-    counts = np.ones((n, 256), np.int64)
-    sums = np.zeros((n, 257), np.int64)
-    sums[:, 1:] = np.arange(1, 257) * 256
-    second = np.full(n, 2000, np.int64)
-    one, two = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    full = np.arange(n)
-    for t in range(longest):
-        live = int(np.searchsorted(-lengths, -t, side="left"))
-        who = full[:live]
-        h1 = (one[:live] * 40503 >> 4) & (SLOTS - 1)
-        h2 = ((one[:live] * 40503 + two[:live] * 60493) >> 4) & (SLOTS - 1)
-        p2, p1 = after[0, who, h2].astype(np.int64), after[1, who, h1].astype(np.int64)
-        s2, s1 = sure[0, who, h2].astype(np.int64), sure[1, who, h1].astype(np.int64)
-        first = np.where(p2 >= 0, p2, p1)
-        agree = p1 == first
-        # mixing: what each order's confidence has been worth, weighed
-        x2, x1 = STRETCH[chance[0, who, s2]], np.where(agree, STRETCH[chance[1, who, s1]], -200)
-        mixed = SQUASH[np.clip((weight[0, :live] * x2 + weight[1, :live] * x1) >> 16, -2047, 2047) + 2047]
-        size = np.clip(mixed * 16, 64, 65536 - 64)
-        tell = first >= 0
-        told = who[tell]
-        hit = np.zeros(live, bool)
-        if reading:
-            hit[tell] = coder.target(told) < size[tell]
-        else:
-            now = ids[:live, t]
-            hit = tell & (now == first)
-        coder.narrow(told, np.where(hit[tell], 0, size[tell]), np.where(hit[tell], size[tell], 65536 - size[tell]), reading)
-        miss = ~hit
-        other = miss & (p1 >= 0) & ~agree
-        hit1 = np.zeros(live, bool)
-        if other.any():
-            w, size1 = who[other], np.clip(second[:live][other] * 16, 64, 65536 - 64)
-            got = coder.target(w) < size1 if reading else now[other] == p1[other]
-            hit1[other] = got
-            coder.narrow(w, np.where(got, 0, size1), np.where(got, size1, 65536 - size1), reading)
-            second[w] += (np.where(got, 4095, 0) - second[w]) >> 5
-        spell = miss & ~hit1
-        w = who[spell]
-        if reading:
-            now = np.where(hit, first, p1)
-            if len(w):
-                at = coder.target(w)
-                high = (sums[w] <= at[:, None]).sum(1) - 1
-                coder.narrow(w, sums[w, high], sums[w, high + 1] - sums[w, high], True)
-                low = coder.target(w) >> 8
-                coder.narrow(w, low << 8, np.full(len(w), 256), True)
-                now[spell] = high << 8 | low
-            ids[:live, t] = now
-        elif len(w):
-            high, low = now[spell] >> 8, now[spell] & 255
-            coder.narrow(w, sums[w, high], sums[w, high + 1] - sums[w, high], False)
-            coder.narrow(w, low << 8, np.full(len(w), 256), False)
-        # learn
-        error = np.where(hit, 4095, 0) - mixed
-        weight[0, :live] = np.clip(weight[0, :live] + np.where(tell, x2 * error >> 10, 0), 0, 200000)
-        weight[1, :live] = np.clip(weight[1, :live] + np.where(tell, x1 * error >> 10, 0), 0, 200000)
-        for k, h, p, s in ((0, h2, p2, s2), (1, h1, p1, s1)):
-            right = p == now
-            chance[k, who, s] += (np.where(right, 4095, 0) - chance[k, who, s]) >> 5
-            after[k, who, h] = np.where(right | (s > 1), np.where(p < 0, now, p), now)
-            sure[k, who, h] = np.where(right, np.minimum(s + 1, 7), np.where(s > 1, s >> 1, 0))
-        counts[who, now >> 8] += 24
-        if t % RENEW == RENEW - 1:
-            share = counts[:live] * (65536 - 256) // counts[:live].sum(1, keepdims=True) + 1
-            share[:, 0] += 65536 - share.sum(1)
-            np.cumsum(share, axis=1, out=sums[:live, 1:])
-        two[:live], one[:live] = one[:live], now
-    return ids if reading else coder.close()
-
-
-def packed(blocks: list[tuple[np.ndarray, int, list[tuple[int, int, int, int | None]]]]) -> list[bytes]:
-    """Blocks in the file format, of (ids, ids before, entries of number, piece, ids, doc_id)."""
-    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i][0]))
-    lengths = np.array([len(blocks[i][0]) for i in order])
-    rows = np.zeros((len(blocks), int(lengths.max())), np.int64)
-    for r, i in enumerate(order):
-        rows[r, : lengths[r]] = blocks[i][0]
-    out: list[bytes] = [b""] * len(blocks)
-    for i, made in zip(order, code(lengths, rows), strict=True):
-        ids, before, entries = blocks[i]
-        body = b"".join(ENTRY.pack(a, b, c, d or 0, d is not None) for a, b, c, d in entries) + made
-        out[i] = HEAD.pack(b"TMK1", len(ids), len(entries), len(made), before, zlib.crc32(body)) + body
-    return out
-
-
-def unpacked(files: list[bytes]) -> Iterator[tuple[np.ndarray, int, list[tuple[int, int, int, int | None]]]]:
-    """The blocks again; a block that fails its checksum raises ValueError."""
-    heads, codes = [], []
-    for b in files:
-        magic, n, docs, size, before, check = HEAD.unpack_from(b)
-        if magic != b"TMK1" or zlib.crc32(b[HEAD.size :]) != check:
-            raise ValueError("a block of token ids is damaged")
-        entries = [ENTRY.unpack_from(b, HEAD.size + k * ENTRY.size) for k in range(docs)]
-        heads.append((n, before, [(a, p, c, d if known else None) for a, p, c, d, known in entries]))
-        codes.append(b[len(b) - size :])
-    order = sorted(range(len(files)), key=lambda i: -heads[i][0])
-    rows = code(np.array([heads[i][0] for i in order]), data=[codes[i] for i in order])
-    place = {i: r for r, i in enumerate(order)}
-    for i, (n, before, entries) in enumerate(heads):
-        yield rows[place[i], :n], before, entries
+HEAD, ENTRY = struct.Struct("<4sIIIIQI"), struct.Struct("<QIIqB")
+#: Bits of the frequencies: of all, of order 0 among itself; shares that order 0 gets of the mixture.
+TOTAL_BITS, WHOLE_BITS, SHARES = 28, 22, 64
+#: Steps between renewals of the order-0 frequencies and of the weights; slots of the order-2 table.
+RENEW, WEIGH, SLOTS_BITS = 16, 4, 20
+ID_BITS = 20
+ID_MASK, STATES = 2**ID_BITS - 1, 768
+LOW32, U28, U32 = np.uint64(2**32 - 1), np.uint64(TOTAL_BITS), np.uint64(32)
+
+
+class Mixture:
+    """The predictions of orders 0 to 2 for all lanes, and what each has been worth.
+
+    Table entries: order 2 an id, its confidence (3 bits) and a tag of the context; order 1 two ids, with confidences of
+    3 and 2 bits. A state is the three confidences and whether order 2 agrees with one of order 1.
+    """
+
+    def __init__(self, bound: int):
+        if not 0 < bound <= 2**ID_BITS:
+            raise ValueError(f"ids must be below {2**ID_BITS}")
+        self.bound = bound
+        self.counts = np.zeros(bound, np.int64)
+        self.one, self.two = np.zeros(bound, np.int64), np.zeros(2**SLOTS_BITS, np.int32)
+        state = np.arange(STATES)
+        second, first, other, same = state & 7, state >> 3 & 7, state >> 6 & 3, state >> 8
+        self.worth = np.stack([(second > 0) * (1 + 2 * second), ((first > 0) & (same != 1)) * (1 + first), (other > 0) & (same != 2), np.full(STATES, 4)], axis=1).astype(np.int64)
+        self.ids_met: list[np.ndarray] = []
+        self.cells_met: list[np.ndarray] = []
+        self.step, self.due = 0, 1
+        self.renew()
+        self.weigh()
+
+    def renew(self) -> None:
+        """The order-0 frequencies from the counts so far; every id keeps one at least."""
+        if self.ids_met:
+            self.counts += np.bincount(np.concatenate(self.ids_met), minlength=self.bound)
+            self.ids_met.clear()
+        each = (((2**WHOLE_BITS - self.bound) << 32) // max(int(self.counts.sum()), 1))
+        self.share = (self.counts * each >> 32) + 1
+        self.share[0] += 2**WHOLE_BITS - int(self.share.sum())
+        self.sums = np.concatenate([[0], np.cumsum(self.share)])
+
+    def weigh(self) -> None:
+        """For each state, where the interval of each prediction begins and how wide it is."""
+        if self.cells_met:
+            self.worth += np.bincount(np.concatenate(self.cells_met), minlength=4 * STATES).reshape(STATES, 4)
+            self.cells_met.clear()
+        named, rest = self.worth[:, :3].sum(1), self.worth[:, 3]
+        zero = np.where(named == 0, SHARES, np.clip((rest * SHARES + (named + rest) // 2) // (named + rest), 1, SHARES - 1))
+        self.ends = np.cumsum(self.worth[:, :3], axis=1).T * ((SHARES - zero) << WHOLE_BITS) // np.maximum(named, 1)
+        start = np.zeros((STATES, 4), np.int64)
+        start[:, 1:] = self.ends.T
+        self.start, self.size = start.ravel(), np.concatenate([np.diff(start, axis=1), zero[:, None]], axis=1).ravel()
+
+    def look(self, last: np.ndarray, before: np.ndarray) -> None:
+        """The predictions after the last id and the one before it, of each lane."""
+        mixed = (last * 0x9E3779B1 + before * 0x85EBCA6B) & 0x7FFFFFFF
+        self.last, self.slot, self.tag = last, mixed & (2**SLOTS_BITS - 1), mixed >> SLOTS_BITS & 0xFF
+        two, one = self.two[self.slot].astype(np.int64), self.one[last]
+        self.c2, self.ca, self.cb = two & ID_MASK, one & ID_MASK, one >> 32 & ID_MASK
+        self.n2, self.na, self.nb = (two >> ID_BITS & 7) * (two >> 23 == self.tag), one >> ID_BITS & 7, one >> 52 & 3
+        self.k2, self.ka, self.kb = self.n2 > 0, self.na > 0, self.nb > 0
+        same = ((self.c2 == self.ca) & self.k2) + 2 * ((self.c2 == self.cb) & self.k2 & self.kb)
+        self.state = self.n2 + (self.na << 3) + (self.nb << 6) + (same << 8)
+
+    def right(self, now: np.ndarray) -> None:
+        """Which predictions name the id of each lane."""
+        self.hit2, self.hita, self.hitb = self.k2 & (now == self.c2), self.ka & (now == self.ca), self.kb & (now == self.cb)
+
+    def learn(self, now: np.ndarray, cell: np.ndarray) -> None:
+        n2 = np.where(self.hit2, np.minimum(self.n2 + 1, 7), self.n2 >> 1)
+        self.two[self.slot] = np.where(n2 > 0, self.c2, now) | np.maximum(n2, 1) << ID_BITS | self.tag << 23
+        # a second id that proves right often enough, or meets no first one, comes first
+        na = np.where(self.hita, np.minimum(self.na + 1, 7), self.na)
+        held = self.hita | self.hitb | (self.nb > 1)
+        nb = np.where(self.hita, self.nb, np.where(self.hitb, self.nb + 1, np.where(self.nb > 1, self.nb - 1, 1)))
+        cb = np.where(held, self.cb, now)
+        swap = ~self.ka | (nb > 3)
+        first = np.where(swap, cb | np.where(self.ka, 4, 1) << ID_BITS, self.ca | na << ID_BITS)
+        second = np.where(swap, self.ca | np.minimum(na, 3) << ID_BITS, cb | nb << ID_BITS)
+        self.one[self.last] = first | second << 32
+        self.ids_met.append(now)
+        self.cells_met.append(cell)
+        self.step += 1
+        if self.step < RENEW or self.step % WEIGH == 0:
+            self.weigh()
+        if self.step == self.due:
+            self.renew()
+            self.due += min(self.due, RENEW)
+
+
+def lanes_of(n: int) -> tuple[int, int]:
+    """Lanes of a block of ``n`` ids, and ids of each but the last, which may have fewer."""
+    steps = -(-n // min(LANES, max(1, n // STEPS)))
+    return -(-n // steps), steps
+
+
+def coded(ids: np.ndarray, bound: int) -> bytes:
+    """The code of a block of ids, all below ``bound``."""
+    lanes, steps = lanes_of(len(ids))
+    rows = np.zeros(lanes * steps, np.int64)
+    rows[: len(ids)] = ids
+    rows = np.ascontiguousarray(rows.reshape(lanes, steps).T)
+    short = len(ids) - (lanes - 1) * steps
+    model, room = Mixture(bound), steps + 3
+    out = np.zeros(lanes * room, np.uint64)
+    base = np.arange(lanes) * room
+    every_low, every_at = np.zeros(lanes, np.uint64), base.copy()
+    low, at, width = every_low, every_at, np.full(lanes, 2**64 - 1, np.uint64)
+    last = before = np.zeros(lanes, np.int64)
+    for t in range(steps):
+        if t == short:
+            low, at, width, last, before = low[:-1], at[:-1], width[:-1], last[:-1], before[:-1]
+        now = rows[t, : len(low)]
+        model.look(last, before)
+        model.right(now)
+        cell = (model.state << 2) + np.where(model.hit2, 0, np.where(model.hita, 1, np.where(model.hitb, 2, 3)))
+        start, size = model.start[cell], model.size[cell]
+        rest = np.flatnonzero(cell & 3 == 3)
+        start[rest] += model.sums[now[rest]] * size[rest]
+        size[rest] *= model.share[now[rest]]
+        part = width >> U28
+        add = part * start.astype(np.uint64)
+        low += add
+        over = np.flatnonzero(low < add)  # a carry goes to the word before, and further at the end
+        out[at[over] - 1] += np.uint64(1)
+        width = part * size.astype(np.uint64)
+        full = np.flatnonzero(width <= LOW32)
+        out[at[full]] = low[full] >> U32
+        at[full] += 1
+        low[full] <<= U32
+        width[full] <<= U32
+        model.learn(now, cell)
+        last, before = now, last
+    out[every_at], out[every_at + 1] = every_low >> U32, every_low & LOW32
+    out = out.reshape(lanes, room)
+    while (carry := out >> U32).any():
+        out &= LOW32
+        out[:, :-1] += carry[:, 1:]
+    lengths = every_at + 2 - base
+    return lengths.astype("<u4").tobytes() + out[np.arange(room) < lengths[:, None]].astype("<u4").tobytes()
+
+
+def decoded(n: int, bound: int, code: bytes) -> np.ndarray:
+    """The ``n`` ids of a block again."""
+    lanes, steps = lanes_of(n)
+    lengths = np.frombuffer(code, "<u4", lanes).astype(np.int64)
+    words = np.append(np.frombuffer(code, "<u4", offset=4 * lanes), [0, 0]).astype(np.uint64)
+    short = n - (lanes - 1) * steps
+    model = Mixture(bound)
+    at = np.cumsum(lengths) - lengths
+    ahead, width = words[at] << U32 | words[at + 1], np.full(lanes, 2**64 - 1, np.uint64)
+    at += 2
+    last = before = np.zeros(lanes, np.int64)
+    rows = np.zeros((steps, lanes), np.int64)
+    for t in range(steps):
+        if t == short:
+            ahead, at, width, last, before = ahead[:-1], at[:-1], width[:-1], last[:-1], before[:-1]
+        model.look(last, before)
+        part = width >> U28
+        value = np.minimum(ahead // part, np.uint64(2**TOTAL_BITS - 1)).astype(np.int64)
+        told = (value >= model.ends[0][model.state]).astype(np.int64) + (value >= model.ends[1][model.state]) + (value >= model.ends[2][model.state])
+        cell = (model.state << 2) + told
+        start, size = model.start[cell], model.size[cell]
+        now = np.where(told == 0, model.c2, np.where(told == 1, model.ca, model.cb))
+        rest = np.flatnonzero(told == 3)
+        now[rest] = np.searchsorted(model.sums, (value[rest] - start[rest]) // size[rest], side="right") - 1
+        start[rest] += model.sums[now[rest]] * size[rest]
+        size[rest] *= model.share[now[rest]]
+        ahead = ahead - part * start.astype(np.uint64)
+        width = part * size.astype(np.uint64)
+        full = np.flatnonzero(width <= LOW32)
+        ahead[full] = ahead[full] << U32 | words[at[full]]
+        at[full] += 1
+        width[full] <<= U32
+        rows[t, : len(now)] = now
+        model.right(now)
+        model.learn(now, cell)
+        last, before = now, last
+    return rows.T.ravel()[:n]
+
+
+def packed(ids: np.ndarray, before: int, entries: list[tuple[int, int, int, int | None]]) -> bytes:
+    """A block in the file format, of its ids, the ids before, and entries of number, piece, ids, doc_id."""
+    bound = int(ids.max()) + 1
+    code = coded(ids, bound)
+    body = b"".join(ENTRY.pack(a, b, c, d or 0, d is not None) for a, b, c, d in entries) + code
+    return HEAD.pack(b"TMK2", len(ids), bound, len(entries), len(code), before, zlib.crc32(body)) + body
+
+
+def unpacked(block: bytes) -> tuple[np.ndarray, int, list[tuple[int, int, int, int | None]]]:
+    """The ids, the ids before and the entries again; a block that fails its checksum raises ValueError."""
+    magic, n, bound, docs, size, before, check = HEAD.unpack_from(block)
+    if magic != b"TMK2" or zlib.crc32(block[HEAD.size :]) != check:
+        raise ValueError("a block of token ids is damaged")
+    entries = [ENTRY.unpack_from(block, HEAD.size + k * ENTRY.size) for k in range(docs)]
+    return decoded(n, bound, block[len(block) - size :]), before, [(a, p, c, d if known else None) for a, p, c, d, known in entries]
 
 
 class LibraryEncoder(Encoder):
     """Splits texts as the tokenizer does and has the tokenizers library encode each distinct pre-token once."""
 
     def __init__(self, path: str):
-        super().__init__(path)
+        super().__init__(path, MEMO_WORDS)
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.library = Tokenizer.from_file(path)
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for a in range(0, len(words), 20_000) for e in self.library.encode_batch_fast(words[a : a + 20_000], add_special_tokens=False)]
+        found = [e.ids for a in range(0, len(words), 5_000) for e in self.library.encode_batch_fast(words[a : a + 5_000], add_special_tokens=False)]
         counts = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((i for ids in found for i in ids), np.int32, int(counts.sum())), counts
+        return np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum())), counts
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> LibraryEncoder:
+    """A worker's encoder, which later tasks find with the pre-tokens it has met."""
+    return LibraryEncoder(path)
 
 
 def write_blocks(docs: DataFrame, tokenizer: str) -> DataFrame:
     """(part, n, block): the blocks in order of doc_id (nulls first, then by text hash), as a written table."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, encoder = TaskContext.get().partitionId(), LibraryEncoder(tokenizer)
-        number = before = size = 0
-        done: list[tuple[np.ndarray, int, list]] = []
-        open_ids, open_entries, room = [], [], BLOCK
-
-        def flush() -> pd.DataFrame:
-            out = pd.DataFrame({"part": part, "n": [len(b[0]) for b in done], "block": packed(done)})
-            done.clear()
+        part, encoder = TaskContext.get().partitionId(), encoder_of(tokenizer)
+        number = before = held = 0
+        ids_held: list[np.ndarray] = []
+        entries: list[tuple[int, int, int, int | None]] = []
+
+        def block() -> pd.DataFrame:
+            nonlocal before, held
+            ids = np.concatenate(ids_held)
+            out = pd.DataFrame({"part": [part], "n": [len(ids)], "block": [packed(ids, before, entries)]})
+            before, held = before + len(ids), 0
+            ids_held.clear()
+            entries.clear()
             return out
 
-        def close() -> None:
-            nonlocal open_ids, open_entries, room, before
-            if open_ids:
-                ids = np.concatenate(open_ids)
-                done.append((ids, before, open_entries))
-                before += len(ids)
-            open_ids, open_entries, room = [], [], BLOCK
-
         for frame in frames:
             texts = ["" if t is None else t for t in frame["text"].tolist()]
             doc_ids = frame["doc_id"].astype("Int64").tolist()
             for a, b in batches(texts, BATCH_CHARS):
                 for doc_id, ids in zip(doc_ids[a:b], encoder.encode(texts[a:b]), strict=True):
                     ids, piece = np.append(ids, END), 0
-                    size += len(ids)
                     while len(ids):
-                        take = ids[:room]
-                        open_ids.append(take)
-                        open_entries.append((number, piece, len(take), None if doc_id is pd.NA else int(doc_id)))
-                        ids, room, piece = ids[len(take) :], room - len(take), piece + 1
-                        if room == 0:
-                            close()
+                        take = ids[: BLOCK - held]
+                        ids_held.append(take)
+                        entries.append((number, piece, len(take), None if doc_id is pd.NA else int(doc_id)))
+                        ids, held, piece = ids[len(take) :], held + len(take), piece + 1
+                        if held == BLOCK:
+                            yield block()
                     number += 1
-                    if size > HELD:
-                        yield flush()
-                        size = 0
-        close()
-        if done:
-            yield flush()
-
-    rows = only(docs, doc_id="long", text="string")
-    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+        if held:
+            yield block()
+
+    rows = only(docs, doc_id="long", text="string").withColumn("of_text", F.xxhash64("text"))
+    # texts of one doc_id, and those without one, are dealt by their hashes
+    dealt = rows.repartitionByRange("doc_id", "of_text").sortWithinPartitions("doc_id", "of_text").select("doc_id", "text")
     return cut(dealt.mapInPandas(run, "part int, n long, block binary"), "token-blocks")
 
 
@@ -300,8 +324,8 @@ def combined(crcs: pd.Series, sizes: pd.Series) -> pd.Series:
     """The CRC-32 of pieces that follow each other, of their CRCs and numbers of ids."""
     out = []
     for own, n in zip(crcs, sizes, strict=True):
-        crc = 0
-        for c, k in zip(own, n, strict=True):
+        crc = int(own[0])
+        for c, k in zip(own[1:], n[1:], strict=True):
             crc = times_x(crc, 4 * int(k)) ^ int(c)
         out.append(crc)
     return pd.Series(out, dtype="int64")
@@ -312,13 +336,12 @@ def read_blocks(blocks: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for a in range(0, len(frame), 2000):
-                some, rows = frame.iloc[a : a + 2000], []
-                for part, (ids, before, entries) in zip(some["part"], unpacked(some["block"].tolist()), strict=True):
-                    raw, at = ids.astype("<u4"), 0
-                    for number, piece, n, doc_id in entries:
-                        rows.append((part, number, piece, doc_id, before + at, n, zlib.crc32(raw[at : at + n].tobytes())))
-                        at += n
+            for part, block in zip(frame["part"], frame["block"], strict=True):
+                ids, before, entries = unpacked(block)
+                raw, at, rows = ids.astype("<u4"), 0, []
+                for number, piece, n, doc_id in entries:
+                    rows.append((part, number, piece, doc_id, before + at, n, zlib.crc32(raw[at : at + n].tobytes())))
+                    at += n
                 out = pd.DataFrame(rows, columns=["part", "number", "piece", "doc_id", "start", "n", "crc"])
                 out["doc_id"] = out["doc_id"].astype("Int64")
                 yield out
@@ -339,4 +362,4 @@ def token_files(docs: DataFrame, tokenizer: str) -> DataFrame:
     pieces = read_blocks(blocks).groupBy("part", "number").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("piece", "crc", "n"))).alias("p"))
     crc = F.when(F.size("p") == 1, F.col("p")[0]["crc"])
     whole = pieces.withColumn("ids_crc32", F.coalesce(crc, combined(F.col("p.crc"), F.col("p.n"))))
-    return whole.join(F.broadcast(offsets), "part").select("doc_id", (F.col("start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
+    return whole.join(sized(offsets), "part").select("doc_id", (F.col("start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
