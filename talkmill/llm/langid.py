@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkmill.llm.common import only
+from talkmill.llm.common import cut, only, sized
 
 # Families of languages by ISO 639-1 code. A language of no listed family is one by itself.
 FAMILIES = {
@@ -70,15 +70,16 @@ def vector(text: str) -> np.ndarray | None:
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
-    """(text, lang) of a bounded number of labelled documents: for each language those of the smallest hashes."""
+    """(doc_id, text, lang) of about ``TRAIN_DOCS`` labelled documents: for each language those whose doc_id hashes below
+    a share of all hashes, so no language gathers in one task. Of rows with one doc_id the smallest text and language count.
+    """
     known = only(docs, doc_id="long", lang="string").dropna().filter(~held_out())
-    languages = known.select("lang").distinct().count()
-    each = max(1, TRAIN_DOCS // max(1, languages))
-    # the limit on the rank is applied before the shuffle, so a common language doesn't gather in one task
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang", F.row_number().over(order).alias("place")).filter(F.col("place") <= each)
-    chosen = chosen.groupBy("doc_id").agg(F.min("lang").alias("lang")).limit(TRAIN_DOCS + languages)
-    return only(docs, doc_id="long", text="string").dropna().join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang")
+    # a row for each language
+    each = known.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("n")).withColumn("share", F.least(F.lit(1.0), F.lit(float(TRAIN_DOCS)) / F.count("*").over(Window.partitionBy()) / F.col("n")))
+    place = F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5
+    chosen = known.join(sized(each), "lang").filter((F.col("share") == 1.0) | (place < F.col("share"))).groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    texts = only(docs, doc_id="long", text="string").dropna().join(sized(cut(chosen, "langid-chosen")), "doc_id")
+    return texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("lang").alias("lang"))
 
 
 def examples(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,7 +152,7 @@ def sigmoid(margin: float) -> float:
 
 
 def train(docs: DataFrame) -> Model | None:
-    frame = training_rows(docs).mapInPandas(examples, "doc_id long, lang string, x binary").orderBy("doc_id", "x").toPandas()
+    frame = training_rows(docs).mapInPandas(examples, "doc_id long, lang string, x binary").toPandas().sort_values(["doc_id", "x"])
     if not len(frame):
         return None
     x = np.frombuffer(b"".join(frame["x"]), np.float16).reshape(len(frame), WIDTH).astype(np.float32)

@@ -6,13 +6,15 @@ or in it) and the context (telling words before it). Expectation-maximisation es
 reliable each labeler is and how likely each candidate is personal data; a logistic classifier of the candidates'
 features is then trained on those likelihoods, and its spans are added to the base ones.
 
-Both fits work on counts of equal votes and features, gathered from all documents; their number is bounded by the
-labelers' and the features' values, whatever the size of the input.
+Besides the votes, the classifier sees the span itself: its length, what stands before and after it. Both fits work on
+counts of equal votes and features, gathered from all documents; their number is bounded by the labelers' and the
+features' values, whatever the size of the input.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect, bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,7 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-# Candidates of the added kinds.
+# Candidates of the added kinds. The local part of an address has at most 64 characters by its standard.
 AT_EMAIL = re.compile(r"\b[A-Za-z0-9._%+-]{1,64} ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]+(?: ?(?:\.|[\[(](?:dot|DOT)[\])]) ?[A-Za-z0-9-]+)+")
 MASKED_AT = ("(at", "[at", "(AT", "[AT")
 LOOSE_PHONE = re.compile(r"(?<![\w+.-])(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3}[ .-][0-9]{4}(?![\w-])")
@@ -94,7 +96,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def votes(kind: str, text: str, start: int, end: int) -> int:
-    """The votes of the three labelers (0 none, 1 no, 2 yes) and two features, as one code below 108."""
+    """The votes of the three labelers (0 none, 1 no, 2 yes) and features of the span, as one code below 27 * 48.
+
+    The features are a colon before it, a line's begin, its length in steps, and what follows: punctuation or an end, a
+    word in lower case, anything else.
+    """
     span, before = text[start:end], text[max(0, start - BEFORE) : start].lower()
     words = re.findall(r"[\w-]+", before)
     if kind == "at_email":
@@ -110,18 +116,25 @@ def votes(kind: str, text: str, start: int, end: int) -> int:
     told = set(TELLING[kind].split())
     context = 1 if set(words[-4:]) & set(AGAINST.split()) else 2 if set(words[-4:]) & told else 0
     colon, line = int(before.rstrip(" ").endswith(":")), int(start == 0 or text[start - 1] == "\n")
-    return ((shape * 3 + known) * 3 + context) * 4 + colon * 2 + line
+    length, after = bisect([12, 18, 26], end - start), text[end : end + 2].strip(" ")[:1]
+    follows = 1 if after.islower() else 2 if after.isalnum() else 0
+    return ((shape * 3 + known) * 3 + context) * 48 + colon * 24 + line * 12 + length * 3 + follows
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     """(start, kind, end, code) of candidates that touch no base span."""
-    out = []
+    out, ends = [], []
+    for a, _, b in taken:
+        ends.append(max(b, ends[-1] if ends else 0))
     for kind, pattern in ((4, AT_EMAIL), (5, LOOSE_PHONE), (6, ACCOUNT), (7, NAME)):
         if kind == 4 and not any(x in text for x in MASKED_AT):
             continue
         for m in pattern.finditer(text):
+            before = bisect_left(taken, (m.end(),))  # base spans that begin before the candidate's end
+            if before and ends[before - 1] > m.start():
+                continue
             code = votes(KINDS[kind], text, m.start(), m.end())
-            if code // 4 and not any(a < m.end() and m.start() < b for a, _, b in taken):
+            if code // 48:
                 out.append((m.start(), kind, m.end(), code))
     return sorted(out)
 
@@ -143,7 +156,7 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 def reliabilities(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The likelihood that a candidate of each code is personal data, by expectation-maximisation over the votes."""
-    v = np.stack([codes // 36, codes // 12 % 3, codes // 4 % 3], axis=1)
+    v = np.stack([codes // 432, codes // 144 % 3, codes // 48 % 3], axis=1)
     yes = np.clip((v == 2).sum(1) - (v == 1).sum(1), -1, 1) * 0.35 + 0.5
     for _ in range(ROUNDS):
         given = []
@@ -157,12 +170,12 @@ def reliabilities(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def features(kinds: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """One-hot votes of each kind, the two plain features, and a constant."""
-    parts = [np.ones(len(codes)), codes // 2 % 2, codes % 2]
+    """One-hot votes, lengths and followers of each kind, the two plain features, and a constant."""
+    parts = [np.ones(len(codes)), codes // 24 % 2, codes // 12 % 2]
     for kind in range(4, len(KINDS)):
-        for j in (36, 12, 4):
-            for x in range(3):
-                parts.append((kinds == kind) & (codes // j % 3 == x))
+        for j, values in ((432, 3), (144, 3), (48, 3), (3, 4), (1, 3)):
+            for x in range(values):
+                parts.append((kinds == kind) & (codes // j % values == x))
     return np.stack(parts, axis=1).astype(np.float64)
 
 
@@ -172,7 +185,7 @@ def classifier(kinds: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> np.n
     for kind in np.unique(kinds):
         own = kinds == kind
         target[own] = reliabilities(codes[own], counts[own])
-    x, w = features(kinds, codes), np.zeros(3 + 9 * (len(KINDS) - 4))
+    x, w = features(kinds, codes), np.zeros(3 + 16 * (len(KINDS) - 4))
     weight = np.log1p(counts)
     for _ in range(STEPS):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -199,9 +212,9 @@ def personal_data(docs: DataFrame) -> DataFrame:
         w = classifier(kinds, codes, n.astype(np.float64))
         p = 1 / (1 + np.exp(-features(kinds, codes) @ w))
         accepted = [(int(k), int(c)) for k, c, x in zip(kinds, codes, p, strict=True) if x >= THRESHOLD]
-    # kind and code together have a few hundred values
-    good = F.array(*[F.lit(k * 1000 + c) for k, c in accepted]) if accepted else F.array().cast("array<int>")
-    more = F.transform(F.filter("more", lambda m: F.array_contains(good, m["kind"] * 1000 + m["code"])), lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
+    # kind and code together have a few thousand values
+    good = F.lit(sorted(k * 10_000 + c for k, c in accepted)) if accepted else F.array().cast("array<int>")
+    more = F.transform(F.filter("more", lambda m: F.array_contains(good, m["kind"] * 10_000 + m["code"])), lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
     key = lambda x: F.struct(x["start"], x["kind"])
     spans = F.array_sort(F.concat("base", more), lambda x, y: F.when(key(x) < key(y), -1).when(key(x) > key(y), 1).otherwise(0))
     return found.select("doc_id", "base", spans.alias("spans"))

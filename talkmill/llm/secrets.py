@@ -27,6 +27,7 @@ IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_-]{5,}"
 TRAIN_DOCS, ALPHABET, PSEUDO = 2000, 66, 0.5
 EVIDENCE, EVIDENCE_EACH = 12.0, 0.5
 MASK = "[SECRET]"
+GATHERED = 100
 SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
 
 
@@ -39,9 +40,12 @@ def matches(text: Column, pattern: str, kind: int, value: int = 0) -> Column:
 
     def place(p: Column) -> Column:
         each = F.transform(p["found"], lambda m, i: F.struct(F.length(F.get(p["gaps"], i)).alias("gap"), F.length(m).alias("own"), F.get(p["values"], i).alias("value")))
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+        zero = lambda at: F.struct(at.alias("at"), F.array().cast(SPAN).alias("out"))
         step = lambda acc, x: F.struct((acc["at"] + x["gap"] + x["own"]).alias("at"), F.concat(acc["out"], F.array(F.struct(F.lit(kind).alias("kind"), (acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["own"]).alias("end"), x["value"].alias("value")))).alias("out"))
-        return F.aggregate(each, zero, step)["out"]
+        # spans are gathered by the hundred, since an array that grows by one is copied each time
+        parts = lambda e: F.transform(F.sequence(F.lit(0), F.floor((F.size(e) - 1) / GATHERED).cast("int")), lambda k: F.slice(e, k * GATHERED + 1, GATHERED))
+        grow = lambda acc, part: F.transform(F.array(F.aggregate(part, zero(acc["at"]), step)), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out")))[0]
+        return F.transform(F.array(each), lambda e: F.when(F.size(e) > 0, F.flatten(F.aggregate(parts(e), F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out")), grow)["out"])).otherwise(F.array().cast(SPAN)))[0]
 
     return F.when(text.rlike(pattern), F.transform(F.array(parts), place)[0]).otherwise(F.array().cast(SPAN))
 
@@ -112,7 +116,10 @@ def found_secrets(docs: DataFrame) -> DataFrame:
 
 
 def masked(docs: DataFrame) -> DataFrame:
-    """``docs`` with every secret in its text replaced by ``MASK`` (and n_chars set anew, where there is one)."""
+    """``docs`` with every secret in its text replaced by ``MASK`` (and n_chars set anew, where there is one).
+
+    All rows stay; null and empty texts as they are; rows equal in doc_id and text are masked alike.
+    """
     spans = found_secrets(docs).filter(F.size("spans") > 0).groupBy(F.col("doc_id").alias("found_id"), F.col("text_hash").alias("found_hash")).agg(F.first("spans").alias("found_spans"))
     spans = cut(spans, "masks")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("own_hash"))

@@ -22,11 +22,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkmill.llm.common import cut, only, sized
+from talkmill.llm.common import cut, only, sample, sized
 
-#: Labelled documents learned from (those of the smallest hashes of their doc_id), and features kept of them.
+#: Labelled documents learned from (about so many, by the hashes of their doc_ids).
 TRAIN_DOCS = 20_000
-FEATURES = 3_000
 #: Documents that a feature needs, and how many standard errors its share in toxic documents must lie above that in others.
 LEAST_DOCS, LEAST_Z = 5, 4.0
 PREFIXES = (4, 5, 6, 7)
@@ -56,12 +55,15 @@ def held_out() -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of a bounded number of labelled documents outside the held-out third."""
+    """(text, toxic) of a bounded number of labelled documents outside the held-out third.
+
+    Of rows with one doc_id the smallest text and the larger label count.
+    """
     known = only(labels, doc_id="long", toxic="int").filter("toxic in (0, 1)").dropna().filter(~held_out())
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
-    texts = only(docs, doc_id="long", text="string").dropna()
+    known = cut(sample(known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), F.col("doc_id"), TRAIN_DOCS), "toxicity-known")
+    texts = only(docs, doc_id="long", text="string").dropna().join(sized(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     # copies of a text would count its words as often as there are copies
-    return texts.join(F.broadcast(known), "doc_id").groupBy(F.md5("text").alias("key")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).drop("key")
+    return texts.groupBy(F.md5("text").alias("key")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).drop("key")
 
 
 def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -135,12 +137,13 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[float, dict[str, float]]:
     p, q = F.col("bad") / bad, F.col("good") / good
     share = (F.col("bad") + F.col("good")) / (bad + good)
     z = (p - q) / F.sqrt(share * (1 - share) * (1 / bad + 1 / good) + 1e-12)
-    picked = counts.filter("feature != ''").filter((F.col("bad") + F.col("good") >= LEAST_DOCS) & (z >= LEAST_Z)).orderBy(z.desc(), "feature").limit(FEATURES).collect()
-    names = [r.feature for r in picked]
+    picked = counts.filter("feature != ''").filter((F.col("bad") + F.col("good") >= LEAST_DOCS) & (z >= LEAST_Z)).select("feature").collect()
+    names = sorted(r.feature for r in picked)  # of a bounded sample
     if not names:
         return -3.0, {}
     made = rows.mapInPandas(partial(bags, {f: i for i, f in enumerate(names)}), "toxic int, sentences array<int>, features array<int>")
-    frame = made.orderBy("toxic", "sentences", "features").toPandas()
+    frame = made.toPandas()
+    frame = frame.iloc[sorted(range(len(frame)), key=lambda i: (frame["toxic"].iat[i], list(frame["sentences"].iat[i]), list(frame["features"].iat[i])))]
     bias, weights = fit(frame, len(names))
     return bias, {f: float(w) for f, w in zip(names, weights, strict=True) if w > 1e-3}
 
@@ -207,9 +210,12 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that are predicted to be toxic."""
+    """``docs`` without the rows that are predicted to be toxic.
+
+    Rows with null or empty texts stay, as do all rows where nothing can be learned; equal texts stay or go together.
+    """
     bias, weights = train(docs, labels)
-    texts = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("own_hash"))
-    rows = only(docs, text="string").select(F.coalesce("text", F.lit("")).alias("text")).select(F.xxhash64("text").alias("bad_hash"), "text")
-    bad = cut(scored(rows, bias, weights, "bad_hash long").filter(F.col("score") >= THRESHOLD).select("bad_hash").distinct(), "toxic")
+    texts = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("own_hash"))
+    rows = only(docs, text="string").select(F.coalesce("text", F.lit("")).alias("text")).select(F.md5("text").alias("bad_hash"), "text")
+    bad = cut(scored(rows, bias, weights, "bad_hash string").filter(F.col("score") >= THRESHOLD).select("bad_hash").distinct(), "toxic")
     return texts.join(sized(bad), texts["own_hash"] == bad["bad_hash"], "left_anti").select("row.*")
