@@ -13,6 +13,8 @@ from talkmill.llm import bpe, decontaminate, langid, minhash, neighbours, pii, s
 
 #: The vocabulary file that the contracts name.
 TOKENIZER = "byte_bpe_50k.json"
+#: Least words of a passage whose repetition across documents is reported.
+PASSAGE_WORDS = 50
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +35,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.repeats(table(spark, sf_dir, "documents"))
+    return substrings.repeats(table(spark, sf_dir, "documents"), words=PASSAGE_WORDS).drop("text_hash")
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,42 +1,62 @@
 """Operator 4: repeated passages, by MinHash banding of paragraphs, exact verification and components.
 
-A paragraph is a line of at least ``LEAST_WORDS`` words (lower-cased, without punctuation). Lines of ``NEAR_WORDS``
-or more are also met as near copies: a one-permutation MinHash of their five-word shingles, bands that let a pair
-at similarity 0.8 slip with a probability of 0.003, exact Jaccard of the pairs that collide. Lines over ``LONG_WORDS``
-are besides cut into pieces where a word's hash is the smallest around, so that a passage inside a longer line is
-met, too; pieces must be equal. Equal paragraphs are one node; linked ones are one component, whose first occurrence
-stays. Adjacent repeated paragraphs of a document make a passage; passages under ``PASSAGE_WORDS`` are left alone.
+A text is one stream of words (lower-cased, without punctuation). Two kinds of units are looked at:
+
+* Paragraphs, which are met as near copies: lines of ``NEAR_WORDS`` or more, and runs of shorter lines that have as many
+  together. MinHash of their five-word shingles, bands that let a pair at similarity 0.8 slip with a probability of
+  0.003, exact Jaccard of every member of a bucket and its pivot; members that this leaves apart are settled by an exact
+  join on their rarest shingles.
+* Pieces between the words where the hash of two words is the smallest around, whatever the lines, so that a passage
+  is met in any surroundings and however it is wrapped. Pieces must be equal.
+
+Equal units are one node; linked ones are one component, whose first occurrence stays. Adjacent repeated units of a
+document make a passage. Its ends, which lie within a piece, are found by comparing the words around it with those
+around other occurrences, the first and the last one. Passages of fewer words than asked for are left alone. In a
+stretch that repeats the same words over and over no pair is the smallest around: it is one piece with what surrounds it.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkmill.llm.common import SHINGLE_WORDS, SIMILARITY, WordHashes, cut, mix, only, shingle_hashes, sized
-from talkmill.llm.minhash import WORD, components, verified
+from talkmill.llm.minhash import WORD, components, exact_pairs, joined, opened, verified
 
-LEAST_WORDS, NEAR_WORDS, LONG_WORDS, PASSAGE_WORDS = 6, 20, 40, 16
-#: Words on either side among which a cut has the smallest hash.
-AROUND = 5
+NEAR_WORDS, PASSAGE_WORDS = 20, 16
+#: Words on either side among which a cut has the smallest hash; words compared beyond the ends of a passage.
+AROUND, REACH = 5, 64
 BANDS, ROWS = 8, 3
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 2_000_000
 UNIT = "doc_id long, text_hash long, k1 long, k2 long, start int, n int, near boolean, " + ", ".join(f"b{i} long" for i in range(BANDS))
 
 
+def told_lines(text: str) -> list[list[str]]:
+    """The lower-cased words of each line, as many as the text itself has (lower-casing a whole text may add some)."""
+    low = text.lower()
+    if len(low) == len(text):
+        return [WORD.findall(line) for line in low.split("\n")]
+    return [[w.lower() for w in WORD.findall(line)] for line in text.split("\n")]
+
+
+def told_words(text: str) -> list[str]:
+    return list(chain.from_iterable(told_lines(text)))
+
+
 def cuts(hashes: np.ndarray) -> np.ndarray:
-    """Places whose hash is smaller than those of all words around it; only these words decide."""
-    n = len(hashes)
-    if n <= 2 * AROUND:
+    """Places whose hash with the next word is smaller than those of all places around; only these words decide."""
+    if len(hashes) <= 2 * AROUND + 1:
         return np.empty(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(hashes, 2 * AROUND + 1)
+    two = mix(hashes[:-1] * np.uint64(3) + hashes[1:])
+    view = np.lib.stride_tricks.sliding_window_view(two, 2 * AROUND + 1)
     middle = view[:, AROUND]
-    return np.flatnonzero((view.min(1) == middle) & ((view == middle[:, None]).sum(1) == 1)) + AROUND
+    return np.flatnonzero((middle < view[:, :AROUND].min(1)) & (middle < view[:, AROUND + 1 :].min(1))) + AROUND
 
 
 def sums(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -53,49 +73,55 @@ def stretch_hash(hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, se
     return mix(sums(mixed, np.cumsum(lengths) - lengths, lengths) + lengths.astype(np.uint64))
 
 
-def sketches(shingles: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """Band hashes (n, BANDS) of the sets of shingles: the smallest in each bin; an empty bin takes the next one's."""
-    m = BANDS * ROWS
-    empty = np.uint64(2**64 - 1)
-    least = np.full(n * m, empty)
-    np.minimum.at(least, owner * m + (shingles % np.uint64(m)).astype(np.int64), mix(shingles))
-    least = least.reshape(n, m)
-    for _ in range(m):
-        bare = least == empty
-        if not bare.any():
-            break
-        least = np.where(bare, np.where(np.roll(least, -1, axis=1) == empty, empty, mix(np.roll(least, -1, axis=1) + np.uint64(1))), least)
-    out = np.tile(np.arange(BANDS, dtype=np.uint64), (n, 1))
-    for j in range(ROWS):
-        out = mix(out * np.uint64(31) + least[:, j::ROWS] + np.uint64(0x9E3779B97F4A7C15))
+#: Odd factors that order the shingles anew for each register.
+FACTORS = mix(np.arange(1, BANDS * ROWS + 1)) | np.uint64(1)
+
+
+def sketches(shingles: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Band hashes (n, BANDS) of the sets of shingles, which stand end to end: the smallest under each order."""
+    starts = np.cumsum(lengths) - lengths
+    out = np.tile(np.arange(BANDS, dtype=np.uint64), (len(lengths), 1))
+    for j, factor in enumerate(FACTORS):
+        least = np.minimum.reduceat(shingles * factor, starts)
+        out[:, j // ROWS] = mix(out[:, j // ROWS] * np.uint64(31) + least + np.uint64(0x9E3779B97F4A7C15))
     return out.view(np.int64)
 
 
+def paragraph_places(sizes: list[int]) -> list[tuple[int, int]]:
+    """(start, n) of the paragraphs of a text, of the words of its lines; a line without words ends a run of short ones."""
+    out, at, run = [], 0, 0
+    for n in [*sizes, 0]:
+        if n == 0 or n >= NEAR_WORDS:
+            if run >= NEAR_WORDS:
+                out.append((at - run, run))
+            run = 0
+            if n:
+                out.append((at, n))
+        else:
+            run += n
+        at += n
+    return out
+
+
 def units(texts: list[str], known: WordHashes) -> dict[str, np.ndarray]:
-    """The paragraphs of all texts: doc (index of the text), start, n, k1, k2, near and the band hashes."""
+    """The units of all texts: doc (index of the text), start, n, k1, k2, near (a paragraph) and the band hashes."""
     hashes, starts, lengths, docs, near, done = [], [], [], [], [], 0
     for d, text in enumerate(texts):
-        first = done
-        for line in text.lower().split("\n"):
-            words = WORD.findall(line)
-            n = len(words)
-            if not n:
-                continue
-            own = np.fromiter(map(known.__getitem__, words), np.uint64, n)
-            hashes.append(own)
-            if n >= LEAST_WORDS:
-                starts.append(done)
-                lengths.append(n)
-                near.append(n >= NEAR_WORDS)
-                docs.append((d, first))
-                if n > LONG_WORDS:
-                    at = cuts(own)
-                    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                        starts.append(done + a)
-                        lengths.append(b - a)
-                        near.append(False)
-                        docs.append((d, first))
-            done += n
+        lines = told_lines(text)
+        words = list(chain.from_iterable(lines))
+        if not words:
+            continue
+        own = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        hashes.append(own)
+        ends = [0, *cuts(own).tolist(), len(own)]
+        pieces = list(zip(ends[:-1], [b - a for a, b in zip(ends[:-1], ends[1:], strict=True)], strict=True))
+        blocks = paragraph_places(list(map(len, lines)))
+        for kind, found in ((False, pieces), (True, blocks)):
+            starts += [done + a for a, _ in found]
+            lengths += [n for _, n in found]
+            near += [kind] * len(found)
+            docs += [(d, done)] * len(found)
+        done += len(own)
     if not starts:
         return {}
     h, s, k, isnear = np.concatenate(hashes), np.array(starts), np.array(lengths), np.array(near)
@@ -106,10 +132,9 @@ def units(texts: list[str], known: WordHashes) -> dict[str, np.ndarray]:
     bands = np.zeros((len(s), BANDS), np.int64)
     if isnear.any():
         size = k[isnear] - SHINGLE_WORDS + 1
-        owner = np.repeat(np.arange(len(size)), size)
         place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        every = shingle_hashes(h)  # shingles that run over a line's end are not looked up
-        bands[isnear] = sketches(every[np.repeat(s[isnear], size) + place], owner, len(size))
+        every = shingle_hashes(h)  # shingles that run over a paragraph's end are not looked up
+        bands[isnear] = sketches(every[np.repeat(s[isnear], size) + place], size)
     return out | {f"b{i}": bands[:, i] for i in range(BANDS)}
 
 
@@ -139,8 +164,7 @@ def told_shingles(docs: DataFrame, places: DataFrame) -> DataFrame:
     """(key, shingles) of the paragraphs at (key, doc_id, text_hash, start, n)."""
     grouped = places.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("key", "start", "n")).alias("places"))
     grouped = cut(grouped, "places").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "places")
-    small = F.broadcast(grouped) if grouped.limit(300_001).count() <= 300_000 and places.limit(1_000_001).count() <= 1_000_000 else grouped
-    found = docs.join(small, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).select("text", F.col("places.key").alias("keys"), F.col("places.start").alias("starts"), F.col("places.n").alias("ns"))
+    found = docs.join(sized(grouped), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).select("text", F.col("places.key").alias("keys"), F.col("places.start").alias("starts"), F.col("places.n").alias("ns"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
@@ -154,54 +178,120 @@ def told_shingles(docs: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def near_labels(docs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
-    """(key, label) of the lines that are near copies of others; keys are the first hashes of paragraphs."""
-    texts = lines.filter("near").groupBy("k1").agg(*[F.first(f"b{i}").alias(f"b{i}") for i in range(BANDS)])
+    """(key, label) of the paragraphs that are near copies of others; keys are the first hashes of paragraphs."""
+    texts = lines.groupBy("k1").agg(*[F.first(f"b{i}").alias(f"b{i}") for i in range(BANDS)])
     buckets = texts.select(F.col("k1").alias("key"), F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("bucket"))
     pivots = cut(buckets.groupBy("bucket").agg(F.min("key").alias("pivot"), F.count("*").alias("times")).filter("times > 1").drop("times"), "line-pivots")
-    pairs = cut(buckets.join(sized(pivots), "bucket").filter("key != pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct(), "line-pairs")
+    buckets = cut(buckets.join(sized(pivots), "bucket"), "line-buckets")
+    pairs = cut(buckets.filter("key != pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct(), "line-pairs")
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "line-wanted")
-    places = lines.filter("near").join(sized(wanted), F.col("k1") == F.col("key")).groupBy("key").agg(F.min(F.struct("doc_id", "text_hash", "start", "n")).alias("p")).select("key", "p.*")
+    places = lines.join(sized(wanted), F.col("k1") == F.col("key")).groupBy("key").agg(F.min(F.struct("doc_id", "text_hash", "start", "n")).alias("p")).select("key", "p.*")
     sets = cut(told_shingles(docs, cut(places, "line-places")).dropDuplicates(["key"]), "line-sets")
-    return components(cut(verified(pairs, sets, similarity), "line-links"), "lines")
+    labels = components(cut(verified(pairs, sets, similarity), "line-links"), "lines")
+    # members of a bucket that their pivot leaves apart
+    more = cut(verified(cut(exact_pairs(opened(buckets, labels), sets, similarity), "line-pairs"), sets, similarity), "line-links")
+    return joined(labels, more) if more.limit(1).count() else labels
+
 
+def place_key(place: Column) -> Column:
+    return F.concat_ws(":", F.coalesce(place["doc_id"].cast("string"), F.lit("-")), place["text_hash"].cast("string"))
 
-def repeats(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, start_word, n_words, class_id, class_size, removed): each repeated paragraph of a repeated passage.
 
-    class_id is the smallest doc_id with a paragraph of the class, class_size its paragraphs; ``removed`` is false for
-    the first occurrence only (by doc_id with nulls first, text hash, position). A class has paragraphs of at least two
-    different documents; rows equal in doc_id and text are one document. Null and empty texts have no paragraphs;
-    other columns are left out. An empty table gives no rows.
+def around(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(place, pos, right, words): hashes of the words right of each place of a text, or left of it from there outwards."""
+    grouped = wanted.groupBy("place").agg(F.collect_list(F.struct("pos", "right")).alias("ends"))
+    texts = docs.withColumn("place", place_key(F.struct("doc_id", "text_hash"))).join(sized(cut(grouped, "ends")), "place").select("place", "text", F.col("ends.pos").alias("pos"), F.col("ends.right").alias("right"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = WordHashes()
+        for frame in frames:
+            for place, text, pos, right in frame.itertuples(index=False):
+                words = told_words(text)
+                sides = [words[p : p + REACH] if r else words[max(0, p - REACH) : p][::-1] for p, r in zip(pos, right, strict=True)]
+                found = [np.array([known[w] for w in x], np.uint64).view(np.int64) for x in sides]
+                yield pd.DataFrame({"place": place, "pos": pos, "right": right, "words": found})
+
+    return texts.mapInPandas(run, "place string, pos int, right boolean, words array<long>").dropDuplicates(["place", "pos", "right"])
+
+
+def stretched(docs: DataFrame, islands: DataFrame) -> DataFrame:
+    """(place, island, left, right): words by which islands (place, island, s, e, ends) go on at either side.
+
+    ``ends`` are (right, own position, place and position of another occurrence).
+    """
+    ends = cut(islands.select("place", "island", F.explode("ends").alias("x")).select("place", "island", "x.*"), "island-ends")
+    wanted = ends.select("place", F.col("own").alias("pos"), "right").union(ends.select("other", "at", "right")).distinct()
+    words = cut(around(docs, wanted), "around")
+    own = words.select("place", F.col("pos").alias("own"), "right", F.col("words").alias("a"))
+    other = words.select(F.col("place").alias("other"), F.col("pos").alias("at"), "right", F.col("words").alias("b"))
+    both = ends.join(own, ["place", "own", "right"]).join(sized(other), ["other", "at", "right"])
+    alike = F.zip_with("a", "b", lambda x, y: F.coalesce(x == y, F.lit(False)))
+    length = F.when(F.array_position(alike, False) > 0, F.array_position(alike, False) - 1).otherwise(F.size(alike)).cast("int")
+    longest = lambda r: F.coalesce(F.max(F.when(F.col("right") == r, length)), F.lit(0))
+    return both.groupBy("place", "island").agg(longest(False).alias("before"), longest(True).alias("after"))
+
+
+def repeats(docs: DataFrame, *, similarity: float = SIMILARITY, words: int = PASSAGE_WORDS) -> DataFrame:
+    """(doc_id, text_hash, start_word, n_words, class_id, class_size, removed): each unit of passages of ``words`` or more.
+
+    class_id is the smallest doc_id with a unit of the class, class_size its units; ``removed`` is false for the first
+    occurrence only (by doc_id with nulls first, text hash, position). A class has units of at least two different
+    documents; rows equal in doc_id and text are one document, so what repeats within one is left alone. Null and empty
+    texts have no units; other columns are left out. An empty table gives no rows.
     """
     rows = only(docs, doc_id="long", text="string").dropna(subset=["text"]).withColumn("text_hash", F.xxhash64("text"))
     found = cut(paragraphs(rows.select("doc_id", "text_hash", "text")), "paragraphs")
-    place = F.struct("doc_id", "text_hash")
-    labels = near_labels(rows, found, similarity)
-    # first by paragraph, where equal ones meet on the map side, then by class
-    each = found.groupBy("k1", "k2").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count("*").alias("times"), F.min(F.struct("doc_id", "text_hash", "start")).alias("first"))
-    each = each.join(sized(labels), each.k1 == labels.key, "left").select("k1", "k2", "low", "high", "times", "first", F.coalesce("label", "k1").alias("class"), F.col("label").isNotNull().alias("near"))
-    each = cut(each.filter("near or low != high"), "repeated")
-    classes = each.groupBy("class").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("times").alias("class_size"), F.min("low.doc_id").alias("class_id"), F.min("first").alias("first")).filter("low != high").select("class", "class_size", "class_id", "first")
-    each = cut(each.select("k1", "k2", "class").join(classes, "class"), "classes")
-    marked = found.select("doc_id", "text_hash", "k1", "k2", "start", "n").join(sized(each), ["k1", "k2"])
-    order = Window.partitionBy("doc_id", "text_hash").orderBy("start", "n")
-    reach = F.max(F.col("start") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    islands = marked.withColumn("opens", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = Window.partitionBy("doc_id", "text_hash", "island")
-    passages = islands.withColumn("words", F.max(F.col("start") + F.col("n")).over(whole) - F.min("start").over(whole)).filter(F.col("words") >= PASSAGE_WORDS)
+    labels = near_labels(rows, found.filter("near"), similarity)
+    # hashes alone tell which units stand in several documents; only these are looked at further
+    of = F.xxhash64("doc_id", "text_hash")
+    several = found.groupBy("k1").agg((F.min(of) != F.max(of)).alias("several")).filter("several").select("k1")
+    several = cut(several.union(labels.select("key")).distinct(), "several")
     own = F.struct("doc_id", "text_hash", "start")
-    return passages.select("doc_id", F.col("start").alias("start_word"), F.col("n").alias("n_words"), "class_id", "class_size", (~own.eqNullSafe(F.col("first"))).alias("removed"))
-
-
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) with the removed paragraphs cut out of the texts; rows equal in doc_id and text are cut alike."""
-    gone = repeats(docs).filter("removed").groupBy(F.col("doc_id").alias("d")).agg(F.collect_list(F.struct("start_word", "n_words")).alias("gone"))
-    rows = only(docs, doc_id="long", text="string").join(gone, F.col("doc_id").eqNullSafe(F.col("d")), "left").select("doc_id", "text", F.col("gone.start_word").alias("starts"), F.col("gone.n_words").alias("ns"))
+    met = cut(found.select("doc_id", "text_hash", "k1", "k2", "start", "n").join(sized(several), "k1").distinct(), "met")
+    each = met.groupBy("k1", "k2").agg(F.count("*").alias("times"), F.min(own).alias("first"), F.max(own).alias("last"))
+    each = each.join(sized(labels), each.k1 == labels.key, "left").select("k1", "k2", "times", "first", "last", F.coalesce("label", "k1").alias("class"))
+    each = cut(each, "repeated")
+    place = lambda x: F.struct(x["doc_id"].alias("doc_id"), x["text_hash"].alias("text_hash"))
+    classes = each.groupBy("class").agg(F.min("first").alias("class_first"), F.max("last").alias("class_last"), F.sum("times").alias("class_size")).filter(~place(F.col("class_first")).eqNullSafe(place(F.col("class_last"))))
+    each = cut(each.join(classes.drop("class_last"), "class"), "classes")
+    marked = met.join(sized(each), ["k1", "k2"]).withColumn("place", place_key(F.struct("doc_id", "text_hash")))
+    order = Window.partitionBy("place").orderBy("start", "n")
+    reach = F.max(F.col("start") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = marked.withColumn("opens", F.when(F.col("start") <= reach, 0).otherwise(1))
+    islands = cut(opens.withColumn("island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0))), "islands")
+    # the outermost units of each island that stand in several documents, with their first and last occurrence elsewhere
+    exact = ~place(F.col("first")).eqNullSafe(place(F.col("last")))
+    unit = F.struct("start", "n", "first", "last")
+    spans = islands.groupBy("place", "island").agg(F.min("start").alias("s"), F.max(F.col("start") + F.col("n")).alias("e"), F.min_by(unit, F.when(exact, F.col("start"))).alias("l"), F.max_by(unit, F.when(exact, F.col("start") + F.col("n"))).alias("r"))
+
+    def sides(u: Column, right: bool, end: Column) -> Column:
+        at = u["start"] + u["n"] if right else u["start"]
+        some = [F.struct(F.lit(right).alias("right"), end.alias("own"), place_key(u[x]).alias("other"), (u[x]["start"] + (u["n"] if right else 0)).alias("at")) for x in ("first", "last")]
+        return F.when(at == end, F.filter(F.array(*some), lambda x: x["other"] != F.col("place"))).otherwise(F.array().cast("array<struct<right:boolean,own:int,other:string,at:int>>"))
+
+    spans = cut(spans, "spans")
+    ends = spans.select("place", "island", F.concat(sides(F.col("l"), False, F.col("s")), sides(F.col("r"), True, F.col("e"))).alias("ends"))
+    beyond = cut(stretched(rows, ends), "beyond")
+    spans = spans.select("place", "island", "s", "e").join(sized(beyond), ["place", "island"], "left").fillna(0, ["before", "after"]).filter(F.col("e") - F.col("s") + F.col("before") + F.col("after") >= words)
+    kept = islands.join(sized(cut(spans, "passages")), ["place", "island"])
+    first = F.col("start") == F.col("s")
+    start = F.col("start") - F.when(first, F.col("before")).otherwise(0)
+    end = F.col("start") + F.col("n") + F.when(F.col("start") + F.col("n") == F.col("e"), F.col("after")).otherwise(0)
+    return kept.select("doc_id", "text_hash", start.alias("start_word"), (end - start).alias("n_words"), F.col("class_first.doc_id").alias("class_id"), "class_size", (~own.eqNullSafe(F.col("class_first"))).alias("removed"))
+
+
+def without_repeats(docs: DataFrame, *, words: int = PASSAGE_WORDS) -> DataFrame:
+    """(doc_id, text) with the removed units cut out of the texts; rows equal in doc_id and text are cut alike.
+
+    Null and empty texts stay as they are; an empty table gives no rows.
+    """
+    gone = repeats(docs, words=words).filter("removed").groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.collect_list(F.struct("start_word", "n_words")).alias("gone"))
+    rows = only(docs, doc_id="long", text="string").withColumn("text_hash", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left").select("doc_id", "text", F.col("gone.start_word").alias("starts"), F.col("gone.n_words").alias("ns"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts = [t if s is None or t is None else drop_words(t, s, n) for t, s, n in zip(frame["text"], frame["starts"], frame["ns"], strict=True)]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "text": texts})
+            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "text": texts})
 
     return rows.mapInPandas(run, "doc_id long, text string")
 

@@ -493,3 +493,81 @@ def test_sized_counts_bytes(spark):
     plan = lambda df: df._jdf.queryExecution().logical().toString()
     assert "broadcast" in plan(common.sized(small)).lower()
     assert "broadcast" not in plan(common.sized(small, size=10)).lower() and "broadcast" not in plan(common.sized(small.union(small), rows=1)).lower()
+
+
+def made_words(seed):
+    rng = random.Random(seed)
+    return lambda n: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(n)]
+
+
+def wrapped(words, width):
+    return "\n".join(" ".join(words[i : i + width]) for i in range(0, len(words), width))
+
+
+def longest_shared(a, b):
+    """Words of the longest stretch that both have, by brute force."""
+    best, row = 0, [0] * (len(b) + 1)
+    for x in a:
+        row = [0] + [row[j] + 1 if x == y else 0 for j, y in enumerate(b)]
+        best = max(best, *row)
+    return best
+
+
+def test_passages_in_other_lines_and_surroundings(spark):
+    say = made_words(7)
+    rows, want = [], set()
+    for i in range(120):
+        n = 30 + i % 60  # words of the passage; 50 are reported
+        passage = say(n)
+        for j in (0, 1):
+            words = say(20 + (7 * i + 13 * j) % 60) + passage + say(15 + (11 * i + 5 * j) % 50)
+            rows.append((2 * i + j, wrapped(words, (13, 15, 3, 200)[(i + j) % 4])))
+            if n >= 50:
+                want.add(2 * i + j)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substrings.repeats(docs, words=50).collect()
+    found = {r.doc_id for r in got}
+    texts = {i: t.split() for i, t in rows}
+    assert all(longest_shared(texts[i], texts[i ^ 1]) >= 50 for i in found)
+    assert len(want - found) <= 0.03 * len(want)
+    # the ends are exact
+    ends = defaultdict(lambda: [10**9, 0])
+    for r in got:
+        ends[r.doc_id] = [min(ends[r.doc_id][0], r.start_word), max(ends[r.doc_id][1], r.start_word + r.n_words)]
+    assert np.mean([b - a == 30 + i // 2 % 60 for i, (a, b) in ends.items()]) > 0.95
+    assert {r.doc_id for r in got if r.removed} == {i for i in found if i % 2}
+
+
+def test_passages_of_odd_rows(spark):
+    say = made_words(9)
+    passage = " ".join(say(60))
+    rows = [(1, "\u0130 one " + passage + " tail", "x", 1), (2, passage + " other", "x", 1), (3, " ".join(say(30)), "x", 1), (3, " ".join(say(8)) + " " + passage, "x", 1), (None, passage, "x", 1), (None, passage, "x", 1), (None, None, "x", 1), (5, "", "x", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, place string, island int")
+    got = substrings.repeats(docs).collect()
+    assert {r.doc_id for r in got} == {None, 1, 2, 3} and not any(r.removed for r in got if r.doc_id is None)
+    left = substrings.without_repeats(docs).collect()
+    assert len(left) == len(rows) and sorted(r.text for r in left if r.doc_id == 1) == ["\u0130 one  tail"]
+    assert sorted(len((r.text or "").split()) for r in left if r.doc_id == 3) == [8, 30]
+
+
+def test_near_paragraphs_in_a_crowd(spark):
+    """Every link at 0.8 of a crowd below it is in one class."""
+    rng = random.Random(3)
+    say = made_words(11)
+    base = say(40)
+    lines = []
+    for i in range(150):
+        other = list(base)
+        for p in rng.sample(range(40), 2):
+            other[p] = say(1)[0]
+        lines += [other, [*other[:-1], say(1)[0]]]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(lines)], "doc_id long, text string")
+    rows = docs.withColumn("text_hash", F.xxhash64("text"))
+    found = substrings.paragraphs(rows.select("doc_id", "text_hash", "text")).filter("near")
+    labels = {r.key: r.label for r in substrings.near_labels(rows, common.cut(found, "lines"), 0.8).collect()}
+    keys = {r.doc_id: r.k1 for r in found.collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(36)} for w in lines]
+    for i in range(len(lines)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+                assert labels[keys[i]] == labels[keys[j]]
