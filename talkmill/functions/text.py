@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed value: the parent that exports name for a message at the head of a tree.
+# The parent that exports name for a message at the head of a tree, and the header of a summary.
 ROOT = "00000000-0000-4000-8000-000000000000"
+OVERVIEW = r"(?i)^\s*\*\*conversation overview\*\*\s*\n+"
 
 
 def strip(text: Column) -> Column:
@@ -52,7 +53,7 @@ def preview(text: Column, n: int = 90) -> Column:
 
 def clean_summary(text: Column) -> Column:
     """Without a leading bold 'conversation overview' line."""
-    return F.regexp_replace(text, r"(?i)^\s*\*\*conversation overview\*\*\s*\n+", "")
+    return F.regexp_replace(text, OVERVIEW, "")
 
 
 def word_pattern(terms: list[str]) -> str | None:

@@ -54,8 +54,8 @@ def lift(spark: SparkSession, sf_dir: str) -> Archive:
     )
     meta = meta.select(F.col("conv_uuid").alias("uuid"), F.when(number % 11 != 0, F.col("name")).alias("name"), F.when(number % 7 != 0, F.col("summary")).alias("summary"), "created_at", "updated_at", "n_messages")
     chunks = messages.filter(F.length(strip(F.col("text"))) >= 12).select(F.col("uuid").alias("msg_uuid"), "conv_uuid", F.lit(0).alias("seq"), "sender", "created_at", "text", content_sha256(F.col("text")).alias("text_sha256"), F.col("seq").alias("turn"))
-    keyed = chunks.groupBy("text_sha256").agg(F.min((number * 31 + F.col("turn")) % 500).cast("bigint").alias("vec_id"))
     embeddings = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    keyed = chunks.groupBy("text_sha256").agg(F.min((number * 31 + F.col("turn")) % max(embeddings.count(), 1)).cast("bigint").alias("vec_id"))
     vectors = keyed.join(embeddings, "vec_id").select("text_sha256", F.col("embedding").cast("array<double>").alias("embedding"), "label")
     first = chunks.filter("turn = 0").join(vectors, "text_sha256").select("conv_uuid", F.concat(F.lit("cat-"), F.col("label").cast("string")).alias("slug"), (number % 5).alias("kind"))
     tags = first.filter("kind < 4").select(
@@ -87,7 +87,7 @@ convs as (
 chunks as (select uuid as msg_uuid, conv_uuid, seq as turn, sender, created_at, text, sha256(text) as text_sha256 from messages where length(trim(text)) >= 12),
 vectors as (
   select k.text_sha256, list_transform(e.embedding, lambda x: cast(x as double)) as embedding, e.label
-  from (select text_sha256, min((cast(conv_uuid as int) * 31 + turn) % 500) as vec_id from chunks group by text_sha256) k join embeddings e using (vec_id)),
+  from (select text_sha256, min((cast(conv_uuid as int) * 31 + turn) % (select count(*) from embeddings)) as vec_id from chunks group by text_sha256) k join embeddings e using (vec_id)),
 tags as (
   select conv_uuid, 'cat-' || label as slug, [0.9, 0.78, 1.0, 0.7][cast(conv_uuid as int) % 5 + 1]::double as confidence,
     ['keyword', 'topic', 'user', 'keyword-purpose'][cast(conv_uuid as int) % 5 + 1] as method

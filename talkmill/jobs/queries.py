@@ -58,6 +58,14 @@ def search_fulltext(a: Archive) -> DataFrame:
     return best.orderBy(F.desc("score"), "conv_uuid").limit(50).select("conv_uuid", "score", "name", day("updated_at").alias("updated_at"), "n_messages")
 
 
+@query()
+def search_english(a: Archive) -> DataFrame:
+    """The keyword search that users make: English lexemes in all fields, a page with fragments."""
+    asked = 'the eres OR things -onre'
+    hits = search.search_hits(a.messages, a.conversations, a.chunks, a.vectors, asked, "word", search.FIELDS["word"])
+    return search.search_page(hits, a.conversations, asked, "word").select("conv_uuid", "msg_uuid", "field", F.round("score", 4).alias("score"), "snippet")
+
+
 @query(f"""
 , hits as (select conv_uuid from messages where list_contains({TOKENS_SQL}, 'the') and list_contains({TOKENS_SQL}, 'of') and not list_contains({TOKENS_SQL}, 'with')
   union select uuid from (select uuid, name as text from convs) where list_contains({TOKENS_SQL}, 'the') and list_contains({TOKENS_SQL}, 'of') and not list_contains({TOKENS_SQL}, 'with'))
@@ -76,14 +84,15 @@ def match_phrase(a: Archive) -> DataFrame:
 
 
 @query(f"""
-, terms as (select distinct item_id as query_id, unnest({TOKENS_SQL}[1:2]) as term from benchmark),
+, terms as (select distinct uuid as query_id, unnest({TOKENS_SQL}) as term from messages where seq = 0),
 sizes as (select query_id, count(*) as terms from terms group by query_id),
 posted as (select uuid as msg_uuid, unnest({TOKENS_SQL}) as term from messages),
 seen as (select query_id, terms, msg_uuid, term, count(*) as n from posted join terms using (term) join sizes using (query_id) group by all),
 found as (select query_id, msg_uuid, sum((select sum(1.0::double / (k * k)) from range(1, n + 1) r(k))) * (0.1::double / 1.64493406685) / terms as score from seen group by query_id, msg_uuid, terms having count(*) = terms)
 select query_id, msg_uuid, round(score, 4) as score from found""")
 def match_batch(a: Archive) -> DataFrame:
-    asked = a.bench.select(F.col("item_id").alias("query_id"), F.explode(F.slice(tokens(F.col("text")), 1, 2)).alias("term"))
+    """Messages that hold all words of a conversation's opening message."""
+    asked = a.messages.filter("seq = 0").select(F.col("uuid").alias("query_id"), F.explode(tokens(F.col("text"))).alias("term"))
     return search.match_batch(a.messages.withColumnRenamed("uuid", "msg_uuid"), asked).select("query_id", "msg_uuid", F.round("score", 4).alias("score"))
 
 
@@ -137,6 +146,24 @@ def search_semantic(a: Archive) -> DataFrame:
     return search.best_hits(semantic_found(a)).select("conv_uuid", F.round("score", 4).alias("score"))
 
 
+@query("""
+, q as (select list_transform(embedding, lambda x: cast(x as double)) as v from embeddings where vec_id = 0),
+hits as (select conv_uuid, msg_uuid, text, list_cosine_similarity(embedding, v) as score from chunks join vectors using (text_sha256), q),
+best as (select *, row_number() over (partition by conv_uuid order by score desc, msg_uuid desc) as n from hits where score >= 0.4)
+select conv_uuid, msg_uuid, round(score, 4) as score, substr(text, 1, 300) as snippet, name from best join convs on conv_uuid = convs.uuid where n = 1 order by best.score desc, updated_at desc nulls last, conv_uuid limit 50""")
+def search_page_semantic(a: Archive) -> DataFrame:
+    """The first page of a semantic search, with snippets."""
+    vector = a.embeddings.filter("vec_id = 0").select(F.col("embedding").cast("array<double>").alias("v")).first().v
+    hits = search.search_hits(a.messages, a.conversations, a.chunks, a.vectors, "", "semantic", vector=vector)
+    return search.search_page(hits, a.conversations, "", "semantic").select("conv_uuid", "msg_uuid", F.round("score", 4).alias("score"), "snippet", "name")
+
+
+@query()
+def search_page_char(a: Archive) -> DataFrame:
+    hits = search.search_hits(a.messages, a.conversations, a.chunks, a.vectors, "tionand", "char", ["title", "you"])
+    return search.search_page(hits, a.conversations, "tionand", "char").select("conv_uuid", "msg_uuid", "field", F.round("score", 4).alias("score"), "snippet")
+
+
 @query(SEMANTIC_SQL + "select count(*) as n from (select conv_uuid from hits group by conv_uuid having max(score) >= 0.25)")
 def count_semantic(a: Archive) -> DataFrame:
     return search.distinct_conversations(semantic_found(a))
@@ -208,11 +235,9 @@ def lookup_conversations(a: Archive) -> DataFrame:
     return browse.lookup(a.conversations, a.bench.select((F.col("item_id") * 3).cast("string").alias("uuid"))).select("uuid", "name")
 
 
-@query("select conv_uuid, array_to_string(list(text order by seq), '|') as raws from messages where cast(conv_uuid as int) % 10 = 0 group by conv_uuid")
+@query("select conv_uuid, '[' || string_agg(text, ',' order by seq) || ']' as raw from messages group by conv_uuid")
 def raw_transcript(a: Archive) -> DataFrame:
-    own = a.messages.filter(F.col("conv_uuid").cast("int") % 10 == 0)
-    rows = F.array_sort(F.collect_list(F.struct("seq", "text")))
-    return own.groupBy("conv_uuid").agg(rows.alias("r")).select("conv_uuid", F.array_join("r.text", "|").alias("raws"))
+    return transcript.raw_transcript(a.messages.withColumnRenamed("text", "raw"))
 
 
 @query("select uuid, sha256(text) as digest, substr(regexp_replace(text, '\\s+', ' ', 'g'), 1, 90) as preview from messages")
@@ -251,9 +276,9 @@ def newest_leaf_per_node(a: Archive) -> DataFrame:
     return tree.newest_leaf_per_node(a.messages)
 
 
-@query(TREE_SQL + "select uuid, leaf from node where uuid like '%:1'")
+@query(TREE_SQL + "select uuid, leaf from node where uuid in (select uuid from messages where sender = 'human')")
 def newest_leaf_for_messages(a: Archive) -> DataFrame:
-    return tree.newest_leaf_for(a.messages, a.messages.filter("seq = 1").select("uuid")).select("uuid", "leaf")
+    return tree.newest_leaf_for(a.messages, a.messages.filter(browse.sender_scope({"you"})).select("uuid")).select("uuid", "leaf")
 
 
 @query(TREE_SQL + "select conv_uuid, up.leaf, cast(max(up) over (partition by up.leaf) - up as int) as depth, uuid from up join newest using (conv_uuid, leaf)")
@@ -296,9 +321,9 @@ def branch_count(a: Archive) -> DataFrame:
 
 
 @query(TREE_SQL + """
-select m.uuid as msg_uuid, node.leaf as deep_leaf, node.leaf is distinct from newest.leaf as side_branch from messages m join node using (conv_uuid, uuid) join newest using (conv_uuid) where m.seq % 3 = 1""")
+select m.uuid as msg_uuid, node.leaf as deep_leaf, node.leaf is distinct from newest.leaf as side_branch from messages m join node using (conv_uuid, uuid) join newest using (conv_uuid)""")
 def deep_links(a: Archive) -> DataFrame:
-    hits = a.messages.filter("seq % 3 = 1").select("conv_uuid", F.col("uuid").alias("msg_uuid"))
+    hits = a.messages.select("conv_uuid", F.col("uuid").alias("msg_uuid"))
     return tree.deep_links(hits, a.messages).select("msg_uuid", "deep_leaf", "side_branch")
 
 
@@ -374,11 +399,15 @@ def semantic_pass(a: Archive) -> DataFrame:
     return classify.semantic_proposals(decided(a), a.taxonomy, 0.1).select(*curation.TAG)
 
 
-@query(MEANS_SQL + "select own.conv_uuid, slug, round(list_cosine_similarity(own.centroid, category.centroid), 4) as sim from own, category where cast(own.conv_uuid as int) % 4 = 0 and list_cosine_similarity(own.centroid, category.centroid) >= 0.2")
+@query(MEANS_SQL + """
+, near as (select own.conv_uuid, slug, list_cosine_similarity(own.centroid, category.centroid) as sim from own, category),
+kept as (select near.* from near join convs on convs.uuid = conv_uuid join taxonomy using (slug) where sim >= 0.2
+  and (date_start is null or date_end is null or coalesce(cast(created_at as date) between date_start and date_end, false)))
+select conv_uuid, slug, round(sim, 4) as sim, cast(row_number() over (partition by conv_uuid order by sim desc, slug) as int) as rank from kept""")
 def predictions(a: Archive) -> DataFrame:
     own = semantic.conversation_centroids(a.chunks, a.vectors)
-    targets = a.conversations.filter(F.col("uuid").cast("int") % 4 == 0).select(F.col("uuid").alias("conv_uuid"))
-    return semantic.predictions(own, classify.seed_sets(a.tags), targets).select("conv_uuid", "slug", F.round("sim", 4).alias("sim"))
+    targets = a.conversations.select(F.col("uuid").alias("conv_uuid"), "created_at")
+    return semantic.predictions(own, classify.seed_sets(a.tags), targets, a.taxonomy).select("conv_uuid", "slug", F.round("sim", 4).alias("sim"), "rank")
 
 
 # -- classifier and curation -------------------------------------------------------------------------------------------
@@ -464,9 +493,9 @@ def in_window(a: Archive) -> DataFrame:
     return a.conversations.withColumn("one", F.lit(1)).join(F.broadcast(kinds), "one").select("uuid", "created_at", F.explode("t").alias("t")).select(F.col("uuid").alias("conv_uuid"), "created_at", "t.*").filter(inside).select("slug", "conv_uuid")
 
 
-@query("select slug, coalesce(date_diff('day', date_start, date_end), 1000000000) as span from taxonomy")
+@query("select conv_uuid, slug, coalesce(date_diff('day', date_start, date_end), 1000000000) as span from tags join taxonomy using (slug)")
 def window_span(a: Archive) -> DataFrame:
-    return a.taxonomy.select("slug", classify.window_span(F.col("date_start"), F.col("date_end")).cast("bigint").alias("span"))
+    return a.tags.join(a.taxonomy, "slug").select("conv_uuid", "slug", classify.window_span(F.col("date_start"), F.col("date_end")).cast("bigint").alias("span"))
 
 
 @query("select * from tags where method = 'user' or method not in ('keyword')")
@@ -614,6 +643,64 @@ def message_texts(a: Archive) -> DataFrame:
     return normalize.message_texts(normalize.explode_messages(raw_export(a))).select("uuid", "text", "tool_text")
 
 
+# The same with all that a message can hold: thinking, an uploaded file that is viewed, calls, and attachments.
+FILES_SQL = r"""
+, viewed as (select *, concat('[uploaded file: f', seq, '.md]', chr(10), 'T', chr(10), substr(text, 1, 40), chr(10), 'site') as file from messages),
+parts as (select uuid, [text, case when seq % 4 = 1 then file end, case when seq % 3 = 0 then '[attachment: note]' || chr(10) || regexp_replace(substr(text, 1, 50), '^\s+|\s+$', '', 'g') end,
+    case when seq % 3 = 0 then '[attachment: paper.PDF]' || chr(10) || 'page' end] as prose,
+  [case when seq % 4 = 1 then 'view' || chr(10) || '{"path": "/mnt/user-data/uploads/f' || seq || '.md"}' end, case when seq % 4 = 2 then 'bash' || chr(10) || '{"cmd": "a:b,c", "n": 2}' end,
+    case when seq % 4 = 2 then substr(text, 1, 30) end, case when seq % 3 = 0 then '[attachment: data.csv]' || chr(10) || '1,2' end] as tools from viewed)
+select uuid, regexp_replace(array_to_string(list_filter(prose, lambda x: x is not null), chr(10)), '^\s+|\s+$', '', 'g') as text,
+  nullif(regexp_replace(array_to_string(list_filter(tools, lambda x: x is not null), chr(10)), '^\s+|\s+$', '', 'g'), '') as tool_text from parts
+"""
+
+
+def filled_messages(a: Archive) -> DataFrame:
+    """Exploded raw messages, one conversation's raw export each."""
+    block = lambda kind, *columns: F.to_json(F.struct(F.lit(kind).alias("type"), *columns))
+    at = lambda n, k, x: F.when(F.col("seq") % n == k, x)
+    name = F.concat(F.lit("f"), F.col("seq").cast("string"), F.lit(".md"))
+    path = F.struct(F.concat(F.lit(normalize.UPLOADS), name).alias("path"))
+    item = F.struct(F.lit("T").alias("title"), F.concat(F.lit("    12\t"), F.substring("text", 1, 40)).alias("text"), F.struct(F.lit("site").alias("site_name")).alias("metadata"))
+    content = [
+        block("text", F.col("text")),
+        block("thinking", F.lit("hm").alias("text")),
+        at(4, 1, block("tool_use", F.col("uuid").alias("id"), F.lit("view").alias("name"), path.alias("input"))),
+        at(4, 1, block("tool_result", F.col("uuid").alias("tool_use_id"), F.array(item).alias("content"))),
+        at(4, 2, block("tool_use", F.lit("b").alias("id"), F.lit("bash").alias("name"), F.lit("runs").alias("message"), F.struct(F.lit("a:b,c").alias("cmd"), F.lit(2).alias("n")).alias("input"))),
+        at(4, 2, block("tool_result", F.lit("b").alias("tool_use_id"), F.substring("text", 1, 30).alias("content"))),
+    ]
+    file = lambda name, kind, body: F.to_json(F.struct(F.lit(name).alias("file_name"), F.lit(kind).alias("file_type"), body.alias("extracted_content")))
+    attached = [file("note", "text/plain", F.concat(F.lit(" \n"), F.substring("text", 1, 50), F.lit("  "))), file("paper.PDF", "binary", F.lit("page")), file("data.csv", "csv", F.lit("1,2\n")), file("blank.txt", "txt", F.lit(" \n "))]
+    listed = lambda parts: F.concat(F.lit("["), F.array_join(F.filter(F.array(*parts), lambda x: x.isNotNull()), ","), F.lit("]"))
+    message = F.concat(F.lit('{"uuid":"'), "uuid", F.lit('","content":'), listed(content), F.lit(',"attachments":'), listed([at(3, 0, x) for x in attached]), F.lit("}"))
+    own = a.messages.select("conv_uuid", "seq", message.alias("m")).groupBy("conv_uuid").agg(F.array_sort(F.collect_list(F.struct("seq", "m"))).alias("ms"))
+    raw = own.select(F.concat(F.lit('{"uuid":"'), "conv_uuid", F.lit('","chat_messages":['), F.array_join("ms.m", ","), F.lit("]}")).alias("raw"))
+    return normalize.explode_messages(raw)
+
+
+@query(FILES_SQL)
+def message_files(a: Archive) -> DataFrame:
+    return normalize.message_texts(filled_messages(a)).select("uuid", "text", "tool_text")
+
+
+@query("""
+, kinds as (select conv_uuid, uuid, unnest(case seq % 4 when 1 then [{k: 'text', t: null, b: text}, {k: 'thinking', t: null, b: 'hm'}, {k: 'call', t: 'view', b: '{"path":"/mnt/user-data/uploads/f' || seq || '.md"}'}]
+  when 2 then [{k: 'text', t: null, b: text}, {k: 'thinking', t: null, b: 'hm'}, {k: 'call', t: 'bash', b: 'runs'}, {k: 'result', t: 'b', b: substr(text, 1, 30)}]
+  else [{k: 'text', t: null, b: text}, {k: 'thinking', t: null, b: 'hm'}] end) as x from messages)
+select conv_uuid, uuid, x.k as kind, x.t as title, x.b as body from kinds""")
+def transcript_kinds(a: Archive) -> DataFrame:
+    """All blocks but the results that are lists, whose JSON the engines write differently."""
+    return transcript.blocks(filled_messages(a)).filter("kind != 'result' or title = 'b'").select("conv_uuid", "uuid", "kind", "title", "body")
+
+
+@query("""
+, files as (select conv_uuid, uuid, unnest([{n: 'note', b: ' ' || chr(10) || substr(text, 1, 50) || '  '}, {n: 'paper.PDF', b: 'page'}, {n: 'data.csv', b: '1,2' || chr(10)}, {n: 'blank.txt', b: ' ' || chr(10) || ' '}]) as x from messages where seq % 3 = 0)
+select conv_uuid, uuid, x.n as name, x.b as body, 0::bigint as more from files""")
+def attachment_listing(a: Archive) -> DataFrame:
+    return transcript.attachments(filled_messages(a)).select("conv_uuid", "uuid", "name", "body", F.col("more").cast("bigint").alias("more"))
+
+
 @query("select uuid as msg_uuid, 0 as seq, sha256(trim(text)) as text_sha256 from messages where length(trim(text)) >= 12")
 def derive_chunks(a: Archive) -> DataFrame:
     found = normalize.derive_chunks(normalize.message_texts(normalize.explode_messages(raw_export(a))))

@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 from talkmill.functions.chunk import MAX_CHARS, chunked
 from talkmill.functions.text import content_sha256, head_or_parent, messages_digest, parse_ts, strip
 
-# File types and suffixes of documents that people write, and the folder of uploaded files.
-PROSE_TYPES = ("doc", "docx", "htm", "html", "md", "pdf", "rtf", "txt")
-PROSE_NAME = r"(?i)\.(docx?|html?|md|pdf|rtf|txt)$"
+# File types and suffixes of documents that people write, the folder of uploaded files, the numbers that
+# the view tool puts before lines, and JSON values that count as no input.
+PROSE_TYPES = ["application/pdf", "doc", "docx", "html", "md", "pdf", "rtf", "text/html", "text/markdown", "text/plain", "txt"]
+PROSE_SUFFIXES = [".doc", ".docx", ".htm", ".html", ".md", ".pdf", ".rtf", ".txt"]
 UPLOADS = "/mnt/user-data/uploads/"
+LINE_NUMBER = r"(?m)^ *\d+\t"
+NO_INPUT = ["", "{}", "[]", "0", "false", "null"]
 #: Least characters of a text that is worth a vector.
 LEAST_CHARS = 12
 
@@ -116,11 +119,13 @@ def tool_result_text(block: Column) -> Column:
 
 
 def attachment_text(a: Column) -> Column:
-    """(prose, text) of an attachment with its label; null for a blank one."""
+    """(prose, text) of an attachment with its label, without white space around it; null for a blank one."""
     name = F.coalesce(F.nullif(member(a, "file_name"), F.lit("")), F.lit("document"))
-    body = member(a, "extracted_content")
-    prose = F.coalesce(F.lower(member(a, "file_type")).isin(*PROSE_TYPES), F.lit(False)) | name.rlike(PROSE_NAME)
-    return F.when(is_object(a) & (strip(F.coalesce(body, F.lit(""))) != ""), F.named_struct(F.lit("prose"), prose, F.lit("text"), F.concat(F.lit("[attachment: "), name, F.lit("]\n"), body)))
+    body = strip(F.coalesce(member(a, "extracted_content"), F.lit("")))
+    prose = F.coalesce(F.lower(member(a, "file_type")).isin(*PROSE_TYPES), F.lit(False))
+    for suffix in PROSE_SUFFIXES:
+        prose = prose | F.lower(name).endswith(suffix)
+    return F.when(is_object(a) & (body != ""), F.named_struct(F.lit("prose"), prose, F.lit("text"), F.concat(F.lit("[attachment: "), name, F.lit("]\n"), body)))
 
 
 def block_text(b: Column, views: Column) -> Column:
@@ -128,9 +133,10 @@ def block_text(b: Column, views: Column) -> Column:
     kind = member(b, "type")
     result = tool_result_text(b)
     mine = F.filter(views, lambda v: v["id"] == member(b, "tool_use_id"))
-    viewed = (F.size(mine) > 0) & ~F.coalesce(member(b, "is_error") == "true", F.lit(False))
-    upload = F.concat(F.lit("[uploaded file: "), F.element_at(mine, -1)["name"], F.lit("]\n"), F.regexp_replace(result, r"(?m)^ *\d+\t", ""))
-    call = F.concat_ws("\n", F.nullif(member(b, "name"), F.lit("")), F.nullif(member(b, "message"), F.lit("")), F.nullif(F.nullif(spaced(member(b, "input")), F.lit("{}")), F.lit("")))
+    viewed = (F.size(mine) > 0) & (result != "") & ~F.coalesce(member(b, "is_error") == "true", F.lit(False))
+    upload = F.concat(F.lit("[uploaded file: "), F.element_at(mine, -1)["name"], F.lit("]\n"), F.regexp_replace(result, LINE_NUMBER, ""))
+    given = member(b, "input")
+    call = F.concat_ws("\n", F.nullif(member(b, "name"), F.lit("")), F.when(~given.isin(*NO_INPUT), spaced(given)))
     part = lambda prose, text: F.named_struct(F.lit("prose"), F.lit(prose), F.lit("text"), text)
     return F.when(is_object(b) & (kind == "text"), part(True, member(b, "text"))).when(is_object(b) & (kind == "tool_use"), part(False, call)).when(is_object(b) & (kind == "tool_result") & viewed, part(True, upload)).when(is_object(b) & (kind == "tool_result"), part(False, result))
 

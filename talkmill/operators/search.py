@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talkmill.functions.english import lexeme, lexemes
 from talkmill.functions.text import cosine, tokens, trigrams
 from talkmill.operators.browse import HIT_SORTS, date_window, sender_scope, sorted_page
 
@@ -19,6 +20,10 @@ TOOL_CHARS, SNIPPET = 500_000, 300
 #: Weight of a plain lexeme, and the sum of 1/k**2 over all k, to which a term's score is set in proportion.
 WEIGHT, ZETA2 = 0.1, 1.64493406685
 STRICT_LEAST, COSINE_LEAST = 0.5, 0.4
+#: Results of a page; fields that a search looks through, by its mode; those of a search that names none that apply.
+PER_PAGE = 50
+FIELDS = {"word": ["title", "summary", "you", "assistant", "tools"], "char": ["title", "summary", "you", "assistant", "tools"], "semantic": ["you", "assistant"]}
+DEFAULT_FIELDS = ["you", "assistant"]
 
 
 @dataclass
@@ -49,12 +54,32 @@ def parse_websearch(text: str) -> Query:
     return query
 
 
+def english(query: Query) -> Query:
+    """The query in lexemes. Stop words ask for nothing: within a phrase they are places of any word, else they go."""
+
+    def kept(phrase: list[str]) -> list[str]:
+        own = [lexeme(w) for w in phrase]
+        told = [i for i, w in enumerate(own) if w]
+        return own[told[0] : told[-1] + 1] if told else []
+
+    clauses = [[p for p in map(kept, clause) if p] for clause in query.clauses]
+    return Query([c for c in clauses if c], [p for p in map(kept, query.without) if p])
+
+
 def has_phrase(words: Column, phrase: list[str]) -> Column:
-    """Whether the words stand next to each other somewhere in the array."""
+    """Whether the words stand next to each other somewhere in the array; '' in a phrase stands for any word."""
     found = F.array_contains(words, phrase[0])
     if len(phrase) == 1:
         return found
-    rest = F.exists(F.sequence(F.lit(0), F.greatest(F.size(words) - len(phrase), F.lit(0))), lambda i: F.slice(words, i + 1, len(phrase)) == F.array(*[F.lit(w) for w in phrase]))
+
+    def begins(i: Column) -> Column:
+        out = F.lit(True)
+        for j, word in enumerate(phrase):
+            if word:
+                out = out & F.coalesce(F.get(words, i + j) == word, F.lit(False))
+        return out
+
+    rest = F.exists(F.sequence(F.lit(0), F.greatest(F.size(words) - len(phrase), F.lit(0))), begins)
     return found & (F.size(words) >= len(phrase)) & rest
 
 
@@ -83,7 +108,7 @@ def distances(others: Column, own: Column) -> Column:
 def rank(words: Column, query: Query) -> Column:
     """Our fixed form of the relevance score: alternatives add up by how often they stand, terms that all must hold
     combine over the distances of their occurrences."""
-    terms = list(dict.fromkeys(w for clause in query.clauses for phrase in clause for w in phrase))
+    terms = list(dict.fromkeys(w for clause in query.clauses for phrase in clause for w in phrase if w))
     every = all(len(clause) == 1 for clause in query.clauses) and len(terms) > 1
     if not every:
         each = [F.aggregate(F.sequence(F.lit(1), F.size(places(words, t))), F.lit(0.0), lambda a, k: a + F.when(k > 0, 1.0 / (k * k).cast("double")).otherwise(F.lit(0.0))) for t in terms]
@@ -133,8 +158,14 @@ def paged(hits: DataFrame, conversations: DataFrame, sort: str = "best", limit:
     return sorted_page(best_hits(hits).join(meta, "conv_uuid"), HIT_SORTS, sort, "best", "conv_uuid", limit, offset)
 
 
-def fulltext_hits(source: DataFrame, query: Query) -> DataFrame:
-    words = source.withColumn("words", tokens(F.col("text"))).filter(matches(F.col("words"), query))
+def fulltext_hits(source: DataFrame, query: Query, stemmed: bool = False) -> DataFrame:
+    """Hits of the query, by words as they are written, or by English lexemes.
+
+    Stemming reads words in Python, once for each distinct one of a worker; the rest is built-in expressions.
+    """
+    words = tokens(F.col("text"))
+    words, query = (lexemes(words), english(query)) if stemmed else (words, query)
+    words = source.withColumn("words", words).filter(matches(F.col("words"), query))
     return words.select("conv_uuid", "msg_uuid", "field", "text", boosted(rank(F.col("words"), query), TITLE, SUMMARY).alias("score"))
 
 
@@ -158,15 +189,15 @@ def match_batch(source: DataFrame, queries: DataFrame, key: str = "msg_uuid", sm
     return found.select("query_id", key, (F.col("sum") * (WEIGHT / ZETA2) / F.col("terms")).alias("score"))
 
 
-def headline(words_around: int = 22, least: int = 8, fragments: int = 2):
+def headline(words_around: int = 22, least: int = 8, fragments: int = 2, stemmed: bool = False):
     """A pandas UDF (text, words) -> up to two fragments around matching words, which stand in [ ]; for one page only."""
 
     @F.pandas_udf("string")
     def make(texts: pd.Series, wanted: pd.Series) -> pd.Series:
         out = []
         for text, own in zip(texts, wanted, strict=True):
-            spans = [m.span() for m in re.finditer(r"[^\W_]+", text or "")]
-            hit = [i for i, (a, b) in enumerate(spans) if text[a:b].lower() in set(own)]
+            spans, own = [m.span() for m in re.finditer(r"[^\W_]+", text or "")], set(own)
+            hit = [i for i, (a, b) in enumerate(spans) if text[a:b].lower() in own or (stemmed and lexeme(text[a:b].lower()) in own)]
             parts, reach = [], -1
             for i in hit:
                 if i <= reach or len(parts) == fragments:
@@ -249,3 +280,33 @@ def semantic_hits(chunks: DataFrame, vectors: DataFrame, vector: list[float], fi
 
 def distinct_conversations(hits: DataFrame) -> DataFrame:
     return hits.agg(F.count_distinct("conv_uuid").alias("n"))
+
+
+def resolved(mode: str | None, fields: list[str] | None) -> tuple[str, set[str]]:
+    """The mode, ``word`` for one that doesn't exist, and the fields that apply in it, or else the default ones."""
+    mode = mode if mode in FIELDS else "word"
+    applied = {f for f in fields or DEFAULT_FIELDS if f in FIELDS[mode]}
+    return mode, applied or {f for f in DEFAULT_FIELDS if f in FIELDS[mode]}
+
+
+def search_hits(messages: DataFrame, conversations: DataFrame, chunks: DataFrame, vectors: DataFrame, text: str, mode: str | None = None, fields: list[str] | None = None, start: str | None = None, end: str | None = None, vector: list[float] | None = None) -> DataFrame:
+    """All hits of a search: by English words, by characters (trigrams) or by the vector of its text."""
+    mode, fields = resolved(mode, fields)
+    if mode == "semantic":
+        return semantic_hits(chunks, vectors, vector, fields, start=start, end=end)
+    source = fan_out(messages, conversations, fields, start, end)
+    return fuzzy_hits(source, text) if mode == "char" else fulltext_hits(source, parse_websearch(text), stemmed=True)
+
+
+def search_page(hits: DataFrame, conversations: DataFrame, text: str, mode: str | None = None, sort: str = "best", page: int = 1) -> DataFrame:
+    """One page of the best hit of each conversation, with a snippet of its text: fragments around the matching words in
+    word mode, the first ``SNIPPET`` characters else. Snippets are made of the page's rows only."""
+    found = paged(hits, conversations, sort, PER_PAGE, (max(1, page) - 1) * PER_PAGE)
+    if resolved(mode, None)[0] != "word":
+        return found.withColumn("snippet", F.substring("text", 1, SNIPPET)).drop("text")
+    terms = sorted({w for clause in english(parse_websearch(text)).clauses for phrase in clause for w in phrase if w})
+    return found.withColumn("snippet", headline(stemmed=True)(F.col("text"), F.array(*[F.lit(w) for w in terms]).cast("array<string>"))).drop("text")
+
+
+def total_pages(conversations: int) -> int:
+    return -(-conversations // PER_PAGE)

@@ -8,10 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkmill.functions.text import cosine
+from talkmill.operators.classify import in_window
 
 #: Characters that a token is taken to have, tokens of a batch, texts of a batch.
 CHARS, TOKENS, TEXTS = 4, 8192, 32
@@ -52,10 +53,15 @@ def centroid_scores(centroids: DataFrame, categories: DataFrame, excluded: DataF
     return paired.select("conv_uuid", "c.slug", cosine(F.col("centroid"), F.col("c.own")).alias("sim")).filter("sim is not null")
 
 
-def predictions(centroids: DataFrame, seeds: DataFrame, targets: DataFrame, floor: float = 0.2) -> DataFrame:
-    """(conv_uuid, slug, sim) of the target conversations with a similarity of at least ``floor``."""
+def predictions(centroids: DataFrame, seeds: DataFrame, targets: DataFrame, taxonomy: DataFrame, floor: float = 0.2) -> DataFrame:
+    """(conv_uuid, slug, sim, rank) of the target conversations (conv_uuid, created_at): categories whose window holds
+    the conversation's day, at a similarity of ``floor`` or more, ranked from the most similar on (ties by slug)."""
     categories = category_centroids(centroids.join(seeds.select("conv_uuid").distinct(), "conv_uuid", "left_semi"), seeds)
-    return centroid_scores(centroids.join(targets, "conv_uuid", "left_semi"), categories).filter(F.col("sim") >= floor)
+    near = centroid_scores(centroids.join(targets, "conv_uuid", "left_semi"), categories).filter(F.col("sim") >= floor)
+    dated = near.join(targets.select("conv_uuid", F.to_date("created_at").alias("day")), "conv_uuid").join(taxonomy.select("slug", "date_start", "date_end"), "slug")
+    inside = dated.filter(in_window(F.col("day"), F.col("date_start"), F.col("date_end")))
+    order = Window.partitionBy("conv_uuid").orderBy(F.desc("sim"), "slug")
+    return inside.select("conv_uuid", "slug", "sim", F.row_number().over(order).alias("rank"))
 
 
 def missing_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:

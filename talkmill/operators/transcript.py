@@ -21,7 +21,7 @@ def blocks(messages: DataFrame) -> DataFrame:
     def row(b: Column) -> Column:
         part = lambda k, title, body: F.struct(F.lit(k).alias("kind"), title.alias("title"), body.alias("body"))
         none = F.lit(None).cast("string")
-        return F.when(kind(b) == "text", part("text", none, member(b, "text"))).when(kind(b) == "thinking", part("thinking", none, F.coalesce(member(b, "thinking"), member(b, "text")))).when(kind(b) == "tool_use", part("call", member(b, "name"), F.coalesce(member(b, "message"), member(b, "input")))).when(kind(b) == "tool_result", part("result", member(b, "tool_use_id"), F.substring(member(b, "content"), 1, RESULT_CHARS))).otherwise(part("other", kind(b), none))
+        return F.when(kind(b) == "text", part("text", none, member(b, "text"))).when(kind(b) == "thinking", part("thinking", none, member(b, "text"))).when(kind(b) == "tool_use", part("call", member(b, "name"), F.coalesce(member(b, "message"), member(b, "input")))).when(kind(b) == "tool_result", part("result", member(b, "tool_use_id"), F.substring(member(b, "content"), 1, RESULT_CHARS))).otherwise(part("other", kind(b), none))
 
     rows = F.filter(F.transform(shown, row), lambda r: (r["kind"] == "other") | (F.coalesce(r["body"], F.lit("")) != ""))
     flat = F.array(F.struct(F.lit("text").alias("kind"), F.lit(None).cast("string").alias("title"), F.coalesce(member(F.col("raw"), "text"), F.lit("")).alias("body")))
@@ -29,6 +29,12 @@ def blocks(messages: DataFrame) -> DataFrame:
     return messages.select("conv_uuid", "uuid", F.posexplode(filled).alias("pos", "b")).select("conv_uuid", "uuid", "pos", "b.*")
 
 
+def raw_transcript(messages: DataFrame) -> DataFrame:
+    """(conv_uuid, raw): the raw messages of each conversation, in order, as a JSON array."""
+    rows = F.array_sort(F.collect_list(F.struct("seq", "raw")))
+    return messages.groupBy("conv_uuid").agg(rows.alias("r")).select("conv_uuid", F.concat(F.lit("["), F.array_join("r.raw", ","), F.lit("]")).alias("raw"))
+
+
 def human_size(n: Column) -> Column:
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, F.concat(F.format_number(n / 1024, 1), F.lit(" KB"))).otherwise(F.concat(F.format_number(n / 1024**2, 1), F.lit(" MB")))
 

@@ -1,7 +1,8 @@
 """Reading export archives, and the curation store.
 
-A zip can't be split, so an archive is one task; its conversations are dealt out right after. Bare JSON arrays and JSON
-Lines are read by Spark itself.
+A zip can't be split, so an archive is one task and its content one value of at most 2 GB; its conversations are dealt
+out right after. Bare JSON arrays (one value, too) and JSON Lines, which have no such limit, are read by Spark itself.
+What is no export raises a ValueError, or Spark's error, that says so.
 """
 
 from __future__ import annotations
@@ -20,13 +21,15 @@ CURATION = "struct<version:int,conversations:map<string,struct<locked:boolean,ta
 
 
 def members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row for each conversation and each side file of the zips; what is no zip or no JSON is left out."""
+    """A row for each conversation and each side file of the zips; side files that are no JSON are left out."""
     for frame in frames:
         for path, content in zip(frame["path"], frame["content"], strict=True):
             try:
                 archive = zipfile.ZipFile(io.BytesIO(content))
-            except zipfile.BadZipFile:
-                continue
+            except zipfile.BadZipFile as error:
+                raise ValueError(f"{path}: a damaged zip ({error})") from None
+            if not any(n.rpartition("/")[2] == "conversations.json" for n in archive.namelist()):
+                raise ValueError(f"{path}: no export, since it holds no conversations.json but {', '.join(archive.namelist()[:5]) or 'nothing'}")
             for name in archive.namelist():
                 folder, _, base = name.rpartition("/")
                 if not base.endswith(".json"):
@@ -59,7 +62,9 @@ def read_export(spark: SparkSession, path: str, partitions: int = 64) -> DataFra
     if path.endswith(".jsonl"):
         return spark.read.text(path).select(F.col("value").alias("raw")).filter("raw != ''")
     whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.explode(F.from_json("value", "array<string>")).alias("raw"))
+    found = F.from_json("value", "array<string>")
+    wrong = F.raise_error(F.lit(f"{path}: no export, since it holds no JSON array of conversations")).cast("array<string>")
+    return whole.select(F.explode(F.when(found.isNotNull() & F.ltrim(F.regexp_replace("value", r"^\s+", "")).startswith("["), found).otherwise(wrong)).alias("raw"))
 
 
 def read_artifacts(spark: SparkSession, path: str) -> DataFrame:

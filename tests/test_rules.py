@@ -13,6 +13,7 @@ from talkmill.functions.chunk import chunk_text, chunked
 from talkmill.functions.text import cosine, l2_normalize, parse_ts, strip, word_pattern
 from talkmill.jobs.index import import_export
 from talkmill.operators import classify, curation, merge, normalize, search, semantic, transcript, tree
+from talkmill.functions.english import stem
 from talkmill.sources import exports
 
 
@@ -94,7 +95,6 @@ def test_zip_reader(spark, tmp_path):
         z.writestr("projects/p1.json", "{}")
         z.writestr("bad.json", "{")
         z.writestr("a.txt", "x")
-    (tmp_path / "b.zip").write_bytes(b"no zip")
     path = str(tmp_path / "*.zip")
     assert sorted(r.raw for r in exports.read_export(spark, path).collect()) == ['{"uuid":"c"}', '{"uuid":"d"}']
     assert sorted((r.kind, r.uuid, r.raw) for r in exports.read_artifacts(spark, path).collect()) == [("projects", "p1", "{}"), ("users", "", "[1]")]
@@ -211,3 +211,34 @@ def test_exports_that_arrive_in_a_folder(spark, tmp_path):
         (drop / f"{n}.jsonl").write_text(raw("c1", [{"uuid": "m1", "text": text}], updated_at=f"2024-01-0{n + 2}T00:00:00Z")[0] + "\n")
         watch(spark, str(drop), index, state).awaitTermination()
         assert [r.text for r in spark.read.parquet(f"{index}/{n}/chunks").collect()] == [text]
+
+
+def test_what_is_no_export_raises(spark, tmp_path):
+    (tmp_path / "b.zip").write_bytes(b"no zip")
+    with pytest.raises(Exception, match="damaged zip"):
+        exports.read_export(spark, str(tmp_path / "b.zip")).collect()
+    with zipfile.ZipFile(tmp_path / "c.zip", "w") as z:
+        z.writestr("other.json", "[]")
+    with pytest.raises(Exception, match="holds no conversations.json but other.json"):
+        exports.read_export(spark, str(tmp_path / "c.zip")).collect()
+    for name, text in (("d.json", '{"uuid":"e"}'), ("e.json", "no json")):
+        (tmp_path / name).write_text(text)
+        with pytest.raises(Exception, match="no JSON array"):
+            exports.read_export(spark, str(tmp_path / name)).collect()
+
+
+def test_english_lexemes(spark):
+    pairs = {"consigned": "consign", "knackeries": "knackeri", "hopping": "hop", "hoping": "hope", "generously": "generous", "relational": "relat", "argument": "argument", "sensibility": "sensibl", "agreed": "agre", "sky": "sky", "dying": "die", "kiwis": "kiwi", "happily": "happili", "databases": "databas"}
+    assert {w: stem(w) for w in pairs} == pairs
+    rows = spark.createDataFrame([(1, "She looked at the databases of the year"), (2, "looking for a database"), (3, "nothing")], "id int, text string")
+    source = rows.select(F.col("id").cast("string").alias("conv_uuid"), F.col("id").cast("string").alias("msg_uuid"), F.lit("prose").alias("field"), "text")
+    found = lambda q: {r.conv_uuid for r in search.fulltext_hits(source, search.parse_websearch(q), stemmed=True).collect()}
+    assert found("looks database") == {"1", "2"} and found('"database of the years"') == {"1"} and found("the") == set() and found("database -years") == {"2"}
+    assert found('"looked the databases"') == set() and found("looked OR nothing") == {"1", "2", "3"}
+
+
+def test_search_modes():
+    assert search.resolved("word", None) == ("word", {"you", "assistant"})
+    assert search.resolved("nope", ["title", "bad"]) == ("word", {"title"})
+    assert search.resolved("semantic", ["title"]) == ("semantic", {"you", "assistant"})
+    assert [search.total_pages(n) for n in (0, 1, 50, 51)] == [0, 1, 1, 2]
