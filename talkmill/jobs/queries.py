@@ -96,10 +96,16 @@ def match_batch(a: Archive) -> DataFrame:
     return search.match_batch(a.messages.withColumnRenamed("uuid", "msg_uuid"), asked).select("query_id", "msg_uuid", F.round("score", 4).alias("score"))
 
 
-@query()
+@query(f"""
+, source as (select conv_uuid, 1 as boost, text from messages union all select conv_uuid, 1, tool_text from messages union all select uuid, 3, name from convs union all select uuid, 2, summary from convs),
+split as (select conv_uuid, boost, {TOKENS_SQL} as w from source),
+places as (select conv_uuid, boost, list_filter(range(1, len(w) + 1), lambda i: w[i] = 'the') as a, list_filter(range(1, len(w) + 1), lambda i: w[i] = 'of') as b from split),
+gaps as (select conv_uuid, boost, flatten(list_transform(a, lambda x: list_transform(b, lambda y: abs(x - y)))) as d from places where len(a) > 0 and len(b) > 0)
+select conv_uuid, round(max(boost * (1 - list_product(list_transform(d, lambda x: 1 - 0.1::double * sqrt(case when x > 100 then 1e-30 else 1 / (1.005::double + 0.05::double * exp(x / 1.5::double - 2)) end))))), 4) as score from gaps group by conv_uuid""")
 def rank_and(a: Archive) -> DataFrame:
+    """The score of texts that hold both words, by the distances of their occurrences."""
     hits = search.fulltext_hits(search.fan_out(a.messages, a.conversations, both | {"title", "summary", "tools"}), search.parse_websearch("the of"))
-    return search.paged(hits, a.conversations).select("conv_uuid", "msg_uuid", "field", F.round("score", 4).alias("score"))
+    return search.best_hits(hits).select("conv_uuid", F.round("score", 4).alias("score"))
 
 
 @query()
@@ -471,9 +477,13 @@ def topic_pass(a: Archive) -> DataFrame:
     return classify.topic_proposals(classify.topic_outcomes(a.messages, a.conversations, a.tags, ["the", "de"], ROUTING, a.taxonomy)).select(*curation.TAG)
 
 
-@query(TOPIC_SQL + "select outcome, count(*) as n from outcomes group by outcome")
+@query(KEYWORD_SQL + TOPIC_SQL + DECIDE_SQL + """
+select 'keyword' as layer, k.slug as what, count(distinct conv_uuid) as n from (values ('cat-0'), ('cat-3'), ('cat-4')) k(slug) left join keyed using (slug) group by k.slug
+union all select 'topic', case when outcome = 'proposed' then slug else outcome end, count(*) from outcomes group by all
+union all select 'semantic', slug, count(*) from decided join taxonomy using (slug) where sim >= coalesce(semantic_threshold, 0.1) group by slug""")
 def pass_counts(a: Archive) -> DataFrame:
-    return classify.topic_outcomes(a.messages, a.conversations, a.tags, ["the", "de"], ROUTING, a.taxonomy).groupBy("outcome").agg(F.count("*").alias("n"))
+    outcomes = classify.topic_outcomes(a.messages, a.conversations, a.tags, ["the", "de"], ROUTING, a.taxonomy)
+    return classify.pass_counts(keyed(a), outcomes, classify.semantic_proposals(decided(a), a.taxonomy, 0.1), [s.slug for s in SEEDS])
 
 
 @query("select slug, count(distinct conv_uuid) as n from tags where method in ('keyword', 'topic', 'user') group by slug")

@@ -110,6 +110,17 @@ def topic_proposals(outcomes: DataFrame) -> DataFrame:
     return outcomes.filter("outcome = 'proposed'").select("conv_uuid", "slug", F.lit(TOPIC).alias("confidence"), F.lit("topic").alias("method"), F.lit(1).alias("pass"))
 
 
+def pass_counts(keywords: DataFrame, outcomes: DataFrame, decisions: DataFrame, slugs: list[str]) -> DataFrame:
+    """(layer, what, n): conversations that the keyword layer matched, by category (0 where none), that the topic layer
+    proposed, by category, or left, by reason, and that the semantic layer proposed, by category."""
+    every = keywords.sparkSession.createDataFrame([(s,) for s in slugs], "what string")
+    matched = keywords.groupBy(F.col("slug").alias("what")).agg(F.count_distinct("conv_uuid").alias("n"))
+    keyword = every.join(matched, "what", "left").select(F.lit("keyword").alias("layer"), "what", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+    routed = outcomes.select(F.lit("topic").alias("layer"), F.when(F.col("outcome") == "proposed", F.col("slug")).otherwise(F.col("outcome")).alias("what"))
+    told = routed.unionByName(decisions.select(F.lit("semantic").alias("layer"), F.col("slug").alias("what")))
+    return keyword.unionByName(told.groupBy("layer", "what").agg(F.count("*").alias("n")))
+
+
 def seed_sets(tags: DataFrame) -> DataFrame:
     """Seeds of the centroids: tags given by keywords, topics or users."""
     return tags.filter(F.col("method").isin("keyword", "topic", "user")).select("conv_uuid", "slug").distinct()
@@ -128,7 +139,7 @@ def semantic_decisions(scores: DataFrame, conversations: DataFrame, taxonomy: Da
     """
     groups = [(slug, g, i) for g, group in enumerate(split_groups or []) for i, slug in enumerate(group)]
     member = scores.sparkSession.createDataFrame(groups, "slug string, grp int, place int")
-    kinds = F.broadcast(taxonomy.select("slug", "date_start", "date_end").join(member, "slug", "left"))
+    kinds = taxonomy.select("slug", "date_start", "date_end").join(member, "slug", "left")
     dated = scores.join(conversations.select(F.col("uuid").alias("conv_uuid"), "created_at"), "conv_uuid").join(kinds, "slug")
     fit = dated.filter(in_window(F.to_date("created_at"), F.col("date_start"), F.col("date_end")))
     best = fit.groupBy("conv_uuid").agg(F.min_by(F.struct("slug", "grp", "sim"), F.struct(-F.col("sim"), "slug")).alias("b"))
@@ -139,5 +150,5 @@ def semantic_decisions(scores: DataFrame, conversations: DataFrame, taxonomy: Da
 
 def semantic_proposals(decisions: DataFrame, taxonomy: DataFrame, threshold: float = LEAST_SIM) -> DataFrame:
     """Decisions that reach the category's own threshold, or the general one."""
-    bars = F.broadcast(taxonomy.select("slug", F.coalesce("semantic_threshold", F.lit(threshold)).alias("bar")))
+    bars = taxonomy.select("slug", F.coalesce("semantic_threshold", F.lit(threshold)).alias("bar"))
     return decisions.join(bars, "slug").filter("sim >= bar").select("conv_uuid", "slug", F.col("sim").alias("confidence"), F.lit("semantic").alias("method"), F.lit(1).alias("pass"))

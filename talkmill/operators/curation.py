@@ -26,7 +26,7 @@ def locked(curation: DataFrame) -> DataFrame:
 
 def apply_proposals(tags: DataFrame, curation: DataFrame, proposals: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Tags after the proposals (with ``pass`` above 0): unknown slugs are dropped, locked records stay as they are."""
-    known = proposals.join(F.broadcast(vocabulary.select("slug")), "slug", "left_semi").join(locked(curation), "conv_uuid", "left_anti")
+    known = proposals.join(vocabulary.select("slug"), "slug", "left_semi").join(locked(curation), "conv_uuid", "left_anti")
     return resolve(tags.select(*TAG, F.lit(0).alias("pass")).unionByName(known.select(*TAG, "pass")))
 
 
@@ -43,7 +43,7 @@ def set_user_tags(tags: DataFrame, curation: DataFrame, edits: DataFrame, vocabu
     """After manual edits (conv_uuid, slugs, edited_at): the latest edit replaces the tags and locks the record."""
     order = Window.partitionBy("conv_uuid").orderBy(F.desc_nulls_last("edited_at"), "slugs")
     last = edits.withColumn("n", F.row_number().over(order)).filter("n = 1").select("conv_uuid", "slugs")
-    new = last.select("conv_uuid", F.explode(F.array_distinct("slugs")).alias("slug")).join(F.broadcast(vocabulary.select("slug")), "slug", "left_semi")
+    new = last.select("conv_uuid", F.explode(F.array_distinct("slugs")).alias("slug")).join(vocabulary.select("slug"), "slug", "left_semi")
     new = new.select("conv_uuid", "slug", F.lit(1.0).alias("confidence"), F.lit("user").alias("method"))
     out = tags.join(last.select("conv_uuid"), "conv_uuid", "left_anti").select(*TAG).unionByName(new)
     return out, curation.join(last, "conv_uuid", "left_anti").select("conv_uuid", "locked").union(last.select("conv_uuid", F.lit(True)))

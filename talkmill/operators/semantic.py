@@ -43,8 +43,8 @@ def category_centroids(centroids: DataFrame, seeds: DataFrame) -> DataFrame:
 def centroid_scores(centroids: DataFrame, categories: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
     """(conv_uuid, slug, sim) of every candidate with every category.
 
-    The categories travel as one array in a single row, whose size is that of the taxonomy, so this is no join of two
-    large sides.
+    The categories travel as one array in a single broadcast row, whose size is that of the taxonomy: a person's own
+    list of categories, however many conversations there are. So this is no join of two large sides.
     """
     if excluded is not None:
         centroids = centroids.join(excluded, "conv_uuid", "left_anti")
