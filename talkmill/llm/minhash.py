@@ -125,7 +125,8 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose sets have a Jaccard of at least ``least``. A hot ``a`` is spread over copies of its set."""
-    copies = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("copies"))
+    # written, so that the joins with it are either a broadcast or can be split where a key is hot
+    copies = sized(cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("copies")), "copies"))
     left = sets.join(copies, sets.key == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("shingles").alias("of_a"))
     spread = pairs.join(copies, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("copies").cast("bigint")).cast("int").alias("copy"))
     right = sets.select(F.col("key").alias("b"), F.col("shingles").alias("of_b"))
@@ -169,9 +170,9 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def opened(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, label) of the texts that met another one in a bucket and are in a different component so far."""
-    placed = buckets.join(labels, "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label"))
-    mixed = placed.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("bucket")
-    return cut(placed.join(mixed, "bucket").select("key", "label").distinct(), "open")
+    placed = buckets.join(sized(labels), "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label"))
+    mixed = cut(placed.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("bucket"), "mixed")
+    return cut(placed.join(sized(mixed), "bucket").select("key", "label").distinct(), "open")
 
 
 def finer_pairs(open_texts: DataFrame, sketches: DataFrame, bands: int) -> DataFrame:
@@ -286,7 +287,7 @@ def labelled(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS
         more = cut(verified(cut(pairs_of(left), "pairs"), sets, similarity), "links")
         if more.limit(1).count():
             labels = joined(labels, more)
-    return sketches.select("doc_id", "key").join(labels, "key", "left").select("doc_id", "key", F.coalesce("label", "key").alias("label"))
+    return sketches.select("doc_id", "key").join(sized(labels), "key", "left").select("doc_id", "key", F.coalesce("label", "key").alias("label"))
 
 
 def near_duplicates(docs: DataFrame, *, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -297,8 +298,8 @@ def near_duplicates(docs: DataFrame, *, similarity: float = SIMILARITY, bands: i
     null doc_ids keep their rows. Other columns are left out. An empty table gives no rows.
     """
     members = cut(labelled(docs, similarity, bands, rows), "members")
-    classes = members.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return members.join(classes, "label").select("doc_id", "class_id", "class_size")
+    classes = cut(members.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "classes")
+    return members.join(sized(classes), "label").select("doc_id", "class_id", "class_size")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
