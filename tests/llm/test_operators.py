@@ -540,14 +540,14 @@ def test_passages_in_other_lines_and_surroundings(spark):
 
 def test_passages_of_odd_rows(spark):
     say = made_words(9)
-    passage = " ".join(say(60))
-    rows = [(1, "\u0130 one " + passage + " tail", "x", 1), (2, passage + " other", "x", 1), (3, " ".join(say(30)), "x", 1), (3, " ".join(say(8)) + " " + passage, "x", 1), (None, passage, "x", 1), (None, passage, "x", 1), (None, None, "x", 1), (5, "", "x", 1)]
+    passage, before, after = " ".join(say(60)), "\u0130 " + " ".join(say(30)), " ".join(say(20))
+    rows = [(1, f"{before} {passage} {after}", "x", 1), (2, passage + " other", "x", 1), (3, " ".join(say(30)), "x", 1), (3, " ".join(say(40)) + " " + passage, "x", 1), (None, passage, "x", 1), (None, passage, "x", 1), (None, None, "x", 1), (5, "", "x", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, place string, island int")
     got = substrings.repeats(docs).collect()
     assert {r.doc_id for r in got} == {None, 1, 2, 3} and not any(r.removed for r in got if r.doc_id is None)
     left = substrings.without_repeats(docs).collect()
-    assert len(left) == len(rows) and sorted(r.text for r in left if r.doc_id == 1) == ["\u0130 one  tail"]
-    assert sorted(len((r.text or "").split()) for r in left if r.doc_id == 3) == [8, 30]
+    assert len(left) == len(rows) and sorted(r.text for r in left if r.doc_id == 1) == [f"{before}  {after}"]
+    assert sorted(len((r.text or "").split()) for r in left if r.doc_id == 3) == [30, 40]
 
 
 def test_near_paragraphs_in_a_crowd(spark):
@@ -571,3 +571,73 @@ def test_near_paragraphs_in_a_crowd(spark):
         for j in range(i):
             if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
                 assert labels[keys[i]] == labels[keys[j]]
+
+
+def test_added_secrets_equal_the_plain_model(spark, docs, texts):
+    rows = secrets.found_secrets(docs).collect()
+    random_pairs, plain_pairs = defaultdict(int), defaultdict(int)
+    for r in rows:
+        for s in r.base:
+            for i in range(len(s.value) - 1):
+                random_pairs[s.value[i : i + 2]] += 1
+    for text in {t for t in texts.values() if t}:
+        for w in re.findall(secrets.IDENTIFIER, text):
+            if not re.search(r"[0-9a-f]{16}", w):
+                for i in range(len(w) - 1):
+                    plain_pairs[w[i : i + 2]] += 1
+    firsts = {p[0] for p in [*random_pairs, *plain_pairs]}
+    all_random = {f: sum(n for p, n in random_pairs.items() if p[0] == f) for f in firsts}
+    all_plain = {f: sum(n for p, n in plain_pairs.items() if p[0] == f) for f in firsts}
+
+    def evidence(token):
+        out = 0.0
+        for i in range(len(token) - 1):
+            p = token[i : i + 2]
+            if p[0] in firsts:
+                share = lambda n, total: (n + secrets.PSEUDO) / (total + secrets.PSEUDO * secrets.ALPHABET)
+                out += np.log(share(random_pairs.get(p, 0), all_random[p[0]]) / share(plain_pairs.get(p, 0), all_plain[p[0]]))
+        return out
+
+    added = 0
+    for r in rows:
+        want = []
+        for m in re.finditer(secrets.CANDIDATE, texts[r.doc_id]):
+            apart = not any(b.start < m.end() and m.start() < b.end for b in r.base)
+            if apart and evidence(m.group()) >= max(secrets.EVIDENCE, secrets.EVIDENCE_EACH * len(m.group())):
+                want.append((m.start(), m.end()))
+        assert [(s.start, s.end) for s in r.spans if s.kind == 3] == want
+        added += len(want)
+    assert added >= 0
+
+
+def test_secrets_of_a_long_text(spark):
+    text = " ".join(f"password={i:012d}" for i in range(20_000))
+    r = secrets.found_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [(s.start, s.end) for s in r.base if s.kind == 0] == [m.span() for m in re.finditer(r"password=\d+", text)]
+
+
+def test_languages_and_toxicity_of_odd_rows(spark):
+    known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").limit(400)
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    odd = spark.createDataFrame([(None, "the of and", None), (None, None, "en"), (4, "", "en"), (5, "word " * 50_000, None), (5, "word " * 50_000, None)], known.schema)
+    clash = known.unionByName(odd).withColumns({"lang_pred": F.lit("x"), "score": F.lit(1), "held_out": F.lit("y"), "x": F.lit(2)})
+    got = langid.languages(clash).collect()
+    assert len(got) == known.count() + 5 and all(0 <= r.score <= 1 for r in got) and sum(r.doc_id is None for r in got) == 2
+    assert len({(r.lang_pred, r.score) for r in got if r.doc_id == 5 and r.lang_pred != "und"}) >= 1
+    found = toxicity.toxicity(clash, labels.withColumn("score", F.lit(0))).collect()
+    assert len(found) == len(got) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in found)
+    assert toxicity.toxicity(clash.limit(0), labels).count() == 0 and toxicity.clean(clash.limit(0), labels).count() == 0
+
+
+def test_pipeline_of_empty_and_odd_documents(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, None, None, None, None), (1, "", "en", "s", 0), (2, "password=abcd1234efgh5678 is mine", "en", "s", 33), (3, "long text, " * 30_000, "en", "s", 1)], docs.schema)
+    for rows in (docs.limit(0), odd):
+        for name, stage in corpus_pipeline.STAGES:
+            rows = common.cut(stage(spark, rows, SF), name)
+            if name == "secrets":
+                assert all("abcd1234" not in (r.text or "") for r in rows.collect())
+    got = rows.collect()
+    assert {r.doc_id for r in got} >= {2, 3} and len(got) == 3  # null, empty and blank texts are one class
