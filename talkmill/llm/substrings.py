@@ -4,8 +4,8 @@ A text is one stream of words (lower-cased, without punctuation). Two kinds of u
 
 * Paragraphs, which are met as near copies: lines of ``NEAR_WORDS`` or more, and runs of shorter lines that have as many
   together. MinHash of their five-word shingles, bands that let a pair at similarity 0.8 slip with a probability of
-  0.003, exact Jaccard of every member of a bucket and its pivot; members that this leaves apart are settled by an exact
-  join on their rarest shingles.
+  0.003, exact Jaccard of every member of a bucket and its pivot; members that this leaves apart are settled in
+  finer buckets and then by an exact join on their rarest shingles.
 * Pieces between the words where the hash of two words is the smallest around, whatever the lines, so that a passage
   is met in any surroundings and however it is wrapped. Pieces must be equal.
 
@@ -27,14 +27,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkmill.llm.common import SHINGLE_WORDS, SIMILARITY, WordHashes, cut, mix, only, shingle_hashes, sized
-from talkmill.llm.minhash import WORD, components, exact_pairs, joined, opened, verified
+from talkmill.llm.minhash import WORD, components, exact_pairs, finer_pairs, joined, opened, verified
 
 NEAR_WORDS, PASSAGE_WORDS = 20, 16
 #: Words on either side among which a cut has the smallest hash; words compared beyond the ends of a passage.
 AROUND, REACH = 5, 64
 BANDS, ROWS = 8, 3
 CHUNK_CHARS = 2_000_000
-UNIT = "doc_id long, text_hash long, k1 long, k2 long, start int, n int, near boolean, " + ", ".join(f"b{i} long" for i in range(BANDS))
+UNIT = "doc_id long, text_hash long, k1 long, k2 long, start int, n int, near boolean, closes boolean, " + ", ".join(f"b{i} long" for i in range(BANDS))
 
 
 def told_lines(text: str) -> list[list[str]]:
@@ -104,8 +104,9 @@ def paragraph_places(sizes: list[int]) -> list[tuple[int, int]]:
 
 
 def units(texts: list[str], known: WordHashes) -> dict[str, np.ndarray]:
-    """The units of all texts: doc (index of the text), start, n, k1, k2, near (a paragraph) and the band hashes."""
-    hashes, starts, lengths, docs, near, done = [], [], [], [], [], 0
+    """The units of all texts: doc (index of the text), start, n, k1, k2, near (a paragraph), closes (it ends its
+    text) and the band hashes."""
+    hashes, starts, lengths, docs, near, closes, done = [], [], [], [], [], [], 0
     for d, text in enumerate(texts):
         lines = told_lines(text)
         words = list(chain.from_iterable(lines))
@@ -120,13 +121,14 @@ def units(texts: list[str], known: WordHashes) -> dict[str, np.ndarray]:
             starts += [done + a for a, _ in found]
             lengths += [n for _, n in found]
             near += [kind] * len(found)
+            closes += [a + n == len(own) for a, n in found]
             docs += [(d, done)] * len(found)
         done += len(own)
     if not starts:
         return {}
     h, s, k, isnear = np.concatenate(hashes), np.array(starts), np.array(lengths), np.array(near)
     of = np.array(docs)
-    out = {"doc": of[:, 0], "start": s - of[:, 1], "n": k, "near": isnear}
+    out = {"doc": of[:, 0], "start": s - of[:, 1], "n": k, "near": isnear, "closes": closes}
     for name, seed in (("k1", 0x51), ("k2", 0xA7)):
         out[name] = stretch_hash(h, s, k, seed).view(np.int64)
     bands = np.zeros((len(s), BANDS), np.int64)
@@ -179,8 +181,9 @@ def told_shingles(docs: DataFrame, places: DataFrame) -> DataFrame:
 
 def near_labels(docs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
     """(key, label) of the paragraphs that are near copies of others; keys are the first hashes of paragraphs."""
-    texts = lines.groupBy("k1").agg(*[F.first(f"b{i}").alias(f"b{i}") for i in range(BANDS)])
-    buckets = texts.select(F.col("k1").alias("key"), F.explode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("bucket"))
+    texts = lines.groupBy(F.col("k1").alias("key")).agg(*[F.first(f"b{i}").alias(f"b{i}") for i in range(BANDS)])
+    texts = cut(texts.select("key", F.array(*[f"b{i}" for i in range(BANDS)]).alias("bands")), "line-texts")
+    buckets = texts.select("key", F.explode("bands").alias("bucket"))
     pivots = cut(buckets.groupBy("bucket").agg(F.min("key").alias("pivot"), F.count("*").alias("times")).filter("times > 1").drop("times"), "line-pivots")
     buckets = cut(buckets.join(sized(pivots), "bucket"), "line-buckets")
     pairs = cut(buckets.filter("key != pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct(), "line-pairs")
@@ -188,9 +191,12 @@ def near_labels(docs: DataFrame, lines: DataFrame, similarity: float) -> DataFra
     places = lines.join(sized(wanted), F.col("k1") == F.col("key")).groupBy("key").agg(F.min(F.struct("doc_id", "text_hash", "start", "n")).alias("p")).select("key", "p.*")
     sets = cut(told_shingles(docs, cut(places, "line-places")).dropDuplicates(["key"]), "line-sets")
     labels = components(cut(verified(pairs, sets, similarity), "line-links"), "lines")
-    # members of a bucket that their pivot leaves apart
-    more = cut(verified(cut(exact_pairs(opened(buckets, labels), sets, similarity), "line-pairs"), sets, similarity), "line-links")
-    return joined(labels, more) if more.limit(1).count() else labels
+    # members of a bucket that their pivot leaves apart: first in finer buckets, then exactly
+    for pairs_of in (lambda left: finer_pairs(left, texts, BANDS), lambda left: exact_pairs(left, sets, similarity)):
+        more = cut(verified(cut(pairs_of(opened(buckets, labels)), "line-pairs"), sets, similarity), "line-links")
+        if more.limit(1).count():
+            labels = joined(labels, more)
+    return labels
 
 
 def place_key(place: Column) -> Column:
@@ -247,7 +253,7 @@ def repeats(docs: DataFrame, *, similarity: float = SIMILARITY, words: int = PAS
     several = found.groupBy("k1").agg((F.min(of) != F.max(of)).alias("several")).filter("several").select("k1")
     several = cut(several.union(labels.select("key")).distinct(), "several")
     own = F.struct("doc_id", "text_hash", "start")
-    met = cut(found.select("doc_id", "text_hash", "k1", "k2", "start", "n").join(sized(several), "k1").distinct(), "met")
+    met = cut(found.select("doc_id", "text_hash", "k1", "k2", "start", "n", "closes").join(sized(several), "k1").distinct(), "met")
     each = met.groupBy("k1", "k2").agg(F.count("*").alias("times"), F.min(own).alias("first"), F.max(own).alias("last"))
     each = each.join(sized(labels), each.k1 == labels.key, "left").select("k1", "k2", "times", "first", "last", F.coalesce("label", "k1").alias("class"))
     each = cut(each, "repeated")
@@ -262,7 +268,7 @@ def repeats(docs: DataFrame, *, similarity: float = SIMILARITY, words: int = PAS
     # the outermost units of each island that stand in several documents, with their first and last occurrence elsewhere
     exact = ~place(F.col("first")).eqNullSafe(place(F.col("last")))
     unit = F.struct("start", "n", "first", "last")
-    spans = islands.groupBy("place", "island").agg(F.min("start").alias("s"), F.max(F.col("start") + F.col("n")).alias("e"), F.min_by(unit, F.when(exact, F.col("start"))).alias("l"), F.max_by(unit, F.when(exact, F.col("start") + F.col("n"))).alias("r"))
+    spans = islands.groupBy("place", "island").agg(F.min("start").alias("s"), F.max(F.col("start") + F.col("n")).alias("e"), F.max("closes").alias("closes"), F.min_by(unit, F.when(exact, F.col("start"))).alias("l"), F.max_by(unit, F.when(exact, F.col("start") + F.col("n"))).alias("r"))
 
     def sides(u: Column, right: bool, end: Column) -> Column:
         at = u["start"] + u["n"] if right else u["start"]
@@ -270,7 +276,11 @@ def repeats(docs: DataFrame, *, similarity: float = SIMILARITY, words: int = PAS
         return F.when(at == end, F.filter(F.array(*some), lambda x: x["other"] != F.col("place"))).otherwise(F.array().cast("array<struct<right:boolean,own:int,other:string,at:int>>"))
 
     spans = cut(spans, "spans")
-    ends = spans.select("place", "island", F.concat(sides(F.col("l"), False, F.col("s")), sides(F.col("r"), True, F.col("e"))).alias("ends"))
+    # nothing lies beyond the ends of a text
+    none = F.array().cast("array<struct<right:boolean,own:int,other:string,at:int>>")
+    left = F.when(F.col("s") > 0, sides(F.col("l"), False, F.col("s"))).otherwise(none)
+    right = F.when(~F.col("closes"), sides(F.col("r"), True, F.col("e"))).otherwise(none)
+    ends = spans.select("place", "island", F.concat(left, right).alias("ends"))
     beyond = cut(stretched(rows, ends), "beyond")
     spans = spans.select("place", "island", "s", "e").join(sized(beyond), ["place", "island"], "left").fillna(0, ["before", "after"]).filter(F.col("e") - F.col("s") + F.col("before") + F.col("after") >= words)
     kept = islands.join(sized(cut(spans, "passages")), ["place", "island"])
@@ -297,12 +307,12 @@ def without_repeats(docs: DataFrame, *, words: int = PASSAGE_WORDS) -> DataFrame
 
 
 def drop_words(text: str, starts: list[int], ns: list[int]) -> str:
-    """``text`` without the given stretches of words, and what stands between the words of each."""
+    """``text`` without the given stretches of words, and what stands between their words; adjacent ones are one stretch."""
     spans = [m.span() for m in re.finditer(WORD, text)]
-    out, at = [], 0
+    out, at, until = [], 0, -1
     for s, n in sorted(zip(starts, ns, strict=True)):
-        a, b = spans[s][0], spans[s + n - 1][1]
-        if a > at:
-            out.append(text[at:a])
-        at = max(at, b)
+        if s > until:
+            out.append(text[at : spans[s][0]])
+        if s + n > until:
+            at, until = spans[s + n - 1][1], s + n
     return "".join(out) + text[at:]
