@@ -31,7 +31,7 @@ from talkmill.llm.minhash import WORD, components, exact_pairs, finer_pairs, joi
 
 NEAR_WORDS, PASSAGE_WORDS = 20, 16
 #: Words on either side among which a cut has the smallest hash; words compared beyond the ends of a passage.
-AROUND, REACH = 5, 64
+AROUND, REACH = 5, 40
 BANDS, ROWS = 8, 3
 CHUNK_CHARS = 2_000_000
 UNIT = "doc_id long, text_hash long, k1 long, k2 long, start int, n int, near boolean, closes boolean, " + ", ".join(f"b{i} long" for i in range(BANDS))
@@ -214,10 +214,10 @@ def around(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for place, text, pos, right in frame.itertuples(index=False):
                 words = told_words(text)
                 sides = [words[p : p + REACH] if r else words[max(0, p - REACH) : p][::-1] for p, r in zip(pos, right, strict=True)]
-                found = [np.array([known[w] for w in x], np.uint64).view(np.int64) for x in sides]
+                found = [np.array([known[w] for w in x], np.uint64).astype(np.uint32).view(np.int32) for x in sides]
                 yield pd.DataFrame({"place": place, "pos": pos, "right": right, "words": found})
 
-    return texts.mapInPandas(run, "place string, pos int, right boolean, words array<long>").dropDuplicates(["place", "pos", "right"])
+    return texts.mapInPandas(run, "place string, pos int, right boolean, words array<int>").dropDuplicates(["place", "pos", "right"])
 
 
 def stretched(docs: DataFrame, islands: DataFrame) -> DataFrame:
@@ -253,7 +253,8 @@ def repeats(docs: DataFrame, *, similarity: float = SIMILARITY, words: int = PAS
     several = found.groupBy("k1").agg((F.min(of) != F.max(of)).alias("several")).filter("several").select("k1")
     several = cut(several.union(labels.select("key")).distinct(), "several")
     own = F.struct("doc_id", "text_hash", "start")
-    met = cut(found.select("doc_id", "text_hash", "k1", "k2", "start", "n", "closes").join(sized(several), "k1").distinct(), "met")
+    several = sized(several, 2_500_000)  # one number a row
+    met = cut(found.select("doc_id", "text_hash", "k1", "k2", "start", "n", "closes").join(several, "k1").distinct(), "met")
     each = met.groupBy("k1", "k2").agg(F.count("*").alias("times"), F.min(own).alias("first"), F.max(own).alias("last"))
     each = each.join(sized(labels), each.k1 == labels.key, "left").select("k1", "k2", "times", "first", "last", F.coalesce("label", "k1").alias("class"))
     each = cut(each, "repeated")
