@@ -12,7 +12,7 @@ as often as they stand there; the similarity of two weighted sets is the sum of
 4. Candidates within the radius are verified exactly.
 
 At a similarity of 0.8 a bit differs with a probability of 0.19 at most, so a window lies within the radius but for a
-few cases in ten thousand where items have five shingles, and a few in a million where they have more. Items of fewer
+few cases in ten thousand where items have five shingles, and one in a hundred thousand where they have many. Items of fewer
 than ``FEW`` shingles are indexed without each one of their shingles, too: these are all the sets that a window at 0.8
 can keep of them, at distance 0.
 """
