@@ -9,10 +9,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkmill.llm import bpe, decontaminate, langid, minhash, neighbours, pii, secrets, substrings, tokenfile, toxicity
+from talkmill.llm import bpe, decontaminate, langid, merkle, minhash, neighbours, periodic, pieces, pii, secrets, substrings, tokenfile, toxicity
 
-#: The vocabulary file that the contracts name.
+#: The vocabulary files that the contracts name.
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 #: Least words of a passage whose repetition across documents is reported.
 PASSAGE_WORDS = 50
 
@@ -70,6 +71,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents")).drop("lang")
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(table(spark, sf_dir, "documents"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), check=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_neighbours": op2_neighbours,
@@ -81,6 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tokenfile": op8_tokenfile,
     "op9_langid": op9_langid,
     "op10_toxicity": op10_toxicity,
+    "op11_merkle": op11_merkle,
+    "op12_periodic": op12_periodic,
+    "op13_sentencepiece": op13_sentencepiece,
 }
 #: Every window of every document that shares a shingle with an item, compared with it exactly.
 LEAKS_SQL = r"""
@@ -115,4 +131,42 @@ classes as (select label, min(doc_id) as class_id, count(*) as class_size from m
 select doc_id, class_id, class_size from members join classes using (label)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": LEAKS_SQL, "op5_minhash": CLASSES_SQL}
+#: Both tries level by level, and each leaf's way up, from the altered leaf and with what stands beside it.
+MANIFEST_SQL = r"""
+with recursive docs as (
+  select row_number() over () as id, *, list_transform(string_split(cast(doc_id as varchar), ''), lambda c: cast(ascii(c) as bigint)) as digits from documents),
+crcs as (select *, xor(4294967295, list_reduce(digits, lambda a, b: list_reduce(range(8), lambda x, i: xor(x // 2, case when x % 2 = 1 then 3988292384 else 0 end), xor(a, b)), 4294967295)) as crc from docs),
+told as (select id, doc_id, lang, crc,
+    concat(coalesce(concat(strlen(cast(doc_id as varchar)), ':', doc_id), '-'), coalesce(concat(strlen(source), ':', source), '-'), coalesce(concat(strlen(lang), ':', lang), '-'), coalesce(concat(strlen(cast(n_chars as varchar)), ':', n_chars), '-')) as own,
+    text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low from crcs),
+leaves as (select id, doc_id, coalesce('1' || lang, '0') as grp, sha256(own || coalesce(concat(strlen(text), ':', text), '-')) as leaf,
+    case when doc_id is not null and crc % 3 = 0 then sha256(own || coalesce(concat(strlen(low), ':', low), '-')) end as altered from told),
+ranked as (select *, row_number() over (partition by grp order by doc_id nulls first, leaf) - 1 as idx, count(*) over (partition by grp) as n from leaves),
+nodes as (
+  select grp, 0 as lvl, idx, n, leaf as h from ranked
+  union all
+  select grp, lvl + 1, idx // 8, (n + 7) // 8, sha256(string_agg(h, '' order by idx)) from nodes where n > 1 group by grp, lvl, n, idx // 8),
+runs as (select grp, lvl, idx // 8 as up, list(h order by idx) as hs from nodes where n > 1 group by grp, lvl, idx // 8),
+subroots as (select grp, h as subroot, row_number() over (order by grp) - 1 as idx, count(*) over () as n from nodes where n = 1),
+top_nodes as (
+  select 0 as lvl, idx, n, subroot as h from subroots
+  union all
+  select lvl + 1, idx // 8, (n + 7) // 8, sha256(string_agg(h, '' order by idx)) from top_nodes where n > 1 group by lvl, n, idx // 8),
+top_runs as (select lvl, idx // 8 as up, list(h order by idx) as hs from top_nodes where n > 1 group by lvl, idx // 8),
+walk as (
+  select id, grp, 0 as lvl, idx, n, coalesce(altered, leaf) as h, '' as proof from ranked
+  union all
+  select id, grp, lvl + 1, idx // 8, (n + 7) // 8, sha256(array_to_string(hs[1 : idx % 8], '') || h || array_to_string(hs[idx % 8 + 2 : 8], '')), proof || array_to_string(hs[1 : idx % 8], '') || array_to_string(hs[idx % 8 + 2 : 8], '')
+  from walk join runs using (grp, lvl) where n > 1 and up = idx // 8),
+climbed as (select id, grp, h, proof from walk where n = 1),
+top_walk as (
+  select id, 0 as lvl, s.idx, s.n, h, proof from climbed join subroots s using (grp)
+  union all
+  select id, lvl + 1, idx // 8, (n + 7) // 8, sha256(array_to_string(hs[1 : idx % 8], '') || h || array_to_string(hs[idx % 8 + 2 : 8], '')), proof || array_to_string(hs[1 : idx % 8], '') || array_to_string(hs[idx % 8 + 2 : 8], '')
+  from top_walk join top_runs using (lvl) where n > 1 and up = idx // 8),
+root as (select h as root from top_nodes where n = 1)
+select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, h as folded_root, h = root as verified
+from ranked join subroots using (grp) join (select id, h, proof from top_walk where n = 1) using (id), root
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": LEAKS_SQL, "op5_minhash": CLASSES_SQL, "op11_merkle": MANIFEST_SQL}
