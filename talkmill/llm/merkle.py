@@ -175,10 +175,9 @@ def manifest(docs: DataFrame) -> DataFrame:
     tops = raised(cut(levels(top.select("grp", "total", "block", "r", F.col("total").alias("m"), F.col("r.subroot").alias("l0"))), "trie"), langs)
     above = lowered_paths(tops, tops[-1].select("grp", F.array().cast(PATH).alias("path")))
     named = F.transform("r", lambda x, j: F.struct(x["name"].alias("name"), x["subroot"].alias("subroot"), F.concat(siblings(j), F.col("path")).alias("path")))
-    root = tops[-1].select(F.col("top").alias("root"))
-    told_groups = tops[0].join(above, ["grp", "block"]).select(F.explode(named).alias("x")).select(F.col("x.name").alias("grp"), "x.subroot", "x.path")
-    # one row
-    known = cut(told_groups.join(F.broadcast(root)), "group-paths")
+    root = tops[-1].select("top").first()  # one row, or none
+    told_groups = tops[0].join(above, ["grp", "block"]).select(F.explode(named).alias("x"))
+    known = cut(told_groups.select(F.col("x.name").alias("grp"), "x.subroot", "x.path", F.lit(root.top if root else None).cast("string").alias("root")), "group-paths")
     down = lowered_paths(passes, known)
 
     def proven(x: Column, j: Column) -> Column:
