@@ -8,8 +8,8 @@ for each state of their confidences. One step of a 64-bit range coder then tells
 The ids of a block are dealt to lanes, stretches that are coded side by side, one id of each at a time, by one model
 that all lanes teach. Everything is integer arithmetic and of fixed order, so any machine decodes the same ids.
 
-File format, little-endian: ``TMK2``, ids (u32), bound of the ids (u32), documents (u32), bytes of code (u32), ids of the
-part before the block (u64), CRC-32 of what follows; for each document its number in the part (u64), piece (u32), ids
+File format, little-endian: ``TMK3``, ids (u32), bound of the ids (u32), documents (u32), bytes of code (u32), ids of the
+part before the block (u64), CRC-32 of all that is before and after it; for each document its number in the part (u64), piece (u32), ids
 (u32) and doc_id (i64, with a u8 that is 0 for null); the code: the words of each lane (u32 each), then the words (u32).
 Blocks are the rows of a Parquet table, so any executor can write and read them in any store.
 """
@@ -40,7 +40,7 @@ BLOCK, LANES, STEPS = 2**21, 4096, 512
 #: Characters encoded at once, and distinct pre-tokens that a worker remembers.
 BATCH_CHARS, MEMO_WORDS = 1_000_000, 700_000
 END = 0
-HEAD, ENTRY = struct.Struct("<4sIIIIQI"), struct.Struct("<QIIqB")
+HEAD, ENTRY, CHECK = struct.Struct("<4sIIIIQ"), struct.Struct("<QIIqB"), struct.Struct("<I")
 #: Bits of the frequencies: of all, of order 0 among itself; shares that order 0 gets of the mixture.
 TOTAL_BITS, WHOLE_BITS, SHARES = 28, 22, 64
 #: Steps between renewals of the order-0 frequencies and of the weights; slots of the order-2 table.
@@ -227,15 +227,17 @@ def packed(ids: np.ndarray, before: int, entries: list[tuple[int, int, int, int
     bound = int(ids.max()) + 1
     code = coded(ids, bound)
     body = b"".join(ENTRY.pack(a, b, c, d or 0, d is not None) for a, b, c, d in entries) + code
-    return HEAD.pack(b"TMK2", len(ids), bound, len(entries), len(code), before, zlib.crc32(body)) + body
+    head = HEAD.pack(b"TMK3", len(ids), bound, len(entries), len(code), before)
+    return head + CHECK.pack(zlib.crc32(body, zlib.crc32(head))) + body
 
 
 def unpacked(block: bytes) -> tuple[np.ndarray, int, list[tuple[int, int, int, int | None]]]:
     """The ids, the ids before and the entries again; a block that fails its checksum raises ValueError."""
-    magic, n, bound, docs, size, before, check = HEAD.unpack_from(block)
-    if magic != b"TMK2" or zlib.crc32(block[HEAD.size :]) != check:
+    head, start = block[: HEAD.size], HEAD.size + CHECK.size
+    if len(block) < start or zlib.crc32(block[start:], zlib.crc32(head)) != CHECK.unpack_from(block, HEAD.size)[0] or head[:4] != b"TMK3":
         raise ValueError("a block of token ids is damaged")
-    entries = [ENTRY.unpack_from(block, HEAD.size + k * ENTRY.size) for k in range(docs)]
+    _, n, bound, docs, size, before = HEAD.unpack(head)
+    entries = [ENTRY.unpack_from(block, start + k * ENTRY.size) for k in range(docs)]
     return decoded(n, bound, block[len(block) - size :]), before, [(a, p, c, d if known else None) for a, p, c, d, known in entries]
 
 
