@@ -6,15 +6,16 @@ as often as they stand there; the similarity of two weighted sets is the sum of
 
 1. Positions of a document whose shingle stands in some benchmark item are kept (a join with the items' shingles).
 2. A window can reach the similarity only if that share of the item's shingles is kept in it; such windows are
-   listed, for every length of an item, and get a 64-bit SimHash of their kept shingles.
-3. Fingerprints fall into 8 blocks of 8 bits. If two differ in at most 23 bits, some block differs in at most two;
-   items are indexed under each block value and those up to two bits away, so no fingerprint within the radius is missed.
-4. Candidates within the radius are verified exactly.
-
-At a similarity of 0.8 a bit differs with a probability of 0.19 at most, so a window lies within the radius but for a
-few cases in ten thousand where items have five shingles, and one in a hundred thousand where they have many. Items of fewer
-than ``FEW`` shingles are indexed without each one of their shingles, too: these are all the sets that a window at 0.8
-can keep of them, at distance 0.
+   listed, for every length of an item, and get a SimHash of 448 bits of their kept shingles.
+3. Fingerprints fall into 28 blocks of 16 bits. If two differ in at most 55 bits, some block differs in at most one;
+   items are indexed under each block value and those one bit away, so no fingerprint within the radius is missed. An unrelated
+   fingerprint meets an item with a probability of 28 * 17 / 65536, which is 0.7 % (0.95 % where ties favour zeros).
+4. Candidates, those that a block finds beyond the radius, too, are verified exactly.
+
+At a similarity of 0.8 at least eight ninths of an item's shingles stand in a window of its length, so a bit differs with a
+probability of 0.15 at most. Then a block differs in at most one bit with a probability of 0.28, and no block does in 0.0001
+of the cases. Items of fewer than ``FEW`` shingles are indexed without each one of their shingles, too, by their whole
+fingerprint: these are all the sets that a window at 0.8 can keep of them.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from talkmill.llm.common import SHINGLE_WORDS, SIMILARITY, cut, native_shingles, native_words, only, sized
 
-BLOCKS, BLOCK_BITS, FLIPS = 8, 8, 2
-RADIUS = BLOCKS * (FLIPS + 1) - 1
+#: Numbers of 64 bits of a fingerprint, blocks of each, and bits of a block.
+NUMBERS, BLOCKS, BLOCK_BITS = 7, 4, 16
 FEW = 10
 
 
@@ -44,11 +45,23 @@ def simhash(shingles: Column) -> Column:
     return F.when(n < 2**16, told(16)).otherwise(told(32))
 
 
-def blocks(fingerprint: Column, changes: list[int]) -> Column:
+def fingerprint(shingles: Column) -> Column:
+    """``NUMBERS`` SimHashes of an array of hashes, each of other bits of them."""
+    again = lambda i: F.transform(shingles, lambda x: F.xxhash64(x, F.lit(i)))
+    return F.array(*[simhash(again(i)) for i in range(NUMBERS)])
+
+
+def blocks(prints: Column, changes: list[int]) -> Column:
     """(block, value) of every block, with each of the changes."""
-    value = lambda b: F.call_function("shiftrightunsigned", fingerprint, b * BLOCK_BITS).bitwiseAND(F.lit(2**BLOCK_BITS - 1)).cast("int")
-    each = lambda b: F.transform(F.lit(changes), lambda x: F.struct(b.alias("block"), value(b).bitwiseXOR(x).alias("value")))
-    return F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), each)))
+    number, at = lambda b: F.floor(b / BLOCKS).cast("int"), lambda b: b % BLOCKS * BLOCK_BITS
+    value = lambda b: F.call_function("shiftrightunsigned", F.get(prints, number(b)), at(b)).bitwiseAND(F.lit(2**BLOCK_BITS - 1))
+    each = lambda b: F.transform(F.lit(changes), lambda x: F.struct(b.alias("block"), value(b).bitwiseXOR(x.cast("bigint")).alias("value")))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(NUMBERS * BLOCKS - 1)), each))
+
+
+def whole(prints: Column) -> Column:
+    """The fingerprint as the value of one more block."""
+    return F.struct(F.lit(-1).alias("block"), F.xxhash64(prints).alias("value"))
 
 
 def numbered(shingles: Column) -> Column:
@@ -66,7 +79,7 @@ def benchmark_items(bench: DataFrame) -> DataFrame:
     """(item_id, words, k, shingles, fingerprint, members) of each item; items without words are left out."""
     items = only(bench, item_id="long", text="string").dropna(subset=["item_id"]).select("item_id", native_words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     items = items.select("item_id", F.size("w").alias("words"), F.least(F.size("w"), F.lit(SHINGLE_WORDS)).alias("k"), native_shingles(F.col("w")).alias("shingles"))
-    return items.select("*", simhash(F.col("shingles")).alias("fingerprint"), numbered(F.col("shingles")).alias("members"))
+    return items.select("*", fingerprint(F.col("shingles")).alias("fingerprint"), numbered(F.col("shingles")).alias("members"))
 
 
 def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -105,16 +118,16 @@ def windows(found: DataFrame, similarity: float) -> DataFrame:
 
 
 def candidates(seen: DataFrame, items: DataFrame) -> DataFrame:
-    """(window, item_id) of windows (window, words, print) and items of their length whose fingerprints are near."""
-    changes = [0, *[1 << i for i in range(BLOCK_BITS)], *[1 << i | 1 << j for i in range(BLOCK_BITS) for j in range(i)]]
+    """(window, item_id) of windows (window, words, print) and items of their length that meet in a block."""
+    changes = [0, *[1 << i for i in range(BLOCK_BITS)]]
     without = lambda i: F.concat(F.slice("shingles", F.lit(1), i), F.slice("shingles", i + 2, F.size("shingles")))
-    parts = F.when((F.size("shingles") > 1) & (F.size("shingles") < FEW), F.transform(F.sequence(F.lit(0), F.size("shingles") - 1), lambda i: simhash(without(i)))).otherwise(F.array().cast("array<bigint>"))
-    prints = items.select("item_id", "words", F.explode(F.array_distinct(F.concat(F.array("fingerprint"), parts))).alias("fingerprint"))
-    index = cut(prints.select("item_id", F.col("words").alias("item_words"), "fingerprint", blocks(F.col("fingerprint"), changes).alias("p")).select("item_id", "item_words", "fingerprint", "p.*"), "item-index")
-    probes = seen.select("window", "words", "print", blocks(F.col("print"), [0]).alias("p")).select("window", "words", "print", F.col("p.block").alias("at"), F.col("p.value").alias("v"))
+    few = (F.size("shingles") > 1) & (F.size("shingles") < FEW)
+    parts = F.when(few, F.transform(F.sequence(F.lit(0), F.size("shingles") - 1), lambda i: whole(fingerprint(without(i))))).otherwise(F.array().cast("array<struct<block:int,value:bigint>>"))
+    index = items.select("item_id", F.col("words").alias("item_words"), F.explode(F.concat(blocks(F.col("fingerprint"), changes), parts)).alias("p"))
+    index = cut(index.select("item_id", "item_words", "p.*"), "item-index")
+    probes = seen.select("window", "words", F.explode(F.concat(blocks(F.col("print"), [0]), F.array(whole(F.col("print"))))).alias("p")).select("window", "words", F.col("p.block").alias("at"), F.col("p.value").alias("v"))
     same = (F.col("words") == F.col("item_words")) & (F.col("at") == F.col("block")) & (F.col("v") == F.col("value"))
-    close = F.bit_count(F.col("print").bitwiseXOR(F.col("fingerprint"))) <= RADIUS
-    return probes.join(sized(index), same & close).select("window", "item_id").distinct()
+    return probes.join(sized(index), same).select("window", "item_id").distinct()
 
 
 def leaks(docs: DataFrame, bench: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
@@ -126,8 +139,8 @@ def leaks(docs: DataFrame, bench: DataFrame, *, similarity: float = SIMILARITY)
     """
     items = cut(benchmark_items(bench), "items")
     seen = windows(hits(docs, items), similarity)
-    seen = cut(seen.select("*", simhash(F.col("kept")).alias("print"), F.monotonically_increasing_id().alias("window")), "windows")
-    # only ids and fingerprints meet in the index; the shingles are fetched for what lies within the radius
+    seen = cut(seen.select("*", fingerprint(F.col("kept")).alias("print"), F.monotonically_increasing_id().alias("window")), "windows")
+    # only ids and blocks meet in the index; the shingles are fetched for what has met
     met = cut(candidates(seen, items), "candidates")
     told = met.join(sized(items.select("item_id", "members")), "item_id").join(seen.select("window", "doc_id", "text_hash", "start", "words", "total", "kept"), "window")
     common = F.size(F.array_intersect(numbered(F.col("kept")), F.col("members"))).cast("double")
@@ -139,7 +152,8 @@ def leaks(docs: DataFrame, bench: DataFrame, *, similarity: float = SIMILARITY)
 def clean(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text holds a benchmark item.
 
-    Rows with null or empty texts stay, as do all rows where there are no items; repeated rows stay or go together.
+    Rows with null or empty texts stay, as do all rows where there are no items; repeated rows stay or go together. An empty
+    table stays empty.
     """
     bad = cut(leaks(docs, bench).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct(), "leaks")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("own_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("own_hash"))
