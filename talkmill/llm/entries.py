@@ -115,13 +115,14 @@ select doc_id, item_id, similarity, cast(s as int) as start_word, cast(l as int)
 from (select *, row_number() over (partition by doc_id, t, item_id order by similarity desc, s) as r from scored where similarity >= 0.8 - 1e-9) where r = 1
 """
 
-#: The Jaccard of all texts that share a shingle, and the components of those at 0.8 or more.
+#: The weighted Jaccard of all texts that share a shingle, and the components of those at 0.8 or more.
 CLASSES_SQL = r"""
 with recursive texts as (select t, row_number() over (order by t) as id from (select distinct coalesce(text, '') as t from documents)),
 words as (select id, regexp_extract_all(lower(t), '[\p{L}\p{N}]+') as w from texts),
-parts as (select distinct id, unnest(list_transform(range(1, len(w) - least(len(w), 5) + 2), lambda i: array_to_string(w[i : i + least(len(w), 5) - 1], ' '))) as sh from words where len(w) > 0),
-sizes as (select id, count(*) as n from parts group by id),
-pairs as (select x.id as a, y.id as b, count(*) as c from parts x join parts y on x.sh = y.sh and x.id < y.id group by all),
+places as (select id, unnest(list_transform(range(1, len(w) - least(len(w), 5) + 2), lambda i: array_to_string(w[i : i + least(len(w), 5) - 1], ' '))) as sh from words where len(w) > 0),
+parts as (select id, sh, count(*) as times from places group by all),
+sizes as (select id, sum(times) as n from parts group by id),
+pairs as (select x.id as a, y.id as b, sum(least(x.times, y.times)) as c from parts x join parts y on x.sh = y.sh and x.id < y.id group by all),
 links as (select a, b from pairs join sizes x on x.id = a join sizes y on y.id = b where c >= 0.8 * (x.n + y.n - c) - 1e-9),
 ends as (select a, b from links union all select b, a from links),
 reached as (select id as a, id as b from texts union select r.a, e.b from reached r join ends e on e.a = r.b),

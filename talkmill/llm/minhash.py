@@ -1,16 +1,17 @@
 """Operator 5: near duplicates by ProbMinHash sketches, banding, exact verification and connected components.
 
-Texts are sets of five-word shingles, in the candidates as in the links: a shingle weighs 1 however often it stands.
+Texts are weighted sets of five-word shingles, in the candidates as in the links: a shingle weighs as often as it stands.
 Each shingle of a text sends a Poisson process of arrivals, at a rate equal to its weight, to random registers; a
 register keeps the earliest one. An element stops as soon as its next arrival comes later than the latest register, so
 a sketch costs about ``m ln m`` arrivals for any length of text. Two registers agree with the probability Jaccard of
-the sets, which is at least their Jaccard.
+the weighted sets, which is at least their weighted Jaccard, the sum of minima over the sum of maxima.
 
 Exact copies are one node from the start. In each bucket of a band, every member is compared with the bucket's
 pivot, never with all others. Members of one bucket that this leaves in different components meet again in finer
 buckets, with pivots of their own. Whoever is in different components still is settled by an exact join: every pair
 of these texts at 0.8 or more shares one of its rarest shingles. No bucket, however large, is capped or dropped.
-Links need a Jaccard of distinct shingles of at least 0.8.
+Links need a weighted Jaccard of at least 0.8. It is that of plain sets in which the second and further occurrences
+of a shingle are elements of their own, and is verified so.
 """
 
 from __future__ import annotations
@@ -85,23 +86,23 @@ def sketched(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
         known = WordHashes()
         for frame in frames:
             made: list[np.ndarray | None] = []
-            sets: list[np.ndarray] = []
+            sets: list[tuple[np.ndarray, np.ndarray]] = []
 
             def flush() -> None:
-                full = [s for s in sets if len(s)]
+                full = [s for s in sets if len(s[0])]
                 if full:
-                    doc = np.repeat(np.arange(len(full)), [len(s) for s in full])
-                    element = np.concatenate(full)
-                    found = iter(band_hashes(probminhash(doc, element, np.ones(len(element)), len(full), bands * rows), bands, rows))
-                    made.extend(next(found) if len(s) else None for s in sets)
+                    doc = np.repeat(np.arange(len(full)), [len(s) for s, _ in full])
+                    element, weight = (np.concatenate(x) for x in zip(*full, strict=True))
+                    found = iter(band_hashes(probminhash(doc, element, weight.astype(np.float64), len(full), bands * rows), bands, rows))
+                    made.extend(next(found) if len(s) else None for s, _ in sets)
                 else:
                     made.extend(None for _ in sets)
                 sets.clear()
 
             size = 0
             for text in frame["text"]:
-                sets.append(np.unique(shingle_hashes(word_hashes(text, known))))
-                size += len(sets[-1])
+                sets.append(np.unique(shingle_hashes(word_hashes(text, known)), return_counts=True))
+                size += len(sets[-1][0])
                 if size > CHUNK:
                     flush()
                     size = 0
@@ -111,13 +112,22 @@ def sketched(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
     return docs.mapInPandas(run, "doc_id long, key binary, bands array<long>")
 
 
+def occurrences(shingles: np.ndarray) -> np.ndarray:
+    """A set of as many elements: the first occurrence of each hash is itself, the others are told apart by their number."""
+    values = np.sort(shingles)
+    place = np.arange(len(values))
+    first = np.r_[True, values[1:] != values[:-1]] if len(values) else np.empty(0, bool)
+    number = (place - np.maximum.accumulate(np.where(first, place, 0))).astype(np.uint64)
+    return np.sort(np.where(first, values, mix(values + number * np.uint64(0x9E3779B97F4A7C15))))
+
+
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(key, shingles) of each row of (key, text): the distinct shingles, as an array."""
+    """(key, shingles) of each row of (key, text): the occurrences of shingles, as an array of different numbers."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
         for frame in frames:
-            found = [np.unique(shingle_hashes(word_hashes(t, known))).view(np.int64) for t in frame["text"]]
+            found = [occurrences(shingle_hashes(word_hashes(t, known))).view(np.int64) for t in frame["text"]]
             yield pd.DataFrame({"key": frame["key"], "shingles": found})
 
     return docs.mapInPandas(run, "key binary, shingles array<long>")
@@ -305,7 +315,8 @@ def near_duplicates(docs: DataFrame, *, similarity: float = SIMILARITY, bands: i
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class: that of its smallest doc_id (nulls last), then of the smallest MD5.
 
-    Of repeated rows, equal in doc_id and text, one stays.
+    Of repeated rows, equal in doc_id and text, one stays. Null and empty texts are one class; texts without words are alike
+    only if they are equal. An empty table stays empty.
     """
     rows = labelled(docs).groupBy("label", "doc_id", "key").agg(F.count("*").alias("copies"))
     order = F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), "key")
