@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -49,7 +49,7 @@ def test_bpe_equals_the_library(spark, texts):
 
 def jaccard_classes(texts, least=0.8):
     known = common.WordHashes()
-    sets = {i: set(common.shingle_hashes(minhash.word_hashes(t, known)).tolist()) for i, t in texts.items()}
+    sets = {i: Counter(common.shingle_hashes(minhash.word_hashes(t, known)).tolist()) for i, t in texts.items()}
     root = {i: i for i in texts}
 
     def find(i):
@@ -60,7 +60,7 @@ def jaccard_classes(texts, least=0.8):
     ids = sorted(texts)
     for a in ids:
         for b in ids:
-            same = texts[a] == texts[b] or (sets[a] and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]))
+            same = texts[a] == texts[b] or (sets[a] and (sets[a] & sets[b]).total() >= least * (sets[a] | sets[b]).total())
             if a < b and same:
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
@@ -152,18 +152,25 @@ def test_exact_pairs_over_many_blocks():
 
 def test_near_duplicates_with_lines_repeated_unequally(spark):
     rng = random.Random(12)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
     texts = {}
-    for i in range(0, 80, 2):
-        lines = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(12)) for _ in range(10)]
-        # the same distinct shingles but for those over a repeated line's end, with half of the lines standing 300 times
-        texts[i], texts[i + 1] = "\n".join(x for x in lines for _ in range(2)), "\n".join(x for k, x in enumerate(lines) for _ in range(300 if k < 5 else 2))
-    known = common.WordHashes()
-    for i in range(0, 80, 2):
-        a, b = (np.unique(common.shingle_hashes(minhash.word_hashes(texts[k], known))) for k in (i, i + 1))
-        assert np.array_equal(a, b)
-    rows = minhash.sketched(spark.createDataFrame([*texts.items()], "doc_id long, text string").withColumn("key", F.unhex(F.md5("text")))).collect()
-    bands = {r.doc_id: r.bands for r in rows}
-    assert all(bands[i] == bands[i + 1] for i in range(0, 80, 2))
+    for i in range(0, 120, 3):
+        lines = [line(12) for _ in range(10)]
+        told = lambda times, lines=lines: "\n".join(x for x, n in zip(lines, times, strict=True) for _ in range(n))
+        # nearly the same distinct shingles in all three; by how often they stand, only the first two are near
+        texts[i], texts[i + 1], texts[i + 2] = told([20] * 10), told([18] * 10), told([300] * 5 + [2] * 5)
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()}
+    assert got == jaccard_classes(texts)
+    assert all((got[i], got[i + 1], got[i + 2]) == (i, i, i + 2) for i in range(0, 120, 3))
+
+
+def test_occurrences_make_a_plain_set_of_a_weighted_one():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        a, b = (rng.integers(0, 12, rng.integers(0, 40)).astype(np.uint64) for _ in range(2))
+        x, y = minhash.occurrences(a), minhash.occurrences(b)
+        assert len(np.unique(x)) == len(a) and len(np.unique(y)) == len(b)
+        assert len(np.intersect1d(x, y)) == (Counter(a.tolist()) & Counter(b.tolist())).total()
 
 
 def test_near_duplicates_of_odd_rows(spark):
@@ -341,8 +348,14 @@ def test_token_blocks_round_trip(spark, texts):
         block = tokenfile.packed(ids, 7, entries)
         back, before, told = tokenfile.unpacked(block)
         assert (back == ids).all() and (before, told) == (7, entries)
-        with pytest.raises(ValueError, match="damaged"):
-            tokenfile.unpacked(block[:-1] + bytes([block[-1] ^ 1]))
+        # every byte of the header and of the entries, and the last one
+        told_bytes = tokenfile.HEAD.size + tokenfile.CHECK.size + 2 * tokenfile.ENTRY.size
+        for at in [*range(told_bytes), len(block) - 1]:
+            with pytest.raises(ValueError, match="damaged"):
+                tokenfile.unpacked(block[:at] + bytes([block[at] ^ 1 << at % 8]) + block[at + 1 :])
+        for size in (0, 3, tokenfile.HEAD.size, told_bytes, len(block) - 1):
+            with pytest.raises(ValueError, match="damaged"):
+                tokenfile.unpacked(block[:size])
     with pytest.raises(ValueError, match="below"):
         tokenfile.coded(np.array([2**20]), 2**20 + 1)
     own = ODD + ["long text, " * 6000]
@@ -437,6 +450,20 @@ def test_leaks_of_truncated_and_odd_items(spark):
     assert decontaminate.clean(docs, bench.limit(0)).count() == len(rows)
 
 
+def test_blocks_select_the_items_of_a_window(spark):
+    """Of 2,000 items of one length a window of a truncated item meets its own and few others."""
+    rng = random.Random(5)
+    items = [[f"w{rng.randrange(10**6)}" for _ in range(40)] for _ in range(2000)]
+    bench = decontaminate.benchmark_items(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")).cache()
+    # 32 of 36 shingles of the item, and four of others, as large a share of noise as a window at 0.8 can have
+    part = F.slice("shingles", 1, 32)
+    seen = bench.filter("item_id % 5 = 0").select(F.col("item_id").alias("window"), "words", decontaminate.fingerprint(F.concat(part, F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.xxhash64(i, "item_id")))).alias("print"))
+    met = decontaminate.candidates(seen, bench).groupBy("window").agg(F.count("*").alias("n"), F.max(F.col("window") == F.col("item_id")).alias("own")).collect()
+    assert len(met) == 400 and all(r.own for r in met)
+    assert sum(r.n for r in met) / 400 < 0.01 * 2000
+    bench.unpersist()
+
+
 def test_lists_are_balanced_and_searched_in_the_graph():
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(60, 16))
@@ -538,6 +565,20 @@ def test_passages_in_other_lines_and_surroundings(spark):
     assert {r.doc_id for r in got if r.removed} == {i for i in found if i % 2}
 
 
+def test_near_paragraphs_after_letters_that_lengthen(spark):
+    """Lower-casing a dotted capital I makes two letters; words behind it are counted as they stand."""
+    rng = random.Random(9)
+    say = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    rows = []
+    for i in range(20):
+        line = say(40).split()
+        near = [*line[:-1], "other"]
+        rows += [(2 * i, f"{say(15)} İstanbul {say(15)}\n{' '.join(line)}"), (2 * i + 1, f"{say(9)} İ İ {say(20)}\n{' '.join(near)}")]
+    got = substrings.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} == set(range(40))
+    assert all(r.class_id == r.doc_id - r.doc_id % 2 for r in got)
+
+
 def test_passages_of_odd_rows(spark):
     say = made_words(9)
     passage, before, after = " ".join(say(60)), "\u0130 " + " ".join(say(30)), " ".join(say(20))
