@@ -5,8 +5,8 @@ adjacent symbols that is a piece, ordered by score and then by place. The best p
 enter the agenda, until it is empty. Characters that are no piece become bytes.
 
 No piece of such a vocabulary has a U+2581 after another character, so no pair ever crosses from a word to the space behind
-it: a text is cut there, and each different part is encoded once for all texts of a task (up to a bound). Where a
-vocabulary has such pieces, texts are not cut.
+it: a text is cut there, and each different part is encoded once for all texts of a task (up to a bound), and checked
+against the library in the batch that brings it. Where a vocabulary has such pieces, texts are not cut.
 """
 
 from __future__ import annotations
@@ -88,6 +88,8 @@ class Model:
         self.own = re.compile("|".join(map(re.escape, own))) if own else None
         crossing = any(re.search(f"[^{SPACE}]{SPACE}", t) for t in self.order)
         self.parts = re.compile("(?s).+" if crossing else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        #: Whether the library, given a part as a text, must encode it as it does within texts.
+        self.separable = bool(self.prefix) and not own and not crossing
 
     def merged(self, text: str) -> list[str]:
         """The symbols that the agenda leaves of a text."""
@@ -131,18 +133,48 @@ def model(path: str) -> Model:
     return Model(path)
 
 
+@lru_cache(maxsize=2)
+def library(path: str) -> sentencepiece.SentencePieceProcessor:
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
 class PieceEncoder(Encoder):
-    """Encodes batches of texts; remembers the ids of the parts it has met, up to a bound."""
+    """Encodes batches of texts; remembers the ids of the parts it has met, up to a bound.
+
+    With ``check`` the sentencepiece library encodes each batch, too: every part when it is first met, or whole texts where
+    parts are no texts by themselves. ``agreed`` tells of each text of the last batch whether all was alike.
+    """
 
-    def __init__(self, path: str, memo: int = MEMO_PARTS):
-        self.model, self.memo = model(path), memo
+    def __init__(self, path: str, memo: int = MEMO_PARTS, *, check: bool = False):
+        self.model, self.memo, self.check, self.library = model(path), memo, check, library(path) if check else None
+        self.agreed: list[bool] = []
         self.forget()
 
+    def forget(self) -> None:
+        super().forget()
+        self.wrong: set[int] = set()
+
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = list(map(self.model.ids, words))
+        if self.check and self.model.separable:
+            theirs = self.library.encode([w[1:].replace(SPACE, " ") for w in words], num_threads=1)
+            alone = [self.library.piece_to_id(SPACE)]  # as a text it would be empty
+            self.wrong.update(len(self.counts) + i for i, (w, a, b) in enumerate(zip(words, found, theirs, strict=True)) if a != (alone if w == SPACE else b))
         counts = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter((i for ids in found for i in ids), np.int32, int(counts.sum())), counts
 
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        self.agreed = []
+        found = super().encode(texts)
+        if self.check and not self.model.separable:
+            theirs = self.library.encode(texts, num_threads=1)
+            self.agreed = [a.tolist() == b for a, b in zip(found, theirs, strict=True)]
+        return found
+
+    def gather(self, at: np.ndarray) -> np.ndarray:
+        self.agreed.append(self.wrong.isdisjoint(at.tolist()) if self.wrong else True)
+        return super().gather(at)
+
     def pieces(self, text: str) -> list[str | tuple[int]]:
         """The parts of a text; a piece that the model's user has defined is one by itself and never merged."""
         if not text:
@@ -159,35 +191,30 @@ class PieceEncoder(Encoder):
         return out + m.parts.findall(text[at:])
 
 
-@lru_cache(maxsize=2)
-def library(path: str) -> sentencepiece.SentencePieceProcessor:
-    return sentencepiece.SentencePieceProcessor(model_file=path)
-
-
 def encode_decode(docs: DataFrame, path: str, *, with_ids: bool = False, check: bool = False) -> DataFrame:
     """Encode each whole text, with an end id, and decode it again.
 
     Returns doc_id, n_tokens, ids_sha256 (of the decimal ids joined by one space), decoded_sha256; with ``with_ids`` the ids and
-    the decoded text; with ``check`` ``agrees``: whether the sentencepiece library, given the same batch, encodes and decodes the
-    text alike. A null text is an empty one, which has the end id only; a null doc_id stays null; repeated rows give
+    the decoded text; with ``check`` ``agrees``: whether the sentencepiece library encodes all parts of the text alike, in the same
+    batch, and the decoded text is the text itself. A null text is an empty one, which has the end id only; a null doc_id stays null; repeated rows give
     repeated rows; other columns are left out. An empty table gives no rows. No shuffle: each row is encoded where it is
     read.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids + ", agrees boolean" * check
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = PieceEncoder(path)
+        encoder = PieceEncoder(path, check=check)
         own = encoder.model
         for frame in frames:
             texts = ["" if t is None else t for t in frame["text"].tolist()]
             for a, b in batches(texts):
                 rows = []
-                theirs = library(path).encode(texts[a:b], add_bos=False, add_eos=True, num_threads=1) if check else [None] * (b - a)
-                for found, wanted in zip(encoder.encode(texts[a:b]), theirs, strict=True):
+                encoded = encoder.encode(texts[a:b])
+                for told, found, agreed in zip(texts[a:b], encoded, encoder.agreed, strict=True):
                     ids = [*found.tolist(), own.end]
                     text = own.decoded(ids)
                     row = (len(ids), hashlib.sha256(" ".join(map(own.numerals.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
-                    rows.append(row + ((ids, text) if with_ids else ()) + ((ids == wanted and text == library(path).decode(wanted),) if check else ()))
+                    rows.append(row + ((ids, text) if with_ids else ()) + ((agreed and text == told.replace(SPACE, " "),) if check else ()))
                 out = pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")[1:]])
                 out.insert(0, "doc_id", frame["doc_id"].iloc[a:b].astype("Int64").to_numpy(dtype=object, na_value=None))
                 yield out

@@ -18,10 +18,12 @@ ODD = [
 ]
 
 
+LIBRARY = sentencepiece.SentencePieceProcessor(model_file=PATH)
+
+
 def wanted(text):
-    library = sentencepiece.SentencePieceProcessor(model_file=PATH)
-    ids = library.encode(text or "", add_eos=True)
-    shown = library.decode(ids)
+    ids = LIBRARY.encode(text or "", add_eos=True)
+    shown = LIBRARY.decode(ids)
     return ids, shown, hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(shown.encode()).hexdigest()
 
 
@@ -45,6 +47,21 @@ def test_all_documents_agree(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = pieces.encode_decode(docs, PATH, check=True)
     assert got.filter("agrees").count() == docs.count()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert {r.doc_id: (r.ids_sha256, r.decoded_sha256) for r in got.collect()} == {i: wanted(t)[2:] for i, t in texts.items()}
+
+
+def test_a_wrong_part_is_told():
+    encoder = pieces.PieceEncoder(PATH, check=True)
+    right = encoder.model.ids
+    encoder.model.ids = lambda text: [5] if text == "▁word" else right(text)
+    try:
+        encoder.encode(["one word here", "two of them", ""])
+        assert encoder.agreed == [False, True, True]
+        encoder.encode(["a word", "words"])
+        assert encoder.agreed == [False, True]
+    finally:
+        del encoder.model.ids
 
 
 def test_long_texts_and_a_small_memory():
@@ -72,5 +89,7 @@ def test_user_defined_pieces_stay_whole(tmp_path):
     with open(path, "wb") as f:
         f.write(data + b"\x0a" + bytes([len(own)]) + own)
     library, encoder = sentencepiece.SentencePieceProcessor(model_file=path), pieces.PieceEncoder(path)
+    checked = pieces.PieceEncoder(path, check=True)
     for text in ["<tool>", "a<tool>b <tool> <tool", "x <tool><tool>", *random_texts(20)]:
-        assert encoder.encode([text])[0].tolist() == library.encode(text)
+        assert encoder.encode([text])[0].tolist() == library.encode(text) == checked.encode([text])[0].tolist()
+        assert checked.agreed == [True]
