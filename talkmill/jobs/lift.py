@@ -55,7 +55,10 @@ def lift(spark: SparkSession, sf_dir: str) -> Archive:
     meta = meta.select(F.col("conv_uuid").alias("uuid"), F.when(number % 11 != 0, F.col("name")).alias("name"), F.when(number % 7 != 0, F.col("summary")).alias("summary"), "created_at", "updated_at", "n_messages")
     chunks = messages.filter(F.length(strip(F.col("text"))) >= 12).select(F.col("uuid").alias("msg_uuid"), "conv_uuid", F.lit(0).alias("seq"), "sender", "created_at", "text", content_sha256(F.col("text")).alias("text_sha256"), F.col("seq").alias("turn"))
     embeddings = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    keyed = chunks.groupBy("text_sha256").agg(F.min((number * 31 + F.col("turn")) % max(embeddings.count(), 1)).cast("bigint").alias("vec_id"))
+    # a subquery: counted only where vectors are used
+    size = embeddings.agg(F.greatest(F.count("*"), F.lit(1))).scalar()
+    placed = chunks.select("text_sha256", (number * 31 + F.col("turn")).alias("place")).withColumn("place", F.col("place") % size)
+    keyed = placed.groupBy("text_sha256").agg(F.min("place").cast("bigint").alias("vec_id"))
     vectors = keyed.join(embeddings, "vec_id").select("text_sha256", F.col("embedding").cast("array<double>").alias("embedding"), "label")
     first = chunks.filter("turn = 0").join(vectors, "text_sha256").select("conv_uuid", F.concat(F.lit("cat-"), F.col("label").cast("string")).alias("slug"), (number % 5).alias("kind"))
     tags = first.filter("kind < 4").select(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +14,9 @@ from talkmill.functions import text
 from talkmill.functions.text import ROOT, content_sha256, preview, tokens, trigrams
 from talkmill.jobs import index
 from talkmill.jobs.lift import LIFT_SQL, Archive, lift
-from talkmill.operators import browse, classify, curation, merge, normalize, search, semantic, transcript, tree
+from talkmill.operators import browse, classify, curation, merge, normalize, postings, search, semantic, transcript, tree
 from talkmill.sources import exports as exports_source
+from talkmill.sources.shared import new_path
 
 Query = Callable[[Archive], DataFrame]
 FOUND: dict[str, Query] = {}
@@ -93,7 +96,43 @@ select query_id, msg_uuid, round(score, 4) as score from found""")
 def match_batch(a: Archive) -> DataFrame:
     """Messages that hold all words of a conversation's opening message."""
     asked = a.messages.filter("seq = 0").select(F.col("uuid").alias("query_id"), F.explode(tokens(F.col("text"))).alias("term"))
-    return search.match_batch(a.messages.withColumnRenamed("uuid", "msg_uuid"), asked).select("query_id", "msg_uuid", F.round("score", 4).alias("score"))
+    return postings.match_all(message_index(a), asked).select("query_id", F.col("key").alias("msg_uuid"), F.round("score", 4).alias("score"))
+
+
+def message_index(a: Archive, stemmed: bool = False) -> postings.KeywordIndex:
+    source = a.messages.select(F.col("uuid").alias("key"), "text")
+    return postings.write_index(source, new_path(source.sparkSession, "keywords"), stemmed=stemmed, buckets=16)
+
+
+SEARCHES_SQL = f"""
+, openings as (select conv_uuid as query_id, cast(conv_uuid as int) % 5 as form, {TOKENS_SQL} as w from messages where seq = 0),
+asked as (select * from openings where len(w) >= 6),
+split as (select uuid as msg_uuid, {TOKENS_SQL} as t, concat(' ', array_to_string({TOKENS_SQL}, ' '), ' ') as line from messages),
+met as (select query_id, msg_uuid, t, form, w from asked, split where case form
+  when 0 then list_contains(t, w[2]) and list_contains(t, w[5])
+  when 1 then list_contains(t, w[1]) or contains(line, concat(' ', w[3], ' ', w[4], ' '))
+  when 2 then list_contains(t, w[3]) and not list_contains(t, w[4]) and not contains(line, concat(' ', w[5], ' ', w[6], ' '))
+  when 3 then contains(line, concat(' ', w[2], ' ', w[3], ' ', w[4], ' '))
+  else not list_contains(t, w[1]) and not list_contains(t, w[2]) end),
+terms as (select *, list_distinct(case form when 0 then [w[2], w[5]] when 1 then [w[1], w[3], w[4]] when 2 then [w[3]] when 3 then [w[2], w[3], w[4]] else [] end) as q from met),
+places as (select query_id, msg_uuid, form, q, list_transform(q, lambda x: list_filter(range(1, len(t) + 1), lambda i: t[i] = x)) as p from terms),
+sums as (select *, list_sum(list_transform(p, lambda x: coalesce(list_sum(list_transform(range(1, len(x) + 1), lambda k: 1.0::double / (k * k))), 0))) * (0.1::double / 1.64493406685) / len(q) as s,
+  flatten(list_transform(range(1, len(q)), lambda i: flatten(list_transform(range(i + 1, len(q) + 1), lambda j: flatten(list_transform(p[i], lambda x: list_transform(p[j], lambda y: abs(x - y)))))))) as d from places)
+select query_id, msg_uuid, round(case when form = 4 then 0 when form in (0, 3) and len(q) > 1 then 1 - list_product(list_transform(d, lambda x: 1 - 0.1::double * sqrt(case when x > 100 then 1e-30 else 1 / (1.005::double + 0.05::double * exp(x / 1.5::double - 2)) end)))
+  else s end, 4) as score from sums"""
+
+
+@query(SEARCHES_SQL)
+def search_batch(a: Archive) -> DataFrame:
+    """A search for each conversation with words of its opening message: both words, one or a phrase, one without others, a phrase,
+    and all that lack two words."""
+    w = lambda i: F.get("w", i - 1)
+    openings = a.messages.filter("seq = 0").select(F.col("conv_uuid").alias("query_id"), tokens(F.col("text")).alias("w")).filter(F.size("w") >= 6)
+    line = lambda pattern, *at: F.format_string(pattern, *[w(i) for i in at])
+    form = F.col("query_id").cast("int") % 5
+    told = F.when(form == 0, line("%s %s", 2, 5)).when(form == 1, line('%s OR "%s %s"', 1, 3, 4)).when(form == 2, line('%s -%s -"%s %s"', 3, 4, 5, 6)).when(form == 3, line('"%s %s %s"', 2, 3, 4)).otherwise(line("-%s -%s", 1, 2))
+    found = postings.search_batch(message_index(a), openings.select("query_id", told.alias("text")))
+    return found.select("query_id", F.col("key").alias("msg_uuid"), F.round("score", 4).alias("score"))
 
 
 @query(f"""
@@ -665,8 +704,11 @@ select uuid, regexp_replace(array_to_string(list_filter(prose, lambda x: x is no
 """
 
 
-def filled_messages(a: Archive) -> DataFrame:
-    """Exploded raw messages, one conversation's raw export each."""
+ODD_RESULT = '{"type":"tool_result","name":"web","content":[{"type":"knowledge","title":"K","url":"http://u","metadata":{"site_domain":"d"}},"plain",{"url":"http://v"},{"data":[1,2]}]}'
+
+
+def filled_messages(a: Archive, *, odd: bool = False) -> DataFrame:
+    """Exploded raw messages, one conversation's raw export each; ``odd`` adds results of links and blocks of other kinds."""
     block = lambda kind, *columns: F.to_json(F.struct(F.lit(kind).alias("type"), *columns))
     at = lambda n, k, x: F.when(F.col("seq") % n == k, x)
     name = F.concat(F.lit("f"), F.col("seq").cast("string"), F.lit(".md"))
@@ -680,6 +722,8 @@ def filled_messages(a: Archive) -> DataFrame:
         at(4, 2, block("tool_use", F.lit("b").alias("id"), F.lit("bash").alias("name"), F.lit("runs").alias("message"), F.struct(F.lit("a:b,c").alias("cmd"), F.lit(2).alias("n")).alias("input"))),
         at(4, 2, block("tool_result", F.lit("b").alias("tool_use_id"), F.substring("text", 1, 30).alias("content"))),
     ]
+    if odd:
+        content += [at(4, 0, F.lit(ODD_RESULT)), at(4, 3, F.lit('{"type":"flag","flag":"a,b"}')), at(4, 3, F.lit('{"type":"image"}'))]
     file = lambda name, kind, body: F.to_json(F.struct(F.lit(name).alias("file_name"), F.lit(kind).alias("file_type"), body.alias("extracted_content")))
     attached = [file("note", "text/plain", F.concat(F.lit(" \n"), F.substring("text", 1, 50), F.lit("  "))), file("paper.PDF", "binary", F.lit("page")), file("data.csv", "csv", F.lit("1,2\n")), file("blank.txt", "txt", F.lit(" \n "))]
     listed = lambda parts: F.concat(F.lit("["), F.array_join(F.filter(F.array(*parts), lambda x: x.isNotNull()), ","), F.lit("]"))
@@ -694,14 +738,26 @@ def message_files(a: Archive) -> DataFrame:
     return normalize.message_texts(filled_messages(a)).select("uuid", "text", "tool_text")
 
 
-@query("""
-, kinds as (select conv_uuid, uuid, unnest(case seq % 4 when 1 then [{k: 'text', t: null, b: text}, {k: 'thinking', t: null, b: 'hm'}, {k: 'call', t: 'view', b: '{"path":"/mnt/user-data/uploads/f' || seq || '.md"}'}]
-  when 2 then [{k: 'text', t: null, b: text}, {k: 'thinking', t: null, b: 'hm'}, {k: 'call', t: 'bash', b: 'runs'}, {k: 'result', t: 'b', b: substr(text, 1, 30)}]
-  else [{k: 'text', t: null, b: text}, {k: 'thinking', t: null, b: 'hm'}] end) as x from messages)
-select conv_uuid, uuid, x.k as kind, x.t as title, x.b as body from kinds""")
+BLOCKS_SQL = """
+, shown as (select conv_uuid, uuid, unnest([{p: 0, k: 'text', t: null, o: null, f: 'text', b: text, u: null, s: null}, {p: 1, k: 'thinking', t: null, o: null, f: 'text', b: 'hm', u: null, s: null}] || case seq % 4
+  when 1 then [{p: 2, k: 'call', t: 'view', o: null, f: 'json', b: '{"path": "/mnt/user-data/uploads/f' || seq || '.md"}', u: null, s: null}, {p: 3, k: 'result', t: 'result', o: null, f: 'text', b: '    12' || chr(9) || substr(text, 1, 40), u: null, s: null}]
+  when 2 then [{p: 2, k: 'call', t: 'bash', o: 'runs', f: 'json', b: '{"cmd": "a:b,c", "n": 2}', u: null, s: null}, {p: 3, k: 'result', t: 'result', o: null, f: 'text', b: substr(text, 1, 30), u: null, s: null}]
+  when 3 then [{p: 2, k: 'other', t: 'flag', o: null, f: 'json', b: '{"type": "flag", "flag": "a,b"}', u: null, s: null}]
+  else [{p: 2, k: 'result', t: 'web', o: null, f: 'link', b: 'K', u: 'http://u', s: 'd'}, {p: 2, k: 'result', t: 'web', o: null, f: 'text', b: 'plain', u: null, s: null},
+    {p: 2, k: 'result', t: 'web', o: null, f: 'link', b: 'http://v', u: 'http://v', s: ''}, {p: 2, k: 'result', t: 'web', o: null, f: 'json', b: '{"data": [1, 2]}', u: null, s: null}] end) as x from messages)
+"""
+
+
+@query(BLOCKS_SQL + "select conv_uuid, uuid, x.p as pos, x.k as kind, x.t as title, x.o as note, x.f as form, x.b as body, x.u as url, x.s as site from shown")
+def transcript_blocks(a: Archive) -> DataFrame:
+    """All that is shown of all messages, item by item."""
+    return transcript.blocks(filled_messages(a, odd=True)).select("conv_uuid", "uuid", "pos", "kind", "title", "note", F.explode("items").alias("x")).select("conv_uuid", "uuid", "pos", "kind", "title", "note", "x.*")
+
+
+@query(BLOCKS_SQL + "select x.k as kind, x.t as title, count(distinct uuid) as messages, count(*) as items from shown group by all")
 def transcript_kinds(a: Archive) -> DataFrame:
-    """All blocks but the results that are lists, whose JSON the engines write differently."""
-    return transcript.blocks(filled_messages(a)).filter("kind != 'result' or title = 'b'").select("conv_uuid", "uuid", "kind", "title", "body")
+    shown = transcript.blocks(filled_messages(a, odd=True)).withColumn("n", F.size("items").cast("bigint"))
+    return shown.groupBy("kind", "title").agg(F.count_distinct("uuid").alias("messages"), F.sum("n").alias("items"))
 
 
 @query("""
@@ -722,12 +778,6 @@ def chunk_counts(a: Archive) -> DataFrame:
     return a.chunks.groupBy("conv_uuid").agg(F.count("*").alias("n"), F.count_distinct("text_sha256").alias("texts"))
 
 
-@query("""select conv_uuid, uuid, case when sender = 'human' then 'text' else 'text' end as kind, trim(text) as body from messages""")
-def transcript_blocks(a: Archive) -> DataFrame:
-    shown = transcript.blocks(normalize.explode_messages(raw_export(a))).filter("kind = 'text'")
-    return shown.select("conv_uuid", "uuid", "kind", F.trim("body").alias("body"))
-
-
 @query("select lower(status) as what, count(*) as n from (select 'new' as status from convs) group by status")
 def import_export(a: Archive) -> DataFrame:
     raw = raw_export(a)
@@ -736,6 +786,62 @@ def import_export(a: Archive) -> DataFrame:
     return index.import_export(raw, meta, messages, normalize.derive_chunks(messages))["report"]
 
 
+# A first export without some conversations and later messages, and a second one in which some opening messages carry the
+# uuid of the conversation before.
+SECOND_SQL = """
+, number as (select *, cast(conv_uuid as int) as c from messages),
+first as (select * from number where c % 5 != 0 and not (c % 3 = 0 and seq >= 2)),
+second as (select * replace (case when seq = 0 and c % 4 = 1 then concat(cast(c - 1 as varchar), ':0') else uuid end as uuid) from number where c % 13 != 2),
+same as (select conv_uuid from first group by conv_uuid, c having c % 4 != 1 and count(*) = (select count(*) from number n where n.conv_uuid = first.conv_uuid)),
+rebuilt as (select distinct conv_uuid from second where conv_uuid not in (select conv_uuid from same)),
+kept as (select * from first where conv_uuid not in (select conv_uuid from rebuilt)),
+won as (select *, row_number() over (partition by uuid order by conv_uuid, seq) as n from second where conv_uuid in (select conv_uuid from rebuilt) and uuid not in (select uuid from kept)),
+merged as (select uuid, conv_uuid, seq, text from kept union all select uuid, conv_uuid, seq, text from won where n = 1)
+"""
+
+
+def two_exports(a: Archive) -> tuple[DataFrame, DataFrame]:
+    c = F.col("conv_uuid").cast("int")
+    first = a.messages.filter((c % 5 != 0) & ~((c % 3 == 0) & (F.col("seq") >= 2)))
+    taken = F.when((F.col("seq") == 0) & (c % 4 == 1), F.concat((c - 1).cast("string"), F.lit(":0"))).otherwise(F.col("uuid"))
+    second = a.messages.filter(c % 13 != 2).withColumn("uuid", taken)
+    own = lambda rows: raw_export(replace(a, messages=rows, conversations=a.conversations.join(rows.select(F.col("conv_uuid").alias("uuid")).distinct(), "uuid")))
+    return own(first), own(second)
+
+
+@query(SECOND_SQL + "select uuid, conv_uuid, seq, trim(text) as text from merged")
+def merge_partitions(a: Archive) -> DataFrame:
+    """The messages of an index in partitions after both exports; uuids stay with the conversation that holds them."""
+    spark = a.messages.sparkSession
+    found = index.PartitionedIndex(spark, new_path(spark, "index"), 8)
+    for n, raw in enumerate(two_exports(a)):
+        found.merge(raw, n)
+    return found.table("messages").select("uuid", "conv_uuid", "seq", "text")
+
+
+@query(SECOND_SQL + """
+select 'conversations' as what, (select count(distinct c) from number where c % 5 != 0 or c % 13 != 2) as n, (select count(distinct c) from number where c % 5 = 0 and c % 13 != 2) as gained
+union all select 'messages', (select count(*) from merged), (select count(*) from merged) - (select count(*) from first)""")
+def import_gains(a: Archive) -> DataFrame:
+    """What the index holds after the second export, and how much more than before."""
+    first, second = two_exports(a)
+    meta = normalize.conversations(first)
+    messages = normalize.message_texts(normalize.explode_messages(first))
+    return index.import_export(second, meta, messages, normalize.derive_chunks(messages))["gains"]
+
+
+@query("""
+select uuid, conv_uuid, seq, trim(text) as text from messages where cast(conv_uuid as int) % 3 = 0 or seq < 2""")
+def import_twice(a: Archive) -> DataFrame:
+    """An export that holds conversations twice: the later transcripts count, whole, whatever the earlier ones hold."""
+    c, later = F.col("conv_uuid").cast("int"), F.col("seq") < 2
+    older = raw_export(replace(a, messages=a.messages.withColumn("text", F.concat(F.lit("old "), "text")), conversations=a.conversations.withColumn("updated_at", F.lit(dt.datetime(2020, 1, 1)))))
+    newer = raw_export(replace(a, messages=a.messages.filter((c % 3 == 0) | later), conversations=a.conversations.withColumn("updated_at", F.lit(dt.datetime(2025, 1, 1)))))
+    empty = index.empty_index(older)
+    found = index.import_export(older.unionByName(newer), *[empty[t] for t in index.TABLES])
+    return found["messages"].select("uuid", "conv_uuid", "seq", "text")
+
+
 @query(f"select uuid, len({TOKENS_SQL}) as n, sha256(array_to_string({TOKENS_SQL}, ' ')) as words from messages")
 def tokenize(a: Archive) -> DataFrame:
     return a.messages.select("uuid", F.size(tokens(F.col("text"))).cast("bigint").alias("n"), F.sha2(F.array_join(tokens(F.col("text")), " "), 256).alias("words"))

@@ -31,18 +31,28 @@ def upsert_conversations(indexed: DataFrame, status: DataFrame) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(last)).filter("n = 1").select(*columns)
 
 
-def rebuild_messages(messages: DataFrame, incoming: DataFrame, status: DataFrame) -> DataFrame:
+def won(incoming: DataFrame, status: DataFrame, held: DataFrame) -> DataFrame:
+    """The messages of rebuilt conversations that stay in the import.
+
+    A message uuid that another conversation holds (uuid, conv_uuid), which isn't rebuilt itself, stays with it; within the
+    import the first by conversation and position wins.
+    """
+    rebuilt = status.filter(F.col("status").isin(*REBUILT)).select(F.col("uuid").alias("conv_uuid")).distinct()
+    taken = held.join(rebuilt, "conv_uuid", "left_anti").select("uuid")
+    new = incoming.join(rebuilt, "conv_uuid", "left_semi").join(taken, "uuid", "left_anti")
+    first = Window.partitionBy("uuid").orderBy("conv_uuid", "seq")
+    return new.withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n")
+
+
+def rebuild_messages(messages: DataFrame, incoming: DataFrame, status: DataFrame, held: DataFrame | None = None) -> DataFrame:
     """Messages after the merge: rebuilt conversations have the incoming ones, the others keep theirs.
 
-    A message uuid that another conversation holds already stays with it; within the import the first by
-    conversation and position wins.
+    ``held`` (uuid, conv_uuid) are the messages of all conversations, where ``messages`` are a part of them only.
     """
     rebuilt = status.filter(F.col("status").isin(*REBUILT)).select(F.col("uuid").alias("conv_uuid")).distinct()
     kept = messages.join(rebuilt, "conv_uuid", "left_anti")
-    new = incoming.join(rebuilt, "conv_uuid", "left_semi").join(kept.select("uuid"), "uuid", "left_anti")
-    first = Window.partitionBy("uuid").orderBy("conv_uuid", "seq")
-    new = new.withColumn("n", F.row_number().over(first)).filter("n = 1").select(*messages.columns)
-    return kept.select(*messages.columns).unionByName(new)
+    new = won(incoming, status, messages.select("uuid", "conv_uuid") if held is None else held)
+    return kept.select(*messages.columns).unionByName(new.select(*messages.columns))
 
 
 def import_report(before: DataFrame, status: DataFrame) -> DataFrame:
@@ -51,6 +61,17 @@ def import_report(before: DataFrame, status: DataFrame) -> DataFrame:
     return status.select(F.lower("status").alias("what")).unionByName(untouched).groupBy("what").agg(F.count("*").alias("n"))
 
 
+def gains(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> DataFrame:
+    """(what, n, gained): how many conversations and messages there are, and how many more than before."""
+    rows = [t.select(F.lit(name).alias("what"), F.lit(n).alias("side")) for n, tables in enumerate((before, after)) for name, t in tables.items()]
+    told = rows[0]
+    for more in rows[1:]:
+        told = told.unionByName(more)
+    n = F.coalesce(F.sum("side"), F.lit(0))
+    # a table without rows on either side has no line
+    return told.groupBy("what").agg(n.alias("n"), (2 * n - F.count("*")).alias("gained"))
+
+
 def set_difference(exported: DataFrame, before: DataFrame) -> DataFrame:
     """(uuid, side): added, present in both, or only indexed."""
     a, b = exported.select("uuid").distinct(), before.select("uuid").distinct()

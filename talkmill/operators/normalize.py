@@ -44,10 +44,10 @@ def joined(parts: Column) -> Column:
     return strip(F.array_join(F.filter(parts, lambda x: x.isNotNull() & (x != "")), "\n"))
 
 
-def conversations(raw: DataFrame) -> DataFrame:
+def conversations(raw: DataFrame, keep_raw: bool = False) -> DataFrame:
     """Metadata of each raw conversation (``raw``): empty names and summaries are null; n_messages counts all messages.
 
-    Rows without a uuid are left out; ``rejected`` has them.
+    Rows without a uuid are left out; ``rejected`` has them. With ``keep_raw`` the raw text stays.
     """
     r = F.col("raw")
     messages = raw_array(r, "$.chat_messages")
@@ -60,6 +60,7 @@ def conversations(raw: DataFrame) -> DataFrame:
         F.get_json_object(r, "$.account.uuid").alias("account_uuid"),
         F.size(messages).alias("n_messages"),
         messages_digest(messages).alias("source_sha256"),
+        *["raw"] * keep_raw,
     )
 
 
@@ -102,8 +103,10 @@ def explode_messages(raw: DataFrame) -> DataFrame:
 
 def spaced(json: Column) -> Column:
     """Compact JSON text with a space after each comma and colon that stands outside of strings."""
-    quoted = F.regexp_extract_all(json, F.lit(r'"(?:[^"\\]|\\.)*"|[^"]+'), F.lit(0))
-    return F.array_join(F.transform(quoted, lambda x: F.when(x.startswith('"'), x).otherwise(F.regexp_replace(x, r"([,:])(?!\s)", "$1 "))), "")
+    # no JSON text holds control characters, so two of them can stand for what is escaped while quotes are looked for
+    kept = F.replace(F.replace(json, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
+    told = F.transform(F.split(kept, '"', -1), lambda x, i: F.when(i % 2 == 0, F.regexp_replace(x, r"([,:])(?!\s)", "$1 ")).otherwise(x))
+    return F.replace(F.replace(F.array_join(told, '"'), F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
 
 
 def tool_result_text(block: Column) -> Column:

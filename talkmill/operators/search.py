@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from functools import partial
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from talkmill.functions.english import lexeme, lexemes
 from talkmill.functions.text import cosine, tokens, trigrams
@@ -20,6 +21,8 @@ TOOL_CHARS, SNIPPET = 500_000, 300
 #: Weight of a plain lexeme, and the sum of 1/k**2 over all k, to which a term's score is set in proportion.
 WEIGHT, ZETA2 = 0.1, 1.64493406685
 STRICT_LEAST, COSINE_LEAST = 0.5, 0.4
+#: Places from which on two words add nothing to a score.
+FAR = 100
 #: Results of a page; fields that a search looks through, by its mode; those of a search that names none that apply.
 PER_PAGE = 50
 FIELDS = {"word": ["title", "summary", "you", "assistant", "tools"], "char": ["title", "summary", "you", "assistant", "tools"], "semantic": ["you", "assistant"]}
@@ -101,26 +104,56 @@ def places(words: Column, term: str) -> Column:
     return F.filter(F.transform(words, lambda w, i: F.when(w == term, i + 1)), lambda i: i.isNotNull())
 
 
-def distances(others: Column, own: Column) -> Column:
-    return F.transform(others, lambda other: F.abs(own - other))
+def nearness(a: np.ndarray, b: np.ndarray) -> float:
+    """What is left of 1 after the pairs of places of two words, each taking the more the nearer they are.
+
+    Pairs more than ``FAR`` places apart take less than a double can tell, so each place meets only those around it.
+    """
+    if len(a) > len(b):
+        a, b = b, a
+    low, high = np.searchsorted(b, a - FAR), np.searchsorted(b, a + FAR, side="right")
+    left = 1.0
+    for at in range(0, len(a), 100_000):
+        n = (high - low)[at : at + 100_000]
+        begins = np.repeat(low[at : at + 100_000] - (np.cumsum(n) - n), n)
+        gaps = np.abs(np.repeat(a[at : at + 100_000], n) - b[begins + np.arange(n.sum())])
+        left *= float(np.prod(1 - WEIGHT * np.sqrt(1.0 / (1.005 + 0.05 * np.exp(gaps / 1.5 - 2)))))
+    return left
+
+
+@F.pandas_udf(DoubleType())
+def near_score(places: pd.Series) -> pd.Series:
+    """The score of terms that all must hold, of their places in a text, by the distances of their occurrences."""
+    out = []
+    for own in places:
+        left, own = 1.0, [] if own is None else [np.asarray(p, np.int64) for p in own]
+        for i, a in enumerate(own):
+            for b in own[i + 1 :]:
+                left *= nearness(a, b)
+        out.append(1 - left)
+    return pd.Series(out, dtype="float64")
+
+
+def often_score(counts: Column) -> Column:
+    """What the occurrences of terms add up to, of how often each stands."""
+    each = lambda n: F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0.0), lambda a, k: a + F.when(k <= n, 1.0 / (k * k).cast("double")).otherwise(F.lit(0.0)))
+    return F.aggregate(counts, F.lit(0.0), lambda a, n: a + each(n))
+
+
+def scored(places: Column, every: Column, terms: Column) -> Column:
+    """Our fixed form of the relevance score, of the places of a query's terms in a text: terms that all must hold (``every``)
+    combine over the distances of their occurrences, others add up by how often they stand, over the number of terms."""
+    often = often_score(F.transform(places, lambda p: F.size(p))) * F.lit(WEIGHT / ZETA2) / F.greatest(terms, F.lit(1))
+    return F.when(every, near_score(F.when(every, places))).otherwise(often)
 
 
 def rank(words: Column, query: Query) -> Column:
-    """Our fixed form of the relevance score: alternatives add up by how often they stand, terms that all must hold
-    combine over the distances of their occurrences."""
+    """The relevance score of an array of words."""
     terms = list(dict.fromkeys(w for clause in query.clauses for phrase in clause for w in phrase if w))
-    every = all(len(clause) == 1 for clause in query.clauses) and len(terms) > 1
-    if not every:
-        each = [F.aggregate(F.sequence(F.lit(1), F.size(places(words, t))), F.lit(0.0), lambda a, k: a + F.when(k > 0, 1.0 / (k * k).cast("double")).otherwise(F.lit(0.0))) for t in terms]
-        one = [F.when(F.size(places(words, t)) > 0, e).otherwise(F.lit(0.0)) for t, e in zip(terms, each, strict=True)]
-        return sum(one, F.lit(0.0)) * (WEIGHT / ZETA2 / max(1, len(terms)))
-    miss = F.lit(1.0)
-    for i, s in enumerate(terms):
-        for t in terms[i + 1 :]:
-            gaps = F.flatten(F.transform(places(words, s), partial(distances, places(words, t))))
-            near = lambda d: F.when(d > 100, F.lit(1e-30)).otherwise(1.0 / (1.005 + 0.05 * F.exp(d / 1.5 - 2)))
-            miss = miss * F.aggregate(gaps, F.lit(1.0), lambda a, d: a * (1 - WEIGHT * F.sqrt(near(d))))
-    return 1 - miss
+    own = F.array(*[places(words, t) for t in terms]).cast("array<array<int>>")
+    if all(len(clause) == 1 for clause in query.clauses) and len(terms) > 1:
+        return near_score(own)
+    return often_score(F.transform(own, lambda p: F.size(p))) * (WEIGHT / ZETA2 / max(1, len(terms)))
 
 
 def fan_out(messages: DataFrame, conversations: DataFrame, fields: set[str], start: str | None = None, end: str | None = None) -> DataFrame:
@@ -158,37 +191,32 @@ def paged(hits: DataFrame, conversations: DataFrame, sort: str = "best", limit:
     return sorted_page(best_hits(hits).join(meta, "conv_uuid"), HIT_SORTS, sort, "best", "conv_uuid", limit, offset)
 
 
+def written_forms(source: DataFrame, query: Query) -> dict[str, str]:
+    """The words of the texts whose lexemes the query asks for, with these; each different word is stemmed once.
+
+    The driver gets the spellings of a few lexemes only.
+    """
+    wanted = sorted({w for phrases in [*query.clauses, query.without] for phrase in phrases for w in (phrase if isinstance(phrase, list) else [phrase]) if w})
+    words = source.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("word")).distinct()
+    told = words.withColumn("lexeme", F.get(lexemes(F.array("word")), F.lit(0))).filter(F.col("lexeme").isin(wanted))
+    return {r.word: r.lexeme for r in told.collect()}
+
+
 def fulltext_hits(source: DataFrame, query: Query, stemmed: bool = False) -> DataFrame:
     """Hits of the query, by words as they are written, or by English lexemes.
 
-    Stemming reads words in Python, once for each distinct one of a worker; the rest is built-in expressions.
+    For these the spellings of the query's lexemes are looked up first; texts are then matched by built-in expressions.
     """
     words = tokens(F.col("text"))
-    words, query = (lexemes(words), english(query)) if stemmed else (words, query)
+    if stemmed:
+        query = english(query)
+        forms = written_forms(source, query)
+        told = F.create_map(*[F.lit(x) for pair in sorted(forms.items()) for x in pair]) if forms else F.create_map().cast("map<string,string>")
+        words = F.transform(words, lambda w: F.coalesce(F.element_at(told, w), F.lit("")))
     words = source.withColumn("words", words).filter(matches(F.col("words"), query))
     return words.select("conv_uuid", "msg_uuid", "field", "text", boosted(rank(F.col("words"), query), TITLE, SUMMARY).alias("score"))
 
 
-def postings(source: DataFrame, key: str = "msg_uuid") -> DataFrame:
-    """(key, term, pos): every word at its place."""
-    return source.select(key, F.posexplode(tokens(F.col("text"))).alias("pos", "term"))
-
-
-def match_batch(source: DataFrame, queries: DataFrame, key: str = "msg_uuid", small: int = 100_000) -> DataFrame:
-    """(query_id, key, score) for a table (query_id, term) of queries whose terms all must stand in a text.
-
-    Terms are counted on the map side; the table of queries is broadcast while it is small.
-    """
-    asked = queries.distinct()
-    sizes = asked.groupBy("query_id").agg(F.count("*").alias("terms"))
-    terms = asked.join(sizes, "query_id")
-    terms = F.broadcast(terms) if asked.limit(small + 1).count() <= small else terms
-    seen = postings(source, key).join(terms, "term").groupBy("query_id", "terms", key, "term").agg(F.count("*").alias("n"))
-    each = F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.col("n")), F.lit(0.0), lambda a, k: a + 1.0 / (k * k).cast("double"))
-    found = seen.groupBy("query_id", "terms", key).agg(F.count("*").alias("met"), F.sum(each).alias("sum")).filter("met = terms")
-    return found.select("query_id", key, (F.col("sum") * (WEIGHT / ZETA2) / F.col("terms")).alias("score"))
-
-
 def headline(words_around: int = 22, least: int = 8, fragments: int = 2, stemmed: bool = False):
     """A pandas UDF (text, words) -> up to two fragments around matching words, which stand in [ ]; for one page only."""
 

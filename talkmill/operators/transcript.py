@@ -5,26 +5,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkmill.operators.normalize import is_object, member, raw_array
+from talkmill.operators.normalize import is_object, member, raw_array, spaced
 
-RESULT_CHARS, ATTACHMENT_CHARS = 4000, 20_000
+#: Characters of a JSON text that are shown, and of an attachment.
+JSON_CHARS, ATTACHMENT_CHARS = 4000, 20_000
+#: What an item of a block holds: a link's address and site, or null; ``form`` is text, link or json.
+ITEM = "struct<form:string,body:string,url:string,site:string>"
 
 
 def blocks(messages: DataFrame) -> DataFrame:
-    """(conv_uuid, uuid, pos, kind, title, body): text, thinking, tool calls and results in order, other blocks by kind.
+    """(conv_uuid, uuid, pos, kind, title, note, items): what is shown of a message, in order.
 
-    Budgets and images are skipped; a message of which nothing shows has its plain text as one block.
+    Texts and thinking have their text. A call has its name, its message as ``note`` and its input as JSON, whole. A result has
+    its name and an item for each of its parts: a link (knowledge, or whatever has an address) by title, address and
+    site, a text as it is, anything else as JSON cut at ``JSON_CHARS`` characters. Other blocks have their type and their JSON, cut
+    alike. Budgets and images are skipped; a message of which nothing shows has its plain text as one block.
     """
     kind = lambda b: member(b, "type")
+    null = F.lit(None).cast("string")
+    given = lambda b, *names: F.coalesce(*[F.nullif(member(b, n), F.lit("")) for n in names])
+    item = lambda form, body, url=null, site=null: F.struct(F.lit(form).alias("form"), body.alias("body"), url.alias("url"), site.alias("site"))
     shown = F.filter(raw_array(F.col("raw"), "$.content"), lambda b: is_object(b) & ~F.coalesce(kind(b).isin("token_budget", "image"), F.lit(False)))
+    short = lambda b: F.substring(spaced(b), 1, JSON_CHARS)
+
+    def part(x: Column) -> Column:
+        address = F.coalesce(given(x, "url"), F.lit(""))
+        site = F.coalesce(F.nullif(F.get_json_object(x, "$.metadata.site_name"), F.lit("")), F.get_json_object(x, "$.metadata.site_domain"), F.lit(""))
+        link = F.coalesce(kind(x) == "knowledge", F.lit(False)) | (address != "")
+        own = F.when(link, item("link", F.coalesce(given(x, "title", "url"), F.lit("link")), address, site)).when(member(x, "text").isNotNull(), item("text", member(x, "text"))).otherwise(item("json", short(x)))
+        return F.when(is_object(x), own).otherwise(item("text", x))
+
+    def parts(b: Column) -> Column:
+        content = member(b, "content")
+        # a string that looks like a list is a text; only what the block holds as a list is one
+        listed = F.coalesce(F.schema_of_variant(F.try_parse_json(F.to_json(F.from_json(b, "content variant")))).contains("content: ARRAY"), F.lit(False))
+        single = F.when(content.isNotNull(), F.array(part(content))).otherwise(F.array().cast(f"array<{ITEM}>"))
+        return F.when(listed, F.transform(raw_array(content), part)).otherwise(single)
 
     def row(b: Column) -> Column:
-        part = lambda k, title, body: F.struct(F.lit(k).alias("kind"), title.alias("title"), body.alias("body"))
-        none = F.lit(None).cast("string")
-        return F.when(kind(b) == "text", part("text", none, member(b, "text"))).when(kind(b) == "thinking", part("thinking", none, member(b, "text"))).when(kind(b) == "tool_use", part("call", member(b, "name"), F.coalesce(member(b, "message"), member(b, "input")))).when(kind(b) == "tool_result", part("result", member(b, "tool_use_id"), F.substring(member(b, "content"), 1, RESULT_CHARS))).otherwise(part("other", kind(b), none))
+        made = lambda k, title, items, note=null: F.struct(F.lit(k).alias("kind"), title.alias("title"), note.alias("note"), items.alias("items"))
+        text = F.array(item("text", F.coalesce(member(b, "text"), F.lit(""))))
+        call = F.when(member(b, "input").isNotNull(), F.array(item("json", spaced(member(b, "input"))))).otherwise(F.array().cast(f"array<{ITEM}>"))
+        return (
+            F.when(kind(b) == "text", made("text", null, text))
+            .when(kind(b) == "thinking", made("thinking", null, text))
+            .when(kind(b) == "tool_use", made("call", F.coalesce(given(b, "name"), F.lit("tool")), call, given(b, "message")))
+            .when(kind(b) == "tool_result", made("result", F.coalesce(given(b, "name"), F.lit("result")), parts(b)))
+            .otherwise(made("other", F.coalesce(kind(b), F.lit("None")), F.array(item("json", short(b)))))
+        )
 
-    rows = F.filter(F.transform(shown, row), lambda r: (r["kind"] == "other") | (F.coalesce(r["body"], F.lit("")) != ""))
-    flat = F.array(F.struct(F.lit("text").alias("kind"), F.lit(None).cast("string").alias("title"), F.coalesce(member(F.col("raw"), "text"), F.lit("")).alias("body")))
+    # a text without words shows nothing
+    rows = F.filter(F.transform(shown, row), lambda r: ~((r["kind"] == "text") & (F.get(r["items"], F.lit(0))["body"] == "")))
+    flat = F.array(F.struct(F.lit("text").alias("kind"), null.alias("title"), null.alias("note"), F.array(item("text", F.coalesce(member(F.col("raw"), "text"), F.lit("")))).alias("items")))
     filled = F.when(F.size(rows) > 0, rows).otherwise(flat)
     return messages.select("conv_uuid", "uuid", F.posexplode(filled).alias("pos", "b")).select("conv_uuid", "uuid", "pos", "b.*")
 

@@ -1,4 +1,4 @@
-"""Importing exports as they arrive in a folder: each batch of files is merged into a new version of the index."""
+"""Importing exports as they arrive in a folder: each batch of files is merged into the index's partitions."""
 
 from __future__ import annotations
 
@@ -6,32 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from talkmill.jobs.index import import_export
-from talkmill.operators import normalize
+from talkmill.jobs.index import PARTS, PartitionedIndex
 
-TABLES = ("conversations", "messages", "chunks")
 
+def watch(spark: SparkSession, folder: str, index: str, checkpoint: str, parts: int = PARTS) -> StreamingQuery:
+    """Merge JSON Lines exports that come into ``folder`` into the index at ``index``.
 
-def empty_index(raw: DataFrame) -> dict[str, DataFrame]:
-    messages = normalize.message_texts(normalize.explode_messages(raw)).limit(0)
-    return {"conversations": normalize.conversations(raw).limit(0), "messages": messages, "chunks": normalize.derive_chunks(messages).limit(0)}
-
-
-def watch(spark: SparkSession, folder: str, index: str, checkpoint: str) -> StreamingQuery:
-    """Merge JSON Lines exports that come into ``folder``; version ``n`` of the index lies in ``index/n``.
-
-    A batch that runs again after a failure reads the version before it and writes the same one, so nothing counts
-    twice. Older copies of a conversation change nothing, whatever order the files come in.
+    A batch touches the partitions of the conversations that it changes. One that runs again after a failure comes to the same
+    tables, and older copies of a conversation change nothing, whatever order the files come in.
     """
 
     def merge_batch(batch: DataFrame, n: int) -> None:
-        raw = batch.select(F.col("value").alias("raw")).filter("raw != ''")
-        if n:
-            known = {t: spark.read.parquet(f"{index}/{n - 1}/{t}") for t in TABLES}
-        else:
-            known = empty_index(raw)
-        done = import_export(raw, known["conversations"], known["messages"], known["chunks"])
-        for t in TABLES:
-            done[t].write.mode("overwrite").parquet(f"{index}/{n}/{t}")
+        PartitionedIndex(batch.sparkSession, index, parts).merge(batch.select(F.col("value").alias("raw")).filter("raw != ''"), n)
 
     return spark.readStream.format("text").load(folder).writeStream.foreachBatch(merge_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -188,11 +188,35 @@ def test_backfill_is_idempotent(spark):
 def test_transcript_parts(spark):
     rows = spark.createDataFrame([raw("c", [{"uuid": "m", "content": [{"type": "image"}, {"type": "tool_use", "name": "n", "message": "go"}, {"type": "text", "text": "hi"}], "attachments": [{"file_size": 2048, "extracted_content": "x"}], "files": ["a.png", {"name": "b"}]}])], "raw string")
     messages = normalize.explode_messages(rows)
-    assert [(r.kind, r.title, r.body) for r in transcript.blocks(messages).orderBy("pos").collect()] == [("call", "n", "go"), ("text", None, "hi")]
+    assert [(r.kind, r.title, r.note, [x.body for x in r["items"]]) for r in transcript.blocks(messages).orderBy("pos").collect()] == [("call", "n", "go", []), ("text", None, None, ["hi"])]
     assert sorted((r["name"], r["size"]) for r in transcript.attachments(messages).collect() if r["size"]) == [("document", "2.0 KB")]
     assert transcript.attachments(messages).count() == 3
 
 
+def shown_blocks(spark, content, **message):
+    rows = spark.createDataFrame([raw("c", [{"uuid": "m", "content": content, **message}])], "raw string")
+    return [(r.kind, r.title, r.note, [tuple(x) for x in r["items"]]) for r in transcript.blocks(normalize.explode_messages(rows)).orderBy("pos").collect()]
+
+
+def test_display_blocks(spark):
+    text = lambda x: ("text", x, None, None)
+    call = {"type": "tool_use", "id": "t9", "name": "bash", "message": "runs", "input": {"cmd": "ls, a", "n": 2}}
+    assert shown_blocks(spark, [call]) == [("call", "bash", "runs", [("json", '{"cmd": "ls, a", "n": 2}', None, None)])]
+    assert shown_blocks(spark, [{"type": "tool_use"}]) == [("call", "tool", None, [])]
+    long = "x" * 5000
+    assert shown_blocks(spark, [{"type": "tool_result", "tool_use_id": "t9", "content": long}]) == [("result", "result", None, [text(long)])]
+    listed = [{"type": "text", "text": long}, "plain", {"type": "knowledge", "title": "T", "url": "http://a", "metadata": {"site_domain": "a"}}, {"url": "http://b"}, {"type": "image", "data": "y" * 5000}]
+    kind, title, note, items = shown_blocks(spark, [{"type": "tool_result", "name": "web", "tool_use_id": "t9", "content": listed}])[0]
+    assert (kind, title, note) == ("result", "web", None)
+    assert items[:4] == [text(long), text("plain"), ("link", "T", "http://a", "a"), ("link", "http://b", "http://b", "")]
+    assert items[4][0] == "json" and len(items[4][1]) == 4000 and items[4][1].startswith('{"type": "image", "data": "yyy')
+    assert shown_blocks(spark, [{"type": "tool_result", "content": '["a text"]'}]) == [("result", "result", None, [text('["a text"]')])]
+    assert shown_blocks(spark, [{"type": "tool_result", "content": {"text": "one"}}, {"type": "tool_result"}]) == [("result", "result", None, [text("one")]), ("result", "result", None, [])]
+    assert shown_blocks(spark, [{"type": "flag", "flag": "f"}]) == [("other", "flag", None, [("json", '{"type": "flag", "flag": "f"}', None, None)])]
+    assert shown_blocks(spark, [{"type": "image"}, "no object", {"type": "token_budget"}], text="flat") == [("text", None, None, [text("flat")])]
+    assert shown_blocks(spark, [{"type": "thinking", "text": "hm"}, {"type": "text", "text": ""}]) == [("thinking", None, None, [text("hm")])]
+
+
 def test_zip_that_is_no_list_raises(spark, tmp_path):
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w") as z:
@@ -202,15 +226,86 @@ def test_zip_that_is_no_list_raises(spark, tmp_path):
         exports.read_export(spark, str(tmp_path / "a.zip")).collect()
 
 
+def files_of(path):
+    return {str(f.relative_to(path)): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
 def test_exports_that_arrive_in_a_folder(spark, tmp_path):
+    from talkmill.jobs.index import PartitionedIndex
     from talkmill.streaming.watch import watch
 
-    drop, index, state = tmp_path / "drop", str(tmp_path / "index"), str(tmp_path / "state")
+    drop, index, state = tmp_path / "drop", tmp_path / "index", str(tmp_path / "state")
     drop.mkdir()
-    for n, text in enumerate(("hello there, you", "hello there, you all")):
-        (drop / f"{n}.jsonl").write_text(raw("c1", [{"uuid": "m1", "text": text}], updated_at=f"2024-01-0{n + 2}T00:00:00Z")[0] + "\n")
-        watch(spark, str(drop), index, state).awaitTermination()
-        assert [r.text for r in spark.read.parquet(f"{index}/{n}/chunks").collect()] == [text]
+    first = [raw(f"c{i}", [{"uuid": f"m{i}", "text": f"hello there, number {i}"}], updated_at="2024-01-02T00:00:00Z")[0] for i in range(12)]
+    grown = raw("c3", [{"uuid": "m3", "text": "hello there, number 3"}, {"uuid": "m3b", "text": "one more message"}], updated_at="2024-01-03T00:00:00Z")[0]
+    older = raw("c4", [{"uuid": "m4", "text": "what it was before"}], updated_at="2024-01-01T00:00:00Z")[0]
+    (drop / "0.jsonl").write_text("\n".join(first) + "\n")
+    watch(spark, str(drop), str(index), state, 8).awaitTermination()
+    before = files_of(index)
+    (drop / "1.jsonl").write_text(f"{grown}\n{older}\n")
+    watch(spark, str(drop), str(index), state, 8).awaitTermination()
+    found = PartitionedIndex(spark, str(index), 8)
+    assert sorted(r.text for r in found.table("chunks").collect()) == sorted([f"hello there, number {i}" for i in range(12)] + ["one more message"])
+    versions = [(r.version, r.batch, r.conversations, r.messages, r.gained_conversations, r.gained_messages) for r in found.versions().orderBy("version").collect()]
+    assert versions == [(0, 0, 12, 12, 12, 12), (1, 1, 12, 13, 0, 1)]
+    # only the partition of the conversation that grew, and those of its messages' uuids, have other files
+    after = files_of(index)
+    part = lambda uuid: spark.range(1).select(F.pmod(F.xxhash64(F.lit(uuid)), F.lit(8)).alias("p")).first().p
+    changed = {f.split("/")[0] + "/" + f.split("/")[1] for f in before.keys() ^ after.keys() if not f.startswith("versions")}
+    assert changed == {f"{t}/part={part('c3')}" for t in ("conversations", "messages", "chunks")} | {f"uuids/part={part(u)}" for u in ("m3", "m3b")}
+    assert all(after[f] == t for f, t in before.items() if f in after)
+
+
+def indexes(spark, tmp_path, exports):
+    """The tables after merging the exports one by one: in partitions, and in memory."""
+    from talkmill.jobs.index import TABLES, PartitionedIndex, empty_index
+
+    parts = PartitionedIndex(spark, str(tmp_path / "parts"), 4)
+    known = empty_index(spark.createDataFrame([], "raw string"))
+    for n, rows in enumerate(exports):
+        frame = spark.createDataFrame(rows, "raw string")
+        report = {r.what: r.n for r in parts.merge(frame, n).collect()}
+        done = import_export(frame, *[known[t] for t in TABLES])
+        assert {r.what: r.n for r in done["report"].collect()} == report
+        known = {t: spark.createDataFrame(done[t].collect(), done[t].schema) for t in TABLES}
+    told = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    for t in TABLES:
+        assert told(parts.table(t)) == told(known[t])
+    return parts, known, done
+
+
+def test_partitions_and_tables_in_memory_agree(spark, tmp_path):
+    one = [raw(f"c{i}", [{"uuid": f"m{i}.{k}", "text": f"message {k} of conversation {i}"} for k in range(3)], updated_at="2024-01-02T00:00:00Z") for i in range(9)]
+    # a message of c1 in a new conversation stays with c1; c2 loses all its messages; c3 is older; c4 grows
+    two = [
+        raw("new", [{"uuid": "m1.0", "text": "taken from another one"}, {"uuid": "n", "text": "a message of its own"}], updated_at="2024-01-05T00:00:00Z"),
+        raw("c2", [], updated_at="2024-01-05T00:00:00Z"),
+        raw("c3", [{"uuid": "m3.0", "text": "how it was before that"}], updated_at="2024-01-01T00:00:00Z"),
+        raw("c4", [{"uuid": f"m4.{k}", "text": f"message {k} of conversation 4"} for k in range(4)], updated_at="2024-01-05T00:00:00Z"),
+    ]
+    # m1.0 goes from c1 to new, when both are rebuilt
+    three = [raw("c1", [{"uuid": "m1.1", "text": "message 1 of conversation 1"}], updated_at="2024-01-06T00:00:00Z"), raw("new", [{"uuid": "m1.0", "text": "taken from another one"}], updated_at="2024-01-06T00:00:00Z")]
+    parts, known, done = indexes(spark, tmp_path, [one, two, three])
+    own = {(r.uuid, r.conv_uuid) for r in parts.table("messages").collect()}
+    assert ("m1.0", "new") in own and ("n", "new") not in own and not {c for _, c in own} & {"c2"} and ("m4.3", "c4") in own and ("m3.2", "c3") in own
+    assert {(r.uuid, r.conv_uuid) for r in parts.table("uuids").collect()} == own
+    assert {r.what: (r.n, r.gained) for r in done["gains"].collect()} == {"conversations": (10, 0), "messages": (24, -2)}
+
+
+def test_a_message_stays_with_the_conversation_that_holds_it(spark, tmp_path):
+    one = [raw("a", [{"uuid": "m", "text": "the first to hold it"}])]
+    two = [raw("b", [{"uuid": "m", "text": "another one with its uuid"}, {"uuid": "x", "text": "held twice in one export"}]), raw("c", [{"uuid": "x", "text": "the later conversation"}])]
+    parts, _, _ = indexes(spark, tmp_path, [one, two])
+    assert {(r.uuid, r.conv_uuid) for r in parts.table("messages").collect()} == {("m", "a"), ("x", "b")}
+
+
+def test_a_uuid_twice_in_one_export(spark, tmp_path):
+    old = raw("c", [{"uuid": "m1", "text": "old text of the first"}, {"uuid": "m2", "text": "a second message"}, {"uuid": "m3", "text": "a third message"}], updated_at="2024-01-01T00:00:00Z")
+    new = raw("c", [{"uuid": "m1", "text": "new text of the first"}, {"uuid": "m4", "text": "another second one"}], updated_at="2024-01-02T00:00:00Z")
+    for rows in ([old, new], [new, old], [new, old, new]):
+        parts, known, _ = indexes(spark, tmp_path / str(len(list(tmp_path.iterdir()))), [rows])
+        assert sorted((r.seq, r.uuid, r.text) for r in known["messages"].collect()) == [(0, "m1", "new text of the first"), (1, "m4", "another second one")]
+        assert known["conversations"].first().n_messages == 2 and parts.table("chunks").count() == 2
 
 
 def test_what_is_no_export_raises(spark, tmp_path):
