@@ -15,6 +15,7 @@ from talkmill.functions.text import ROOT, content_sha256, preview, tokens, trigr
 from talkmill.jobs import index
 from talkmill.jobs.lift import LIFT_SQL, Archive, lift
 from talkmill.operators import browse, classify, curation, merge, normalize, postings, search, semantic, transcript, tree
+from talkmill.sources import archives
 from talkmill.sources import exports as exports_source
 from talkmill.sources.shared import new_path
 
@@ -191,6 +192,17 @@ def search_semantic(a: Archive) -> DataFrame:
     return search.best_hits(semantic_found(a)).select("conv_uuid", F.round("score", 4).alias("score"))
 
 
+@query("""
+, q as (select vec_id as query_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings),
+near as (select query_id, text_sha256, list_cosine_similarity(embedding, v) as score from vectors, q),
+hits as (select query_id, conv_uuid, msg_uuid, score from near join chunks using (text_sha256) where score >= 0.4)
+select query_id, conv_uuid, round(max(score), 4) as score from hits group by all""")
+def search_semantic_batch(a: Archive) -> DataFrame:
+    """The best hit of each conversation for each vector as a query."""
+    asked = a.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return search.semantic_batch(a.chunks, a.vectors, asked, both).select("query_id", "conv_uuid", F.round("score", 4).alias("score"))
+
+
 @query("""
 , q as (select list_transform(embedding, lambda x: cast(x as double)) as v from embeddings where vec_id = 0),
 hits as (select conv_uuid, msg_uuid, text, list_cosine_similarity(embedding, v) as score from chunks join vectors using (text_sha256), q),
@@ -682,6 +694,15 @@ def conv_meta(a: Archive) -> DataFrame:
     return normalize.conversations(raw_export(a)).select("uuid", "name", "summary", day("created_at").alias("created_at"), day("updated_at").alias("updated_at"), "n_messages")
 
 
+@query("select uuid, name, n_messages from convs")
+def zip_export(a: Archive) -> DataFrame:
+    """The archive written as zips, and read again member by member."""
+    spark = a.messages.sparkSession
+    folder = new_path(spark, "zips")
+    archives.write_archives(raw_export(a).repartition(4), folder).collect()  # a row for each file
+    return normalize.conversations(exports_source.read_export(spark, f"{folder}/*.zip", 8)).select("uuid", "name", "n_messages")
+
+
 @query(f"select conv_uuid, seq, uuid, parent_uuid, sender, strftime(created_at, '{DAY}') as created_at from messages")
 def explode_messages(a: Archive) -> DataFrame:
     return normalize.explode_messages(raw_export(a)).select("conv_uuid", "seq", "uuid", "parent_uuid", "sender", day("created_at").alias("created_at"))

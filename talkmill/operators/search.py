@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,6 +26,8 @@ WEIGHT, ZETA2 = 0.1, 1.64493406685
 STRICT_LEAST, COSINE_LEAST = 0.5, 0.4
 #: Places from which on two words add nothing to a score.
 FAR = 100
+#: Query vectors that go to all tasks at once, and vectors that they meet at once.
+QUERIES, BLOCK = 5_000, 1_000
 #: Results of a page; fields that a search looks through, by its mode; those of a search that names none that apply.
 PER_PAGE = 50
 FIELDS = {"word": ["title", "summary", "you", "assistant", "tools"], "char": ["title", "summary", "you", "assistant", "tools"], "semantic": ["you", "assistant"]}
@@ -217,29 +222,65 @@ def fulltext_hits(source: DataFrame, query: Query, stemmed: bool = False) -> Dat
     return words.select("conv_uuid", "msg_uuid", "field", "text", boosted(rank(F.col("words"), query), TITLE, SUMMARY).alias("score"))
 
 
+def covers(hits: list[tuple[int, str]]) -> list[tuple[int, int]]:
+    """The smallest stretches (first and last place) that hold all the words among ``hits`` (place, word), which are in order."""
+    missing, left, out = len({w for _, w in hits}), 0, []
+    held: dict[str, int] = {}
+    for last, word in hits:
+        held[word] = held.get(word, 0) + 1
+        missing -= held[word] == 1
+        while not missing:
+            first, gone = hits[left]
+            held[gone] -= 1
+            left += 1
+            if not held[gone]:
+                out.append((first, last))
+                missing = 1
+    return out
+
+
+def fragments_of(hits: list[tuple[int, str]], n: int, around: int, before: int, most: int) -> list[tuple[int, int]]:
+    """Up to ``most`` stretches of ``around`` words from ``before`` words ahead of a cover on: of the shortest covers first, then of
+    single hits; in the order of the text, without overlaps."""
+    chosen: list[tuple[int, int]] = []
+    for first, _ in chain(sorted(covers(hits), key=lambda c: (c[1] - c[0], c[0])), ((i, i) for i, _ in hits)):
+        if len(chosen) == most:
+            break
+        if any(low <= first < high for low, high in chosen):
+            continue
+        begin = max(0, first - before)
+        low = max([begin, *[h for _, h in chosen if h <= first]])
+        high = min([n, begin + around, *[x for x, _ in chosen if x > first]])
+        chosen.append((low, high))
+    return sorted(chosen)
+
+
+def snippet(text: str, wanted: set[str], stemmed: bool, around: int, before: int, most: int) -> str:
+    spans = [m.span() for m in re.finditer(r"[^\W_]+", text)]
+    words = [text[a:b].lower() for a, b in spans]
+    told = [lexeme(w) for w in words] if stemmed else words
+    hits = [(i, w if w in wanted else t) for i, (w, t) in enumerate(zip(words, told, strict=True)) if w in wanted or t in wanted]
+    marked = {i for i, _ in hits}
+    parts = []
+    for low, high in fragments_of(hits, len(spans), around, before, most):
+        piece, at = "", spans[low][0]
+        for j in range(low, high):
+            a, b = spans[j]
+            piece += text[at:a] + (f"[{text[a:b]}]" if j in marked else text[a:b])
+            at = b
+        parts.append(piece)
+    return " … ".join(parts) if parts else " ".join(text[a:b] for a, b in spans[:around])
+
+
 def headline(words_around: int = 22, least: int = 8, fragments: int = 2, stemmed: bool = False):
-    """A pandas UDF (text, words) -> up to two fragments around matching words, which stand in [ ]; for one page only."""
+    """A pandas UDF (text, words) -> up to two fragments around matching words, which stand in [ ]; for one page only.
+
+    Fragments show the shortest stretches with all the words that a text has. A null or empty text has an empty one.
+    """
 
     @F.pandas_udf("string")
     def make(texts: pd.Series, wanted: pd.Series) -> pd.Series:
-        out = []
-        for text, own in zip(texts, wanted, strict=True):
-            spans, own = [m.span() for m in re.finditer(r"[^\W_]+", text or "")], set(own)
-            hit = [i for i, (a, b) in enumerate(spans) if text[a:b].lower() in own or (stemmed and lexeme(text[a:b].lower()) in own)]
-            parts, reach = [], -1
-            for i in hit:
-                if i <= reach or len(parts) == fragments:
-                    continue
-                low, high = max(0, i - least, reach + 1), min(len(spans), max(0, i - least) + words_around)
-                piece, at = "", spans[low][0]
-                for j in range(low, high):
-                    a, b = spans[j]
-                    piece += text[at:a] + (f"[{text[a:b]}]" if j in hit else text[a:b])
-                    at = b
-                parts.append(piece)
-                reach = high - 1
-            out.append(" … ".join(parts) if parts else " ".join(text[a:b] for a, b in spans[:words_around]) if text else "")
-        return pd.Series(out)
+        return pd.Series([snippet(t, set(own), stemmed, words_around, least, fragments) if t else "" for t, own in zip(texts, wanted, strict=True)])
 
     return make
 
@@ -254,35 +295,58 @@ def word_trigrams(text: str) -> list[tuple[str, bool, bool]]:
     return out
 
 
-def word_similarity(query: str, text: str, strict: bool) -> float:
-    """The best overlap of the query's trigrams with a stretch of the text's; strict: of whole words only."""
+def word_similarities(query: str, text: str, least: float = STRICT_LEAST) -> tuple[float, float]:
+    """The best overlap of the query's trigrams with a stretch of the text's: of whole words only, and of any; 0 below ``least``.
+
+    One pass from the text's end to its beginning. The trigrams that follow a place are kept in the order of their next
+    occurrence, up to as many as a stretch at ``least`` can have, so the work for a place doesn't grow with the text.
+    """
     wanted, grams = {g for g, _, _ in word_trigrams(query)}, word_trigrams(text)
     if not wanted:
-        return 0.0
-    best = 0.0
-    for i, (gram, begins, _) in enumerate(grams):
-        if (strict and not begins) or (not strict and gram not in wanted):
+        return 0.0, 0.0
+    ends = [i for i, (_, _, ends) in enumerate(grams) if ends]
+    most = int(len(wanted) / least) + 1
+    ahead: list[str] = []
+    places: list[int] = []
+    strict = loose = 0.0
+    for i in range(len(grams) - 1, -1, -1):
+        gram, begins, _ = grams[i]
+        if gram in ahead:
+            at = ahead.index(gram)
+            del ahead[at], places[at]
+        ahead.insert(0, gram)
+        places.insert(0, i)
+        if len(ahead) > most:
+            ahead.pop()
+            places.pop()
+        own = gram in wanted
+        if not own and not begins:
             continue
-        seen: set[str] = set()
-        common = 0
-        for j in range(i, len(grams)):
-            g, _, ends = grams[j]
-            if g not in seen:
-                seen.add(g)
-                common += g in wanted
-            if (ends if strict else g in wanted) and common:
-                best = max(best, common / (len(wanted) + len(seen) - common))
-            if len(seen) - common > len(wanted) and common < (len(seen) - common) * max(best, 0.0):
-                break
-    return best
-
-
-def similarity(query: str, strict: bool):
-    """``word_similarity`` of a column of texts, as a pandas UDF."""
-
-    @F.pandas_udf("double")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([word_similarity(query, t or "", strict) for t in texts], dtype="float64")
+        common, n = 0, len(ahead)
+        for k in range(n):
+            if ahead[k] in wanted:
+                common += 1
+                found = common / (len(wanted) + k + 1 - common)
+                if own and found > loose:
+                    loose = found
+            elif not common:
+                continue
+            else:
+                found = common / (len(wanted) + k + 1 - common)
+            # a word must end before the next trigram that is new; the last one kept is beyond what can reach ``least``
+            if begins and found > strict and (k + 1 < n or n < most):
+                end = bisect_left(ends, places[k])
+                if k + 1 == n or ends[end] < places[k + 1]:
+                    strict = found
+    return strict if strict >= least else 0.0, loose if loose >= least else 0.0
+
+
+def similarities(query: str):
+    """``word_similarities`` of a column of texts, as a pandas UDF of (strict, loose)."""
+
+    @F.pandas_udf("strict double, loose double")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([word_similarities(query, t or "") for t in texts], columns=["strict", "loose"], dtype="float64")
 
     return run
 
@@ -294,8 +358,8 @@ def fuzzy_hits(source: DataFrame, query: str) -> DataFrame:
     """
     grams = F.lit(sorted({g for g, _, _ in word_trigrams(query)}))
     enough = F.size(F.array_intersect(trigrams(F.col("text")), grams)) >= STRICT_LEAST * F.size(grams)
-    near = source.filter(enough).filter(similarity(query, True)(F.col("text")) >= STRICT_LEAST)
-    return near.select("conv_uuid", "msg_uuid", "field", "text", boosted(similarity(query, False)(F.col("text")), TITLE_FUZZY, 1.0).alias("score"))
+    near = source.filter(enough).withColumn("s", similarities(query)(F.col("text"))).filter(F.col("s.strict") >= STRICT_LEAST)
+    return near.select("conv_uuid", "msg_uuid", "field", "text", boosted(F.col("s.loose"), TITLE_FUZZY, 1.0).alias("score"))
 
 
 def semantic_hits(chunks: DataFrame, vectors: DataFrame, vector: list[float], fields: set[str], least: float = COSINE_LEAST, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -306,6 +370,54 @@ def semantic_hits(chunks: DataFrame, vectors: DataFrame, vector: list[float], fi
     return own.join(near, "text_sha256").select("conv_uuid", "msg_uuid", F.lit("prose").alias("field"), "text", "score")
 
 
+def matrix_of(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors at length one, as rows, and which of all they are; null and zero vectors are left out."""
+    known = np.flatnonzero(vectors.notna().to_numpy())
+    rows = np.array([np.asarray(v, np.float64) for v in vectors.iloc[known]], np.float64)
+    length = np.linalg.norm(rows, axis=1) if len(rows) else np.empty(0)
+    good = length > 0
+    return rows[good] / length[good, None], known[good]
+
+
+def semantic_batch(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, fields: set[str], least: float = COSINE_LEAST, start: str | None = None, end: str | None = None) -> DataFrame:
+    """(query_id, conv_uuid, score, msg_uuid): the best chunk of each conversation for each query (query_id, embedding), of
+    those whose cosine is at least ``least``; ties to the larger message uuid.
+
+    Up to ``QUERIES`` queries at a time go to all tasks as one matrix, which meets the distinct vectors in Arrow blocks; more
+    are more passes over the vectors. What is near meets the chunks by hash, and each task keeps the best of a
+    conversation before it sends anything.
+    """
+    asked = queries.select("query_id", "embedding")
+    kind = asked.schema["query_id"].dataType.simpleString()
+    dealt = [asked]
+    if (n := asked.count()) > QUERIES:
+        parts = -(-n // QUERIES)
+        dealt = [asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts).cast("long")) == p) for p in range(parts)]
+    near = None
+    for some in dealt:
+        told = some.toPandas()  # at most about ``QUERIES`` rows
+        matrix, own = matrix_of(told["embedding"])
+        ids = told["query_id"].to_numpy()[own]
+
+        def score(frames: Iterator[pd.DataFrame], matrix: np.ndarray = matrix, ids: np.ndarray = ids) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                if not len(ids):
+                    continue
+                for at in range(0, len(frame), BLOCK):
+                    rows, known = matrix_of(frame["embedding"].iloc[at : at + BLOCK])
+                    if len(rows):
+                        found = rows @ matrix.T
+                        i, j = np.nonzero(found >= least)
+                        yield pd.DataFrame({"query_id": ids[j], "text_sha256": frame["text_sha256"].to_numpy()[at + known[i]], "score": found[i, j]})
+
+        part = vectors.select("text_sha256", "embedding").mapInPandas(score, f"query_id {kind}, text_sha256 string, score double")
+        near = part if near is None else near.unionByName(part)
+    scope = sender_scope(fields)
+    rows = chunks.filter(scope if scope is not None else F.lit(False)).filter(date_window(F.col("created_at"), start, end)).select("text_sha256", "conv_uuid", "msg_uuid")
+    best = near.join(rows, "text_sha256").groupBy("query_id", "conv_uuid").agg(F.max(F.struct("score", "msg_uuid")).alias("b"))
+    return best.select("query_id", "conv_uuid", "b.score", "b.msg_uuid")
+
+
 def distinct_conversations(hits: DataFrame) -> DataFrame:
     return hits.agg(F.count_distinct("conv_uuid").alias("n"))
 

@@ -1,64 +1,24 @@
 """Reading export archives, and the curation store.
 
-A zip can't be split, so an archive is one task and its content one value of at most 2 GB; its conversations are dealt
-out right after. Bare JSON arrays (one value, too) and JSON Lines, which have no such limit, are read by Spark itself.
-What is no export raises a ValueError, or Spark's error, that says so.
+Zips are read member by member as streams (``archives``); their conversations are dealt out right after. JSON Lines are read by
+Spark itself, as are bare JSON arrays, each of which is one value of at most 2 GB. What is no export raises a ValueError, or
+Spark's error, that says so.
 """
 
 from __future__ import annotations
 
-import io
-import json
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MEMBERS = "path string, kind string, uuid string, raw string"
-CURATION = "struct<version:int,conversations:map<string,struct<locked:boolean,tags:map<string,struct<confidence:double,method:string>>>>>"
-
+from talkmill.sources.archives import read_archives
 
-def members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row for each conversation and each side file of the zips; side files that are no JSON are left out."""
-    for frame in frames:
-        for path, content in zip(frame["path"], frame["content"], strict=True):
-            try:
-                archive = zipfile.ZipFile(io.BytesIO(content))
-            except zipfile.BadZipFile as error:
-                raise ValueError(f"{path}: a damaged zip ({error})") from None
-            if not any(n.rpartition("/")[2] == "conversations.json" for n in archive.namelist()):
-                raise ValueError(f"{path}: no export, since it holds no conversations.json but {', '.join(archive.namelist()[:5]) or 'nothing'}")
-            for name in archive.namelist():
-                folder, _, base = name.rpartition("/")
-                if not base.endswith(".json"):
-                    continue
-                try:
-                    value = json.loads(archive.read(name))
-                except ValueError:
-                    if base == "conversations.json":
-                        raise ValueError(f"{path}: {name} is not JSON") from None
-                    continue
-                if base == "conversations.json":
-                    if not isinstance(value, list):
-                        raise ValueError(f"{path}: {name} is not a list of conversations")
-                    for a in range(0, len(value), 200):
-                        rows = [(path, "conversation", x.get("uuid") if isinstance(x, dict) else None, json.dumps(x, ensure_ascii=False, separators=(",", ":"))) for x in value[a : a + 200]]
-                        yield pd.DataFrame(rows, columns=["path", "kind", "uuid", "raw"])
-                else:
-                    kind, uuid = (folder.rpartition("/")[2], base[:-5]) if folder else (base[:-5], "")
-                    yield pd.DataFrame([(path, kind, uuid, json.dumps(value, ensure_ascii=False, separators=(",", ":")))], columns=["path", "kind", "uuid", "raw"])
-
-
-def read_zips(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(members, MEMBERS)
+CURATION = "struct<version:int,conversations:map<string,struct<locked:boolean,tags:map<string,struct<confidence:double,method:string>>>>>"
 
 
 def read_export(spark: SparkSession, path: str, partitions: int = 64) -> DataFrame:
     """(raw): a row for each conversation of zips (``*.zip``), JSON Lines (``*.jsonl``) or JSON arrays."""
     if path.endswith(".zip"):
-        return read_zips(spark, path).filter("kind = 'conversation'").select("raw").repartition(partitions)
+        return read_archives(spark, path, "conversations").select("raw").repartition(partitions)
     if path.endswith(".jsonl"):
         return spark.read.text(path).select(F.col("value").alias("raw")).filter("raw != ''")
     whole = spark.read.text(path, wholetext=True)
@@ -69,7 +29,7 @@ def read_export(spark: SparkSession, path: str, partitions: int = 64) -> DataFra
 
 def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
     """(kind, uuid, raw) of the side files of zips: ``dir/x.json`` is (dir, x), ``k.json`` is (k, '')."""
-    return read_zips(spark, path).filter("kind != 'conversation'").select("kind", "uuid", "raw")
+    return read_archives(spark, path, "files").select("kind", "uuid", "raw")
 
 
 def read_curation(text: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -32,12 +32,6 @@ def test_timestamps(spark):
     assert [r.x for r in rows.select(F.date_format(parse_ts(F.col("t")), "HH:mm").alias("x")).collect()] == ["10:00", "08:00", None, None, None]
 
 
-def test_word_similarity():
-    assert search.word_similarity("word", "two words", False) == pytest.approx(0.8)
-    assert search.word_similarity("word", "two words", True) == pytest.approx(0.571429, abs=1e-6)
-    assert search.word_similarity("", "x", True) == 0 and search.word_similarity("abc", "", False) == 0
-
-
 def test_websearch():
     q = search.parse_websearch('one "two three" or four -five or')
     assert q.clauses == [[["one"]], [["two", "three"], ["four"]]] and q.without == [["five"]]
