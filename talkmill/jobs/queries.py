@@ -7,7 +7,7 @@ from collections.abc import Callable
 from dataclasses import replace
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talkmill.functions import text
@@ -17,7 +17,7 @@ from talkmill.jobs.lift import LIFT_SQL, Archive, lift
 from talkmill.operators import browse, classify, curation, merge, normalize, postings, search, semantic, transcript, tree
 from talkmill.sources import archives
 from talkmill.sources import exports as exports_source
-from talkmill.sources.shared import new_path
+from talkmill.sources.shared import cut, new_path
 
 Query = Callable[[Archive], DataFrame]
 FOUND: dict[str, Query] = {}
@@ -235,6 +235,53 @@ def field_fan_out(a: Archive) -> DataFrame:
     return found.select("msg_uuid", "field", F.length("text").cast("bigint").alias("n"))
 
 
+HIT_ORDERS = {"best": "score desc, updated_at desc nulls last", "newest": "created_at desc nulls last", "oldest": "created_at asc nulls last", "title": "name asc nulls last"}
+HIT_PAGES_SQL = f"""
+, hits as (select conv_uuid, list_count(list_filter({TOKENS_SQL}, lambda x: x = 'the')) as n from messages),
+best as (select conv_uuid, max({ONE_TERM}) as score from hits where n > 0 group by conv_uuid),
+told as (select b.conv_uuid, score, name, created_at, updated_at from best b join convs on b.conv_uuid = convs.uuid),
+placed as ({" union all ".join(f"select '{sort}' as sort, row_number() over (order by {order}, conv_uuid) as place, conv_uuid from told" for sort, order in HIT_ORDERS.items())})
+"""
+
+
+@query(HIT_PAGES_SQL + "select sort, place, conv_uuid, (select cast(ceil(count(*) / 50.0) as bigint) from told) as pages from placed where place > 50 and place <= 100")
+def hit_pages(a: Archive) -> DataFrame:
+    """The second page of hits in each order, found by the last row of the first one, and how many pages there are."""
+    hits = search.fulltext_hits(search.fan_out(a.messages, a.conversations, both), search.parse_websearch("the"))
+    told = cut(search.told_hits(hits, a.conversations), "hits")
+    pages, out = search.total_pages(told.count()), None
+    for sort in browse.HIT_SORTS:
+        page = lambda cursor, sort=sort: browse.page_after(told, browse.HIT_SORTS, sort, "best", "conv_uuid", search.PER_PAGE, cursor)
+        first = page(None).collect()
+        rows = page(first[-1]) if len(first) == search.PER_PAGE else told.limit(0)
+        place = F.row_number().over(Window.orderBy(*browse.order_of(browse.HIT_SORTS[sort], "conv_uuid"))) + search.PER_PAGE  # of one page
+        rows = rows.select(F.lit(sort).alias("sort"), place.cast("bigint").alias("place"), "conv_uuid", F.lit(pages).cast("bigint").alias("pages"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("select uuid, summary, sha256(summary) as digest from convs where summary is not null")
+def summaries(a: Archive) -> DataFrame:
+    """Summaries without the line that exports begin them with, in either case and after blank lines."""
+    head = F.element_at(F.array(F.lit("**Conversation overview**\n\n"), F.lit("\n **CONVERSATION OVERVIEW**  \n"), F.lit("")), F.pmod(F.col("uuid").cast("int"), F.lit(3)) + 1)
+    rows = a.conversations.filter("summary is not null").withColumn("summary", F.concat(head, "summary"))
+    shown = text.clean_summary(F.col("summary"))
+    return rows.select("uuid", shown.alias("summary"), F.sha2(shown, 256).alias("digest"))
+
+
+@query("""select 'conversations' as name, count(*) as n, count(distinct uuid) as keys from convs union all select 'messages', count(*), count(distinct conv_uuid) from messages union all select 'chunks', count(*), count(distinct conv_uuid) from chunks""")
+def index_tables(a: Archive) -> DataFrame:
+    """The tables of an index, written and read again."""
+    spark = a.messages.sparkSession
+    path = new_path(spark, "tables")
+    exports_source.write_index({"conversations": a.conversations, "messages": a.messages, "chunks": a.chunks}, path, 8)
+    out = None
+    for name, key in (("conversations", "uuid"), ("messages", "conv_uuid"), ("chunks", "conv_uuid")):
+        rows = spark.read.parquet(f"{path}/{name}").agg(F.count("*").alias("n"), F.count_distinct(key).alias("keys")).select(F.lit(name).alias("name"), "n", "keys")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 # -- browsing ----------------------------------------------------------------------------------------------------------
 
 CATEGORIES_SQL = """
@@ -894,6 +941,21 @@ def letters(texts: list[str]) -> np.ndarray:
     return np.array([[t.lower().count(c) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts], np.float64)
 
 
+LETTERS_SQL = """
+, texts as (select text_sha256, lower(min(text)) as t from chunks group by text_sha256),
+counts as (select text_sha256, list_transform(range(97, 123), lambda c: length(t) - length(replace(t, chr(cast(c as int)), ''))) as n from texts)
+"""
+
+
+@query(LETTERS_SQL + """select text_sha256, round(n[1] / sqrt(list_sum(list_transform(n, lambda x: x * x))), 4) as a, round(n[5] / sqrt(list_sum(list_transform(n, lambda x: x * x))), 4) as e,
+  round(n[26] / sqrt(list_sum(list_transform(n, lambda x: x * x))), 4) as z from counts where list_sum(n) > 0""")
+def embed_values(a: Archive) -> DataFrame:
+    """Vectors of all distinct texts by a stand-in model, at length one."""
+    found = semantic.backfill(a.chunks, a.vectors.limit(0), letters)
+    at = lambda i, name: F.round(F.get("embedding", F.lit(i)), 4).alias(name)
+    return found.filter(F.exists("embedding", lambda x: x != 0)).select("text_sha256", at(0, "a"), at(4, "e"), at(25, "z"))
+
+
 @query("select text_sha256, text_sha256 in (select text_sha256 from vectors where text_sha256 < '8') as cached from (select distinct text_sha256 from chunks)")
 def embed_backfill(a: Archive) -> DataFrame:
     known = a.vectors.filter("text_sha256 < '8'")

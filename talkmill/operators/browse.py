@@ -2,29 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-#: Sort orders of hits and of browsed conversations; every one ends in the key, so that pages are stable.
-HIT_SORTS = {
-    "best": lambda: [F.desc_nulls_last("score"), F.desc_nulls_last("updated_at")],
-    "newest": lambda: [F.desc_nulls_last("created_at")],
-    "oldest": lambda: [F.asc_nulls_last("created_at")],
-    "title": lambda: [F.asc_nulls_last("name")],
-}
-BROWSE_SORTS = {
-    "recent": lambda: [F.desc_nulls_last("updated_at")],
-    "created": lambda: [F.desc_nulls_last("created_at")],
-    "oldest": lambda: [F.asc_nulls_last("created_at")],
-    "title": lambda: [F.asc_nulls_last("name")],
-    "messages": lambda: [F.desc("n_messages")],
-}
+#: Sort orders of hits and of browsed conversations, as columns and whether they descend; nulls come last in all of them, and
+#: every order ends in the key, so that pages are stable.
+HIT_SORTS = {"best": [("score", True), ("updated_at", True)], "newest": [("created_at", True)], "oldest": [("created_at", False)], "title": [("name", False)]}
+BROWSE_SORTS = {"recent": [("updated_at", True)], "created": [("created_at", True)], "oldest": [("created_at", False)], "title": [("name", False)], "messages": [("n_messages", True)]}
+
+
+def order_of(columns: list[tuple[str, bool]], key: str) -> list[Column]:
+    return [F.desc_nulls_last(c) if down else F.asc_nulls_last(c) for c, down in columns] + [F.asc(key)]
 
 
 def sorted_page(df: DataFrame, orders: dict, sort: str, fallback: str, key: str, limit: int, offset: int = 0) -> DataFrame:
     """One page; Spark keeps only the best ``offset + limit`` rows of each partition. An unknown sort falls back."""
-    order = orders.get(sort, orders[fallback])()
-    return df.orderBy(*order, key).offset(offset).limit(limit)
+    return df.orderBy(*order_of(orders.get(sort, orders[fallback]), key)).offset(offset).limit(limit)
+
+
+def beyond(columns: list[tuple[str, bool]], key: str, cursor: Row) -> Column:
+    """Whether a row comes after the cursor, a row with the values of the sort's columns and the key."""
+    after, same = F.lit(False), F.lit(True)
+    for name, down in columns:
+        value = cursor[name]
+        # nothing but nulls comes after a null
+        if value is not None:
+            later = F.col(name) < F.lit(value) if down else F.col(name) > F.lit(value)
+            after = after | (same & (F.coalesce(later, F.lit(False)) | F.col(name).isNull()))
+        same = same & F.col(name).eqNullSafe(F.lit(value))
+    return after | (same & (F.col(key) > F.lit(cursor[key])))
+
+
+def page_after(df: DataFrame, orders: dict, sort: str, fallback: str, key: str, limit: int, cursor: Row | None = None) -> DataFrame:
+    """The page that follows the ``cursor``, the last row of the page before; the first page without one.
+
+    However far a page lies, each partition keeps ``limit`` rows only. Keys must not be null.
+    """
+    columns = orders.get(sort, orders[fallback])
+    rows = df if cursor is None else df.filter(beyond(columns, key, cursor))
+    return rows.orderBy(*order_of(columns, key)).limit(limit)
 
 
 def date_window(ts: Column, start: str | None, end: str | None) -> Column:

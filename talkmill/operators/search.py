@@ -190,10 +190,15 @@ def best_hits(hits: DataFrame) -> DataFrame:
     return best.select("conv_uuid", "b.*")
 
 
+def told_hits(hits: DataFrame, conversations: DataFrame) -> DataFrame:
+    """The best hit of each conversation, with the conversation."""
+    meta = conversations.select(F.col("uuid").alias("conv_uuid"), "name", "created_at", "updated_at", "n_messages")
+    return best_hits(hits).join(meta, "conv_uuid")
+
+
 def paged(hits: DataFrame, conversations: DataFrame, sort: str = "best", limit: int = 50, offset: int = 0) -> DataFrame:
     """Best hits with their conversations, one page of them."""
-    meta = conversations.select(F.col("uuid").alias("conv_uuid"), "name", "created_at", "updated_at", "n_messages")
-    return sorted_page(best_hits(hits).join(meta, "conv_uuid"), HIT_SORTS, sort, "best", "conv_uuid", limit, offset)
+    return sorted_page(told_hits(hits, conversations), HIT_SORTS, sort, "best", "conv_uuid", limit, offset)
 
 
 def written_forms(source: DataFrame, query: Query) -> dict[str, str]:
