@@ -14,8 +14,8 @@ from talkmill.llm import bpe, decontaminate, langid, merkle, minhash, neighbours
 #: The vocabulary files that the contracts name.
 TOKENIZER = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
-#: Least words of a passage whose repetition across documents is reported.
-PASSAGE_WORDS = 50
+#: How often a passage of fewer than ``substrings.SURE_WORDS`` must stand to be reported.
+COMMON = 3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +36,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.repeats(table(spark, sf_dir, "documents"), words=PASSAGE_WORDS).drop("text_hash")
+    return substrings.repeats(table(spark, sf_dir, "documents"), common=COMMON).drop("text_hash")
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

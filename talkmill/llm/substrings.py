@@ -30,6 +30,8 @@ from talkmill.llm.common import SHINGLE_WORDS, SIMILARITY, WordHashes, cut, mix,
 from talkmill.llm.minhash import WORD, components, exact_pairs, finer_pairs, joined, opened, verified
 
 NEAR_WORDS, PASSAGE_WORDS = 20, 16
+#: Words from which a passage counts wherever it repeats; a shorter one must be as common as asked for.
+SURE_WORDS = 50
 #: Words on either side among which a cut has the smallest hash; words compared beyond the ends of a passage.
 AROUND, REACH = 5, 40
 BANDS, ROWS = 8, 3
@@ -237,9 +239,12 @@ def stretched(docs: DataFrame, islands: DataFrame) -> DataFrame:
     return both.groupBy("place", "island").agg(longest(False).alias("before"), longest(True).alias("after"))
 
 
-def repeats(docs: DataFrame, *, similarity: float = SIMILARITY, words: int = PASSAGE_WORDS) -> DataFrame:
+def repeats(docs: DataFrame, *, similarity: float = SIMILARITY, words: int = PASSAGE_WORDS, common: int = 2) -> DataFrame:
     """(doc_id, text_hash, start_word, n_words, class_id, class_size, removed): each unit of passages of ``words`` or more.
 
+    Of passages of fewer than ``SURE_WORDS`` only those are told that have a unit standing ``common`` times or more: what a few
+    words between the edits of two versions of a text have in common stands twice, a licence line often.
+
     class_id is the smallest doc_id with a unit of the class, class_size its units; ``removed`` is false for the first
     occurrence only (by doc_id with nulls first, text hash, position). A class has units of at least two different
     documents; rows equal in doc_id and text are one document, so what repeats within one is left alone. Null and empty
@@ -269,7 +274,7 @@ def repeats(docs: DataFrame, *, similarity: float = SIMILARITY, words: int = PAS
     # the outermost units of each island that stand in several documents, with their first and last occurrence elsewhere
     exact = ~place(F.col("first")).eqNullSafe(place(F.col("last")))
     unit = F.struct("start", "n", "first", "last")
-    spans = islands.groupBy("place", "island").agg(F.min("start").alias("s"), F.max(F.col("start") + F.col("n")).alias("e"), F.max("closes").alias("closes"), F.min_by(unit, F.when(exact, F.col("start"))).alias("l"), F.max_by(unit, F.when(exact, F.col("start") + F.col("n"))).alias("r"))
+    spans = islands.groupBy("place", "island").agg(F.min("start").alias("s"), F.max(F.col("start") + F.col("n")).alias("e"), F.max("closes").alias("closes"), F.max("class_size").alias("often"), F.min_by(unit, F.when(exact, F.col("start"))).alias("l"), F.max_by(unit, F.when(exact, F.col("start") + F.col("n"))).alias("r"))
 
     def sides(u: Column, right: bool, end: Column) -> Column:
         at = u["start"] + u["n"] if right else u["start"]
@@ -283,7 +288,9 @@ def repeats(docs: DataFrame, *, similarity: float = SIMILARITY, words: int = PAS
     right = F.when(~F.col("closes"), sides(F.col("r"), True, F.col("e"))).otherwise(none)
     ends = spans.select("place", "island", F.concat(left, right).alias("ends"))
     beyond = cut(stretched(rows, ends), "beyond")
-    spans = spans.select("place", "island", "s", "e").join(sized(beyond), ["place", "island"], "left").fillna(0, ["before", "after"]).filter(F.col("e") - F.col("s") + F.col("before") + F.col("after") >= words)
+    length = F.col("e") - F.col("s") + F.col("before") + F.col("after")
+    long = (length >= words) & ((length >= SURE_WORDS) | (F.col("often") >= common))
+    spans = spans.select("place", "island", "s", "e", "often").join(sized(beyond), ["place", "island"], "left").fillna(0, ["before", "after"]).filter(long).drop("often")
     kept = islands.join(sized(cut(spans, "passages")), ["place", "island"])
     first = F.col("start") == F.col("s")
     start = F.col("start") - F.when(first, F.col("before")).otherwise(0)
