@@ -14,7 +14,7 @@ from talkmill.functions import text
 from talkmill.functions.text import ROOT, content_sha256, preview, tokens, trigrams
 from talkmill.jobs import index
 from talkmill.jobs.lift import LIFT_SQL, Archive, lift
-from talkmill.operators import browse, classify, curation, merge, normalize, postings, search, semantic, transcript, tree
+from talkmill.operators import browse, classify, curation, merge, normalize, postings, search, seeds, semantic, transcript, tree
 from talkmill.sources import archives
 from talkmill.sources import exports as exports_source
 from talkmill.sources.shared import cut, new_path
@@ -548,6 +548,12 @@ def keyword_matches(a: Archive) -> DataFrame:
     return keyed(a).groupBy("conv_uuid", "slug").agg(F.max("confidence").alias("confidence"))
 
 
+@query(KEYWORD_SQL + "select conv_uuid, slug, max(confidence) as confidence from keyed group by conv_uuid, slug")
+def keyword_automaton(a: Archive) -> DataFrame:
+    """The same seeds, found by one automaton."""
+    return seeds.seed_proposals(a.conversations, a.messages, SEEDS).groupBy("conv_uuid", "slug").agg(F.max("confidence").alias("confidence"))
+
+
 @query(KEYWORD_SQL + "select * from resolved")
 def keyword_pass(a: Archive) -> DataFrame:
     return curation.apply_proposals(a.tags, a.curation, keyed(a), a.taxonomy)
