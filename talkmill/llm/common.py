@@ -1,16 +1,17 @@
-"""What the operators of this subpackage share: the shared folder, lineage cuts and word shingles."""
+"""What the operators of this subpackage share: written tables, checked broadcasts and word shingles."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
+from talkmill.sources.shared import cut, shared_dir
+
+__all__ = ["cut", "shared_dir"]  # beside what is defined here
+
 #: Words in a shingle, and the similarity from which two texts are near duplicates.
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -18,34 +19,12 @@ SIMILARITY = 0.8
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """This application's folder in the one named in ``spark.checkpoint.dir``.
-
-    Where that is unset, a new local folder serves in local mode; on a cluster it is an error, since executors don't
-    share local folders.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="talkmill-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/talkmill-{spark.sparkContext.applicationId}"
-
-
 def release(spark: SparkSession) -> None:
     """Remove the tables that ``cut`` wrote in this application; results not yet written can't be read any more."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends, and it survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def value_bytes(value: Column, kind: DataType) -> Column:
     """About the bytes that a value takes in memory; nested ones count by their parts."""
     if isinstance(kind, (StringType, BinaryType)):
