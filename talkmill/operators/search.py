@@ -17,6 +17,7 @@ from pyspark.sql.types import DoubleType
 from talkmill.functions.english import lexeme, lexemes
 from talkmill.functions.text import cosine, tokens, trigrams
 from talkmill.operators.browse import HIT_SORTS, date_window, sender_scope, sorted_page
+from talkmill.sources.shared import cut
 
 #: Boosts of title and summary; characters of tool text that are searched; characters of a snippet.
 TITLE, SUMMARY, TITLE_FUZZY = 3.0, 2.0, 1.5
@@ -375,6 +376,32 @@ def semantic_hits(chunks: DataFrame, vectors: DataFrame, vector: list[float], fi
     return own.join(near, "text_sha256").select("conv_uuid", "msg_uuid", F.lit("prose").alias("field"), "text", "score")
 
 
+def fuzzy_batch(source: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, key, score) of a table (query_id, text) of fuzzy searches in texts (key, text); scores as in ``fuzzy_hits``.
+
+    A text needs half of a query's trigrams at least, so it has one of the query's rarest: of half of them and one more. Only these
+    are looked up; what is found must have enough trigrams in common before it is read.
+    """
+    texts = cut(source.select("key", trigrams(F.col("text")).alias("grams")).filter(F.size("grams") > 0), "text-trigrams")
+    posted = texts.select("key", F.explode("grams").alias("gram"))
+    asked = queries.select("query_id", F.col("text").alias("query"), trigrams(F.col("text")).alias("wanted")).filter(F.size("wanted") > 0)
+    every = asked.select("query_id", F.explode("wanted").alias("gram"))
+    often = posted.join(every.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("texts"))
+    least = F.ceil(F.size("wanted") * F.lit(STRICT_LEAST)).cast("int")
+    order = F.array_sort(F.collect_list(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "gram")))
+    rarest = every.join(often, "gram", "left").groupBy("query_id").agg(order.alias("o")).join(asked.select("query_id", least.alias("least")), "query_id")
+    looked = rarest.select("query_id", F.explode(F.slice(F.col("o.gram"), F.lit(1), F.size("o") - F.col("least") + 1)).alias("gram"))
+    met = looked.join(posted, "gram").select("query_id", "key").distinct()
+    near = met.join(asked, "query_id").join(texts, "key").filter(F.size(F.array_intersect("wanted", "grams")) >= least).select("query_id", "query", "key")
+
+    @F.pandas_udf("strict double, loose double")
+    def both(asked_texts: pd.Series, found: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([word_similarities(q, t or "") for q, t in zip(asked_texts, found, strict=True)], columns=["strict", "loose"], dtype="float64")
+
+    read = near.join(source.select("key", "text"), "key").select("query_id", "key", both("query", "text").alias("s"))
+    return read.filter(F.col("s.strict") >= STRICT_LEAST).select("query_id", "key", F.col("s.loose").alias("score"))
+
+
 def matrix_of(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     """The vectors at length one, as rows, and which of all they are; null and zero vectors are left out."""
     known = np.flatnonzero(vectors.notna().to_numpy())

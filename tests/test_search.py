@@ -78,6 +78,38 @@ def test_fuzzy_hits_equal_the_plain_rules(spark):
         assert {(r.msg_uuid, round(r.score, 9)) for r in search.fuzzy_hits(rows, query).collect()} == want
 
 
+def test_fuzzy_batch_equals_the_plain_rules(spark):
+    rows = spark.read.parquet(f"{SF}/conversations.parquet").select(F.concat_ws(":", "conv_id", "turn").alias("key"), F.substring("text", 1, 400).alias("text"))
+    texts = {r.key: r.text for r in rows.collect()} | {"none": None, "blank": " "}
+    source = spark.createDataFrame([*texts.items()], "key string, text string")
+    asked = {i: t for i, t in enumerate([list(texts.values())[0][:30], list(texts.values())[9][5:60], "the", "tionand", "zzzzz", "", "of the and", None])}
+    found = {(r.query_id, r.key, round(r.score, 9)) for r in search.fuzzy_batch(source, spark.createDataFrame([*asked.items()], "query_id int, text string")).collect()}
+    want = set()
+    for i, query in asked.items():
+        for key, text in texts.items():
+            strict, loose = plain_similarities(query or "", text or "")
+            if strict:
+                want.add((i, key, round(loose, 9)))
+    assert found == want and len({i for i, _, _ in want}) > 2
+
+
+def plain_lexemes(query, text):
+    """Whether a text satisfies a parsed query, lexeme by lexeme."""
+    words = [search.lexeme(w) for w in search.re.findall(r"[^\W_]+", text.lower())]
+    has = lambda phrase: any(all(not w or (i + j < len(words) and words[i + j] == w) for j, w in enumerate(phrase)) for i in range(len(words)))
+    return bool(query.clauses or query.without) and all(any(map(has, c)) for c in query.clauses) and not any(map(has, query.without))
+
+
+def test_english_searches_equal_the_plain_rules(spark):
+    rows = spark.read.parquet(f"{SF}/conversations.parquet").select(F.concat_ws(":", "conv_id", "turn").alias("msg_uuid"), F.col("conv_id").cast("string").alias("conv_uuid"), F.lit("prose").alias("field"), "text")
+    texts = {r.msg_uuid: r.text for r in rows.collect()}
+    some = [w for t in texts.values() for w in t.split() if len(w) > 4][::97]
+    for asked in ("the eres OR things -onre", f"{some[0]} OR {some[1]}", f"-{some[2]}", f'"{" ".join(texts["3:0"].split()[2:5])}"', f"{some[3]}s the {some[4]}ing OR eres"):
+        query = search.english(search.parse_websearch(asked))
+        want = {k for k, t in texts.items() if plain_lexemes(query, t)}
+        assert {r.msg_uuid for r in search.fulltext_hits(rows, search.parse_websearch(asked), stemmed=True).collect()} == want, asked
+
+
 def test_covers_are_the_smallest_stretches():
     rng = random.Random(4)
     for _ in range(300):
