@@ -23,6 +23,10 @@ NO_INPUT = ["", "{}", "[]", "0", "false", "null"]
 LEAST_CHARS = 12
 
 EMPTY = "array<string>"
+#: What is read of a content block and of an attachment, at once; members that are objects or lists come as their JSON.
+BLOCK = "struct<type:string,text:string,id:string,name:string,tool_use_id:string,is_error:string,input:string,content:variant>"
+ITEM = "struct<title:string,text:string,url:string,metadata:struct<site_name:string>>"
+ATTACHMENT = "struct<file_name:string,file_type:string,extracted_content:string>"
 
 
 def raw_array(json: Column, path: str | None = None) -> Column:
@@ -74,10 +78,12 @@ def basename(path: Column) -> Column:
 
 def upload_views(messages: Column) -> Column:
     """(id, name) of the tool calls of a conversation that view an uploaded file; of equal ids the last one comes last."""
-    blocks = F.flatten(F.transform(messages, lambda m: raw_array(m, "$.content")))
-    path = lambda b: F.coalesce(F.get_json_object(b, "$.input.path"), F.get_json_object(b, "$.input.file_path"))
-    views = F.filter(blocks, lambda b: is_object(b) & (member(b, "type") == "tool_use") & (member(b, "name") == "view") & F.coalesce(F.contains(path(b), F.lit(UPLOADS)), F.lit(False)))
-    return F.transform(views, lambda b: F.named_struct(F.lit("id"), member(b, "id"), F.lit("name"), basename(path(b))))
+    # only blocks whose text names the folder are read
+    blocks = F.flatten(F.transform(F.filter(messages, lambda m: F.contains(m, F.lit(UPLOADS))), lambda m: F.filter(raw_array(m, "$.content"), lambda b: is_object(b) & F.contains(b, F.lit(UPLOADS)))))
+    read = F.transform(blocks, lambda b: F.from_json(b, "type string, name string, id string, input struct<path:string,file_path:string>"))
+    path = lambda b: F.coalesce(b["input"]["path"], b["input"]["file_path"])
+    views = F.filter(read, lambda b: (b["type"] == "tool_use") & (b["name"] == "view") & F.coalesce(F.contains(path(b), F.lit(UPLOADS)), F.lit(False)))
+    return F.transform(views, lambda b: F.named_struct(F.lit("id"), b["id"], F.lit("name"), basename(path(b))))
 
 
 def explode_messages(raw: DataFrame) -> DataFrame:
@@ -109,39 +115,56 @@ def spaced(json: Column) -> Column:
     return F.replace(F.replace(F.array_join(told, '"'), F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
 
 
-def tool_result_text(block: Column) -> Column:
-    """Title, text, and site name or else address of each item of a result; a plain text as it is."""
-    content = member(block, "content")
-    kind = F.schema_of_variant(F.try_parse_json(F.to_json(F.from_json(block, "content variant"))))
-    each = lambda x: F.concat_ws("\n", F.nullif(member(x, "title"), F.lit("")), F.nullif(member(x, "text"), F.lit("")), F.coalesce(F.nullif(F.get_json_object(x, "$.metadata.site_name"), F.lit("")), F.nullif(member(x, "url"), F.lit(""))))
-    items = F.transform(raw_array(content), lambda x: F.when(is_object(x), each(x)).otherwise(x))
+def item_text(x: Column) -> Column:
+    """Title, text, and site name or else address of a result's item, given as JSON."""
+    read = F.from_json(x, ITEM)
+    return F.get(F.transform(F.array(read), lambda r: F.concat_ws("\n", F.nullif(r["title"], F.lit("")), F.nullif(r["text"], F.lit("")), F.coalesce(F.nullif(r["metadata"]["site_name"], F.lit("")), F.nullif(r["url"], F.lit(""))))), F.lit(0))
+
+
+def tool_result_text(content: Column) -> Column:
+    """The text of a result's content, a variant: of the items of a list, of one object, or a plain text as it is."""
+    kind = F.schema_of_variant(content)
+    whole = F.to_json(content)
+    items = F.transform(raw_array(whole), lambda x: F.when(is_object(x), item_text(x)).otherwise(x))
     as_list = F.array_join(F.filter(items, lambda x: x.isNotNull() & (x != "")), "\n")
-    array = F.coalesce(kind.contains("content: ARRAY"), F.lit(False))
-    single = F.coalesce(kind.contains("content: OBJECT"), F.lit(False))
-    return F.when(array, as_list).when(single, each(content)).otherwise(F.coalesce(content, F.lit("")))
+    plain = F.coalesce(F.try_variant_get(content, "$", "string"), F.lit(""))
+    return F.when(F.coalesce(kind.startswith("ARRAY"), F.lit(False)), as_list).when(F.coalesce(kind.startswith("OBJECT"), F.lit(False)), item_text(whole)).otherwise(plain)
 
 
-def attachment_text(a: Column) -> Column:
+def attachment_text(x: Column) -> Column:
     """(prose, text) of an attachment with its label, without white space around it; null for a blank one."""
-    name = F.coalesce(F.nullif(member(a, "file_name"), F.lit("")), F.lit("document"))
-    body = strip(F.coalesce(member(a, "extracted_content"), F.lit("")))
-    prose = F.coalesce(F.lower(member(a, "file_type")).isin(*PROSE_TYPES), F.lit(False))
-    for suffix in PROSE_SUFFIXES:
-        prose = prose | F.lower(name).endswith(suffix)
-    return F.when(is_object(a) & (body != ""), F.named_struct(F.lit("prose"), prose, F.lit("text"), F.concat(F.lit("[attachment: "), name, F.lit("]\n"), body)))
 
+    def told(a: Column) -> Column:
+        name = F.coalesce(F.nullif(a["file_name"], F.lit("")), F.lit("document"))
+        body = strip(F.coalesce(a["extracted_content"], F.lit("")))
+        prose = F.coalesce(F.lower(a["file_type"]).isin(*PROSE_TYPES), F.lit(False))
+        for suffix in PROSE_SUFFIXES:
+            prose = prose | F.lower(name).endswith(suffix)
+        return F.when(body != "", F.named_struct(F.lit("prose"), prose, F.lit("text"), F.concat(F.lit("[attachment: "), name, F.lit("]\n"), body)))
+
+    return F.when(is_object(x), F.get(F.transform(F.array(F.from_json(x, ATTACHMENT)), told), F.lit(0)))
 
-def block_text(b: Column, views: Column) -> Column:
+
+def block_text(x: Column, views: Column) -> Column:
     """(prose, text) of a content block; null for thinking, budgets, flags, images and anything unknown."""
-    kind = member(b, "type")
-    result = tool_result_text(b)
-    mine = F.filter(views, lambda v: v["id"] == member(b, "tool_use_id"))
-    viewed = (F.size(mine) > 0) & (result != "") & ~F.coalesce(member(b, "is_error") == "true", F.lit(False))
-    upload = F.concat(F.lit("[uploaded file: "), F.element_at(mine, -1)["name"], F.lit("]\n"), F.regexp_replace(result, LINE_NUMBER, ""))
-    given = member(b, "input")
-    call = F.concat_ws("\n", F.nullif(member(b, "name"), F.lit("")), F.when(~given.isin(*NO_INPUT), spaced(given)))
     part = lambda prose, text: F.named_struct(F.lit("prose"), F.lit(prose), F.lit("text"), text)
-    return F.when(is_object(b) & (kind == "text"), part(True, member(b, "text"))).when(is_object(b) & (kind == "tool_use"), part(False, call)).when(is_object(b) & (kind == "tool_result") & viewed, part(True, upload)).when(is_object(b) & (kind == "tool_result"), part(False, result))
+
+    def result(b: Column) -> Column:
+        mine = F.filter(views, lambda v: v["id"] == b["tool_use_id"])
+
+        def told(text: Column) -> Column:
+            viewed = (F.size(mine) > 0) & (text != "") & ~F.coalesce(b["is_error"] == "true", F.lit(False))
+            upload = F.concat(F.lit("[uploaded file: "), F.element_at(mine, -1)["name"], F.lit("]\n"), F.regexp_replace(text, LINE_NUMBER, ""))
+            return F.when(viewed, part(True, upload)).otherwise(part(False, text))
+
+        # one-element arrays bind what is read, so that it is read once
+        return F.get(F.transform(F.array(tool_result_text(b["content"])), told), F.lit(0))
+
+    def told(b: Column) -> Column:
+        call = F.concat_ws("\n", F.nullif(b["name"], F.lit("")), F.when(~b["input"].isin(*NO_INPUT), spaced(b["input"])))
+        return F.when(b["type"] == "text", part(True, b["text"])).when(b["type"] == "tool_use", part(False, call)).when(b["type"] == "tool_result", result(b))
+
+    return F.when(is_object(x), F.get(F.transform(F.array(F.from_json(x, BLOCK)), told), F.lit(0)))
 
 
 def message_texts(messages: DataFrame) -> DataFrame:
