@@ -29,7 +29,7 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 PRE_TOKEN_ASCII = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 #: Distinct pre-tokens that a task remembers between batches, and characters encoded at once.
 MEMO_WORDS = 1_000_000
-BATCH_CHARS = 16_000_000
+BATCH_CHARS = 4_000_000
 
 
 def byte_letters() -> dict[str, int]:
