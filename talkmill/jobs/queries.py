@@ -175,14 +175,6 @@ def count_fuzzy(a: Archive) -> DataFrame:
     return search.distinct_conversations(search.fuzzy_hits(search.fan_out(a.messages, a.conversations, both | {"title"}), "tionand"))
 
 
-@query()
-def search_fuzzy_batch(a: Archive) -> DataFrame:
-    """Messages like the title of a conversation, for all titles."""
-    asked = a.conversations.filter("name is not null").select(F.col("uuid").alias("query_id"), F.col("name").alias("text"))
-    found = search.fuzzy_batch(a.messages.select(F.col("uuid").alias("key"), "text"), asked)
-    return found.select("query_id", F.col("key").alias("msg_uuid"), F.round("score", 4).alias("score"))
-
-
 SEMANTIC_SQL = """
 , q as (select list_transform(embedding, lambda x: cast(x as double)) as v from embeddings where vec_id = 0),
 hits as (select conv_uuid, list_cosine_similarity(embedding, v) as score from chunks join vectors using (text_sha256), q)

@@ -6,7 +6,9 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from itertools import chain
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -291,6 +293,7 @@ def headline(words_around: int = 22, least: int = 8, fragments: int = 2, stemmed
     return make
 
 
+@lru_cache(maxsize=16)
 def word_trigrams(text: str) -> list[tuple[str, bool, bool]]:
     """The trigrams of a text in order; whether each begins, and whether it ends, a word."""
     out = []
@@ -305,28 +308,34 @@ def word_similarities(query: str, text: str, least: float = STRICT_LEAST) -> tup
     """The best overlap of the query's trigrams with a stretch of the text's: of whole words only, and of any; 0 below ``least``.
 
     One pass from the text's end to its beginning. The trigrams that follow a place are kept in the order of their next
-    occurrence, up to as many as a stretch at ``least`` can have, so the work for a place doesn't grow with the text.
+    occurrence, up to as many as a stretch at ``least`` can have, so the work for a place doesn't grow with the text. Places
+    are looked at only while enough of the query's trigrams are among these.
     """
     wanted, grams = {g for g, _, _ in word_trigrams(query)}, word_trigrams(text)
     if not wanted:
         return 0.0, 0.0
     ends = [i for i, (_, _, ends) in enumerate(grams) if ends]
-    most = int(len(wanted) / least) + 1
+    most, need = int(len(wanted) / least) + 1, ceil(least * len(wanted) - 1e-9)
+    if len(wanted.intersection(g for g, _, _ in grams)) < need:
+        return 0.0, 0.0
     ahead: list[str] = []
     places: list[int] = []
     strict = loose = 0.0
+    inside = 0
     for i in range(len(grams) - 1, -1, -1):
         gram, begins, _ = grams[i]
+        own = gram in wanted
         if gram in ahead:
             at = ahead.index(gram)
             del ahead[at], places[at]
+        else:
+            inside += own
         ahead.insert(0, gram)
         places.insert(0, i)
         if len(ahead) > most:
-            ahead.pop()
+            inside -= ahead.pop() in wanted
             places.pop()
-        own = gram in wanted
-        if not own and not begins:
+        if inside < need or not (own or begins):
             continue
         common, n = 0, len(ahead)
         for k in range(n):
@@ -380,7 +389,8 @@ def fuzzy_batch(source: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, key, score) of a table (query_id, text) of fuzzy searches in texts (key, text); scores as in ``fuzzy_hits``.
 
     A text needs half of a query's trigrams at least, so it has one of the query's rarest: of half of them and one more. Only these
-    are looked up; what is found must have enough trigrams in common before it is read.
+    are looked up; what is found must have enough trigrams in common before it is read. Long texts have many in common with any
+    query, so pairs of them cost the most.
     """
     texts = cut(source.select("key", trigrams(F.col("text")).alias("grams")).filter(F.size("grams") > 0), "text-trigrams")
     posted = texts.select("key", F.explode("grams").alias("gram"))
