@@ -102,11 +102,14 @@ def bags(vocabulary: dict[str, int], frames: Iterator[pd.DataFrame]) -> Iterator
         yield pd.DataFrame(rows, columns=["toxic", "sentences", "features"])
 
 
+def end_to_end(lists: pd.Series) -> np.ndarray:
+    return np.concatenate([np.empty(0, np.int64), *[np.asarray(x, np.int64) for x in lists]])
+
+
 def fit(frame: pd.DataFrame, n: int) -> tuple[float, np.ndarray]:
     """Bias and weights that maximise the likelihood of the document labels under noisy-or."""
     toxic = frame["toxic"].to_numpy(np.float64)
-    sizes = np.array([s for x in frame["sentences"] for s in x], np.int64)
-    feature = np.array([f for x in frame["features"] for f in x], np.int64)
+    sizes, feature = end_to_end(frame["sentences"]), end_to_end(frame["features"])
     sentence = np.repeat(np.arange(len(sizes)), sizes)
     doc = np.repeat(np.arange(len(frame)), [len(x) for x in frame["sentences"]])
     # the bias is the last parameter; a light pull to a low bias keeps sentences innocent without evidence
@@ -125,6 +128,16 @@ def fit(frame: pd.DataFrame, n: int) -> tuple[float, np.ndarray]:
     return float(x[n]), x[:n]
 
 
+def fitted(names: list[str], frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """feature, weight of those that weigh; the empty feature has the bias. The order of the rows makes no difference."""
+    frame = pd.concat(list(frames), ignore_index=True)
+    # numbers as bytes, the highest first, sort as the numbers do
+    keys = [(t, np.asarray(s, ">i4").tobytes(), np.asarray(f, ">i4").tobytes()) for t, s, f in zip(frame["toxic"], frame["sentences"], frame["features"], strict=True)]
+    bias, weights = fit(frame.iloc[sorted(range(len(frame)), key=keys.__getitem__)], len(names))
+    found = [("", bias), *[(f, float(w)) for f, w in zip(names, weights, strict=True) if w > 1e-3]]
+    yield pd.DataFrame(found, columns=["feature", "weight"])
+
+
 def train(docs: DataFrame, labels: DataFrame) -> tuple[float, dict[str, float]]:
     """The bias and the features' weights. Without toxic or without clean documents nothing is learned."""
     rows = cut(training_rows(docs, labels), "toxicity-train")
@@ -142,10 +155,9 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[float, dict[str, float]]:
     if not names:
         return -3.0, {}
     made = rows.mapInPandas(partial(bags, {f: i for i, f in enumerate(names)}), "toxic int, sentences array<int>, features array<int>")
-    frame = made.toPandas()
-    frame = frame.iloc[sorted(range(len(frame)), key=lambda i: (frame["toxic"].iat[i], list(frame["sentences"].iat[i]), list(frame["features"].iat[i])))]
-    bias, weights = fit(frame, len(names))
-    return bias, {f: float(w) for f, w in zip(names, weights, strict=True) if w > 1e-3}
+    # the sample is bounded, so one task fits it; the driver gets the weights only
+    found = {r.feature: r.weight for r in made.repartition(1).mapInPandas(partial(fitted, names), "feature string, weight double").collect()}
+    return found.pop(""), found
 
 
 class Scorer:
