@@ -15,6 +15,11 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def strip_spaces(text: Column) -> Column:
+    """Without spaces of any script at either end, as SQL's trim: line ends and tabs stay."""
+    return F.regexp_replace(text, r"^\p{Zs}+|\p{Zs}+\z", "")
+
+
 def parse_ts(text: Column) -> Column:
     """ISO-8601 with Z or an offset as a timestamp; empty or malformed text is null."""
     return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), text.try_cast("timestamp"))

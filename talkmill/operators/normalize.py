@@ -6,6 +6,8 @@ costs only itself, and unknown members survive in ``raw``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,9 +45,9 @@ def is_object(json: Column) -> Column:
     return F.coalesce(json.startswith("{"), F.lit(False))
 
 
-def joined(parts: Column) -> Column:
+def joined(parts: Column, ends: Callable[[Column], Column] = strip) -> Column:
     """Non-empty parts with line ends between them, stripped."""
-    return strip(F.array_join(F.filter(parts, lambda x: x.isNotNull() & (x != "")), "\n"))
+    return ends(F.array_join(F.filter(parts, lambda x: x.isNotNull() & (x != "")), "\n"))
 
 
 def conversations(raw: DataFrame, keep_raw: bool = False) -> DataFrame:
@@ -167,14 +169,17 @@ def block_text(x: Column, views: Column) -> Column:
     return F.when(is_object(x), F.get(F.transform(F.array(F.from_json(x, BLOCK)), told), F.lit(0)))
 
 
-def message_texts(messages: DataFrame) -> DataFrame:
-    """Messages with ``text`` (prose, '' if none) and ``tool_text`` (null if none), in the order of their blocks."""
+def message_texts(messages: DataFrame, ends: Callable[[Column], Column] = strip) -> DataFrame:
+    """Messages with ``text`` (prose, '' if none) and ``tool_text`` (null if none), in the order of their blocks.
+
+    ``ends`` takes from both ends of a message's texts what doesn't count there.
+    """
     blocks = F.transform(raw_array(F.col("raw"), "$.content"), lambda b: block_text(b, F.col("views")))
     attached = F.transform(raw_array(F.col("raw"), "$.attachments"), attachment_text)
     parts = messages.withColumn("parts", F.filter(F.concat(blocks, attached), lambda p: p.isNotNull()))
-    of = lambda prose: joined(F.transform(F.filter("parts", lambda p: p["prose"] == prose), lambda p: p["text"]))
+    of = lambda prose: joined(F.transform(F.filter("parts", lambda p: p["prose"] == prose), lambda p: p["text"]), ends)
     both = parts.withColumns({"text": of(True), "tool_text": of(False)})
-    flat = strip(F.coalesce(member(F.col("raw"), "text"), F.lit("")))
+    flat = ends(F.coalesce(member(F.col("raw"), "text"), F.lit("")))
     both = both.withColumn("text", F.when((F.col("text") == "") & (F.col("tool_text") == ""), flat).otherwise(F.col("text")))
     return both.withColumn("tool_text", F.nullif("tool_text", F.lit(""))).drop("parts", "views")
 
