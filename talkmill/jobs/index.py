@@ -13,6 +13,8 @@ from talkmill.sources.shared import cut
 
 #: Partitions of an index, by the hash of a conversation's uuid, and of a message's uuid.
 PARTS = 64
+#: Rows of a partition that go to one file, about.
+FILE = 100_000
 TABLES = ("conversations", "messages", "chunks")
 #: The table of what each message uuid belongs to, and that of the versions.
 UUIDS, VERSIONS = "uuids", "versions"
@@ -20,24 +22,26 @@ VERSION = "version long, batch long, touched int, conversations long, messages l
 
 
 def latest(raw: DataFrame) -> DataFrame:
-    """One raw row for each conversation: of a uuid twice in an export the later by date, then by digest.
+    """Conversations with their ``raw`` row, one for each uuid: of a uuid twice in an export the later by date, then by digest.
 
-    Only the keys are grouped; the raw rows meet the few uuids that stand twice.
+    The export is read and parsed once, into a written table. Only the keys are grouped; the raw rows meet the few uuids that stand
+    twice.
     """
-    own = normalize.conversations(raw.select("raw"), keep_raw=True).select(F.col("uuid").alias("own"), F.struct("updated_at", "source_sha256", F.sha2("raw", 256).alias("all")).alias("rank"), "raw")
-    twice = own.groupBy(F.col("own").alias("twice")).agg(F.max("rank").alias("last"), F.count("*").alias("n")).filter("n > 1")
-    met = own.join(twice, F.col("own") == F.col("twice"), "left")
-    once = met.filter("twice is null").select("raw")
-    return once.unionByName(met.filter(F.col("rank").eqNullSafe(F.col("last")) & F.col("twice").isNotNull()).dropDuplicates(["own"]).select("raw"))
+    own = cut(normalize.conversations(raw.select("raw"), keep_raw=True).withColumn("rank", F.struct("updated_at", "source_sha256", F.sha2("raw", 256).alias("all"))), "parsed")
+    twice = own.groupBy(F.col("uuid").alias("twice")).agg(F.max("rank").alias("last"), F.count("*").alias("n")).filter("n > 1")
+    met = own.join(twice, F.col("uuid") == F.col("twice"), "left")
+    once = met.filter("twice is null")
+    last = met.filter(F.col("rank").eqNullSafe(F.col("last")) & F.col("twice").isNotNull()).dropDuplicates(["uuid"])
+    return once.unionByName(last).drop("rank", "twice", "last", "n")
 
 
 def incoming_tables(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Conversations (with ``digest``), messages, and the (conv_uuid, uuid) that the export itself gives (a message without one
     has null, and counts as new)."""
-    chosen = latest(raw)
-    found = normalize.message_texts(normalize.explode_messages(chosen))
+    chosen = cut(latest(raw), "chosen")
+    found = normalize.message_texts(normalize.explode_messages(chosen.select("raw")))  # a conversation and place once
     ids = found.select("conv_uuid", normalize.member(F.col("raw"), "uuid").alias("uuid"))
-    return normalize.conversations(chosen).withColumn("digest", F.col("source_sha256")), found.dropDuplicates(["conv_uuid", "seq"]), ids
+    return chosen.drop("raw").withColumn("digest", F.col("source_sha256")), found, ids
 
 
 def import_export(raw: DataFrame, conversations: DataFrame, messages: DataFrame, chunks: DataFrame, reimport: bool = False) -> dict[str, DataFrame]:
@@ -96,7 +100,10 @@ class PartitionedIndex:
     def put(self, name: str, rows: DataFrame, touched: set[int], key: str) -> None:
         """Replace the touched partitions of a table; those that have no rows any more go."""
         placed = rows.withColumn("part", part_of(F.col(key), self.parts))
-        placed.repartition("part").sortWithinPartitions("part", key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{self.path}/{name}")
+        # a partition of many rows is not one task's
+        files = -(-placed.count() // (FILE * max(1, len(touched))))
+        dealt = placed.repartition("part", F.pmod(F.xxhash64(F.lit(1), F.col(key)), F.lit(max(1, files)).cast("long")))
+        dealt.sortWithinPartitions("part", key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{self.path}/{name}")
         full = {r.part for r in placed.select("part").distinct().collect()}
         for part in touched - full:
             where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/part={part}")
@@ -105,7 +112,7 @@ class PartitionedIndex:
     def merge(self, raw: DataFrame, batch: int = 0, reimport: bool = False) -> DataFrame:
         """Merge raw conversations; the report (what, n)."""
         incoming, found, ids = incoming_tables(raw)
-        incoming, found = cut(incoming, "incoming"), cut(found, "incoming-messages")
+        found = cut(found, "incoming-messages")
         among = lambda key, rows: {r.part for r in rows.select(part_of(F.col(key), self.parts).alias("part")).distinct().collect()}  # noqa: E731  at most ``parts``
         known = self.table("conversations", among("uuid", incoming)).withColumn("digest", F.col("source_sha256"))
         ids = found.select("conv_uuid", normalize.member(F.col("raw"), "uuid").alias("uuid"))

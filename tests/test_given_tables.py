@@ -48,3 +48,25 @@ def test_kinds_have_a_row_for_each_item(spark):
     kinds, blocks = run["transcript_kinds"](spark, SF), run["transcript_blocks"](spark, SF)
     columns = ["conv_uuid", "uuid", "kind", "title", "body"]
     assert kinds.select(columns).exceptAll(blocks.select(columns)).isEmpty() and kinds.count() == blocks.count() > 300
+
+
+def test_a_merge_reads_the_export_once(spark, tmp_path):
+    """Each raw row is read once for each merge, however many tables come of it; a uuid twice counts once."""
+    from pyspark.sql import functions as F
+
+    from talkmill.jobs.index import PartitionedIndex
+
+    read = spark.sparkContext.accumulator(0)
+
+    def told(frames):
+        for frame in frames:
+            read.add(len(frame))
+            yield frame
+
+    row = '{"uuid":"%s","name":"%s","updated_at":"2024-01-0%dT00:00:00Z","chat_messages":[{"uuid":"%s-0","content":[{"type":"text","text":"%s"}]}]}'
+    rows = [(row % (c, d, d, c, d),) for c, d in (("a", 1), ("a", 2), ("b", 1), ("b", 1))]
+    raw = spark.createDataFrame(rows, "raw string").mapInPandas(told, "raw string")
+    found = PartitionedIndex(spark, str(tmp_path / "i"), 2)
+    assert {(r.what, r.n) for r in found.merge(raw).collect()} == {("new", 2)}
+    assert read.value == len(rows)
+    assert {(r.uuid, r.text) for r in found.table("messages").select("uuid", F.col("text")).collect()} == {("a-0", "2"), ("b-0", "1")}
