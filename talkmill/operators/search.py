@@ -19,7 +19,7 @@ from pyspark.sql.types import DoubleType
 from talkmill.functions.english import lexeme, lexemes
 from talkmill.functions.text import cosine, tokens, trigrams
 from talkmill.operators.browse import HIT_SORTS, date_window, sender_scope, sorted_page
-from talkmill.sources.shared import cut
+from talkmill.sources.shared import cut, new_path
 
 #: Boosts of title and summary; characters of tool text that are searched; characters of a snippet.
 TITLE, SUMMARY, TITLE_FUZZY = 3.0, 2.0, 1.5
@@ -29,8 +29,8 @@ WEIGHT, ZETA2 = 0.1, 1.64493406685
 STRICT_LEAST, COSINE_LEAST = 0.5, 0.4
 #: Places from which on two words add nothing to a score.
 FAR = 100
-#: Query vectors that go to all tasks at once, and vectors that they meet at once.
-QUERIES, BLOCK = 5_000, 1_000
+#: Query vectors that go to all tasks at once, vectors that they meet at once, and queries of one product.
+QUERIES, BLOCK, SLAB = 20_000, 1_000, 2_000
 #: Results of a page; fields that a search looks through, by its mode; those of a search that names none that apply.
 PER_PAGE = 50
 FIELDS = {"word": ["title", "summary", "you", "assistant", "tools"], "char": ["title", "summary", "you", "assistant", "tools"], "semantic": ["you", "assistant"]}
@@ -421,42 +421,60 @@ def matrix_of(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return rows[good] / length[good, None], known[good]
 
 
+def near_pairs(rows: np.ndarray, matrix: np.ndarray, rough: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which rows and queries (``matrix``, and the same in single precision) have a product of at least ``least``, and the products.
+
+    Single precision finds those that may, with room for its error; these are computed anew in double precision.
+    """
+    own, room = rows.astype(np.float32), 1e-5 + 2.0**-22 * rows.shape[1]
+    found = [(at, np.flatnonzero(own @ rough[at : at + SLAB].T >= np.float32(least - room))) for at in range(0, len(rough), SLAB)]
+    wide = [min(SLAB, len(rough) - at) for at, _ in found]
+    i = np.concatenate([x // n for (_, x), n in zip(found, wide, strict=True)])
+    j = np.concatenate([x % n + at for (at, x), n in zip(found, wide, strict=True)])
+    exact = np.concatenate([np.empty(0), *[np.einsum("ij,ij->i", rows[i[k : k + SLAB]], matrix[j[k : k + SLAB]]) for k in range(0, len(i), SLAB)]])
+    good = exact >= least
+    return i[good], j[good], exact[good]
+
+
 def semantic_batch(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, fields: set[str], least: float = COSINE_LEAST, start: str | None = None, end: str | None = None) -> DataFrame:
     """(query_id, conv_uuid, score, msg_uuid): the best chunk of each conversation for each query (query_id, embedding), of
     those whose cosine is at least ``least``; ties to the larger message uuid.
 
-    Up to ``QUERIES`` queries at a time go to all tasks as one matrix, which meets the distinct vectors in Arrow blocks; more
-    are more passes over the vectors. What is near meets the chunks by hash, and each task keeps the best of a
-    conversation before it sends anything.
+    The distinct vectors are written once. Up to ``QUERIES`` queries at a time go to all tasks as one matrix, which meets them in
+    Arrow blocks; more are more passes, one after the other, so that the driver holds one matrix only. What is near meets the
+    conversations by the vector's number, and each task keeps the best of a conversation before it sends anything. All vectors
+    meet all queries, so the work grows with the product of both.
     """
-    asked = queries.select("query_id", "embedding")
+    spark = vectors.sparkSession
+    held = cut(vectors.filter("embedding is not null").select("text_sha256", "embedding"), "vectors")
+    # numbers are those of a written table, so they stay the same
+    numbered = cut(held.select("embedding").distinct().withColumn("vec", F.monotonically_increasing_id()), "distinct-vectors")
+    texts = held.join(numbered, "embedding").select("text_sha256", "vec")
+    asked = cut(queries.select("query_id", "embedding"), "queries")
     kind = asked.schema["query_id"].dataType.simpleString()
-    dealt = [asked]
-    if (n := asked.count()) > QUERIES:
-        parts = -(-n // QUERIES)
-        dealt = [asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts).cast("long")) == p) for p in range(parts)]
-    near = None
-    for some in dealt:
-        told = some.toPandas()  # at most about ``QUERIES`` rows
+    parts = max(1, -(-asked.count() // QUERIES))
+    path = new_path(spark, "near")
+    schema = f"query_id {kind}, vec long, score double"
+    for p in range(parts):
+        told = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts).cast("long")) == p).toPandas()  # at most about ``QUERIES`` rows
         matrix, own = matrix_of(told["embedding"])
-        ids = told["query_id"].to_numpy()[own]
+        ids, rough = told["query_id"].to_numpy()[own], matrix.astype(np.float32)
 
-        def score(frames: Iterator[pd.DataFrame], matrix: np.ndarray = matrix, ids: np.ndarray = ids) -> Iterator[pd.DataFrame]:
+        def score(frames: Iterator[pd.DataFrame], matrix: np.ndarray = matrix, rough: np.ndarray = rough, ids: np.ndarray = ids) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                if not len(ids):
-                    continue
-                for at in range(0, len(frame), BLOCK):
+                for at in range(0, len(frame) if len(ids) else 0, BLOCK):
                     rows, known = matrix_of(frame["embedding"].iloc[at : at + BLOCK])
                     if len(rows):
-                        found = rows @ matrix.T
-                        i, j = np.nonzero(found >= least)
-                        yield pd.DataFrame({"query_id": ids[j], "text_sha256": frame["text_sha256"].to_numpy()[at + known[i]], "score": found[i, j]})
+                        i, j, exact = near_pairs(rows, matrix, rough, least)
+                        yield pd.DataFrame({"query_id": ids[j], "vec": frame["vec"].to_numpy()[at + known[i]], "score": exact})
 
-        part = vectors.select("text_sha256", "embedding").mapInPandas(score, f"query_id {kind}, text_sha256 string, score double")
-        near = part if near is None else near.unionByName(part)
+        numbered.select("vec", "embedding").mapInPandas(score, schema).write.mode("append").parquet(path)
+    near = spark.read.schema(schema).parquet(path)
     scope = sender_scope(fields)
     rows = chunks.filter(scope if scope is not None else F.lit(False)).filter(date_window(F.col("created_at"), start, end)).select("text_sha256", "conv_uuid", "msg_uuid")
-    best = near.join(rows, "text_sha256").groupBy("query_id", "conv_uuid").agg(F.max(F.struct("score", "msg_uuid")).alias("b"))
+    # of a conversation's chunks with one vector only the last can be its best
+    last = rows.join(texts, "text_sha256").groupBy("vec", "conv_uuid").agg(F.max("msg_uuid").alias("msg_uuid"))
+    best = near.join(last, "vec").groupBy("query_id", "conv_uuid").agg(F.max(F.struct("score", "msg_uuid")).alias("b"))
     return best.select("query_id", "conv_uuid", "b.score", "b.msg_uuid")
 
 

@@ -70,3 +70,37 @@ def test_a_merge_reads_the_export_once(spark, tmp_path):
     assert {(r.what, r.n) for r in found.merge(raw).collect()} == {("new", 2)}
     assert read.value == len(rows)
     assert {(r.uuid, r.text) for r in found.table("messages").select("uuid", F.col("text")).collect()} == {("a-0", "2"), ("b-0", "1")}
+
+
+def test_vectors_are_read_once_for_all_queries(spark, monkeypatch):
+    """Whatever the passes; scores are those of double precision at the limit itself."""
+    import numpy as np
+
+    from talkmill.operators import search
+
+    read = spark.sparkContext.accumulator(0)
+
+    def told(frames):
+        for frame in frames:
+            read.add(len(frame))
+            yield frame
+
+    rng = np.random.default_rng(3)
+    own = rng.normal(size=(6, 8))
+    own[0], own[1] = [0.6, 0.8, 0, 0, 0, 0, 0, 0], [0.6 - 1e-9, 0.8, 0, 0, 0, 0, 0, 0]
+    texts = [(f"t{n}", own[n % 6].tolist()) for n in range(60)]
+    vectors = spark.createDataFrame(texts, "text_sha256 string, embedding array<double>").mapInPandas(told, "text_sha256 string, embedding array<double>")
+    chunks = spark.createDataFrame([(t, f"c{n % 7}", f"m{n:02}", "human", None) for n, (t, _) in enumerate(texts)], "text_sha256 string, conv_uuid string, msg_uuid string, sender string, created_at timestamp")
+    asked = [(1, [1.0] + [0.0] * 7), (2, own[3].tolist()), (3, own[4].tolist())]
+    queries = spark.createDataFrame(asked, "query_id long, embedding array<double>")
+    monkeypatch.setattr(search, "QUERIES", 1)
+    got = {(r.query_id, r.conv_uuid): (r.score, r.msg_uuid) for r in search.semantic_batch(chunks, vectors, queries, {"you"}, least=0.6).collect()}
+    assert read.value == len(texts)
+    want = {}
+    for q, v in asked:
+        for n, (_, e) in enumerate(texts):
+            s = float(np.dot(v, e) / np.linalg.norm(v) / np.linalg.norm(e))
+            if s >= 0.6:
+                want[q, f"c{n % 7}"] = max(want.get((q, f"c{n % 7}"), (0, "")), (round(s, 9), f"m{n:02}"))
+    assert {k: (round(s, 9), m) for k, (s, m) in got.items()} == want
+    assert (1, "c0") in got and got[1, "c0"][1] == "m42"
