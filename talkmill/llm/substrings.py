@@ -19,14 +19,18 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkmill.llm.common import SHINGLE_WORDS, SIMILARITY, WordHashes, cut, mix, only, shingle_hashes, sized
+from talkmill.llm.bpe import batches, once
+from talkmill.llm.common import SHINGLE_WORDS, SIMILARITY, cut, mix, only, shingle_hashes, sized
 from talkmill.llm.minhash import WORD, components, exact_pairs, finer_pairs, joined, opened, verified
 
 NEAR_WORDS, PASSAGE_WORDS = 20, 16
@@ -51,14 +55,94 @@ def told_words(text: str) -> list[str]:
     return list(chain.from_iterable(told_lines(text)))
 
 
-def cuts(hashes: np.ndarray) -> np.ndarray:
-    """Places whose hash with the next word is smaller than those of all places around; only these words decide."""
+@lru_cache(maxsize=1)
+def word_letters() -> np.ndarray:
+    """Whether each code point is part of a word, as ``WORD`` has it."""
+    return np.fromiter(map(str.isalnum, map(chr, range(0x110000))), bool, 0x110000)
+
+
+#: Fixed values of XXH64.
+X1, X2, X3, X4, X5 = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return x << np.uint64(bits) | x >> np.uint64(64 - bits)
+
+
+def stretches_xxh64(raw: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The XXH64 of each stretch of ``raw``; all those under 32 bytes together, longer ones by the library."""
+    held = raw + bytes(8)
+    ones = np.frombuffer(held, np.uint8)
+    fours, eights = (np.ndarray(len(raw) + 1, t, held, strides=(1,)) for t in ("<u4", "<u8"))
+    h, at, left = sizes.astype(np.uint64) + X5, starts.copy(), np.where(sizes < 32, sizes, 0)
+    while len(on := np.flatnonzero(left >= 8)):
+        h[on] = turned(h[on] ^ turned(eights[at[on]] * X2, 31) * X1, 27) * X1 + X4
+        at[on] += 8
+        left[on] -= 8
+    on = np.flatnonzero(left >= 4)
+    h[on] = turned(h[on] ^ fours[at[on]].astype(np.uint64) * X1, 23) * X2 + X3
+    at[on] += 4
+    left[on] -= 4
+    while len(on := np.flatnonzero(left)):
+        h[on] = turned(h[on] ^ ones[at[on]].astype(np.uint64) * X5, 11) * X1
+        at[on] += 1
+        left[on] -= 1
+    h = (h ^ h >> np.uint64(33)) * X2
+    h = (h ^ h >> np.uint64(29)) * X3
+    h ^= h >> np.uint64(32)
+    for i in np.flatnonzero(sizes >= 32).tolist():
+        h[i] = xxhash.xxh64_intdigest(raw[starts[i] : starts[i] + sizes[i]])
+    return h
+
+
+def told_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+    """The hashes of the words of all texts, end to end; how many each text has, and each of its lines.
+
+    The words are those of ``told_lines``, found and hashed for all texts at once.
+    """
+    low = [t.lower() for t in texts]
+    odd = [i for i, (a, b) in enumerate(zip(texts, low, strict=True)) if len(a) != len(b)]
+    for i in odd:
+        low[i] = ""
+    joined = "".join(chain.from_iterable((t, "\n") for t in low))
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+    edges = np.diff(word_letters()[codes].view(np.int8), prepend=np.int8(0))
+    starts, stops = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    breaks = np.searchsorted(starts, np.flatnonzero(codes == 10))
+    raw = joined.encode("utf-8", "surrogatepass")
+    if len(raw) > len(codes):
+        wide = np.zeros(len(codes) + 1, np.int64)
+        np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000).astype(np.int64), out=wide[1:])
+        starts, stops = wide[starts], wide[stops]
+    hashes = stretches_xxh64(raw, starts, stops - starts)
+    last = np.cumsum([t.count("\n") + 1 for t in low])
+    counts = np.diff(breaks[last - 1], prepend=0)
+    sizes, a, lines = np.diff(breaks, prepend=0).tolist(), 0, []
+    for b in last.tolist():
+        lines.append(sizes[a:b])
+        a = b
+    if odd:
+        own = np.split(hashes, np.cumsum(counts)[:-1])
+        for i in odd:
+            told = told_lines(texts[i])
+            own[i] = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in chain.from_iterable(told)], np.uint64)
+            lines[i], counts[i] = list(map(len, told)), len(own[i])
+        hashes = np.concatenate(own)
+    return hashes, counts, lines
+
+
+def cuts(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Places whose hash with the next word is smaller than those of all places around in the same text; only these words decide."""
     if len(hashes) <= 2 * AROUND + 1:
         return np.empty(0, np.int64)
     two = mix(hashes[:-1] * np.uint64(3) + hashes[1:])
-    view = np.lib.stride_tricks.sliding_window_view(two, 2 * AROUND + 1)
-    middle = view[:, AROUND]
-    return np.flatnonzero((middle < view[:, :AROUND].min(1)) & (middle < view[:, AROUND + 1 :].min(1))) + AROUND
+    n = len(two) - 2 * AROUND
+    middle, least = two[AROUND : AROUND + n], np.ones(n, bool)
+    for d in [*range(AROUND), *range(AROUND + 1, 2 * AROUND + 1)]:
+        least &= middle < two[d : d + n]
+    at, ends = np.flatnonzero(least) + AROUND, np.cumsum(counts)
+    text = np.searchsorted(ends, at, side="right")
+    return at[(at - AROUND >= (ends - counts)[text]) & (at + AROUND + 2 <= ends[text])]
 
 
 def sums(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -105,60 +189,47 @@ def paragraph_places(sizes: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def units(texts: list[str], known: WordHashes) -> dict[str, np.ndarray]:
+def units(texts: list[str]) -> dict[str, np.ndarray]:
     """The units of all texts: doc (index of the text), start, n, k1, k2, near (a paragraph), closes (it ends its
     text) and the band hashes."""
-    hashes, starts, lengths, docs, near, closes, done = [], [], [], [], [], [], 0
-    for d, text in enumerate(texts):
-        lines = told_lines(text)
-        words = list(chain.from_iterable(lines))
-        if not words:
-            continue
-        own = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        hashes.append(own)
-        ends = [0, *cuts(own).tolist(), len(own)]
-        pieces = list(zip(ends[:-1], [b - a for a, b in zip(ends[:-1], ends[1:], strict=True)], strict=True))
-        blocks = paragraph_places(list(map(len, lines)))
-        for kind, found in ((False, pieces), (True, blocks)):
-            starts += [done + a for a, _ in found]
-            lengths += [n for _, n in found]
-            near += [kind] * len(found)
-            closes += [a + n == len(own) for a, n in found]
-            docs += [(d, done)] * len(found)
-        done += len(own)
-    if not starts:
+    h, counts, lines = told_hashes(texts)
+    if not len(h):
         return {}
-    h, s, k, isnear = np.concatenate(hashes), np.array(starts), np.array(lengths), np.array(near)
-    of = np.array(docs)
-    out = {"doc": of[:, 0], "start": s - of[:, 1], "n": k, "near": isnear, "closes": closes}
+    begins = np.cumsum(counts) - counts
+    s = np.sort(np.concatenate([begins[counts > 0], cuts(h, counts)]))
+    blocks = [(d, a, n) for d, sizes in enumerate(lines) for a, n in paragraph_places(sizes)]
+    block = np.array(blocks, np.int64).reshape(-1, 3)
+    docs = np.concatenate([np.searchsorted(begins + counts, s, side="right"), block[:, 0]])
+    isnear = np.arange(len(docs)) >= len(s)
+    k = np.concatenate([np.diff(s, append=len(h)), block[:, 2]])
+    s = np.concatenate([s, begins[block[:, 0]] + block[:, 1]])
+    start = s - begins[docs]
+    out = {"doc": docs, "start": start.astype(np.int32), "n": k.astype(np.int32), "near": isnear, "closes": start + k == counts[docs]}
     for name, seed in (("k1", 0x51), ("k2", 0xA7)):
         out[name] = stretch_hash(h, s, k, seed).view(np.int64)
-    bands = np.zeros((len(s), BANDS), np.int64)
-    if isnear.any():
+    bands = np.zeros((BANDS, len(s)), np.int64)
+    if len(blocks):
         size = k[isnear] - SHINGLE_WORDS + 1
         place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         every = shingle_hashes(h)  # shingles that run over a paragraph's end are not looked up
-        bands[isnear] = sketches(every[np.repeat(s[isnear], size) + place], size)
-    return out | {f"b{i}": bands[:, i] for i in range(BANDS)}
+        bands[:, isnear] = sketches(every[np.repeat(s[isnear], size) + place], size).T
+    return out | {f"b{i}": bands[i] for i in range(BANDS)}
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
     """A row for each paragraph of (doc_id, text_hash, text); positions count the words of the text."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordHashes()
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            texts, begin, size = frame["text"].tolist(), 0, 0
-            for i, text in enumerate(texts):
-                size += len(text)
-                if size >= CHUNK_CHARS or i + 1 == len(texts):
-                    found = units(texts[begin : i + 1], known)
-                    if found:
-                        rows = frame.iloc[begin : i + 1][["doc_id", "text_hash"]].iloc[found.pop("doc")].reset_index(drop=True)
-                        yield pd.concat([rows, pd.DataFrame(found)], axis=1)[UNIT_NAMES]
-                    begin, size = i + 1, 0
+            texts = frame.column("text").to_pylist()
+            for a, b in batches(texts, CHUNK_CHARS):
+                found = units(texts[a:b])
+                if found:
+                    doc = pa.array(found.pop("doc") + a)
+                    own = [frame.column(c).take(doc) for c in UNIT_NAMES[:2]]
+                    yield pa.RecordBatch.from_arrays([*own, *[pa.array(found[c]) for c in UNIT_NAMES[2:]]], names=UNIT_NAMES)
 
-    return docs.mapInPandas(run, UNIT)
+    return docs.mapInArrow(run, UNIT)
 
 
 UNIT_NAMES = [x.split()[0] for x in UNIT.split(", ")]
@@ -171,12 +242,13 @@ def told_shingles(docs: DataFrame, places: DataFrame) -> DataFrame:
     found = docs.join(sized(grouped), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).select("text", F.col("places.key").alias("keys"), F.col("places.start").alias("starts"), F.col("places.n").alias("ns"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordHashes()
         for frame in frames:
-            for text, keys, starts, ns in frame.itertuples(index=False):
-                words = told_words(text)
-                sets = [np.unique(shingle_hashes(np.array([known[w] for w in words[s : s + n]], np.uint64))).view(np.int64) for s, n in zip(starts, ns, strict=True)]
-                yield pd.DataFrame({"key": keys, "shingles": sets})
+            texts = frame["text"].tolist()
+            for a, b in batches(texts, CHUNK_CHARS):
+                hashes, counts, _ = told_hashes(texts[a:b])
+                every, own = shingle_hashes(hashes).view(np.int64), frame.iloc[a:b]
+                sets = [once(every[f + s : f + s + n - SHINGLE_WORDS + 1]) for f, starts, ns in zip((np.cumsum(counts) - counts).tolist(), own["starts"], own["ns"], strict=True) for s, n in zip(starts.tolist(), ns.tolist(), strict=True)]
+                yield pd.DataFrame({"key": np.concatenate(own["keys"].tolist()), "shingles": sets})
 
     return found.mapInPandas(run, "key long, shingles array<long>")
 
@@ -211,13 +283,18 @@ def around(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     texts = docs.withColumn("place", place_key(F.struct("doc_id", "text_hash"))).join(sized(cut(grouped, "ends")), "place").select("place", "text", F.col("ends.pos").alias("pos"), F.col("ends.right").alias("right"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordHashes()
         for frame in frames:
-            for place, text, pos, right in frame.itertuples(index=False):
-                words = told_words(text)
-                sides = [words[p : p + REACH] if r else words[max(0, p - REACH) : p][::-1] for p, r in zip(pos, right, strict=True)]
-                found = [np.array([known[w] for w in x], np.uint64).astype(np.uint32).view(np.int32) for x in sides]
-                yield pd.DataFrame({"place": place, "pos": pos, "right": right, "words": found})
+            told = frame["text"].tolist()
+            for a, b in batches(told, CHUNK_CHARS):
+                hashes, counts, _ = told_hashes(told[a:b])
+                own, ends, found = frame.iloc[a:b], np.cumsum(counts).tolist(), []
+                words = hashes.astype(np.uint32).view(np.int32)
+                for begin, end, pos, right in zip([0, *ends[:-1]], ends, own["pos"], own["right"], strict=True):
+                    for p, r in zip(pos.tolist(), right.tolist(), strict=True):
+                        at = begin + p
+                        found.append(words[at : min(at + REACH, end)] if r else words[max(begin, at - REACH) : at][::-1].copy())
+                pos, right = np.concatenate(own["pos"].tolist()), np.concatenate(own["right"].tolist())
+                yield pd.DataFrame({"place": np.repeat(own["place"].to_numpy(), own["pos"].map(len)), "pos": pos, "right": right, "words": found})
 
     return texts.mapInPandas(run, "place string, pos int, right boolean, words array<int>").dropDuplicates(["place", "pos", "right"])
 
@@ -234,9 +311,11 @@ def stretched(docs: DataFrame, islands: DataFrame) -> DataFrame:
     other = words.select(F.col("place").alias("other"), F.col("pos").alias("at"), "right", F.col("words").alias("b"))
     both = ends.join(own, ["place", "own", "right"]).join(sized(other), ["other", "at", "right"])
     alike = F.zip_with("a", "b", lambda x, y: F.coalesce(x == y, F.lit(False)))
-    length = F.when(F.array_position(alike, False) > 0, F.array_position(alike, False) - 1).otherwise(F.size(alike)).cast("int")
-    longest = lambda r: F.coalesce(F.max(F.when(F.col("right") == r, length)), F.lit(0))
-    return both.groupBy("place", "island").agg(longest(False).alias("before"), longest(True).alias("after"))
+    # a word that differs stands behind the last ones, so the first such place is told by one look
+    length = (F.array_position(F.concat(alike, F.array(F.lit(False))), False) - 1).cast("int")
+    longest = lambda r: F.coalesce(F.max(F.when(F.col("right") == r, F.col("length"))), F.lit(0))
+    told = both.select("place", "island", "right", length.alias("length"))
+    return told.groupBy("place", "island").agg(longest(False).alias("before"), longest(True).alias("after"))
 
 
 def repeats(docs: DataFrame, *, similarity: float = SIMILARITY, words: int = PASSAGE_WORDS, common: int = 2) -> DataFrame:
@@ -266,15 +345,15 @@ def repeats(docs: DataFrame, *, similarity: float = SIMILARITY, words: int = PAS
     place = lambda x: F.struct(x["doc_id"].alias("doc_id"), x["text_hash"].alias("text_hash"))
     classes = each.groupBy("class").agg(F.min("first").alias("class_first"), F.max("last").alias("class_last"), F.sum("times").alias("class_size")).filter(~place(F.col("class_first")).eqNullSafe(place(F.col("class_last"))))
     each = cut(each.join(classes.drop("class_last"), "class"), "classes")
-    marked = met.join(sized(each), ["k1", "k2"]).withColumn("place", place_key(F.struct("doc_id", "text_hash")))
-    order = Window.partitionBy("place").orderBy("start", "n")
+    marked = met.join(sized(each), ["k1", "k2"])
+    order = Window.partitionBy("doc_id", "text_hash").orderBy("start", "n")
     reach = F.max(F.col("start") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     opens = marked.withColumn("opens", F.when(F.col("start") <= reach, 0).otherwise(1))
-    islands = cut(opens.withColumn("island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0))), "islands")
+    islands = cut(opens.withColumn("island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("place", place_key(F.struct("doc_id", "text_hash"))), "islands")
     # the outermost units of each island that stand in several documents, with their first and last occurrence elsewhere
     exact = ~place(F.col("first")).eqNullSafe(place(F.col("last")))
     unit = F.struct("start", "n", "first", "last")
-    spans = islands.groupBy("place", "island").agg(F.min("start").alias("s"), F.max(F.col("start") + F.col("n")).alias("e"), F.max("closes").alias("closes"), F.max("class_size").alias("often"), F.min_by(unit, F.when(exact, F.col("start"))).alias("l"), F.max_by(unit, F.when(exact, F.col("start") + F.col("n"))).alias("r"))
+    spans = islands.groupBy("doc_id", "text_hash", "island").agg(F.first("place").alias("place"), F.min("start").alias("s"), F.max(F.col("start") + F.col("n")).alias("e"), F.max("closes").alias("closes"), F.max("class_size").alias("often"), F.min_by(unit, F.when(exact, F.col("start"))).alias("l"), F.max_by(unit, F.when(exact, F.col("start") + F.col("n"))).alias("r"))
 
     def sides(u: Column, right: bool, end: Column) -> Column:
         at = u["start"] + u["n"] if right else u["start"]

@@ -635,6 +635,27 @@ def test_passages_of_odd_rows(spark):
     assert sorted(len((r.text or "").split()) for r in left if r.doc_id == 3) == [30, 40]
 
 
+def test_words_of_many_texts_are_hashed_together(monkeypatch):
+    """Text by text only where lower-casing adds letters; the hashes are those of the library."""
+    odd = "\u0130stanbul \u0130\nand more"
+    texts = ["", "One two\n\nthree", "\u00e9\u00c9 \u65e5\u672c\u8a9e \U0001f642 \u00bd_x", odd, "a" * 31 + " " + "b" * 32 + " " + "c" * 100 + "\r\nend", " ".join(f"w{i}" * (i % 9 + 1) for i in range(300))]
+    plain, asked = substrings.told_lines, []
+    lines = [plain(t) for t in texts]
+    monkeypatch.setattr(substrings, "told_lines", lambda t: asked.append(t) or plain(t))
+    hashes, counts, sizes = substrings.told_hashes(texts)
+    known = common.WordHashes()
+    assert hashes.tolist() == [known[w] for told in lines for line in told for w in line]
+    assert sizes == [[len(line) for line in told] for told in lines]
+    assert counts.tolist() == [sum(n) for n in sizes]
+    found = substrings.units(texts)
+    assert asked == [odd, odd]
+    # every word stands in one piece of its text
+    pieces = sorted((int(d), int(a), int(n)) for d, a, n, near in zip(found["doc"], found["start"], found["n"], found["near"], strict=True) if not near)
+    for d in range(len(texts)):
+        own = [(a, n) for x, a, n in pieces if x == d]
+        assert [a for a, _ in own] + [counts[d]] * bool(own) == [0] * bool(own) + [a + n for a, n in own]
+
+
 def test_near_paragraphs_in_a_crowd(spark):
     """Every link at 0.8 of a crowd below it is in one class."""
     rng = random.Random(3)
