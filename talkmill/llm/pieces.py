@@ -2,7 +2,8 @@
 
 A text's symbols are its characters, spaces written as U+2581 and one put before the text. The agenda holds every pair of
 adjacent symbols that is a piece, ordered by score and then by place. The best pair becomes one symbol and its new pairs
-enter the agenda, until it is empty. Characters that are no piece become bytes.
+enter the agenda, until it is empty. Characters that are no piece become bytes. The agendas of short parts are the rows of
+a matrix, by place, and the best pairs of all rows merge at once; longer parts have a heap each.
 
 No piece of such a vocabulary has a U+2581 after another character, so no pair ever crosses from a word to the space behind
 it: a text is cut there, and each different part is encoded once for all texts of a task (up to a bound), and checked
@@ -28,6 +29,9 @@ from talkmill.llm.common import only
 
 #: Distinct parts of texts that a task remembers between batches.
 MEMO_PARTS = 500_000
+#: Widths of the matrices of short parts, and rows of one; longer parts are merged one by one.
+WIDTHS, ROWS = (4, 6, 8, 10, 12, 16, 24, 32), 20_000
+NO_PAIR = np.int32(2**31 - 1)
 SPACE = "▁"
 # Fixed values of the model file's format: kinds of pieces, and the type of models with merges.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -90,6 +94,75 @@ class Model:
         self.parts = re.compile("(?s).+" if crossing else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         #: Whether the library, given a part as a text, must encode it as it does within texts.
         self.separable = bool(self.prefix) and not own and not crossing
+        #: The ids of parts that ``prepare`` has merged.
+        self.ready: dict[str, list[int]] = {}
+        # symbols as numbers: a piece's id; behind these the characters, and one that stands for none
+        size = len(pieces)
+        self.none = size + 0x110000
+        self.symbol = np.arange(size, self.none, dtype=np.int32)
+        alone = {t: i for t, (_, i) in self.order.items() if len(t) == 1}
+        self.symbol[list(map(ord, alone))] = list(alone.values())
+
+        def number(t: str) -> int | None:
+            return self.order[t][1] if t in self.order else int(self.symbol[ord(t)]) if len(t) == 1 else None
+
+        pairs = [(a * (self.none + 1) + b, score, made) for t, (score, made) in self.order.items() for k in range(1, len(t)) if (a := number(t[:k])) is not None and (b := number(t[k:])) is not None]
+        pairs.sort()
+        self.keys = np.array([p[0] for p in pairs] + [2**62], np.int64)  # the last one keeps every lookup inside
+        # equal scores are one rank, among which the place decides
+        self.ranks = np.append(np.unique([p[1] for p in pairs], return_inverse=True)[1], NO_PAIR).astype(np.int32)
+        self.made = np.array([p[2] for p in pairs] + [0], np.int32)
+
+    def looked_up(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rank of each pair of symbols and the place of what it makes; no rank where it is no piece."""
+        key = a.astype(np.int64) * (self.none + 1) + b
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.ranks[at], NO_PAIR), at
+
+    def side_by_side(self, symbols: np.ndarray) -> np.ndarray:
+        """What the agendas leave of parts, the rows of ``symbols``, each filled up with ``none``."""
+        out, rows = np.full_like(symbols, self.none), np.arange(len(symbols))
+        width = symbols.shape[1]
+        agenda = self.looked_up(symbols[:, :-1], symbols[:, 1:])[0]
+        place = np.arange(width - 1)
+        while len(rows):
+            best = agenda.argmin(1)
+            on = agenda[np.arange(len(rows)), best] != NO_PAIR
+            if not on.all():
+                out[rows[~on]] = symbols[~on]
+                rows, symbols, agenda, best = rows[on], symbols[on], agenda[on], best[on]
+            own, beyond = np.arange(len(rows)), place > best[:, None]
+            symbols[own, best] = self.made[self.looked_up(symbols[own, best], symbols[own, best + 1])[1]]
+            symbols[:, :-1] = np.where(beyond, symbols[:, 1:], symbols[:, :-1])
+            symbols[:, -1] = self.none
+            agenda[:, :-1] = np.where(beyond[:, :-1], agenda[:, 1:], agenda[:, :-1])
+            agenda[:, -1] = NO_PAIR
+            for left in (best - 1, best):
+                at = np.flatnonzero((left >= 0) & (left < width - 1))
+                agenda[at, left[at]] = self.looked_up(symbols[at, left[at]], symbols[at, left[at] + 1])[0]
+        return out
+
+    def prepare(self, parts: list[str]) -> None:
+        """Merge all the short parts side by side, so that ``ids`` has them ready."""
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        of = np.searchsorted(WIDTHS, sizes)
+        for i, width in enumerate(WIDTHS):
+            every = np.flatnonzero((of == i) & (sizes > 0))
+            for chosen in np.split(every, range(ROWS, len(every), ROWS)) if len(every) else ():
+                own = [parts[k] for k in chosen.tolist()]
+                codes = np.frombuffer("".join(own).encode("utf-32-le", "surrogatepass"), "<u4")
+                symbols = np.full((len(own), width), self.none, np.int32)
+                symbols[np.arange(width) < sizes[chosen][:, None]] = self.symbol[codes]
+                found = self.side_by_side(symbols)
+                counts = (found != self.none).sum(1)
+                flat, ends = found[found != self.none].tolist(), np.cumsum(counts).tolist()
+                self.ready.update((t, flat[a:b]) for t, a, b in zip(own, [0, *ends[:-1]], ends, strict=True))
+                # characters that are no piece
+                for k in np.flatnonzero(((found >= len(self.texts)) & (found != self.none)).any(1)).tolist():
+                    self.ready[own[k]] = [i for x in self.ready[own[k]] for i in ((x,) if x < len(self.texts) else self.bytes_of(chr(x - len(self.texts))))]
+
+    def bytes_of(self, text: str) -> list[int]:
+        return list(map(self.of_byte.__getitem__, text.encode("utf-8", "replace")))
 
     def merged(self, text: str) -> list[str]:
         """The symbols that the agenda leaves of a text."""
@@ -116,10 +189,12 @@ class Model:
         return [s for s in symbols if s]
 
     def ids(self, text: str) -> list[int]:
+        if (done := self.ready.get(text)) is not None:
+            return done
         out = []
         for s in self.merged(text):
             found = self.order.get(s)
-            out += (found[1],) if found else map(self.of_byte.__getitem__, s.encode("utf-8", "replace"))
+            out += (found[1],) if found else self.bytes_of(s)
         return out
 
     def decoded(self, ids: list[int]) -> str:
@@ -155,7 +230,9 @@ class PieceEncoder(Encoder):
         self.wrong: set[int] = set()
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.model.prepare(words)
         found = list(map(self.model.ids, words))
+        self.model.ready.clear()
         if self.check and self.model.separable:
             theirs = self.library.encode([w[1:].replace(SPACE, " ") for w in words], num_threads=1)
             alone = [self.library.piece_to_id(SPACE)]  # as a text it would be empty

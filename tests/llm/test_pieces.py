@@ -64,6 +64,18 @@ def test_a_wrong_part_is_told():
         del encoder.model.ids
 
 
+def test_short_parts_are_merged_side_by_side(monkeypatch):
+    """As by the heap, which short parts don't need any more."""
+    model = pieces.Model(PATH)
+    parts = sorted({p for t in ODD + random_texts(2000) if t for p in model.parts.findall(model.prefix + t.replace(" ", pieces.SPACE))} | {"\u2581" + "ab" * 200, ""})
+    wanted = [model.ids(p) for p in parts]
+    heaped, plain = [], model.merged
+    monkeypatch.setattr(model, "merged", lambda text: heaped.append(text) or plain(text))
+    model.prepare(parts)
+    assert [model.ids(p) for p in parts] == wanted
+    assert all(p == "" or len(p) > pieces.WIDTHS[-1] for p in heaped)
+
+
 def test_long_texts_and_a_small_memory():
     encoder = pieces.PieceEncoder(PATH, memo=5)
     library = sentencepiece.SentencePieceProcessor(model_file=PATH)
