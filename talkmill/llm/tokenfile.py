@@ -32,7 +32,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 from tokenizers import Tokenizer
 
-from talkmill.llm.bpe import Encoder, batches
+from talkmill.llm.bpe import Encoder, batches, byte_letters
 from talkmill.llm.common import cut, only, sized
 
 #: Ids of a block, most lanes, and ids of a lane where there are enough.
@@ -247,10 +247,13 @@ class LibraryEncoder(Encoder):
     def __init__(self, path: str):
         super().__init__(path, MEMO_WORDS)
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        self.library = Tokenizer.from_file(path)
+        # the library's own merging of a pre-token, without another search for pre-tokens in it
+        self.tokenize = Tokenizer.from_file(path).model.tokenize
+        self.letters = {b: letter for letter, b in byte_letters().items()}
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for a in range(0, len(words), 5_000) for e in self.library.encode_batch_fast(words[a : a + 5_000], add_special_tokens=False)]
+        shown = (w.encode("utf-8", "replace").decode("latin-1").translate(self.letters) for w in words)
+        found = [[t.id for t in self.tokenize(w)] for w in shown]
         counts = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum())), counts
 

@@ -387,6 +387,14 @@ def test_token_files_of_odd_rows_and_pieces(spark, texts, monkeypatch):
     assert [(x.start, x.n_tokens, x.ids_crc32) for x in r] == [(0, len(ids), zlib.crc32(ids.tobytes()))]
 
 
+def test_pretokens_are_merged_without_a_new_search(texts):
+    library, encoder = Tokenizer.from_file(PATH), tokenfile.LibraryEncoder(PATH)
+    encoder.library = None  # whole encodings aren't asked for
+    told = [t or "" for t in texts.values()][:200] + ["", " ", "a\0b \u00e9\u65e5\u672c \U0001f642  x\n\n y's", "x" * 500, "<|endoftext|> a"]
+    for text, ids in zip(told, encoder.encode(told), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_coded_ids_are_smaller_than_by_zlib(texts):
     t = Tokenizer.from_file(PATH)
     ids = np.concatenate([[*t.encode(x, add_special_tokens=False).ids, 0] for x in texts.values()])
