@@ -199,6 +199,15 @@ def finer_pairs(open_texts: DataFrame, sketches: DataFrame, bands: int) -> DataF
     return met.distinct()
 
 
+def frequencies(sets: DataFrame) -> np.ndarray:
+    """How often each slot of shingles stands in a sample of (id, shingles); 0 for once too. The driver gets two columns, not an object for each slot."""
+    slots = sample(sets, F.col("id"), ORDERED).select(F.explode("shingles").alias("s")).select(F.col("s").bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot"))
+    some = slots.groupBy("slot").agg(F.count("*").cast("int").alias("n")).filter("n > 1").toArrow()
+    often = np.zeros(SLOTS, np.int32)
+    often[some["slot"].to_numpy()] = some["n"].to_numpy()
+    return often
+
+
 def rarest(shingles: np.ndarray, often: np.ndarray, least: float) -> np.ndarray:
     """Those of the rarest shingles of which a text at ``least`` or more to this one, and not smaller, shares one."""
     ordered = shingles[np.lexsort((shingles, often[shingles & (SLOTS - 1)]))]
@@ -234,9 +243,7 @@ def exact_pairs(open_texts: DataFrame, sets: DataFrame, least: float) -> DataFra
     """
     texts = cut(open_texts.withColumn("id", F.monotonically_increasing_id()), "numbered")
     told = cut(sets.join(sized(texts), "key").select("id", F.xxhash64("label").alias("side"), "shingles"), "open-sets")
-    some = sample(told, F.col("id"), ORDERED).select(F.explode("shingles").alias("s")).groupBy(F.col("s").bitwiseAND(F.lit(SLOTS - 1)).cast("int").alias("slot")).agg(F.count("*").cast("int").alias("n")).filter("n > 1").toPandas()
-    often = np.zeros(SLOTS, np.int32)
-    often[some["slot"].to_numpy(np.int64)] = some["n"].to_numpy(np.int32)
+    often = frequencies(told)
 
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

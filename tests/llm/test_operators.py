@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -127,6 +128,22 @@ def test_near_duplicates_in_a_crowd_of_less_similar_texts(spark):
     assert got == classes_of(len(texts), links)
 
 
+def test_the_driver_holds_no_object_for_each_slot(spark):
+    own = np.random.default_rng(3).integers(-(2**63), 2**63, (2, 100_000))
+    sets = [(bytes([i]), own[i % 2].tolist()) for i in range(4)]
+    sets = common.cut(spark.createDataFrame(sets, "key binary, shingles array<long>"), "test-sets")
+    texts = common.cut(sets.select("key", F.col("key").alias("label")), "test-texts")
+    minhash.exact_pairs(texts.limit(0), sets, 0.8).count()  # what is kept from the first call on
+    tracemalloc.start()
+    try:
+        pairs = minhash.exact_pairs(texts, sets, 0.8).collect()
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sorted(sorted(bytes(x) for x in r) for r in pairs) == [[b"\x00", b"\x02"], [b"\x01", b"\x03"]]
+    assert most < 24e6  # 97e6 with an object for each of 180,000 slots
+
+
 def test_exact_pairs_over_many_blocks():
     rng = np.random.default_rng(2)
     n = 600
