@@ -25,8 +25,10 @@ from talkmill.llm.common import only
 
 #: Fixed value: how byte-level BPE splits text before merging.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: The same for texts of ASCII only, in the faster standard module.
-PRE_TOKEN_ASCII = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
+#: The same for texts of ASCII only, in the faster standard module, whose own white space has four characters more.
+PRE_TOKEN_ASCII = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
+#: Characters whose classes the standard module would look up one range after the other.
+ASTRAL = re.compile("[\U00010000-\U0010ffff]")
 #: Distinct pre-tokens that a task remembers between batches, and characters encoded at once.
 MEMO_WORDS = 1_000_000
 BATCH_CHARS = 4_000_000
@@ -40,6 +42,18 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@lru_cache(maxsize=1)
+def pre_token_bmp() -> re.Pattern[str]:
+    """``PRE_TOKEN`` for texts without characters beyond U+FFFF, in the standard module, with the classes written out."""
+    low = "".join(map(chr, range(2**16)))
+
+    def ranges(kind: str) -> str:
+        return "".join(f"\\u{m.start():04x}-\\u{m.end() - 1:04x}" for m in regex.finditer(kind + "+", low))
+
+    letter, number, space = ranges(r"\p{L}"), ranges(r"\p{N}"), ranges(r"\s")
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
+
+
 def once(x: np.ndarray) -> np.ndarray:
     """Sorted, each value once."""
     x = np.sort(x)
@@ -137,7 +151,7 @@ class Vocabulary:
         return sym[alive], np.bincount(word_of[alive], minlength=len(words))
 
     def pieces(self, text: str) -> list[str]:
-        return (self.split_ascii if text.isascii() else self.split).findall(text)
+        return (self.split_ascii if text.isascii() else self.split if ASTRAL.search(text) else pre_token_bmp()).findall(text)
 
 
 @lru_cache(maxsize=2)

@@ -8,7 +8,7 @@ for each state of their confidences. One step of a 64-bit range coder then tells
 The ids of a block are dealt to lanes, stretches that are coded side by side, one id of each at a time, by one model
 that all lanes teach. Everything is integer arithmetic and of fixed order, so any machine decodes the same ids.
 
-File format, little-endian: ``TMK3``, ids (u32), bound of the ids (u32), documents (u32), bytes of code (u32), ids of the
+File format, little-endian: ``TMK4``, ids (u32), bound of the ids (u32), documents (u32), bytes of code (u32), ids of the
 part before the block (u64), CRC-32 of all that is before and after it; for each document its number in the part (u64), piece (u32), ids
 (u32) and doc_id (i64, with a u8 that is 0 for null); the code: the words of each lane (u32 each), then the words (u32).
 Blocks are the rows of a Parquet table, so any executor can write and read them in any store.
@@ -21,7 +21,6 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -36,7 +35,7 @@ from talkmill.llm.bpe import Encoder, batches, byte_letters
 from talkmill.llm.common import cut, only, sized
 
 #: Ids of a block, most lanes, and ids of a lane where there are enough.
-BLOCK, LANES, STEPS = 2**21, 4096, 512
+BLOCK, LANES, STEPS = 2**21, 8192, 256
 #: Characters encoded at once, and distinct pre-tokens that a worker remembers.
 BATCH_CHARS, MEMO_WORDS = 1_000_000, 700_000
 END = 0
@@ -62,7 +61,7 @@ class Mixture:
             raise ValueError(f"ids must be below {2**ID_BITS}")
         self.bound = bound
         self.counts = np.zeros(bound, np.int64)
-        self.one, self.two = np.zeros(bound, np.int64), np.zeros(2**SLOTS_BITS, np.int32)
+        self.one, self.other, self.two = np.zeros(bound, np.int32), np.zeros(bound, np.int32), np.zeros(2**SLOTS_BITS, np.int32)
         state = np.arange(STATES)
         second, first, other, same = state & 7, state >> 3 & 7, state >> 6 & 3, state >> 8
         self.worth = np.stack([(second > 0) * (1 + 2 * second), ((first > 0) & (same != 1)) * (1 + first), (other > 0) & (same != 2), np.full(STATES, 4)], axis=1).astype(np.int64)
@@ -96,20 +95,21 @@ class Mixture:
 
     def look(self, last: np.ndarray, before: np.ndarray) -> None:
         """The predictions after the last id and the one before it, of each lane."""
-        mixed = (last * 0x9E3779B1 + before * 0x85EBCA6B) & 0x7FFFFFFF
-        self.last, self.slot, self.tag = last, mixed & (2**SLOTS_BITS - 1), mixed >> SLOTS_BITS & 0xFF
-        two, one = self.two[self.slot].astype(np.int64), self.one[last]
-        self.c2, self.ca, self.cb = two & ID_MASK, one & ID_MASK, one >> 32 & ID_MASK
-        self.n2, self.na, self.nb = (two >> ID_BITS & 7) * (two >> 23 == self.tag), one >> ID_BITS & 7, one >> 52 & 3
+        mixed = ((last.astype(np.uint32) * np.uint32(0x9E3779B1) + before.astype(np.uint32) * np.uint32(0x85EBCA6B)) & 0x7FFFFFFF).view(np.int32)
+        self.last, self.slot, self.tag = last, (mixed & (2**SLOTS_BITS - 1)).astype(np.int64), mixed >> SLOTS_BITS & 0xFF
+        two, one, other = self.two[self.slot], self.one[last], self.other[last]
+        self.c2, self.ca, self.cb = two & ID_MASK, one & ID_MASK, other & ID_MASK
+        self.n2, self.na, self.nb = (two >> ID_BITS & 7) * (two >> 23 == self.tag), one >> ID_BITS, other >> ID_BITS
         self.k2, self.ka, self.kb = self.n2 > 0, self.na > 0, self.nb > 0
-        same = ((self.c2 == self.ca) & self.k2) + 2 * ((self.c2 == self.cb) & self.k2 & self.kb)
-        self.state = self.n2 + (self.na << 3) + (self.nb << 6) + (same << 8)
+        same_a, same_b = (self.c2 == self.ca) & self.k2, (self.c2 == self.cb) & self.k2 & self.kb
+        self.state = (self.n2 + (self.na << 3) + (self.nb << 6) + same_a * np.int32(256) + same_b * np.int32(512)).astype(np.int64)
 
     def right(self, now: np.ndarray) -> None:
         """Which predictions name the id of each lane."""
         self.hit2, self.hita, self.hitb = self.k2 & (now == self.c2), self.ka & (now == self.ca), self.kb & (now == self.cb)
 
-    def learn(self, now: np.ndarray, cell: np.ndarray) -> None:
+    def learn(self, ids: np.ndarray, cell: np.ndarray) -> None:
+        now = ids.astype(np.int32)
         n2 = np.where(self.hit2, np.minimum(self.n2 + 1, 7), self.n2 >> 1)
         self.two[self.slot] = np.where(n2 > 0, self.c2, now) | np.maximum(n2, 1) << ID_BITS | self.tag << 23
         # a second id that proves right often enough, or meets no first one, comes first
@@ -118,10 +118,12 @@ class Mixture:
         nb = np.where(self.hita, self.nb, np.where(self.hitb, self.nb + 1, np.where(self.nb > 1, self.nb - 1, 1)))
         cb = np.where(held, self.cb, now)
         swap = ~self.ka | (nb > 3)
-        first = np.where(swap, cb | np.where(self.ka, 4, 1) << ID_BITS, self.ca | na << ID_BITS)
-        second = np.where(swap, self.ca | np.minimum(na, 3) << ID_BITS, cb | nb << ID_BITS)
-        self.one[self.last] = first | second << 32
-        self.ids_met.append(now)
+        held_a, held_b = self.ca | na << ID_BITS, cb | nb << ID_BITS
+        self.one[self.last], self.other[self.last] = held_a, held_b
+        swap = np.flatnonzero(swap)
+        self.one[self.last[swap]] = cb[swap] | np.where(self.ka[swap], np.int32(4), np.int32(1)) << ID_BITS
+        self.other[self.last[swap]] = self.ca[swap] | np.minimum(na[swap], 3) << ID_BITS
+        self.ids_met.append(ids)
         self.cells_met.append(cell)
         self.step += 1
         if self.step < RENEW or self.step % WEIGH == 0:
@@ -227,14 +229,14 @@ def packed(ids: np.ndarray, before: int, entries: list[tuple[int, int, int, int
     bound = int(ids.max()) + 1
     code = coded(ids, bound)
     body = b"".join(ENTRY.pack(a, b, c, d or 0, d is not None) for a, b, c, d in entries) + code
-    head = HEAD.pack(b"TMK3", len(ids), bound, len(entries), len(code), before)
+    head = HEAD.pack(b"TMK4", len(ids), bound, len(entries), len(code), before)
     return head + CHECK.pack(zlib.crc32(body, zlib.crc32(head))) + body
 
 
 def unpacked(block: bytes) -> tuple[np.ndarray, int, list[tuple[int, int, int, int | None]]]:
     """The ids, the ids before and the entries again; a block that fails its checksum raises ValueError."""
     head, start = block[: HEAD.size], HEAD.size + CHECK.size
-    if len(block) < start or zlib.crc32(block[start:], zlib.crc32(head)) != CHECK.unpack_from(block, HEAD.size)[0] or head[:4] != b"TMK3":
+    if len(block) < start or zlib.crc32(block[start:], zlib.crc32(head)) != CHECK.unpack_from(block, HEAD.size)[0] or head[:4] != b"TMK4":
         raise ValueError("a block of token ids is damaged")
     _, n, bound, docs, size, before = HEAD.unpack(head)
     entries = [ENTRY.unpack_from(block, start + k * ENTRY.size) for k in range(docs)]
@@ -252,10 +254,15 @@ class LibraryEncoder(Encoder):
         self.letters = {b: letter for letter, b in byte_letters().items()}
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        shown = (w.encode("utf-8", "replace").decode("latin-1").translate(self.letters) for w in words)
-        found = [[t.id for t in self.tokenize(w)] for w in shown]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum())), counts
+        space = self.letters[32]
+        shown = (w.replace(" ", space) if w.isascii() and w.isprintable() else w.encode("utf-8", "replace").decode("latin-1").translate(self.letters) for w in words)
+        ids: list[int] = []
+        counts: list[int] = []
+        for w in shown:  # no list is kept for a word: Python's search for cycles would visit all of them again and again
+            found = self.tokenize(w)
+            counts.append(len(found))
+            ids += [t.id for t in found]
+        return np.array(ids, np.int32), np.array(counts, np.int64)
 
 
 @lru_cache(maxsize=1)

@@ -1,5 +1,6 @@
 """The training-data operators against brute force, round trips and the library they must agree with."""
 
+import gc
 import hashlib
 import random
 import re
@@ -386,6 +387,28 @@ def test_token_blocks_round_trip(spark, texts):
     assert tokenfile.token_files(rows.limit(0), PATH).count() == 0
 
 
+def test_pre_tokens_of_odd_spaces_equal_the_library():
+    library, encoder, rng = Tokenizer.from_file(PATH), tokenfile.LibraryEncoder(PATH), random.Random(5)
+    parts = [" ", "  ", "\n", "\t", "\r", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u3000", "\u200b", "a", "é", "'s", "'", "1", "²", "٣", ".", "日", "\0", "\x7f", "🙂", "𝐀", "<|endoftext|>"]
+    own = ["".join(rng.choices(parts[: rng.choice((14, 24, 26))], k=rng.randrange(1, 14))) for _ in range(5_000)]
+    for text, ids in zip(own, encoder.encode(own), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    low = [c for i in range(2**16) if not 0xD800 <= i < 0xE000 for c in (f"a{chr(i)}1 ", f" {chr(i)}")]
+    assert [bpe.pre_token_bmp().findall(x) for x in low] == [bpe.vocabulary(PATH).split.findall(x) for x in low]
+
+
+def test_merging_many_words_starts_no_search_for_cycles():
+    encoder, seen = tokenfile.LibraryEncoder(PATH), []
+    words = [f" w{i:x}" for i in range(60_000)]
+    note = lambda phase, info: seen.append(phase)
+    gc.callbacks.append(note)
+    try:
+        encoder.merge(words)
+    finally:
+        gc.callbacks.remove(note)
+    assert seen.count("start") <= 3  # one for some hundreds or thousands of words with a list kept for each
+
+
 def test_token_files_of_odd_rows_and_pieces(spark, texts, monkeypatch):
     t = Tokenizer.from_file(PATH)
     own = [*ODD, None, *ODD[3:5]]
