@@ -8,7 +8,7 @@ for each state of their confidences. One step of a 64-bit range coder then tells
 The ids of a block are dealt to lanes, stretches that are coded side by side, one id of each at a time, by one model
 that all lanes teach. Everything is integer arithmetic and of fixed order, so any machine decodes the same ids.
 
-File format, little-endian: ``TMK4``, ids (u32), bound of the ids (u32), documents (u32), bytes of code (u32), ids of the
+File format, little-endian: ``TMK5``, ids (u32), bound of the ids (u32), documents (u32), bytes of code (u32), ids of the
 part before the block (u64), CRC-32 of all that is before and after it; for each document its number in the part (u64), piece (u32), ids
 (u32) and doc_id (i64, with a u8 that is 0 for null); the code: the words of each lane (u32 each), then the words (u32).
 Blocks are the rows of a Parquet table, so any executor can write and read them in any store.
@@ -16,7 +16,9 @@ Blocks are the rows of a Parquet table, so any executor can write and read them
 
 from __future__ import annotations
 
+import codecs
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,6 +35,7 @@ from tokenizers import Tokenizer
 
 from talkmill.llm.bpe import Encoder, batches, byte_letters
 from talkmill.llm.common import cut, only, sized
+from talkmill.llm.pretokens import PAD, Numbers, starts
 
 #: Ids of a block, most lanes, and ids of a lane where there are enough.
 BLOCK, LANES, STEPS = 2**21, 8192, 256
@@ -45,15 +48,41 @@ TOTAL_BITS, WHOLE_BITS, SHARES = 28, 22, 64
 #: Steps between renewals of the order-0 frequencies and of the weights; slots of the order-2 table.
 RENEW, WEIGH, SLOTS_BITS = 16, 4, 20
 ID_BITS = 20
-ID_MASK, STATES = 2**ID_BITS - 1, 768
+ID_MASK, STATES = 2**ID_BITS - 1, 1024
 LOW32, U28, U32 = np.uint64(2**32 - 1), np.uint64(TOTAL_BITS), np.uint64(32)
 
 
+@lru_cache(maxsize=1)
+def transitions() -> tuple[np.ndarray, np.ndarray]:
+    """What each prediction of a state is worth at first, and what becomes of a context's entries.
+
+    The second has, for each state and prediction that told the id (3: order 0), the confidence of order 2 (from bit 20),
+    those of order 1 (from bit 40), and whether the order-2 id stays (bit 60), the second id of order 1 stays (bit 61)
+    and its two ids change places (bit 62).
+    """
+    state = np.arange(STATES)
+    second, first, other = state & 7, state >> 3 & 7, state >> 6 & 3
+    same_a, same_b = (state >> 8 & 1) * (second > 0) * (first > 0), (state >> 9) * (second > 0) * (other > 0)
+    worth = np.stack([(second > 0) * (1 + 2 * second), ((first > 0) & (same_a == 0)) * (1 + first), (other > 0) & (same_b == 0), np.full(STATES, 4)], axis=1).astype(np.int64)
+    told = np.arange(4)
+    second, first, other, same_a, same_b = (x[:, None] for x in (second, first, other, same_a, same_b))
+    hit2 = (told == 0) & (second >= 0)
+    hita, hitb = (told == 1) | hit2 & (same_a > 0), (told == 2) | hit2 & (same_b > 0)
+    n2 = np.where(hit2, np.minimum(second + 1, 7), second >> 1)
+    na = np.where(hita, np.minimum(first + 1, 7), first)
+    nb = np.where(hita, other, np.where(hitb, other + 1, np.where(other > 1, other - 1, 1)))
+    held = hita | hitb | (other > 1)
+    # a second id that proves right often enough, or meets no first one, comes first
+    swap = (first == 0) | (nb > 3)
+    counts = np.where(swap, np.where(first > 0, 4, 1) | np.minimum(na, 3) << 3, na | nb << 3)
+    return worth, (np.maximum(n2, 1) << 20 | counts << 40 | (n2 > 0).astype(np.int64) << 60 | held.astype(np.int64) << 61 | swap.astype(np.int64) << 62).ravel()
+
+
 class Mixture:
     """The predictions of orders 0 to 2 for all lanes, and what each has been worth.
 
-    Table entries: order 2 an id, its confidence (3 bits) and a tag of the context; order 1 two ids, with confidences of
-    3 and 2 bits. A state is the three confidences and whether order 2 agrees with one of order 1.
+    Table entries: order 2 an id, its confidence (3 bits) and a tag of the context; order 1 two ids, then their confidences
+    of 3 and 2 bits. A state is the three confidences and whether order 2 agrees with the ids of order 1.
     """
 
     def __init__(self, bound: int):
@@ -61,10 +90,9 @@ class Mixture:
             raise ValueError(f"ids must be below {2**ID_BITS}")
         self.bound = bound
         self.counts = np.zeros(bound, np.int64)
-        self.one, self.other, self.two = np.zeros(bound, np.int32), np.zeros(bound, np.int32), np.zeros(2**SLOTS_BITS, np.int32)
-        state = np.arange(STATES)
-        second, first, other, same = state & 7, state >> 3 & 7, state >> 6 & 3, state >> 8
-        self.worth = np.stack([(second > 0) * (1 + 2 * second), ((first > 0) & (same != 1)) * (1 + first), (other > 0) & (same != 2), np.full(STATES, 4)], axis=1).astype(np.int64)
+        self.pairs, self.two = np.zeros(bound, np.int64), np.zeros(2**SLOTS_BITS, np.int32)
+        worth, self.after = transitions()
+        self.worth = worth.copy()
         self.ids_met: list[np.ndarray] = []
         self.cells_met: list[np.ndarray] = []
         self.step, self.due = 0, 1
@@ -80,6 +108,8 @@ class Mixture:
         self.share = (self.counts * each >> 32) + 1
         self.share[0] += 2**WHOLE_BITS - int(self.share.sum())
         self.sums = np.concatenate([[0], np.cumsum(self.share)])
+        # the id at each multiple of 16; the id sought stands there or little further on
+        self.near = np.repeat(np.arange(self.bound, dtype=np.int32), np.diff(self.sums + 15 >> 4))
 
     def weigh(self) -> None:
         """For each state, where the interval of each prediction begins and how wide it is."""
@@ -95,34 +125,39 @@ class Mixture:
 
     def look(self, last: np.ndarray, before: np.ndarray) -> None:
         """The predictions after the last id and the one before it, of each lane."""
-        mixed = ((last.astype(np.uint32) * np.uint32(0x9E3779B1) + before.astype(np.uint32) * np.uint32(0x85EBCA6B)) & 0x7FFFFFFF).view(np.int32)
-        self.last, self.slot, self.tag = last, (mixed & (2**SLOTS_BITS - 1)).astype(np.int64), mixed >> SLOTS_BITS & 0xFF
-        two, one, other = self.two[self.slot], self.one[last], self.other[last]
-        self.c2, self.ca, self.cb = two & ID_MASK, one & ID_MASK, other & ID_MASK
-        self.n2, self.na, self.nb = (two >> ID_BITS & 7) * (two >> 23 == self.tag), one >> ID_BITS, other >> ID_BITS
-        self.k2, self.ka, self.kb = self.n2 > 0, self.na > 0, self.nb > 0
-        same_a, same_b = (self.c2 == self.ca) & self.k2, (self.c2 == self.cb) & self.k2 & self.kb
-        self.state = (self.n2 + (self.na << 3) + (self.nb << 6) + same_a * np.int32(256) + same_b * np.int32(512)).astype(np.int64)
-
-    def right(self, now: np.ndarray) -> None:
-        """Which predictions name the id of each lane."""
-        self.hit2, self.hita, self.hitb = self.k2 & (now == self.c2), self.ka & (now == self.ca), self.kb & (now == self.cb)
+        mixed = last.astype(np.uint32) * np.uint32(0x9E3779B1) + before.astype(np.uint32) * np.uint32(0x85EBCA6B)
+        self.last, self.slot, self.tag = last, (mixed & np.uint32(2**SLOTS_BITS - 1)).astype(np.int64), ((mixed & np.uint32(0xFF << SLOTS_BITS)) << np.uint32(3)).view(np.int32)
+        two, pair = self.two[self.slot], self.pairs[last]
+        self.pair = pair
+        self.c2, self.ca, self.cb = two & ID_MASK, pair.astype(np.int32) & ID_MASK, (pair >> ID_BITS).astype(np.int32) & ID_MASK
+        self.n2, self.n1 = (two >> ID_BITS & 7).astype(np.int8) * (two ^ self.tag < 2**23), (pair >> 2 * ID_BITS).astype(np.int8)
+        same = (self.c2 == self.ca) + ((self.c2 == self.cb).view(np.int8) << 1)
+        same *= self.n2 > 0
+        self.cell = (same.astype(np.int64) << 10) + (self.n1.astype(np.int64) << 5) + (self.n2.astype(np.int64) << 2)
+
+    def teller(self, now: np.ndarray) -> np.ndarray:
+        """Which prediction tells the id of each lane, the first that names it; 3: order 0."""
+        not2, nota, notb = (now != self.c2) | (self.n2 == 0), (now != self.ca) | (self.n1 & 7 == 0), (now != self.cb) | (self.n1 < 8)
+        return not2.view(np.int8) * (1 + nota.view(np.int8) * (1 + notb.view(np.int8)))
+
+    def id_at(self, place: np.ndarray) -> np.ndarray:
+        """The ids that order 0 has at these places."""
+        found = self.near[place >> 4].astype(np.int64)
+        left = np.flatnonzero(self.sums[found + 1] <= place)
+        found[left] += 1
+        left = left[self.sums[found[left] + 1] <= place[left]]
+        found[left] = np.searchsorted(self.sums, place[left], side="right") - 1
+        return found
 
     def learn(self, ids: np.ndarray, cell: np.ndarray) -> None:
-        now = ids.astype(np.int32)
-        n2 = np.where(self.hit2, np.minimum(self.n2 + 1, 7), self.n2 >> 1)
-        self.two[self.slot] = np.where(n2 > 0, self.c2, now) | np.maximum(n2, 1) << ID_BITS | self.tag << 23
-        # a second id that proves right often enough, or meets no first one, comes first
-        na = np.where(self.hita, np.minimum(self.na + 1, 7), self.na)
-        held = self.hita | self.hitb | (self.nb > 1)
-        nb = np.where(self.hita, self.nb, np.where(self.hitb, self.nb + 1, np.where(self.nb > 1, self.nb - 1, 1)))
-        cb = np.where(held, self.cb, now)
-        swap = ~self.ka | (nb > 3)
-        held_a, held_b = self.ca | na << ID_BITS, cb | nb << ID_BITS
-        self.one[self.last], self.other[self.last] = held_a, held_b
-        swap = np.flatnonzero(swap)
-        self.one[self.last[swap]] = cb[swap] | np.where(self.ka[swap], np.int32(4), np.int32(1)) << ID_BITS
-        self.other[self.last[swap]] = self.ca[swap] | np.minimum(na[swap], 3) << ID_BITS
+        # x ^ (x ^ y) & mask is y where the mask is set, else x
+        after, now = self.after[cell], ids.astype(np.int32)
+        stays = -(after >> 60 & 1).astype(np.int32)
+        self.two[self.slot] = now ^ (now ^ self.c2) & stays | after.astype(np.int32) & 7 << 20 | self.tag
+        one, other = self.pair & ID_MASK, self.pair >> ID_BITS & ID_MASK
+        other = ids ^ (ids ^ other) & -(after >> 61 & 1)
+        change = (one ^ other) & -(after >> 62)
+        self.pairs[self.last] = one ^ change | (other ^ change) << ID_BITS | after & 31 << 2 * ID_BITS
         self.ids_met.append(ids)
         self.cells_met.append(cell)
         self.step += 1
@@ -157,12 +192,13 @@ def coded(ids: np.ndarray, bound: int) -> bytes:
             low, at, width, last, before = low[:-1], at[:-1], width[:-1], last[:-1], before[:-1]
         now = rows[t, : len(low)]
         model.look(last, before)
-        model.right(now)
-        cell = (model.state << 2) + np.where(model.hit2, 0, np.where(model.hita, 1, np.where(model.hitb, 2, 3)))
+        told = model.teller(now)
+        cell = model.cell + told
         start, size = model.start[cell], model.size[cell]
-        rest = np.flatnonzero(cell & 3 == 3)
-        start[rest] += model.sums[now[rest]] * size[rest]
-        size[rest] *= model.share[now[rest]]
+        rest = np.flatnonzero(told == 3)
+        found, shares = now[rest], size[rest]
+        start[rest] += model.sums[found] * shares
+        size[rest] = model.share[found] * shares
         part = width >> U28
         add = part * start.astype(np.uint64)
         low += add
@@ -196,21 +232,26 @@ def decoded(n: int, bound: int, code: bytes) -> np.ndarray:
     ahead, width = words[at] << U32 | words[at + 1], np.full(lanes, 2**64 - 1, np.uint64)
     at += 2
     last = before = np.zeros(lanes, np.int64)
-    rows = np.zeros((steps, lanes), np.int64)
+    rows, names, each = np.zeros((steps, lanes), np.int64), np.zeros((4, lanes), np.int64), np.arange(lanes)
     for t in range(steps):
         if t == short:
             ahead, at, width, last, before = ahead[:-1], at[:-1], width[:-1], last[:-1], before[:-1]
         model.look(last, before)
         part = width >> U28
         value = np.minimum(ahead // part, np.uint64(2**TOTAL_BITS - 1)).astype(np.int64)
-        told = (value >= model.ends[0][model.state]).astype(np.int64) + (value >= model.ends[1][model.state]) + (value >= model.ends[2][model.state])
-        cell = (model.state << 2) + told
+        state = model.cell >> 2
+        told = (value >= model.ends[0][state]).view(np.int8) + (value >= model.ends[1][state]) + (value >= model.ends[2][state])
+        cell = model.cell + told
         start, size = model.start[cell], model.size[cell]
-        now = np.where(told == 0, model.c2, np.where(told == 1, model.ca, model.cb))
+        names[0, : len(told)], names[1, : len(told)], names[2, : len(told)] = model.c2, model.ca, model.cb
+        now = names.ravel()[told * np.int64(lanes) + each[: len(told)]]
         rest = np.flatnonzero(told == 3)
-        now[rest] = np.searchsorted(model.sums, (value[rest] - start[rest]) // size[rest], side="right") - 1
-        start[rest] += model.sums[now[rest]] * size[rest]
-        size[rest] *= model.share[now[rest]]
+        begin, shares = start[rest], size[rest]
+        # numbers below 2**28 by numbers below 2**6: the quotient as a double, cut, is exact
+        found = model.id_at(((value[rest] - begin) / shares).astype(np.int64))
+        now[rest] = found
+        start[rest] = begin + model.sums[found] * shares
+        size[rest] = model.share[found] * shares
         ahead = ahead - part * start.astype(np.uint64)
         width = part * size.astype(np.uint64)
         full = np.flatnonzero(width <= LOW32)
@@ -218,7 +259,6 @@ def decoded(n: int, bound: int, code: bytes) -> np.ndarray:
         at[full] += 1
         width[full] <<= U32
         rows[t, : len(now)] = now
-        model.right(now)
         model.learn(now, cell)
         last, before = now, last
     return rows.T.ravel()[:n]
@@ -229,14 +269,14 @@ def packed(ids: np.ndarray, before: int, entries: list[tuple[int, int, int, int
     bound = int(ids.max()) + 1
     code = coded(ids, bound)
     body = b"".join(ENTRY.pack(a, b, c, d or 0, d is not None) for a, b, c, d in entries) + code
-    head = HEAD.pack(b"TMK4", len(ids), bound, len(entries), len(code), before)
+    head = HEAD.pack(b"TMK5", len(ids), bound, len(entries), len(code), before)
     return head + CHECK.pack(zlib.crc32(body, zlib.crc32(head))) + body
 
 
 def unpacked(block: bytes) -> tuple[np.ndarray, int, list[tuple[int, int, int, int | None]]]:
     """The ids, the ids before and the entries again; a block that fails its checksum raises ValueError."""
     head, start = block[: HEAD.size], HEAD.size + CHECK.size
-    if len(block) < start or zlib.crc32(block[start:], zlib.crc32(head)) != CHECK.unpack_from(block, HEAD.size)[0] or head[:4] != b"TMK4":
+    if len(block) < start or zlib.crc32(block[start:], zlib.crc32(head)) != CHECK.unpack_from(block, HEAD.size)[0] or head[:4] != b"TMK5":
         raise ValueError("a block of token ids is damaged")
     _, n, bound, docs, size, before = HEAD.unpack(head)
     entries = [ENTRY.unpack_from(block, start + k * ENTRY.size) for k in range(docs)]
@@ -244,26 +284,63 @@ def unpacked(block: bytes) -> tuple[np.ndarray, int, list[tuple[int, int, int, i
 
 
 class LibraryEncoder(Encoder):
-    """Splits texts as the tokenizer does and has the tokenizers library encode each distinct pre-token once."""
+    """Splits texts as the tokenizer does, all at once, and has the tokenizers library encode each distinct pre-token once."""
 
     def __init__(self, path: str):
         super().__init__(path, MEMO_WORDS)
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         # the library's own merging of a pre-token, without another search for pre-tokens in it
         self.tokenize = Tokenizer.from_file(path).model.tokenize
-        self.letters = {b: letter for letter, b in byte_letters().items()}
+        letters = {b: letter for letter, b in byte_letters().items()}
+        self.letters = "".join(letters[b] for b in range(256))
+        self.splitter = re.compile(f"({self.vocab.special.pattern})") if self.vocab.special else None
+
+    def forget(self) -> None:
+        super().forget()
+        self.numbers = Numbers()
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        space = self.letters[32]
-        shown = (w.replace(" ", space) if w.isascii() and w.isprintable() else w.encode("utf-8", "replace").decode("latin-1").translate(self.letters) for w in words)
+        return self.merge_bytes([w.encode("utf-8", "replace") for w in words])
+
+    def merge_bytes(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        shown = codecs.charmap_decode(b"".join(words), "strict", self.letters)[0]
         ids: list[int] = []
         counts: list[int] = []
-        for w in shown:  # no list is kept for a word: Python's search for cycles would visit all of them again and again
-            found = self.tokenize(w)
+        end = 0
+        for w in words:  # no list is kept for a word: Python's search for cycles would visit all of them again and again
+            start, end = end, end + len(w)
+            found = self.tokenize(shown[start:end])
             counts.append(len(found))
             ids += [t.id for t in found]
         return np.array(ids, np.int32), np.array(counts, np.int64)
 
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. Added tokens are found first, as the library does."""
+        if not self.splitter or not any(map(self.splitter.search, texts)):
+            return self.encode_plain(texts)
+        parts = [self.splitter.split(t) for t in texts]  # every second part is an added token
+        flat = iter(self.encode_plain(["" if i % 2 else x for p in parts for i, x in enumerate(p)]))
+        own = [[np.array([self.vocab.added[x]], np.int32) if i % 2 else ids for (i, x), ids in zip(enumerate(p), flat)] for p in parts]  # noqa: B905
+        return [np.concatenate(ids) for ids in own]
+
+    def encode_plain(self, texts: list[str]) -> list[np.ndarray]:
+        if self.numbers.count > self.memo:
+            self.forget()
+        raw = [t.encode("utf-8", "replace") for t in texts]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        joined, begins = b"".join([*raw, bytes(PAD)]), np.cumsum(sizes) - sizes
+        at = starts(joined, begins[sizes > 0])
+        lengths = np.diff(at, append=len(joined) - PAD)
+        number, new = self.numbers.of(joined, at, lengths)
+        if new:
+            ids, counts = self.merge_bytes(new)
+            places = np.cumsum(counts) - counts + len(self.ids)
+            self.ids, self.starts, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.starts, places]), np.concatenate([self.counts, counts])
+        # pre-tokens before each text, and ids before each of them
+        before = np.concatenate([[0], np.cumsum(self.counts[number])])[np.append(np.searchsorted(at, begins), len(at))]
+        ids = self.gather(number)
+        return [ids[a:b] for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True)]
+
 
 @lru_cache(maxsize=1)
 def encoder_of(path: str) -> LibraryEncoder:
