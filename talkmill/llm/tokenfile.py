@@ -48,7 +48,7 @@ TOTAL_BITS, WHOLE_BITS, SHARES = 28, 22, 64
 #: Steps between renewals of the order-0 frequencies and of the weights; slots of the order-2 table.
 RENEW, WEIGH, SLOTS_BITS = 16, 4, 20
 ID_BITS = 20
-ID_MASK, STATES = 2**ID_BITS - 1, 1024
+ID_MASK, STATES, SPAN = 2**ID_BITS - 1, 1024, 2**32 - 1
 LOW32, U28, U32 = np.uint64(2**32 - 1), np.uint64(TOTAL_BITS), np.uint64(32)
 
 
@@ -57,8 +57,8 @@ def transitions() -> tuple[np.ndarray, np.ndarray]:
     """What each prediction of a state is worth at first, and what becomes of a context's entries.
 
     The second has, for each state and prediction that told the id (3: order 0), the confidence of order 2 (from bit 20),
-    those of order 1 (from bit 40), and whether the order-2 id stays (bit 60), the second id of order 1 stays (bit 61)
-    and its two ids change places (bit 62).
+    whether the order-2 id stays (bit 23), the second id of order 1 stays (bit 24) and its two ids change places (bit 25),
+    and the confidences of order 1 (from bits 26 and 29).
     """
     state = np.arange(STATES)
     second, first, other = state & 7, state >> 3 & 7, state >> 6 & 3
@@ -74,15 +74,16 @@ def transitions() -> tuple[np.ndarray, np.ndarray]:
     held = hita | hitb | (other > 1)
     # a second id that proves right often enough, or meets no first one, comes first
     swap = (first == 0) | (nb > 3)
-    counts = np.where(swap, np.where(first > 0, 4, 1) | np.minimum(na, 3) << 3, na | nb << 3)
-    return worth, (np.maximum(n2, 1) << 20 | counts << 40 | (n2 > 0).astype(np.int64) << 60 | held.astype(np.int64) << 61 | swap.astype(np.int64) << 62).ravel()
+    na, nb = np.where(swap, np.where(first > 0, 4, 1), na), np.where(swap, np.minimum(na, 3), nb)
+    after = np.maximum(n2, 1) << 20 | (n2 > 0) << np.int64(23) | held << np.int64(24) | swap << np.int64(25) | na << 26 | nb << 29
+    return worth, after.astype(np.int32).ravel()
 
 
 class Mixture:
     """The predictions of orders 0 to 2 for all lanes, and what each has been worth.
 
-    Table entries: order 2 an id, its confidence (3 bits) and a tag of the context; order 1 two ids, then their confidences
-    of 3 and 2 bits. A state is the three confidences and whether order 2 agrees with the ids of order 1.
+    Table entries: order 2 an id, its confidence (3 bits) and a tag of the context; order 1 in each half an id and its
+    confidence, of 3 and 2 bits. A state is the three confidences and whether order 2 agrees with the ids of order 1.
     """
 
     def __init__(self, bound: int):
@@ -93,11 +94,12 @@ class Mixture:
         self.pairs, self.two = np.zeros(bound, np.int64), np.zeros(2**SLOTS_BITS, np.int32)
         worth, self.after = transitions()
         self.worth = worth.copy()
+        self.start, self.size = np.zeros(4 * STATES, np.int64), np.zeros(4 * STATES, np.int64)
         self.ids_met: list[np.ndarray] = []
         self.cells_met: list[np.ndarray] = []
         self.step, self.due = 0, 1
         self.renew()
-        self.weigh()
+        self.weigh(np.arange(STATES))
 
     def renew(self) -> None:
         """The order-0 frequencies from the counts so far; every id keeps one at least."""
@@ -105,40 +107,48 @@ class Mixture:
             self.counts += np.bincount(np.concatenate(self.ids_met), minlength=self.bound)
             self.ids_met.clear()
         each = (((2**WHOLE_BITS - self.bound) << 32) // max(int(self.counts.sum()), 1))
-        self.share = (self.counts * each >> 32) + 1
-        self.share[0] += 2**WHOLE_BITS - int(self.share.sum())
-        self.sums = np.concatenate([[0], np.cumsum(self.share)])
+        share = (self.counts * each >> 32) + 1
+        share[0] += 2**WHOLE_BITS - int(share.sum())
+        self.sums = np.concatenate([[0], np.cumsum(share)])
+        self.spans = self.sums[:-1] << 32 | share
         # the id at each multiple of 16; the id sought stands there or little further on
         self.near = np.repeat(np.arange(self.bound, dtype=np.int32), np.diff(self.sums + 15 >> 4))
 
-    def weigh(self) -> None:
-        """For each state, where the interval of each prediction begins and how wide it is."""
-        if self.cells_met:
-            self.worth += np.bincount(np.concatenate(self.cells_met), minlength=4 * STATES).reshape(STATES, 4)
-            self.cells_met.clear()
-        named, rest = self.worth[:, :3].sum(1), self.worth[:, 3]
+    def weigh(self, states: np.ndarray) -> None:
+        """For these states, where the interval of each prediction begins and how wide it is."""
+        worth = self.worth[states]
+        named, rest = worth[:, 0] + worth[:, 1] + worth[:, 2], worth[:, 3]
         zero = np.where(named == 0, SHARES, np.clip((rest * SHARES + (named + rest) // 2) // (named + rest), 1, SHARES - 1))
-        self.ends = np.cumsum(self.worth[:, :3], axis=1).T * ((SHARES - zero) << WHOLE_BITS) // np.maximum(named, 1)
-        start = np.zeros((STATES, 4), np.int64)
-        start[:, 1:] = self.ends.T
-        self.start, self.size = start.ravel(), np.concatenate([np.diff(start, axis=1), zero[:, None]], axis=1).ravel()
+        ends = np.zeros((len(states), 4), np.int64)
+        whole, named = (SHARES - zero) << WHOLE_BITS, np.maximum(named, 1)
+        ends[:, 1] = worth[:, 0] * whole // named
+        ends[:, 2] = (worth[:, 0] + worth[:, 1]) * whole // named
+        ends[:, 3] = whole  # 0 where no prediction is worth anything
+        size = ends.copy()
+        size[:, :3], size[:, 3] = ends[:, 1:] - ends[:, :3], zero
+        self.start.reshape(STATES, 4)[states], self.size.reshape(STATES, 4)[states] = ends, size
 
     def look(self, last: np.ndarray, before: np.ndarray) -> None:
         """The predictions after the last id and the one before it, of each lane."""
         mixed = last.astype(np.uint32) * np.uint32(0x9E3779B1) + before.astype(np.uint32) * np.uint32(0x85EBCA6B)
         self.last, self.slot, self.tag = last, (mixed & np.uint32(2**SLOTS_BITS - 1)).astype(np.int64), ((mixed & np.uint32(0xFF << SLOTS_BITS)) << np.uint32(3)).view(np.int32)
         two, pair = self.two[self.slot], self.pairs[last]
-        self.pair = pair
-        self.c2, self.ca, self.cb = two & ID_MASK, pair.astype(np.int32) & ID_MASK, (pair >> ID_BITS).astype(np.int32) & ID_MASK
-        self.n2, self.n1 = (two >> ID_BITS & 7).astype(np.int8) * (two ^ self.tag < 2**23), (pair >> 2 * ID_BITS).astype(np.int8)
-        same = (self.c2 == self.ca) + ((self.c2 == self.cb).view(np.int8) << 1)
-        same *= self.n2 > 0
-        self.cell = (same.astype(np.int64) << 10) + (self.n1.astype(np.int64) << 5) + (self.n2.astype(np.int64) << 2)
-
-    def teller(self, now: np.ndarray) -> np.ndarray:
-        """Which prediction tells the id of each lane, the first that names it; 3: order 0."""
-        not2, nota, notb = (now != self.c2) | (self.n2 == 0), (now != self.ca) | (self.n1 & 7 == 0), (now != self.cb) | (self.n1 < 8)
-        return not2.view(np.int8) * (1 + nota.view(np.int8) * (1 + notb.view(np.int8)))
+        one, other = pair.astype(np.int32), (pair >> 32).astype(np.int32)
+        self.c2, self.ca, self.cb = two & ID_MASK, one & ID_MASK, other & ID_MASK
+        self.n2, self.na, self.nb = (two & 7 << ID_BITS) * (two ^ self.tag < 2**23), one & ~ID_MASK, other & ~ID_MASK
+        k2 = self.n2 > 0
+        cell = (self.n2 >> 18) + (self.na >> 15) + (self.nb >> 12) + ((self.c2 == self.ca) & k2) * np.int32(1024) + ((self.c2 == self.cb) & k2) * np.int32(2048)
+        self.cell = cell.astype(np.int64)
+
+    def named(self, now: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lanes whose id a prediction beside order 0 names, and which one; the first of these tells it."""
+        hit2, hita, hitb = (now == self.c2) & (self.n2 > 0), (now == self.ca) & (self.na > 0), (now == self.cb) & (self.nb > 0)
+        lanes = np.flatnonzero(hit2 | hita | hitb)
+        return lanes, np.where(hit2[lanes], 0, np.where(hita[lanes], 1, 2))
+
+    def name(self, lanes: np.ndarray, told: np.ndarray) -> np.ndarray:
+        """The ids that these predictions name."""
+        return np.where(told == 0, self.c2[lanes], np.where(told == 1, self.ca[lanes], self.cb[lanes]))
 
     def id_at(self, place: np.ndarray) -> np.ndarray:
         """The ids that order 0 has at these places."""
@@ -149,20 +159,23 @@ class Mixture:
         found[left] = np.searchsorted(self.sums, place[left], side="right") - 1
         return found
 
-    def learn(self, ids: np.ndarray, cell: np.ndarray) -> None:
+    def learn(self, ids: np.ndarray, now: np.ndarray, cell: np.ndarray) -> None:
+        """Take in the id of each lane, in 64 and in 32 bits, and its state and prediction."""
         # x ^ (x ^ y) & mask is y where the mask is set, else x
-        after, now = self.after[cell], ids.astype(np.int32)
-        stays = -(after >> 60 & 1).astype(np.int32)
-        self.two[self.slot] = now ^ (now ^ self.c2) & stays | after.astype(np.int32) & 7 << 20 | self.tag
-        one, other = self.pair & ID_MASK, self.pair >> ID_BITS & ID_MASK
-        other = ids ^ (ids ^ other) & -(after >> 61 & 1)
-        change = (one ^ other) & -(after >> 62)
-        self.pairs[self.last] = one ^ change | (other ^ change) << ID_BITS | after & 31 << 2 * ID_BITS
+        after = self.after[cell]
+        self.two[self.slot] = now ^ (now ^ self.c2) & -(after >> 23 & 1) | after & 7 << ID_BITS | self.tag
+        other = now ^ (now ^ self.cb) & -(after >> 24 & 1)
+        change = (self.ca ^ other) & -(after >> 25 & 1)
+        one, other = self.ca ^ change | after >> 6 & 7 << ID_BITS, other ^ change | after >> 9 & 3 << ID_BITS
+        self.pairs[self.last] = other.astype(np.int64) << 32 | one
         self.ids_met.append(ids)
         self.cells_met.append(cell)
         self.step += 1
         if self.step < RENEW or self.step % WEIGH == 0:
-            self.weigh()
+            met = np.bincount(np.concatenate(self.cells_met), minlength=4 * STATES).reshape(STATES, 4)
+            self.cells_met.clear()
+            self.worth += met
+            self.weigh(np.flatnonzero(met.any(axis=1)))
         if self.step == self.due:
             self.renew()
             self.due += min(self.due, RENEW)
@@ -192,13 +205,15 @@ def coded(ids: np.ndarray, bound: int) -> bytes:
             low, at, width, last, before = low[:-1], at[:-1], width[:-1], last[:-1], before[:-1]
         now = rows[t, : len(low)]
         model.look(last, before)
-        told = model.teller(now)
-        cell = model.cell + told
-        start, size = model.start[cell], model.size[cell]
-        rest = np.flatnonzero(told == 3)
-        found, shares = now[rest], size[rest]
-        start[rest] += model.sums[found] * shares
-        size[rest] = model.share[found] * shares
+        now32 = now.astype(np.int32)
+        # as told by order 0, which most are, then those that another prediction names
+        cell = model.cell | 3
+        start, size, span = model.start[cell], model.size[cell], model.spans[now]
+        start += (span >> 32) * size
+        size *= span & SPAN
+        lanes_named, told = model.named(now32)
+        own = model.cell[lanes_named] + told
+        cell[lanes_named], start[lanes_named], size[lanes_named] = own, model.start[own], model.size[own]
         part = width >> U28
         add = part * start.astype(np.uint64)
         low += add
@@ -210,7 +225,7 @@ def coded(ids: np.ndarray, bound: int) -> bytes:
         at[full] += 1
         low[full] <<= U32
         width[full] <<= U32
-        model.learn(now, cell)
+        model.learn(now, now32, cell)
         last, before = now, last
     out[every_at], out[every_at + 1] = every_low >> U32, every_low & LOW32
     out = out.reshape(lanes, room)
@@ -232,26 +247,27 @@ def decoded(n: int, bound: int, code: bytes) -> np.ndarray:
     ahead, width = words[at] << U32 | words[at + 1], np.full(lanes, 2**64 - 1, np.uint64)
     at += 2
     last = before = np.zeros(lanes, np.int64)
-    rows, names, each = np.zeros((steps, lanes), np.int64), np.zeros((4, lanes), np.int64), np.arange(lanes)
+    rows = np.zeros((steps, lanes), np.int64)
     for t in range(steps):
         if t == short:
             ahead, at, width, last, before = ahead[:-1], at[:-1], width[:-1], last[:-1], before[:-1]
         model.look(last, before)
         part = width >> U28
         value = np.minimum(ahead // part, np.uint64(2**TOTAL_BITS - 1)).astype(np.int64)
-        state = model.cell >> 2
-        told = (value >= model.ends[0][state]).view(np.int8) + (value >= model.ends[1][state]) + (value >= model.ends[2][state])
-        cell = model.cell + told
+        cell = model.cell | 3
         start, size = model.start[cell], model.size[cell]
-        names[0, : len(told)], names[1, : len(told)], names[2, : len(told)] = model.c2, model.ca, model.cb
-        now = names.ravel()[told * np.int64(lanes) + each[: len(told)]]
-        rest = np.flatnonzero(told == 3)
-        begin, shares = start[rest], size[rest]
-        # numbers below 2**28 by numbers below 2**6: the quotient as a double, cut, is exact
-        found = model.id_at(((value[rest] - begin) / shares).astype(np.int64))
-        now[rest] = found
-        start[rest] = begin + model.sums[found] * shares
-        size[rest] = model.share[found] * shares
+        lanes_named = np.flatnonzero(value < start)
+        # numbers below 2**28 by numbers below 2**7: the quotient as a double, cut, is exact
+        place = ((value - start) / size).astype(np.int64)
+        place[lanes_named] = 0
+        now = model.id_at(place)
+        span = model.spans[now]
+        start += (span >> 32) * size
+        size *= span & SPAN
+        own, given = model.cell[lanes_named], value[lanes_named]
+        told = (given >= model.start[own + 1]).astype(np.int64) + (given >= model.start[own + 2])
+        own += told
+        cell[lanes_named], start[lanes_named], size[lanes_named], now[lanes_named] = own, model.start[own], model.size[own], model.name(lanes_named, told)
         ahead = ahead - part * start.astype(np.uint64)
         width = part * size.astype(np.uint64)
         full = np.flatnonzero(width <= LOW32)
@@ -259,7 +275,7 @@ def decoded(n: int, bound: int, code: bytes) -> np.ndarray:
         at[full] += 1
         width[full] <<= U32
         rows[t, : len(now)] = now
-        model.learn(now, cell)
+        model.learn(now, now.astype(np.int32), cell)
         last, before = now, last
     return rows.T.ravel()[:n]
 

@@ -73,3 +73,24 @@ def test_places_of_order_0_are_found_without_a_search_of_all():
     assert (model.id_at(place) == np.searchsorted(model.sums, place, side="right") - 1).all()
     near = model.near[place >> 4]
     assert (near <= model.id_at(place)).all() and (near == model.id_at(place)).mean() > 0.9
+
+
+def test_weights_follow_the_states_that_were_met():
+    model, rng = tokenfile.Mixture(100), np.random.default_rng(6)
+    last = before = np.zeros(500, np.int64)
+    for step in range(1, 41):
+        now = np.minimum(rng.geometric(0.2, 500), 99) * (rng.random(500) < 0.9)
+        model.look(last, before)
+        cell = model.cell | 3
+        lanes, told = model.named(now.astype(np.int32))
+        cell[lanes] = model.cell[lanes] + told
+        assert (model.name(lanes, told) == now[lanes]).all()
+        model.learn(now, now.astype(np.int32), cell)
+        last, before = now, last
+        if step < tokenfile.RENEW or step % tokenfile.WEIGH == 0:
+            start, size = model.start.copy(), model.size.copy()
+            model.weigh(np.arange(tokenfile.STATES))
+            assert (start == model.start).all() and (size == model.size).all()
+            # the predictions of a state share the whole range, and order 0 keeps a part
+            assert (start.reshape(-1, 4)[:, 3] + (size.reshape(-1, 4)[:, 3] << tokenfile.WHOLE_BITS) == 2**tokenfile.TOTAL_BITS).all() and (size.reshape(-1, 4)[:, 3] > 0).all()
+    assert len(lanes) > 100
