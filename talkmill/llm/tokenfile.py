@@ -6,7 +6,8 @@ the last id, and order 0 gives every id its frequency in the block so far. How m
 for each state of their confidences. One step of a 64-bit range coder then tells the id.
 
 The ids of a block are dealt to lanes, stretches that are coded side by side, one id of each at a time, by one model
-that all lanes teach. Everything is integer arithmetic and of fixed order, so any machine decodes the same ids.
+that all lanes teach. Everything is integer arithmetic (one quotient is taken as a double, exactly)
+and of fixed order, so any machine decodes the same ids.
 
 File format, little-endian: ``TMK5``, ids (u32), bound of the ids (u32), documents (u32), bytes of code (u32), ids of the
 part before the block (u64), CRC-32 of all that is before and after it; for each document its number in the part (u64), piece (u32), ids
